@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -62,34 +61,38 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, rows:
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
-def components(nodes: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components as (id, component): the smallest id reachable.
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """Connected components of the nodes that edges touch, as a table (id, component): the smallest id reachable.
 
-    nodes: one column id; edges: src, dst (any direction, repeats allowed). Only nodes that edges
-    touch take part in the rounds. Alternating large-star and small-star steps shrink every
-    component to a star around its smallest id in about log2 of its size rounds; a hub's edges are
-    dealt by (hub, neighbour) where they are made distinct, and by the neighbour where minima are taken.
+    edges: src, dst (any direction, repeats and loops allowed). Alternating large-star and small-star
+    steps shrink every component to a star around its smallest id, in about log2 of its
+    size rounds; every round writes its edges as a table.
     """
-    spark = edges.sparkSession
     norm = lambda e: e.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    stars = cut(norm(edges), name)
-    for _ in range(64):
-        # every node learns the smallest id among itself and its neighbours
+    sized = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+    stars = cut(norm(edges), f"{name}-0")
+    was = sized(stars)
+    for k in range(1, 64):
+        if not was[0]:
+            break
         both = stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
-        # large star: neighbours above a node hang on its minimum
-        large = stars.select(F.col("dst").alias("at"), F.col("src").alias("up")).join(low.withColumnRenamed("src", "at"), "at").select(F.col("up").alias("src"), F.col("low").alias("dst"))
-        large = norm(large.unionByName(low.select("src", F.col("low").alias("dst"))))
+        low = both.groupBy("src").agg(F.least(F.min("dst"), F.min("src")).alias("low"))
+        # large star: neighbours above a node hang on the smallest of its neighbourhood
+        up = stars.select(F.col("dst").alias("at"), F.col("src").alias("up")).join(low.withColumnRenamed("src", "at"), "at").select(F.col("up").alias("src"), F.col("low").alias("dst"))
+        large = norm(up.unionByName(low.select("src", F.col("low").alias("dst"))))
         # small star: a node and its neighbours below hang on the smallest of them
         least = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        new = cut(norm(small.unionByName(least.select("src", F.col("low").alias("dst")))), name)
-        same = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if same(new) == same(stars):
+        down = large.join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        stars = cut(norm(down.unionByName(least.select("src", F.col("low").alias("dst")))), f"{name}-{k}")
+        if (now := sized(stars)) == was:
             break
-        stars = new
-    return nodes.join(stars.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        was = now
+    own = stars.select("dst").distinct()
+    return stars.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(own.select(F.col("dst").alias("id"), F.col("dst").alias("component")))
 
 
-def queries_of(**found: Callable[[SparkSession, str], DataFrame]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return found
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch, as texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, rows)

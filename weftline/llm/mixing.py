@@ -39,13 +39,15 @@ def target_rates(docs: DataFrame, source_col: str = "source", weights: DataFrame
     weights(source, weight) sets the targets; sources that it lacks get 0. Without it a weight is the source's share to the
     power `temperature`. Rates make the expected size of the mix epochs times the rows of docs.
     """
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    counts = cut(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n")), "source-counts")
     if weights is None:
         sized = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(float(temperature))))
     else:
         sized = counts.join(weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double")), F.col("source").eqNullSafe(F.col("w_source")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    total = sized.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_w"))
-    return sized.join(F.broadcast(total)).select("source", F.when(F.col("all_w") > 0, F.lit(float(epochs)) * F.col("all_n") * F.col("weight") / F.col("all_w") / F.col("n")).otherwise(0.0).alias("rate"))
+    all_n, all_w = sized.agg(F.sum("n"), F.sum("weight")).first()
+    if not all_w:
+        return sized.select("source", F.lit(0.0).alias("rate"))
+    return sized.select("source", (F.lit(float(epochs)) * F.lit(all_n) * F.col("weight") / F.lit(float(all_w)) / F.col("n")).alias("rate"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: DataFrame | None = None, epochs: float = EPOCHS, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
@@ -57,7 +59,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     are. An empty table gives no rows. A source with a third of all rows costs no more than others:
     rates join by broadcast up to BROADCAST_ROWS sources, else by a join whose skew Spark splits.
     """
-    rates = cut(target_rates(docs, source_col, weights, epochs, temperature), "rates")
+    rates = target_rates(docs, source_col, weights, epochs, temperature)
     parts = 8
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rates = rates.select(F.col("source").alias("mix_source"), F.col("source").isNull().alias("mix_null"), F.col("rate").alias("mix_rate"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, minhash, mixing, warc
 
 QUERIES = {
+    "op1_warc_roundtrip": warc.op1_warc_roundtrip,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_near_dedup": minhash.op6_near_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
-ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL}
+ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL, **warc.SQL}
