@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -22,6 +23,11 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+def worker_cache() -> dict:
+    """A dict that lives as long as this Python worker, across tasks."""
+    return sys.modules.setdefault("weftline_worker_cache", types.ModuleType("weftline_worker_cache")).__dict__
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

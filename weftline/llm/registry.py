@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, warc
+from . import exact_dedup, minhash, mixing, packing, toxicity, warc
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_near_dedup": minhash.op6_near_dedup,
+    "op8_pack": packing.op8_pack,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL, **warc.SQL}

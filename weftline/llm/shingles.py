@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import ship
+from .common import ship, worker_cache
 
 ship(__name__)
 
@@ -22,7 +22,6 @@ _code[ord("A") : ord("Z") + 1] = _code[ord("a") : ord("z") + 1]
 BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = pow(BASE, -1, 1 << 64)
 STEP = 0xD6E8FEB86659FD93
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -35,13 +34,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the powers 0 to n, and the inverses."""
-    if "up" not in _powers or len(_powers["up"]) <= n:
+    kept = worker_cache()
+    if "shingle_up" not in kept or len(kept["shingle_up"]) <= n:
         size = max(n + 1, CHUNK + 1)
-        for key, base in (("up", BASE), ("down", UNBASE)):
+        for key, base in (("shingle_up", BASE), ("shingle_down", UNBASE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
-            _powers[key] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+            kept[key] = np.cumprod(steps)
+    return kept["shingle_up"], kept["shingle_down"]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
