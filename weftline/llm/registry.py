@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, packing, toxicity, warc
+from . import exact_dedup, minhash, mixing, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_pii": pii.op3_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_near_dedup": minhash.op6_near_dedup,
     "op8_pack": packing.op8_pack,
