@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, packing, pii, toxicity, warc
+from . import exact_dedup, line_dedup, minhash, mixing, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_near_dedup": minhash.op6_near_dedup,
     "op8_pack": packing.op8_pack,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL, **warc.SQL}
