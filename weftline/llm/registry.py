@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, minhash, mixing, packing, pii, toxicity, warc
+from . import exact_dedup, line_dedup, main_text, minhash, mixing, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_near_dedup": minhash.op6_near_dedup,
+    "op7_main_text": main_text.op7_main_text,
     "op8_pack": packing.op8_pack,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
