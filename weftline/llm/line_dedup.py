@@ -244,10 +244,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_lines(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines that are not kept; a document that loses every line that has any words goes, as all it said is said before.
 
-    Documents without such lines stay as they are, empty ones too.
+    Documents without such lines stay as they are, empty ones too. Columns of docs named gone_id or gone_lines are dropped.
     """
     gone = classes.where("NOT kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("gone_lines"))
-    df = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("gone_id")), "left")
+    docs = docs.drop("gone_id", "gone_lines")
+    df = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")), "left")
     left = F.filter(F.transform(F.split(text_col, "\n"), lambda s, k: F.when(~F.array_contains("gone_lines", k), s)), lambda s: s.isNotNull())
     df = df.withColumn(text_col, F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
     return df.where(F.col("gone_lines").isNull() | F.col(text_col).rlike(r"\S")).drop("gone_id", "gone_lines")

@@ -55,7 +55,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
 
     The count inverts the Poisson distribution with the source's rate at a number hashed from id
     and seed. Null is a source of its own. Rows that repeat an id get equal counts. A null id hashes
-    as the text 'null'. Nothing else of a row is looked at, so null, empty and long texts pass as they
+    as the text 'null'. Columns of docs named like these or mix_source, mix_null, mix_rate, mix_n are
+    replaced. Nothing else of a row is looked at, so null, empty and long texts pass as they
     are. An empty table gives no rows. A source with a third of all rows costs no more than others:
     rates join by broadcast up to BROADCAST_ROWS sources, else by a join whose skew Spark splits.
     """
@@ -64,6 +65,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rates = rates.select(F.col("source").alias("mix_source"), F.col("source").isNull().alias("mix_null"), F.col("rate").alias("mix_rate"))
     rates = rates.withColumn("mix_source", F.coalesce(F.col("mix_source").cast("string"), F.lit("")))
+    docs = docs.drop("mix_source", "mix_null", "mix_rate", "mix_n", "mix_copy", "mix_key")
     df = docs.withColumns({"mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "mix_null": F.col(source_col).isNull()})
     df = join_sized(df, rates, ["mix_source", "mix_null"], "inner", BROADCAST_ROWS)
     # beyond a mean of 32 the sum of eight eighths is drawn, so that exp(-mean) stays a normal number up to a mean of thousands

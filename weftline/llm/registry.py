@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, main_text, minhash, mixing, packing, pii, toxicity, warc
+from . import ann, exact_dedup, line_dedup, main_text, minhash, mixing, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_ann": ann.op5_ann,
     "op6_near_dedup": minhash.op6_near_dedup,
     "op7_main_text": main_text.op7_main_text,
     "op8_pack": packing.op8_pack,

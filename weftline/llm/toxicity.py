@@ -190,10 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
 def score(docs: DataFrame, lexicon: list[tuple[str, bool]], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every column of docs with tox_score (0 to 1), from the whole text alone.
 
-    A null or empty text has the score of a text without hits. Repeats score alike. An empty table gives no rows.
+    A null or empty text has the score of a text without hits. Repeats score alike. Columns of docs named tox_score or
+    tox_text are replaced. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    wide = docs.withColumn("tox_text", F.col(text_col).cast("string"))
+    wide = docs.drop("tox_score").withColumn("tox_text", F.col(text_col).cast("string"))
     schema = wide.drop("tox_text").withColumn("tox_score", F.lit(0.5)).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +211,7 @@ def score(docs: DataFrame, lexicon: list[tuple[str, bool]], weights: np.ndarray,
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon, weights = train(docs, table(spark, sf_dir, "labels"))
-    ids = docs.select("doc_id", "text")
-    got = score(ids, lexicon, weights)
+    got = score(docs, lexicon, weights)
     return got.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
 
 
