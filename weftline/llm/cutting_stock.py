@@ -29,35 +29,42 @@ def best_pattern(price: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[f
     return float(value[capacity]), counts
 
 
-def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4, rounds: int = 20_000) -> list[tuple[np.ndarray, float]]:
-    """(pattern, times) of a basic solution of the relaxed problem: the fewest bins whose patterns hold the demand.
+def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
+    """(pattern, times) of a basic solution of the relaxed problem: few bins whose patterns hold the demand.
 
-    Revised simplex over generated columns; it ends once Farley's bound shows that the value is within gap of the optimum.
+    Revised simplex over generated columns. It ends once Farley's bound shows that the value is within gap, or half a bin, of the
+    optimum, or after `rounds` columns; a solution that is cut short holds the demand all the same.
+    A demand a little larger than asked, by another amount for each size, keeps the steps from standing still.
     """
     m = len(sizes)
-    columns, cost = np.diag(capacity // sizes).astype(float), np.ones(m)
-    inverse, times = np.diag(1.0 / (capacity // sizes)), demand / (capacity // sizes)
-    for step in range(rounds):
-        if step % 200 == 199:  # the inverse is updated step by step, so errors are swept out
+    demand = demand + 1e-3 * np.random.default_rng(3).random(m) * np.maximum(1.0, demand * 1e-3)
+    each = capacity // sizes
+    columns, cost = np.diag(each).astype(float), np.ones(m)
+    inverse, times = np.diag(1.0 / each), demand / each
+    bound = 0.0
+    for step in range(1, rounds):
+        if step % 200 == 0:  # the inverse is updated step by step, so errors are swept out
             inverse = np.linalg.inv(columns)
             times = np.maximum(inverse @ demand, 0)
-        dual = cost @ inverse
+        dual, worth = cost @ inverse, float(cost @ times)
+        if worth - bound <= max(gap * worth, 0.5):
+            break
         if dual.min() < -1e-9:  # more of an item than is asked for costs nothing
             entering, price = np.zeros(m), 0.0
             entering[dual.argmin()] = -1.0
         else:
             value, entering = best_pattern(dual, sizes, capacity)
-            price = 1.0
-            if value <= 1 + gap:
+            price, bound = 1.0, max(bound, worth / max(value, 1.0))
+            if value <= 1 + 1e-9:
                 break
         along = inverse @ entering
-        ratio = np.where(along > 1e-9, times / np.where(along > 1e-9, along, 1), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        up = along > 1e-9
+        if not up.any():
             break
-        times = times - ratio[out] * along
+        ratio = np.where(up, times / np.where(up, along, 1), np.inf)
+        out = int(ratio.argmin())
+        times = np.maximum(times - ratio[out] * along, 0)
         times[out] = ratio[out]
-        np.maximum(times, 0, out=times)
         row = inverse[out] / along[out]
         inverse -= np.outer(along, row)
         inverse[out] = row
