@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import unicodedata
 import zlib
@@ -42,6 +43,9 @@ class Ids:
         self.whole = Tokenizer.from_str(spec)
         self.whole.encode_special_tokens = True
         self.by_word = '"end_of_word_suffix":"</w>"' in spec.replace(" ", "") and "Lowercase" in spec
+        # words that are split and lower-cased here need the model alone
+        model = json.loads(spec) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.bare = Tokenizer.from_str(json.dumps(model)) if self.by_word else self.whole
         self.forget()
 
     def forget(self) -> None:
@@ -57,7 +61,7 @@ class Ids:
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
-            got = self.whole.encode(part, is_pretokenized=True, add_special_tokens=False)
+            got = self.bare.encode(" ".join(part), add_special_tokens=False)
             ids, of = np.array(got.ids, dtype=np.uint32), np.array(got.word_ids, dtype=np.int64)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
