@@ -1,0 +1,222 @@
+"""Calls out of the engine, in batches, with the client injected: completions, embeddings, agents.
+
+Clients are objects with complete(messages) -> Answer, or embed(texts) -> list of vectors; tests use the deterministic ones here.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import time
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.tolerant_json import parse
+
+
+@dataclass
+class Answer:
+    text: str
+    tokens_in: int = 0
+    tokens_out: int = 0
+
+
+class RetryLater(Exception):
+    """The service asks callers to slow down, or fails for the moment."""
+
+
+class DeterministicLLM:
+    """Answers through a function of the messages, or by a digest of them."""
+
+    def __init__(self, answer: Callable[[list[dict]], str] | None = None) -> None:
+        self.answer = answer
+
+    def complete(self, messages: list[dict]) -> Answer:
+        text = self.answer(messages) if self.answer else hashlib.md5(json.dumps(messages).encode()).hexdigest()
+        return Answer(text, sum(len(m["content"].split()) for m in messages), len(text.split()))
+
+
+class DeterministicEmbedder:
+    """Unit vectors seeded by the text."""
+
+    def __init__(self, size: int = 64) -> None:
+        self.size = size
+
+    def embed(self, texts: Sequence[str]) -> list[list[float] | None]:
+        out = []
+        for t in texts:
+            v = np.random.default_rng(int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "little")).standard_normal(self.size)
+            out.append((v / np.linalg.norm(v)).tolist())
+        return out
+
+
+def run_sequence(client, prompts: Sequence[str | Callable[[str], str]], tries: int = 3, pause: float = 0.0) -> tuple[list[str], int, int, float]:
+    """Answers of a chain of prompts in one conversation ([] if any fails), tokens in and out, seconds. A callable prompt gets the answer before it."""
+    messages, answers, used, began = [], [], [0, 0], time.monotonic()
+    for prompt in prompts:
+        messages.append({"role": "user", "content": prompt(answers[-1]) if callable(prompt) else prompt})
+        for left in range(tries - 1, -1, -1):
+            try:
+                got = client.complete(messages)
+                break
+            except RetryLater:
+                if not left:
+                    return [], used[0], used[1], time.monotonic() - began
+                time.sleep(pause)
+            except Exception:  # noqa: BLE001  a failed call costs its row, not the batch
+                return [], used[0], used[1], time.monotonic() - began
+        messages.append({"role": "assistant", "content": got.text})
+        answers.append(got.text)
+        used[0] += got.tokens_in
+        used[1] += got.tokens_out
+    return answers, used[0], used[1], time.monotonic() - began
+
+
+def complete(df: DataFrame, client, key: str, prompts: str, tries: int = 3, threads: int = 8) -> DataFrame:
+    """(key, answers, tokens_in, tokens_out, seconds) of df(key, prompts array<string>): all answers of a row's prompts, or none of them."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                got = list(pool.map(lambda p: run_sequence(client, [] if p is None else list(p), tries), pdf["p"]))
+                yield pd.DataFrame({"k": pdf["k"], "answers": [g[0] for g in got], "tokens_in": [g[1] for g in got], "tokens_out": [g[2] for g in got], "seconds": [g[3] for g in got]})
+
+    out = df.select(F.col(key).alias("k"), F.col(prompts).alias("p")).mapInPandas(run, f"k {kind}, answers array<string>, tokens_in long, tokens_out long, seconds double")
+    return out.withColumnRenamed("k", key)
+
+
+def answer_column(df: DataFrame, client, key: str, prompt: Column, contract: str, name: str, which: int = -1) -> DataFrame:
+    """df with a parsed answer to each row's prompt; null where a call fails or an answer breaks its contract."""
+    from ..functions.tolerant_json import parse_column
+
+    asked = complete(df.select(key, F.array(prompt).alias("_p")), client, key, "_p")
+    parsed = asked.select(key, parse_column(F.try_element_at("answers", F.lit(which)), contract).alias(name))
+    return df.join(parsed, key, "left")
+
+
+def embed(df: DataFrame, client, text: str, name: str = "embedding", batch: int = 64, tries: int = 3) -> DataFrame:
+    """df with an embedding of each text; null for null texts and for batches that fail every try."""
+    schema = df.withColumn(name, F.lit(None).cast("array<double>")).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[list[float] | None] = [None] * len(pdf)
+            known = [k for k, t in enumerate(pdf[text]) if isinstance(t, str)]
+            for at in range(0, len(known), batch):
+                part = known[at : at + batch]
+                for _ in range(tries):
+                    try:
+                        for k, v in zip(part, client.embed([pdf[text].iloc[k] for k in part]), strict=True):
+                            out[k] = v
+                        break
+                    except Exception:  # noqa: BLE001
+                        continue
+            yield pdf.assign(**{name: out})
+
+    return df.mapInPandas(run, schema)
+
+
+#: Model catalogue: dollars a million tokens in and out, calls at once, seconds to wait. The prices are fixed values.
+MODELS = {
+    "small-hosted": {"in": 0.23, "out": 0.40, "parallel": 200, "timeout": 300, "context": 128_000},
+    "large": {"in": 2.50, "out": 10.0, "parallel": 32, "timeout": 600, "context": 128_000},
+    "reasoning": {"in": 0.85, "out": 2.50, "parallel": 200, "timeout": 300, "context": 64_000},
+    "embedder": {"in": 0.01, "out": 0.0, "parallel": 50, "timeout": 300, "context": 32_000},
+}
+
+
+def cost(tokens_in: Column, tokens_out: Column, model: str) -> Column:
+    """Dollars of calls, by the catalogue."""
+    return (tokens_in * F.lit(MODELS[model]["in"]) + tokens_out * F.lit(MODELS[model]["out"])) / F.lit(1e6)
+
+
+def usage(calls: DataFrame, model: str) -> DataFrame:
+    """One row: sequences, failed ones, dollars, mean seconds and tokens."""
+    dollars = cost(F.col("tokens_in"), F.col("tokens_out"), model)
+    return calls.agg(F.count("*").alias("n"), F.count_if(F.size("answers") == 0).alias("failed"), F.sum(dollars).alias("dollars"), F.avg("seconds").alias("mean_s"), F.avg(F.col("tokens_in") + F.col("tokens_out")).alias("mean_tokens"))
+
+
+def perplexity(logprobs: Column) -> Column:
+    return F.exp(-F.aggregate(logprobs, F.lit(0.0), lambda s, x: s + x) / F.size(logprobs))
+
+
+@dataclass
+class Trace:
+    role: str
+    content: str
+    reasoning_content: str | None = None
+    cost: float = 0.0
+    token_count: int = 0
+    timestamp: float = field(default_factory=time.time)
+
+
+TRACE_SCHEMA = "role string, content string, reasoning_content string, cost double, token_count long, timestamp double"
+
+
+def run_agent(client, system: str, task: str, tools: dict[str, Callable[..., object]], most: int = 12) -> tuple[dict | None, list[Trace]]:
+    """(result, traces): a loop in which the model answers with {"actions": [{"name", "args"}]} or {"result": ...}; actions of one name overwrite each other's answer."""
+    messages = [{"role": "system", "content": system}, {"role": "user", "content": task}]
+    traces = [Trace(m["role"], m["content"]) for m in messages]
+    for _ in range(most):
+        got = client.complete(messages)
+        from ..functions.tolerant_json import repair
+
+        value = repair(got.text)
+        messages.append({"role": "assistant", "content": got.text})
+        traces.append(Trace("assistant", got.text, token_count=got.tokens_in + got.tokens_out))
+        if isinstance(value, dict) and "result" in value:
+            return value["result"], traces
+        actions = value.get("actions") if isinstance(value, dict) else None
+        if isinstance(actions, list) and all(isinstance(a, dict) and "name" in a for a in actions) and actions:
+            with ThreadPoolExecutor(len(actions)) as pool:
+                done = list(pool.map(lambda a: (a["name"], tools[a["name"]](**a.get("args", {})) if a["name"] in tools else "unknown action"), actions))
+            reply = json.dumps(dict(done), default=str)
+        else:
+            reply = "Answer with JSON that holds actions or a result."
+        messages.append({"role": "user", "content": reply})
+        traces.append(Trace("user", reply))
+    return None, traces
+
+
+def validate_hypothesis(client, hypothesis: str, tools: dict[str, Callable[..., object]], most: int = 3) -> tuple[list[dict], list[Trace]]:
+    """(results, traces): verdicts on a hypothesis, which is refined and judged again until it is accepted or rejected."""
+    results, traces = [], []
+    for _ in range(most):
+        value, seen = run_agent(client, "Judge the hypothesis by the graph.", hypothesis, tools)
+        traces += seen
+        verdict = parse(json.dumps(value), "verdict") if value is not None else None
+        if verdict is None:
+            break
+        results.append(verdict)
+        if verdict["decision"] != "refine" or not verdict.get("new_hypothesis"):
+            break
+        hypothesis = verdict["new_hypothesis"]
+    return results, traces
+
+
+def substantiate(claims: pd.DataFrame, evidence: pd.DataFrame, judge: Callable[[str, list[str]], dict | None], k: int = 20, least: float = 0.7, confidence: float = 0.6, skip: int = 0) -> pd.DataFrame:
+    """label, supports, confidence, evidence of claims(label, description, embedding), in order; supported claims above `confidence` become evidence for later ones.
+
+    The order decides the outcome, so claims of one graph are folded one by one; run it inside applyInPandas for many graphs.
+    """
+    labels, texts = list(evidence["label"]), list(evidence["description"])
+    vectors = [np.asarray(v, dtype=float) for v in evidence["embedding"]]
+    out = []
+    for label, text, v in zip(claims["label"], claims["description"], claims["embedding"], strict=True):
+        sim = np.array([x @ np.asarray(v, dtype=float) for x in vectors])
+        best = [i for i in np.argsort(-sim, kind="stable") if sim[i] >= least][skip : skip + k]
+        got = judge(text, [texts[i] for i in best]) if best else {"supports": False, "confidence": 0.0}
+        got = got or {"supports": None, "confidence": None}
+        out.append((label, got["supports"], got["confidence"], [labels[i] for i in best] if best else ["No supporting evidence found"]))
+        if got["supports"] and (got["confidence"] or 0) > confidence:
+            labels.append(label)
+            texts.append(text)
+            vectors.append(np.asarray(v, dtype=float))
+    return pd.DataFrame(out, columns=["label", "supports", "confidence", "evidence"])
