@@ -93,9 +93,9 @@ def lookback_sorted(chunks: DataFrame, chunk: str, start: str, end: str, partiti
     """lookback for chunks whose ends grow with their ids: a window of the `most` rows before, no join."""
     w = W.partitionBy(*partition).orderBy(chunk).rowsBetween(-most, -1)
     before = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(end).alias("e"), F.col(chunk).alias("c"))).over(w)))
-    out = chunks.withColumn("_before", before).select(*partition, chunk, F.col(start).alias("_start"), F.posexplode("_before").alias("k", "p"))
-    near = (F.col("k") < always) | (F.col("_start") - F.col("p.e") <= F.expr(within))
-    return out.where(near).select(*partition, chunk, F.col("p.c").alias("prev"), (F.col("k") + 1).cast("long").alias("rank"))
+    out = chunks.withColumn("_before", before).select(*partition, chunk, F.col(start).alias("_start"), F.posexplode("_before").alias("_k", "_p"))
+    near = (F.col("_k") < always) | (F.col("_start") - F.col("_p.e") <= F.expr(within))
+    return out.where(near).select(*partition, chunk, F.col("_p.c").alias("prev"), (F.col("_k") + 1).cast("long").alias("rank"))
 
 
 def rechunk(chunks: DataFrame, least: int, chunk: str = "chunk_id", size: str = "n", order: str = "earliest", partition: Sequence[str] = ()) -> DataFrame:

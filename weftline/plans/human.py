@@ -26,7 +26,7 @@ def with_partner(messages: DataFrame, partner: str) -> DataFrame:
 def chunks_sequential(messages: DataFrame, client, conversation: str = "conversation") -> DataFrame:
     """messages(conversation, from, to, datetime, content) with index, chunk_id and sentiment, a window at a time by the model's decision."""
     rows = sequences.with_row_index(messages, "datetime", "content", partition=[conversation])
-    schema = rows.withColumn("chunk_id", F.lit(0).cast("long")).withColumn("sentiment", F.lit(0.0)).schema
+    schema = rows.withColumn("chunk_id", F.lit(None).cast("long")).withColumn("sentiment", F.lit(None).cast("double")).schema
 
     def decide(window: list[dict]) -> dict:
         prompt = "Do these messages hold one conversation, or should they be split?\n" + "\n".join(f"{m['from']}: {m['content']}" for m in window)
