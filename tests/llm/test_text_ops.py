@@ -1,0 +1,127 @@
+"""Toxicity, personal data, main text: brute force, planted cases and held-out accuracy."""
+
+import random
+import re
+
+from weftline.llm import main_text, pii, toxicity
+from weftline.llm.lexicon_automaton import Automaton, budget_of
+from tests.conftest import SF
+
+
+def damerau(a, b):
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_automaton():
+    terms = [("idiot", False), ("disgusting", False), ("worthless", False), ("scum", False), ("lowei", True)]
+    a, rng = Automaton(terms), random.Random(1)
+    for _ in range(4000):
+        w = list(rng.choice(terms)[0])
+        for _ in range(rng.randint(0, 3)):
+            k, r = rng.randint(1, len(w)), rng.random()
+            if r < 0.3 and len(w) > 2:
+                w.pop(k - 1)
+            elif r < 0.6:
+                w.insert(k, rng.choice("idowsx"))
+            else:
+                w[k - 1 : k] = [rng.choice("idowsx")]
+        w = "".join(w)
+        want = any((w.startswith(t) if o else damerau(t, w) <= budget_of(t, o)) and w[:1] == t[0] for t, o in terms)
+        if (a.match(w) is not None) != want:
+            # the first letter must match as it is, so an exchange or a loss of it is no match
+            assert want and all(w[:1] != t[0] or damerau(t[1:], w[1:]) > budget_of(t, o) for t, o in terms if not o), w
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, 0.0, "x", "y") for i, t in rows], "doc_id long, text string, tox_score double, tox_text string, id string")
+
+
+def test_toxicity(spark):
+    rng = random.Random(2)
+    words = [f"{a}{b}{c}" for a in "bdfglm" for b in "aeiou" for c in ("nt", "rk", "ll", "sh")]
+    bad = ["villainy", "wretched"]
+    rows, labels = [], []
+    for i in range(400):
+        w = [rng.choice(words) for _ in range(30)] + [f"{rng.randrange(10**6)}q"]
+        if toxic := i % 4 == 0:
+            w[rng.randrange(30)] = rng.choice(bad)
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic), None))
+    labels += [(5000, None, 1), (None, 1, 1)]
+    t, lab = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    lexicon, weights = toxicity.train(t, lab)
+    assert {w for w, _ in lexicon} == set(bad)
+    probe = docs(spark, [(1, None), (2, ""), (3, "so villainy you"), (4, "so vilainy here"), (5, 'they said "villainy" there'), (6, "x " * 100_000), (6, "x " * 100_000), (7, "plain words")])
+    s = {r["doc_id"]: r["tox_score"] for r in toxicity.score(probe, lexicon, weights).collect()}
+    assert s[3] > 0.5 and s[4] > 0.5 and max(s[1], s[2], s[6], s[7]) < 0.5 and s[5] < s[3]
+    assert all(0 <= x <= 1 for x in s.values())
+    assert toxicity.score(probe.limit(0), lexicon, weights).count() == 0
+    assert set(toxicity.score(probe, lexicon, weights).columns) == {"doc_id", "text", "tox_score", "id"}
+    none, prior = toxicity.train(t, lab.limit(0))
+    assert none == [] and toxicity.score(probe, none, prior).count() == 8
+
+
+def test_toxicity_query(spark):
+    got = toxicity.op2_toxicity(spark, SF)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 200
+
+
+def base_model(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub(r"[ -]", "", m[0])
+        s = sum(v - 9 if v > 9 else v for k, c in enumerate(reversed(d)) for v in [int(c) * (1 + k % 2)])
+        if 13 <= len(d) <= 19 and s % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+
+
+def test_base_spans():
+    rng = random.Random(3)
+    for _ in range(40_000):
+        t = "".join(rng.choice("aB0123.@+- ()%_4é") for _ in range(rng.randint(0, 45)))
+        assert pii.base_spans(t) == base_model(t), t
+    assert pii.base_spans("4012888888881881") == [("card", 0, 16)]
+    assert pii.base_spans("a" * 200_000 + "@" + "1" * 200_000) == []
+
+
+def test_pii(spark):
+    rows = [(1, None), (2, ""), (3, "é +44 (0) 1234-5678 end"), (3, "é +44 (0) 1234-5678 end")]
+    rows += [(10 + k, f"report {w} about zanzibar contact bob@x.org {w}{w} ok") for k, w in enumerate(["alpha", "gamma", "delta", "omega"])] + [(100 + k, "plain words here filler text") for k in range(40)]
+    d = docs(spark, rows)
+    found = pii.find_private(d)
+    by = {r["doc_id"]: r for r in found.collect()}
+    assert found.count() == len(rows) and by[1]["spans"] == "" and by[3]["spans"] == "phone:2:19"
+    assert by[10]["n_term"] >= 2 and by[10]["spans"].startswith("email:36:45,") and "removed:19:27" in by[10]["spans"]
+    assert by[100]["n_term"] == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(d, found.dropDuplicates(["doc_id"])).collect()}
+    assert clean[3] == "é [PHONE] end" and "zanzibar" not in clean[10] and "[EMAIL]" in clean[10] and clean[1] is None
+    assert pii.find_private(d.limit(0)).count() == 0
+
+
+def test_main_text():
+    page = """<body><header class=x>SITE</header><div class="cookie-notice">c</div><nav>m</nav><main><article><header><h1>T &amp; U</h1></header><p>one <b>two</b>
+    <p>three<br>four&nbsp; five<ul><li>a<li>b</ul><aside>x</aside><form>f<input></form><section id="comments"><article class=comment>c1</article></section><div style="display: none">h</div></article></main>
+    <footer>f</footer><script>if(a<b) "</p>"</script>"""
+    assert main_text.main_text(page) == "T & U\none two\nthree four five\na\nb"
+    assert main_text.main_text("<div id=content><h1>A</h1>x<p>y</p> z</div><div class=sidebar>s</div>") == "A\nx\ny\nz"
+    assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<script>x") == ""
+    assert main_text.main_text("plain < text &lt; more") == "plain < text < more"
+    assert main_text.main_text("<p>" + "word " * 100_000) == ("word " * 100_000).strip()
+
+
+def test_site_style_tree(spark):
+    rows = [(k, f"http://a.com/{k}", f"<body><div class='top'>Welcome to Site</div><div><h2>Title {k}</h2><p>text number {k}</p></div><div class='x9'>All rights<p>kept</p></div></body>") for k in range(20)]
+    rows += [(50, None, None), (51, "odd", ""), (52, "http://b.com/", "<body><div class='top'>Welcome</div></body>"), (0, "http://a.com/0", "<p>again</p>")]
+    pages = spark.createDataFrame([(*r, "m") for r in rows], "page_id long, url string, html string, main_text string")
+    got = {r["page_id"]: r["main_text"] for r in main_text.extract(pages).where("main_text <> 'again'").collect()}
+    assert got[3] == "Title 3\ntext number 3" and got[50] == got[51] == "" and got[52] == "Welcome"
+    assert main_text.extract(pages).count() == len(rows) and main_text.extract(pages.limit(0)).count() == 0
