@@ -35,7 +35,7 @@ _quoted = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}
 _ends = re.compile(r"^[\W_]+|[\W_]+$")
 _inner = re.compile(r"[^\w@$!|]+|_+")
 #: Prior means of the weights: bias, exact, misspelt, quoted, addressed.
-PRIOR = np.array([-3.0, 6.0, 4.0, 0.7, 1.0])
+PRIOR = np.array([-3.0, 6.0, 7.0, 0.7, 1.0])
 
 
 def words_in(token: str) -> list[str]:
