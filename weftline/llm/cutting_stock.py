@@ -33,7 +33,7 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
     """(pattern, times) of a basic solution of the relaxed problem: few bins whose patterns hold the demand.
 
     Revised simplex over generated columns. It ends once Farley's bound shows that the value is within gap, or half a bin, of the
-    optimum, or after `rounds` columns; a solution that is cut short holds the demand all the same.
+    optimum, once a round of columns saves less than that, or after `rounds` columns; a solution that is cut short holds the demand all the same.
     A demand a little larger than asked, by another amount for each size, keeps the steps from standing still.
     """
     m = len(sizes)
@@ -41,7 +41,7 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
     each = capacity // sizes
     columns, cost = np.diag(each).astype(float), np.ones(m)
     inverse, times = np.diag(1.0 / each), demand / each
-    bound = 0.0
+    bound, marked = 0.0, np.inf
     for step in range(1, rounds):
         if step % 200 == 0:  # the inverse is updated step by step, so errors are swept out
             inverse = np.linalg.inv(columns)
@@ -49,6 +49,10 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
         dual, worth = cost @ inverse, float(cost @ times)
         if worth - bound <= max(gap * worth, 0.5):
             break
+        if step % (m + 50) == 0:  # that many steps that save next to nothing: what is left is rounding
+            if marked - worth <= max(gap * worth, 0.05):
+                break
+            marked = worth
         if dual.min() < -1e-9:  # more of an item than is asked for costs nothing
             entering, price = np.zeros(m), 0.0
             entering[dual.argmin()] = -1.0
