@@ -131,6 +131,7 @@ def nearest(k: int):
         if len(rows) and len(queries):
             x, ids, squares = np.array(rows["v"].tolist()), rows["id"].to_numpy(), None
             squares = (x * x).sum(axis=1)
+            repeated = len(np.unique(ids)) < len(ids)
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
                 q = np.array(part["v"].tolist())
@@ -138,9 +139,13 @@ def nearest(k: int):
                 for i, query in enumerate(part["id"].to_numpy()):
                     d = rough[i]
                     kept = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)] + 1e-6 * (1 + squares.max()))
+                    kept = np.arange(len(ids)) if repeated else kept
                     kept = kept[ids[kept] != query]
                     exact = np.sqrt(((x[kept] - q[i]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[kept], exact))[:k]
+                    best = np.lexsort((ids[kept], exact))
+                    if repeated:  # an id counts once, at its smallest distance
+                        best = best[np.sort(np.unique(ids[kept][best], return_index=True)[1])]
+                    best = best[:k]
                     out.append(pd.DataFrame({"query_id": query, "vec_id": ids[kept][best], "score": exact[best]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
@@ -168,7 +173,7 @@ def knn(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id",
     share = share_needed(forest, x, k, recall)
     held = spark.sparkContext.broadcast(forest)
     # of many equal vectors, the first k + 1
-    rows = df.withColumn("same", F.xxhash64("v")).withColumn("nth", F.expr("row_number() over (partition by same order by id)")).where(F.col("nth") <= k + 1).select("id", "v")
+    rows = df.withColumn("same", F.xxhash64("v")).withColumn("nth", F.expr("dense_rank() over (partition by same order by id)")).where(F.col("nth") <= k + 1).select("id", "v")
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
