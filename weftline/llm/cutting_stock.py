@@ -34,6 +34,7 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
 
     Revised simplex over generated columns. It ends once Farley's bound shows that the value is within gap, or half a bin, of the
     optimum, once a round of columns saves less than that, or after `rounds` columns; a solution that is cut short holds the demand all the same.
+    Errors of the inverse, which is updated step by step, cost bins at most: items are counted in whole numbers afterwards.
     A demand a little larger than asked, by another amount for each size, keeps the steps from standing still.
     """
     m = len(sizes)
@@ -43,9 +44,6 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
     inverse, times = np.diag(1.0 / each), demand / each
     bound, marked = 0.0, np.inf
     for step in range(1, rounds):
-        if step % 200 == 0:  # the inverse is updated step by step, so errors are swept out
-            inverse = np.linalg.inv(columns)
-            times = np.maximum(inverse @ demand, 0)
         dual, worth = cost @ inverse, float(cost @ times)
         if worth - bound <= max(gap * worth, 0.5):
             break
