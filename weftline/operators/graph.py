@@ -71,31 +71,31 @@ def shortest_path(edges: DataFrame, source: object, target: object, most: int =
 def pagerank(nodes: DataFrame, edges: DataFrame, reset: DataFrame, alpha: float = 0.85, directed: bool = True, rounds: int = 100, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
     """(seed, id, score): personalised PageRank by power iteration for every seed of reset(seed, id, weight) at once.
 
-    Weights are normalised a seed; seeds whose weights are all zero give no rows. Dangling mass goes back to the reset. Rounds end when the largest seed's L1 change is
-    below tolerance times the nodes, or after `rounds`. nodes: id.
+    Weights are normalised a seed; seeds whose weights are all zero give no rows. Dangling mass goes back to the reset, so scores are in proportion to
+    y = reset + alpha * (y along the edges), which is iterated without that mass and normalised at the end: a round is one join and one sum, and the plan grows
+    by one of each. Every few rounds y is a table; rounds end when the largest seed's L1 change since the last table is below tolerance times the nodes, or
+    after `rounds`. nodes: id.
     """
     e = edges.select("src", "dst")
     if not directed:
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     e = cut(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src").select("src", "dst", "out"), "pagerank-edges")
-    known = reset.where("weight > 0").join(nodes.select("id"), "id")
-    p = cut(known.join(known.groupBy("seed").agg(F.sum("weight").alias("all")), "seed").select("seed", "id", (F.col("weight") / F.col("all")).alias("p")), "pagerank-reset")
-    n, rank = nodes.count(), p.select("seed", "id", F.col("p").alias("score"))
-    for k in range(rounds):
-        sent = rank.join(e, rank["id"] == e["src"]).groupBy("seed", F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("out")).alias("got"))
-        moved = sent.groupBy("seed").agg(F.sum("got").alias("moved"))
-        back = p.join(moved, "seed", "left").select("seed", "id", (F.col("p") * ((1 - alpha) + alpha * (1 - F.coalesce("moved", F.lit(0.0))))).alias("base"))
-        new = back.join(sent, ["seed", "id"], "full").select("seed", "id", (F.coalesce("base", F.lit(0.0)) + alpha * F.coalesce("got", F.lit(0.0))).alias("score"))
-        last = k == rounds - 1
-        if k % every == every - 1 or last or tolerance is not None and k % every == 0:
-            new = cut(new, f"pagerank-{k}")
-        if tolerance is not None and k % every == 0:
-            change = new.join(rank.withColumnRenamed("score", "was"), ["seed", "id"], "full").groupBy("seed").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("c")).agg(F.max("c")).first()[0]
-            if change is None or change < tolerance * n:
-                rank = new
-                break
-        rank = new
-    return rank
+    known = reset.where("weight > 0").join(nodes.select("id"), "id").groupBy("seed", "id").agg(F.sum("weight").alias("weight"))
+    p = cut(known.join(known.groupBy("seed").agg(F.sum("weight").alias("all")), "seed").select("seed", "id", (F.col("weight") / F.col("all")).alias("y")), "pagerank-reset")
+    n = nodes.count() if tolerance is not None else 0
+    rank = table = p.withColumn("y", F.col("y") / (1 - alpha))
+    for k in range(1, rounds + 1):
+        sent = rank.join(e, rank["id"] == e["src"]).select("seed", F.col("dst").alias("id"), (alpha * F.col("y") / F.col("out")).alias("y"))
+        rank = p.unionByName(sent).groupBy("seed", "id").agg(F.sum("y").alias("y"))
+        if k % every == 0 or k == rounds:
+            rank = cut(rank, f"pagerank-{k}")
+            if tolerance is not None:
+                moved = rank.unionByName(table.withColumn("y", -F.col("y"))).groupBy("seed", "id").agg(F.abs(F.sum("y")).alias("d")).groupBy("seed").agg(F.sum("d").alias("d"))
+                change = moved.agg(F.max("d")).first()[0]
+                if change is None or (1 - alpha) * change < tolerance * n:
+                    break
+            table = rank
+    return rank.join(rank.groupBy("seed").agg(F.sum("y").alias("all")), "seed").select("seed", "id", (F.col("y") / F.col("all")).alias("score"))
 
 
 def causal_chain(nodes: DataFrame, edges: DataFrame, source: object, target: object, frequency: str = "frequency", k: int = 10) -> list:
