@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,20 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("weftline_worker_cache", types.ModuleType("weftline_worker_cache")).__dict__
 
 
+def enter(kernel: str) -> None:
+    """Called by a task at its start: what other kernels keep in this Python worker goes, back to the system too, so stages of one job don't add up."""
+    kept = worker_cache()
+    if kept.get("kernel") == kernel:
+        return
+    for name in [k for k in kept if not k.startswith("__")]:
+        del kept[name]
+    kept["kernel"] = kernel
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

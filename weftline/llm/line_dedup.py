@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, cut, join_sized, ship, shuffle_partitions, small_batches, table, worker_cache
+from .common import BROADCAST_ROWS, components, cut, enter, join_sized, ship, shuffle_partitions, small_batches, table, worker_cache
 from .edit_distance import within
 from .shingles import U, mix64
 
@@ -92,6 +92,7 @@ def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def emit_keys(bits: int, edits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("lines")
         seen: set[int] = set()
         held: dict[int, str] = {}
         chars = 0
@@ -169,6 +170,7 @@ def match_bucket(edits: int):
 
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("lines")
     for batch in batches:
         rows = [(doc, k, line_id(s)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, s in lines_of(text)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["doc_id", "line_no", "line"])

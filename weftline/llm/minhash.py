@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_sized, ship, small_batches, table
+from .common import components, cut, enter, join_sized, ship, small_batches, table
 from .exact_dedup import merge_runs
 from .shingles import STEP, U, mix64, shingle_sets
 
@@ -47,6 +47,7 @@ def bands_of(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("shingles")
     for batch in batches:
         ids, n, key, bands, sizes = batch.column(0), [], [], [], [0]
         for found in shingle_sets(batch.column(1)):
@@ -60,6 +61,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("shingles")
     for batch in batches:
         found = list(shingle_sets(batch.column(1)))
         flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ship, small_batches, table, worker_cache
+from .common import cut, enter, ship, small_batches, table, worker_cache
 from .cutting_stock import whole_patterns
 
 ship(__name__)
@@ -91,6 +91,7 @@ class Ids:
 
 def cut_pieces(spec, end_id: int, sequence: int, with_ids: bool):
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
         kept = worker_cache()
         if kept.get("ids_spec") is not spec.value and kept.get("ids_spec") != spec.value:
             kept["ids_spec"], kept["ids"] = spec.value, Ids(spec.value)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ship, small_batches, table
+from .common import cut, enter, ship, small_batches, table
 from .lexicon_automaton import Automaton
 from .minhash import bands_of
 from .shingles import shingle_sets
@@ -198,6 +198,7 @@ def score(docs: DataFrame, lexicon: list[tuple[str, bool]], weights: np.ndarray,
     schema = wide.drop("tox_text").withColumn("tox_score", F.lit(0.5)).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         scorer = Scorer(lexicon)
         for batch in batches:
             k = batch.schema.get_field_index("tox_text")
