@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+
 from weftline.llm import main_text, pii, toxicity
 from weftline.llm.lexicon_automaton import Automaton, budget_of
 from tests.conftest import SF
@@ -125,3 +128,32 @@ def test_site_style_tree(spark):
     got = {r["page_id"]: r["main_text"] for r in main_text.extract(pages).where("main_text <> 'again'").collect()}
     assert got[3] == "Title 3\ntext number 3" and got[50] == got[51] == "" and got[52] == "Welcome"
     assert main_text.extract(pages).count() == len(rows) and main_text.extract(pages.limit(0)).count() == 0
+
+
+def test_misspelt_inside_an_open_prefix():
+    words = [f"{p}{x}" for p in ("grobian", "flegel") for x in ("isch", "haft", "ismus", "en", "tum")]
+    terms = [(w, False, 8, 0) for w in words] + [(w[:k], True, 40, 0) for w in ("grobian", "flegel") for k in toxicity.PREFIXES if len(w) >= k]
+    lexicon = toxicity.choose(pd.DataFrame(terms, columns=["term", "prefix", "toxic", "clean"]), 100, 900)
+    assert {t for t, o in lexicon if o} == {"grob", "fleg"} and {t for t, o in lexicon if not o} == set(words)
+    look = toxicity.Scorer(lexicon).look
+    assert look("gorbianhaft")[0] == 1 and look("flgelismus")[0] == 1 and look("grobianhaft")[0] == 0 and look("garten") is None
+    look = toxicity.Scorer([("flege", True), ("grob", True)]).look
+    assert look("fleegelhaft")[0] == look("flgelhaft")[0] == 1 and look("flegelhaft")[0] == 0 and look("garb") is None
+    # any rest after a prefix within one edit, against brute force
+    a, rng = Automaton([("flegel", True)], toxicity.edits_for), random.Random(4)
+    for _ in range(3000):
+        w = "f" + "".join(rng.choice("legx") for _ in range(rng.randint(1, 9)))
+        want = any(damerau("flegel", w[:k]) <= 1 for k in range(1, len(w) + 1))
+        if (a.match(w) is not None) != want:
+            assert want and not any(damerau("legel", w[1:k]) <= 1 for k in range(2, len(w) + 1)), w
+
+
+def test_fit_converges():
+    # many hits on both sides: whole Newton steps from the prior run away
+    rng = np.random.default_rng(6)
+    y = (rng.random(3000) < 0.1).astype(float)
+    x = np.zeros((len(y), len(toxicity.PRIOR)))
+    x[:, 0], x[:, 1], x[:, 2] = 1, np.log1p(rng.poisson(1 + 6 * y)), np.log1p(rng.poisson(60 + 20 * y))
+    w = toxicity.fit(x, y)
+    gradient = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + w - toxicity.PRIOR
+    assert np.abs(gradient).max() < 1e-4

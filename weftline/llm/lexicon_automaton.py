@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from .common import ship
 
 ship(__name__)
@@ -26,13 +28,13 @@ class Automaton:
     until no term is in reach, most often three.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
+    def __init__(self, terms: list[tuple[str, bool]], budget: Callable[[str, bool], int] = budget_of) -> None:
         self.child: list[dict[str, int]] = [{}]
         self.closed: dict[int, tuple[int, int]] = {}
         self.opened: dict[int, tuple[int, int]] = {}
         self.most = [0]
         for k, (term, is_open) in enumerate(terms):
-            node, edits = 0, budget_of(term, is_open)
+            node, edits = 0, budget(term, is_open)
             self.most[0] = max(self.most[0], edits)
             for c in term:
                 if c not in self.child[node]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, enter, ship, small_batches, table
-from .lexicon_automaton import Automaton
+from .lexicon_automaton import Automaton, budget_of
 from .minhash import bands_of
 from .shingles import shingle_sets
 
@@ -38,6 +38,11 @@ _inner = re.compile(r"[^\w@$!|]+|_+")
 PRIOR = np.array([-3.0, 6.0, 7.0, 0.7, 1.0])
 
 
+def edits_for(term: str, is_open: bool) -> int:
+    """Edits allowed for a term of the lexicon: an open prefix of 5 or more characters has one, whole words have their own."""
+    return int(len(term) >= 5) if is_open else budget_of(term, False)
+
+
 def words_in(token: str) -> list[str]:
     """The words of a lower-case token as the lexicon spells them."""
     out = []
@@ -86,14 +91,15 @@ def choose(terms: pd.DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, b
         # a prefix that one word accounts for is that word
         if not any(t[:k] in opened for k in range(1, len(t))) and not any(w.startswith(t) and m >= 0.6 * n for w, m in words.items()):
             opened.add(t)
-    return [(t, True) for t in sorted(opened)] + [(w, False) for w in sorted(words) if not any(w[:k] in opened for k in PREFIXES)]
+    # words beside an open prefix of theirs stay, as they may be misspelt inside it
+    return [(t, True) for t in sorted(opened)] + [(w, False) for w in sorted(words)]
 
 
 class Scorer:
     """Features of a text: hits of the lexicon as exact, misspelt, quoted and addressed ones."""
 
     def __init__(self, lexicon: list[tuple[str, bool]]) -> None:
-        self.automaton, self.lexicon = Automaton(lexicon), lexicon
+        self.automaton, self.lexicon = Automaton(lexicon, edits_for), lexicon
         self.clean: set[str] = set()
         self.found: dict[str, tuple[int, int]] = {}
 
@@ -135,12 +141,19 @@ class Scorer:
 
 
 def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    """Logistic weights, most probable under a normal prior around PRIOR; Newton steps."""
+    """Logistic weights, most probable under a normal prior around PRIOR; Newton steps, halved until they gain, as whole ones can diverge."""
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + strength / 2 * ((w - PRIOR) ** 2).sum())
+
     w = PRIOR.copy()
-    for _ in range(25):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) + strength * (w - PRIOR)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w)), gradient)
+        before, down = loss(w), gradient @ step
+        while np.abs(step).max() >= 1e-8 and loss(w - step) > before - 1e-4 * down:
+            step, down = step / 2, down / 2
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
