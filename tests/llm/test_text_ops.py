@@ -157,3 +157,26 @@ def test_fit_converges():
     w = toxicity.fit(x, y)
     gradient = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + w - toxicity.PRIOR
     assert np.abs(gradient).max() < 1e-4
+
+
+def test_quotations():
+    def said(t):
+        return sorted(t[a:b] for a, b in toxicity.quotations(t))
+
+    long = '"' + "word " * 200 + '\nmore words"'
+    assert said(f"{long} plain {long} plain") == [long, long]
+    assert said('a 5" pipe and "one" and "two", a "lost mark then "three" end') == ['"one"', '"three"', '"two"']
+    assert said('"first part\n\n"second part" rest') == ['"first part\n\n"second part"']
+    assert said("„eins“ “two “in” out” «trois» »vier« “lost") == sorted(["„eins“", "“in”", "“two “in” out”", "«trois»", "»vier«"])
+    assert said("> a line\nplain\n> another") == ["> a line", "> another"] and said("") == said("plain") == []
+
+
+def test_reports_and_quotations_reach_the_score():
+    scorer = toxicity.Scorer([("idiot", False)])
+
+    def score(t):
+        return float(scorer.features(t) @ toxicity.PRIOR)
+
+    filler = "plain words " * 60
+    assert score("he is an idiot") > 0 > score("they wrote he is an idiot")
+    assert score(f'they sang "{filler}\n idiot {filler}" there') < 0 < score(f'"{filler}" idiot "{filler}"')

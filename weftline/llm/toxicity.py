@@ -31,11 +31,11 @@ SEEN_WORDS = 400_000
 LEET = str.maketrans("01345789@$!|", "oieastbgasii")
 REPORTS = frozenset("said says say called calls wrote writes quote quoted quotes word term sagte sagt nannte schrieb zitat wort dit écrit appelé mot citation dijo dice llamó escribió palabra cita".split())
 ADDRESS = frozenset("you your you're youre u ur du dich dir dein deine ihr euch tu te toi ton vous votre usted ustedes ti tú tus".split())
-_quoted = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“\n]{1,400}“|^>.*$", re.MULTILINE)
+_marks = re.compile("[\"“”„«»\\n]")
 _ends = re.compile(r"^[\W_]+|[\W_]+$")
 _inner = re.compile(r"[^\w@$!|]+|_+")
-#: Prior means of the weights: bias, exact, misspelt, quoted, addressed.
-PRIOR = np.array([-3.0, 6.0, 7.0, 0.7, 1.0])
+#: Prior means of the weights: bias, exact, misspelt, quoted, addressed, reported.
+PRIOR = np.array([-3.0, 6.0, 7.0, 0.7, 1.0, -2.0])
 
 
 def edits_for(term: str, is_open: bool) -> int:
@@ -53,6 +53,39 @@ def words_in(token: str) -> list[str]:
     return [w for w in out if len(w) > 2]
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between paired marks, of any length and over any lines, and lines after '>'; a mark without a partner quotes nothing.
+
+    A straight mark opens before a word and closes behind one, so neither an inch sign nor a lost mark turns the pairs around; one that opens a line
+    inside a quotation goes on with it, and one that opens elsewhere starts anew.
+    """
+    out, line = [], 0
+    straight, double, angle = -1, [], []
+    for m in _marks.finditer(text + "\n"):
+        at, c = m.start(), m[0]
+        if c == "\n":
+            if text.startswith(">", line):
+                out.append((line, at))
+            line = at + 1
+        elif c == '"':
+            before, after = text[at - 1 : at], text[at + 1 : at + 2]
+            opens = bool(after.strip()) and not (before.isalnum() or before in tuple(".,;:!?…)"))
+            closes = bool(before.strip()) and not after.isalnum()
+            if straight >= 0 and (closes or not opens):
+                out.append((straight, at + 1))
+                straight = -1
+            elif opens and (straight < 0 or text[line:at].strip()):
+                straight = at
+        else:
+            held = angle if c in "«»" else double
+            top = text[held[-1]] if held else ""
+            if c == "„" or c == "“" and top != "„" or c == "«" and top != "»" or c == "»" and top != "«":
+                held.append(at)
+            elif held:
+                out.append((held.pop(), at + 1))
+    return out
+
+
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % FOLDS
 
@@ -96,7 +129,7 @@ def choose(terms: pd.DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, b
 
 
 class Scorer:
-    """Features of a text: hits of the lexicon as exact, misspelt, quoted and addressed ones."""
+    """Features of a text: hits of the lexicon as exact, misspelt, quoted, addressed and reported ones."""
 
     def __init__(self, lexicon: list[tuple[str, bool]]) -> None:
         self.automaton, self.lexicon = Automaton(lexicon, edits_for), lexicon
@@ -107,7 +140,7 @@ class Scorer:
         return min((m for w in words_in(token) if (m := self.automaton.match(w))), default=None)
 
     def features(self, text: str | None) -> np.ndarray:
-        out = np.array([1.0, 0, 0, 0, 0])
+        out = np.array([1.0, 0, 0, 0, 0, 0])
         tokens = (text or "").lower().split()
         distinct = set(tokens)
         for token in distinct - self.clean - self.found.keys():
@@ -119,24 +152,23 @@ class Scorer:
             self.clean = set()
         if distinct.isdisjoint(self.found):
             return out
-        said = [m.span() for m in _quoted.finditer(text)]
-        at, near = 0, [_ends.sub("", t) for t in tokens]
         lower = text.lower()
-        direct, fuzzy, quoted, addressed = 0.0, 0.0, 0.0, 0.0
+        said = quotations(lower)
+        at, near = 0, [_ends.sub("", t) for t in tokens]
+        direct, fuzzy, quoted, addressed, reported = 0.0, 0.0, 0.0, 0.0, 0.0
         for k, token in enumerate(tokens):
             at = max(0, lower.find(token, at))
             if hit := self.found.get(token):
                 around = near[max(0, k - WINDOW) : k] + near[k + 1 : k + 1 + WINDOW]
-                inside = any(a <= at < b for a, b in said)
-                report = any(w in REPORTS for w in near[max(0, k - WINDOW) : k])
-                # quotation takes most of a hit's weight, a report before it some
-                weight = 1 - 0.7 * inside - 0.25 * (report and inside)
+                inside = any(a < at + len(token) and at < b for a, b in said)
+                # a quoted hit counts apart from others; a report before one that stands without marks has a weight of its own
                 quoted += inside
-                direct += weight if hit[0] == 0 and not inside else 0
-                fuzzy += weight if hit[0] > 0 and not inside else 0
+                direct += hit[0] == 0 and not inside
+                fuzzy += hit[0] > 0 and not inside
                 addressed += any(w in ADDRESS for w in around) and not inside
+                reported += any(w in REPORTS for w in near[max(0, k - WINDOW) : k]) and not inside
             at += len(token)
-        out[1:] = np.log1p([direct, fuzzy, quoted, addressed])
+        out[1:] = np.log1p([direct, fuzzy, quoted, addressed, reported])
         return out
 
 
