@@ -170,3 +170,33 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "src long, dst long")).collect()))
     assert set(got.values()) == {0, 100} and len(got) == 71
     assert components(spark.createDataFrame([], "src long, dst long").where(F.lit(True))).count() == 0
+
+
+def test_short_lines(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcd") for _ in range(n)) for n in (1, 2, 5, 7, 7, 8, 9, 12, 15, 15, 16, 17, 20, 23) for _ in range(3)]
+    rows = [(i, "\n".join(mutate(rng, rng.choice(base), rng.randint(0, 2), "abz") for _ in range(6)) + "\n \n}") for i in range(60)]
+    docs = table(spark, rows)
+    classes = line_dedup.line_classes(docs)
+    at = [(i, k, s.strip()) for i, t in rows for k, s in enumerate(t.split("\n")) if s.strip()]
+    lines = sorted({s for _, _, s in at})
+    root, links = {s: s for s in lines}, dict.fromkeys(lines, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, x in enumerate(lines):
+        for y in lines[n + 1 :]:
+            if distance(x, y) <= min(2, min(len(x), len(y)) // 8):
+                links[x] += 1
+                links[y] += 1
+                root[find(x)] = find(y)
+    head, same = {}, {}
+    for i, k, s in at:
+        head[find(s)] = min(head.get(find(s), (i, k)), (i, k))
+        same[s] = same.get(s, 0) + 1
+    want = sorted((i, k, *head[find(s)], same[s], links[s], (i, k) == head[find(s)]) for i, k, s in at)
+    assert sorted(map(tuple, classes.collect())) == want and same["}"] == 60 and max(links.values()) > 0
+    assert sum("}" in r["text"] for r in line_dedup.drop_lines(docs, classes).collect()) == 1

@@ -1,6 +1,6 @@
 """Repeated lines: an edit join over segments, verified by banded bit-parallel edit distance.
 
-A line is cut into EDITS + 1 segments; two lines within EDITS edits share one of them, shifted by
+A line is cut into one segment more than the edits that its length allows; two lines within the edits of the shorter share one of its segments, shifted by
 what the segment's place and the lengths allow. Every distinct line puts out the hashes of its segments and of the
 substrings that could be another line's segment, packed by bucket, so a key is 8 bytes in a block and never a row.
 """
@@ -23,8 +23,8 @@ from .shingles import U, mix64
 ship(__name__)
 
 EDITS = 2
-#: Lines of fewer characters (without white space at the ends) take no part: they are too short to be a passage.
-MIN_CHARS = 24
+#: A line has one edit for so many characters, up to EDITS; shorter lines have none and are joined where they are equal.
+EDIT_CHARS = 8
 #: Distinct lines that are keyed at once, by characters.
 BLOCK_CHARS = 1 << 20
 #: Pairs of a key that are looked at in one go.
@@ -39,8 +39,13 @@ def line_id(line: str) -> int:
 
 
 def lines_of(text: str | None) -> list[tuple[int, str]]:
-    """(number, line) of the lines that take part."""
-    return [(k, s) for k, line in enumerate((text or "").split("\n")) if len(line) >= MIN_CHARS and len(s := line.strip()) >= MIN_CHARS]
+    """(number, line) of the lines that are not blank."""
+    return [(k, s) for k, line in enumerate((text or "").split("\n")) if (s := line.strip())]
+
+
+def allowed(length: np.ndarray | int, edits: int) -> np.ndarray | int:
+    """Edits of a line of this length; of two lines, the shorter one's count."""
+    return np.minimum(edits, length // EDIT_CHARS)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,20 +78,25 @@ def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     letters = ((counts & 15).astype(np.uint64) * _fold).sum(axis=1)
     key, line, probe = [], [], []
 
-    def put(start: np.ndarray, length: np.ndarray, of_length: np.ndarray, k: int, is_probe: bool) -> None:
-        ok = np.flatnonzero((start >= 0) & (start + length <= size) & (of_length >= MIN_CHARS))
-        a = starts[ok] + start[ok]
+    def put(rows: np.ndarray, start: np.ndarray, length: np.ndarray, of_length: np.ndarray, k: int, is_probe: bool) -> None:
+        ok = np.flatnonzero((start >= 0) & (start + length <= size[rows]))
+        a = starts[rows[ok]] + start[ok]
         found = (sums[a + length[ok]] - sums[a]) * down[a]
         key.append(mix64(found + of_length[ok].astype(np.uint64) * U(0x9E3779B97F4A7C15) + U((k + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))))
-        line.append(ok)
+        line.append(rows[ok])
         probe.append(np.full(len(ok), is_probe))
 
-    for k in range(edits + 1):
-        put(*segment(size, k, edits), size, k, False)
-        for less in range(edits + 1):
-            at, length = segment(size - less, k, edits)
-            for shift in range(max(-k, less - (edits - k)), min(k, less + edits - k) + 1):
-                put(at + shift, length, size - less, k, True)
+    # lines that hold segments are the shorter ones of their pairs, so their lengths say how many edits there are
+    for n in range(1, edits + 1):
+        for less in range(n + 1):
+            rows = np.flatnonzero(allowed(size - less, edits) == n)
+            of_length = size[rows] - less
+            for k in range(n + 1):
+                at, length = segment(of_length, k, n)
+                if not less:
+                    put(rows, at, length, of_length, k, False)
+                for shift in range(max(-k, less - (n - k)), min(k, less + n - k) + 1):
+                    put(rows, at + shift, length, of_length, k, True)
     return np.concatenate(key), np.concatenate(line), np.concatenate(probe), letters
 
 
@@ -112,7 +122,7 @@ def emit_keys(bits: int, edits: int):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for _, s in lines_of(text):
-                    if (h := line_id(s)) not in seen:
+                    if allowed(len(s), edits) and (h := line_id(s)) not in seen:
                         seen.add(h)
                         held[h] = s
                         chars += len(s)
@@ -177,7 +187,7 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """(a, b): ids of every two different lines within `edits` edits, a < b, as a table."""
+    """(a, b): ids of every two different lines within the edits that the shorter one's length allows, `edits` at most, a < b, as a table."""
     bits = (4 * shuffle_partitions(docs.sparkSession) - 1).bit_length()
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     blocks = texts.mapInArrow(emit_keys(bits, edits), "bucket long, block binary")
@@ -209,7 +219,7 @@ def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS) -
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = pa.array([within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            ok = pa.array([within(x, y, int(allowed(min(len(x), len(y)), edits))) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(ok)
 
     both = pairs.join(spelt.select(F.col("line").alias("a"), F.col("s").alias("s_a")), "a").join(spelt.select(F.col("line").alias("b"), F.col("s").alias("s_b")), "b")
@@ -217,11 +227,11 @@ def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS) -
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """One row per line that takes part: doc_id, line_no (from 0), class_doc_id, class_line_no, n_same, n_links, kept.
+    """One row per line that is not blank: doc_id, line_no (from 0), class_doc_id, class_line_no, n_same, n_links, kept.
 
-    Lines are what stands between line feeds, without white space at the ends, of at least MIN_CHARS characters. Equal lines, and lines that steps of at
-    most `edits` edits join, are a class, named by its first line in order of doc_id and line_no; that
-    one is kept. n_same counts the line's equal occurrences, n_links the different lines within `edits` edits. Null and empty texts have no lines.
+    Lines are what stands between line feeds, without white space at the ends. Equal lines of any length, and lines that steps of at
+    most `edits` edits join (one for EDIT_CHARS characters of the shorter line, so none for the shortest), are a class, named by its first line in order of doc_id and line_no; that
+    one is kept. n_same counts the line's equal occurrences, n_links the different lines so joined to it. Null and empty texts have no lines.
     Rows that repeat an id and a text share one decision: both are kept, or neither is. A null id comes first. An empty table gives no rows; other columns
     are not read. Lines are told apart by 64-bit digests.
     """
