@@ -180,3 +180,23 @@ def test_reports_and_quotations_reach_the_score():
     filler = "plain words " * 60
     assert score("he is an idiot") > 0 > score("they wrote he is an idiot")
     assert score(f'they sang "{filler}\n idiot {filler}" there') < 0 < score(f'"{filler}" idiot "{filler}"')
+
+
+def test_words_around_a_value():
+    rng = random.Random(7)
+    for _ in range(2000):
+        parts = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 90) if rng.random() < 0.2 else rng.randint(1, 8))) for _ in range(rng.randint(0, 30))]
+        parts.insert(rng.randint(0, len(parts)), "bob@x.org")
+        t = rng.choice([" ", " " * 30, "12 "]).join(parts)
+        at = t.index("bob@x.org")
+        spans, end = [("email", at, at + 9)], at + 9
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t)]
+        before, behind = [w for w in words if w[1] <= at], [w for w in words if w[0] >= end]
+        of = lambda ws: [w for w in ws if w[1] - w[0] >= 4]
+        want = sorted({*before[-5:], *of(before)[-5:], *behind[:5], *of(behind)[:5]})
+        assert [(t[s:e], s, e) for s, e in want] == [x[1:4] for x in pii.around(t, spans)]
+    # a word that the old window's edge would cut, far words, and a word that runs into a value
+    t = "disclosing " + "x " * 5000 + "bob@x.org" + " 1" * 5000 + " farthest"
+    near = {x[1] for x in pii.around(t, [("email", t.index("bob@"), t.index("bob@") + 9)])}
+    assert near == {"disclosing", "x", "farthest"}
+    assert pii.around("éééébob@x.org", pii.base_spans("éééébob@x.org")) == []

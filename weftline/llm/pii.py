@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
@@ -16,8 +17,8 @@ from .common import BROADCAST_ROWS, cut, ship, small_batches, table
 ship(__name__)
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a protected value that are held against it.
-WINDOW = 5
+#: Words on either side of a protected value that are held against it: so many of any length, and so many of LONG letters or more.
+WINDOW, LONG = 5, 4
 #: Different surroundings in which term and value must meet before the corpus counts as evidence.
 SUPPORT = 3
 #: Share of a value's information that a term gives away: from GENERALISE on it is replaced by its kind, from REMOVE on removed.
@@ -30,7 +31,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
-_word = re.compile(r"[^\W\d_]{4,}")
+_word = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -80,19 +81,16 @@ def around(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str,
     """For every protected value: the words near it, as (value, term, start, end, surroundings); values and surroundings are hashes."""
     out = []
     taken = sorted((a, b) for _, a, b in spans)
+    words = [m.span() for m in _word.finditer(text)]
+    kinds = [([s for s, _ in w], [e for _, e in w], w) for w in (words, [(s, e) for s, e in words if e - s >= LONG])]
     for kind, a, b in spans:
         value = re.sub(r"[^0-9+]", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()
-        # words are looked for in a stretch that grows until it holds enough of them
-        reach, near = 64, []
-        while True:
-            lo, hi = max(0, a - reach), min(len(text), b + reach)
-            left = [m.span() for m in _word.finditer(text, lo, a)][-WINDOW:]
-            right = [m.span() for m in _word.finditer(text, b, hi)][:WINDOW]
-            if (len(left) == WINDOW or lo == 0) and (len(right) == WINDOW or hi == len(text)) or reach >= 4096:
-                near = left + right
-                break
-            reach *= 2
-        near = [(s, e) for s, e in near if not any(s < y and x < e for x, y in taken)]
+        # whole words only: one that reaches into the value is neither before nor behind it
+        near = set()
+        for starts, ends, held in kinds:
+            n, m = bisect_right(ends, a), bisect_left(starts, b)
+            near.update(held[max(0, n - WINDOW) : n], held[m : m + WINDOW])
+        near = [(s, e) for s, e in sorted(near) if not any(s < y and x < e for x, y in taken)]
         terms = [text[s:e].lower() for s, e in near]
         h = lambda x: int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
         of, where = h(f"{kind}:{value}"), h(" ".join(terms))
@@ -142,7 +140,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame |
 
         n_term = rows.mapInPandas(held, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     else:
-        words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,})"), F.lit(1)))).alias("term"))
+        words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("term"))
         n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     n_value = found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["value"]))).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
     total = float(found.count())
