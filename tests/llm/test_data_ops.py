@@ -171,3 +171,21 @@ def test_pipeline(spark, tokenizer):
     assert set(after) <= set(before)
     before, after = seen["packing"]
     check_pieces(rows(before), after.collect(), tokenizer)
+
+
+def test_packing_special_tokens(spark):
+    whole = Tokenizer.from_file(packing.tokenizer_file())  # as it is by default
+    texts = ["end <|endoftext|> next", "<|startoftext|>a<|endoftext|>", "é日 <|endoftext|>", "END <|ENDOFTEXT|> next", "plain <|other|> text", "x<|endoftext|> <|endoftext|>y's 12"]
+    ids = packing.Ids(open(packing.tokenizer_file()).read(), literal=False)
+    assert [a.tolist() for a in ids.of(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for literal in (False, True, False):
+        whole.encode_special_tokens = literal
+        got = {r["doc_id"]: r["ids"] for r in packing.pack(df, packing.tokenizer_file(), with_ids=True, literal=literal).collect()}
+        assert got == {k: whole.encode(t, add_special_tokens=False).ids + [2] for k, t in enumerate(texts)}
+    assert got[0] == [806, 49407, 1131, 2]
+
+
+def test_packing_query_has_the_default(spark, tmp_path):
+    spark.createDataFrame([(1, "end <|endoftext|> next")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert packing.op8_pack(spark, str(tmp_path)).first()["doc_tokens"] == 4

@@ -35,13 +35,18 @@ _plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*\Z")
 
 
 class Ids:
-    """Token ids of texts, exactly those of the library, with the ids of words kept between texts."""
+    """Token ids of texts, exactly those of the library, with the ids of words kept between texts.
 
-    def __init__(self, spec: str) -> None:
+    With literal, the names of special tokens in a text are text; without, as the library has it by default, they are those tokens.
+    """
+
+    def __init__(self, spec: str, literal: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(spec)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = literal
+        names = [t["content"].lower() for t in json.loads(spec).get("added_tokens") or [] if t["content"] and not (literal and t.get("special"))]
+        self.names = re.compile("|".join(map(re.escape, names))) if names else None
         self.by_word = '"end_of_word_suffix":"</w>"' in spec.replace(" ", "") and "Lowercase" in spec
         # words that are split and lower-cased here need the model alone
         model = json.loads(spec) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
@@ -73,7 +78,7 @@ class Ids:
             self.n += len(part)
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [_words.findall(t.lower()) if self.by_word and _plain.match(t) else None for t in texts]
+        split = [_words.findall(low) if self.by_word and _plain.match(t) and not (self.names and self.names.search(low)) else None for t in texts for low in [t.lower()]]
         new = set(itertools.chain.from_iterable(w for w in split if w))
         if self.n + len(new) >= CACHE_WORDS:
             self.forget()
@@ -89,12 +94,12 @@ class Ids:
                 yield self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def cut_pieces(spec, end_id: int, sequence: int, with_ids: bool):
+def cut_pieces(spec, end_id: int, sequence: int, with_ids: bool, literal: bool):
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("packing")
         kept = worker_cache()
-        if kept.get("ids_spec") is not spec.value and kept.get("ids_spec") != spec.value:
-            kept["ids_spec"], kept["ids"] = spec.value, Ids(spec.value)
+        if kept.get("ids_literal") != literal or kept.get("ids_spec") is not spec.value and kept.get("ids_spec") != spec.value:
+            kept["ids_spec"], kept["ids_literal"], kept["ids"] = spec.value, literal, Ids(spec.value, literal)
         ids = kept["ids"]
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
@@ -125,10 +130,10 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, i
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False, literal: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    A document is its ids and end_id, so a null or empty text is one token. It is cut only where it is longer than a
+    A document is its ids and end_id, so a null or empty text is one token; literal says whether the names of special tokens are text in it. It is cut only where it is longer than a
     sequence: whole sequences first, then the rest. Rests and whole pieces are counted by length in
     units; column generation finds patterns that fill sequences, and pieces, ranked inside their length, take the
     patterns' places. Rows that repeat an id are packed one by one; ids may be null. An empty table gives no rows; columns besides the two are not read.
@@ -139,7 +144,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     spec = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<long>" if with_ids else "")
-    pieces = cut(rows.mapInArrow(cut_pieces(spec, end_id, sequence, with_ids), schema), "pieces")
+    pieces = cut(rows.mapInArrow(cut_pieces(spec, end_id, sequence, with_ids, literal), schema), "pieces")
     sized = pieces.withColumn("size", F.expr(f"int((length + {UNIT - 1}) DIV {UNIT})")).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_PARTS)).cast("int"))
     counts = cut(sized.groupBy("size", "part").agg(F.count("*").alias("n")), "histogram")
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
@@ -162,4 +167,4 @@ def tokenizer_file() -> str:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file(), literal=False)
