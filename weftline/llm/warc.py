@@ -32,9 +32,9 @@ ID_PREFIX = "urn:x-page:"
 
 
 def revisits(pages: DataFrame, id_col: str, payload: Column, min_bytes: int) -> DataFrame:
-    """(id, refers_to) of pages whose payload of at least min_bytes bytes belongs to another page, as a table."""
-    rows = cut(pages.select(F.col(id_col).cast("long").alias("id"), payload.alias("payload")).where(F.octet_length("payload") >= min_bytes).select("id", digest_key(F.col("payload")).alias("key")), "payload-digests")
-    return cut(merge_runs(rows).where("n > 1 AND id < win").select("id", F.col("win").alias("refers_to")).distinct(), "revisits")
+    """(id, sha, refers_to) of pages whose payload of at least min_bytes bytes belongs to another page, as a table; sha is the payload's SHA-1, as an id may come with several."""
+    rows = cut(pages.select(F.col(id_col).cast("long").alias("id"), payload.alias("payload")).where(F.octet_length("payload") >= min_bytes).select("id", F.sha1("payload").alias("sha"), digest_key(F.col("payload")).alias("key")), "payload-digests")
+    return cut(merge_runs(rows).where("n > 1 AND id < win").select("id", "sha", F.col("win").alias("refers_to")).distinct(), "revisits")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = REVISIT_BYTES) -> None:
@@ -42,14 +42,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     A null payload is empty, a null url is left out, a null id is written as 'null' and never a revisit. Of records with equal payloads of at least
     min_bytes bytes the one with the largest id is a response; the others are revisits of it, without the payload. Rows
-    that repeat an id and payload are all written alike. Payloads are never shuffled: rows learn what they revisit
-    through a table of the repeats only.
+    that repeat an id and payload are all written alike, and an id that comes with several payloads has a record for each. Payloads of any length are written whole, and never shuffled: rows learn what they revisit
+    through a table of the repeats only. Columns besides the three are not read. An empty table gives no records.
     """
     body = F.coalesce(F.col(payload_col), F.lit(""))
     again = revisits(pages, id_col, body, min_bytes)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(url_col), r"[\r\n]", "").alias("url"), body.alias("body"))
-    # a repeated id may carry different payloads, so the length is looked at again
-    rows = join_sized(rows, again, ["id"], "left").withColumn("refers_to", F.when(F.octet_length("body") >= min_bytes, F.col("refers_to")))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(url_col), r"[\r\n]", "").alias("url"), body.alias("body")).withColumn("sha", F.sha1(F.col("body").cast("binary")))
+    rows = join_sized(rows, again, ["id", "sha"], "left")
     revisit = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("body").cast("string"), F.lit(GAP))
@@ -60,7 +59,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.lit(f"{CRLF}WARC-Date: {WARC_DATE}"),
         F.coalesce(F.concat(F.lit(f"{CRLF}WARC-Target-URI: "), F.col("url")), F.lit("")),
         F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), name(F.col("refers_to")))).otherwise(F.lit("")),
-        F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.sha1(F.col("body").cast("binary")),
+        F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("sha"),
         F.lit(f"{CRLF}Content-Type: application/http;msgtype=response{CRLF}Content-Length: "),
     )
     record = F.concat(head, F.octet_length(F.col("block")).cast("string"), F.lit(GAP), F.col("block"))
