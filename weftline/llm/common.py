@@ -79,7 +79,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts right when it has at most `rows` rows (counted, so right should be a table), and shuffles both sides beyond."""
+    """Join that broadcasts right when it has at most `rows` rows (counted, so right should be a table; its columns are numbers or short texts, so rows bound bytes), and shuffles both sides beyond."""
     small = right.select(F.lit(1)).limit(rows + 1).count() <= rows
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
@@ -94,10 +94,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     norm = lambda e: e.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     sized = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
     stars = cut(norm(edges), f"{name}-0")
-    was = sized(stars)
-    for k in range(1, 64):
-        if not was[0]:
-            break
+    was, k = sized(stars), 0
+    while was[0]:
+        k += 1
         both = stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.least(F.min("dst"), F.min("src")).alias("low"))
         # large star: neighbours above a node hang on the smallest of its neighbourhood
@@ -114,8 +113,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return stars.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(own.select(F.col("dst").alias("id"), F.col("dst").alias("component")))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bound the rows and the bytes of an Arrow batch, as texts can be long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = spark.conf.get(key).lower().removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores behind it as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
