@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, enter, ship, small_batches, table
+from .common import cut, enter, free_names, ship, small_batches, table
 from .lexicon_automaton import Automaton, budget_of
 from .minhash import bands_of
 from .shingles import shingle_sets
@@ -26,7 +26,7 @@ FOLDS = 5
 MIN_RATIO, MIN_PURE = 27.0, 0.9
 PREFIXES = range(4, 8)
 WINDOW = 6
-SEEN_WORDS = 400_000
+SEEN_WORDS = 150_000
 #: Signs written for letters, and words that stand near reports and near addresses.
 LEET = str.maketrans("01345789@$!|", "oieastbgasii")
 REPORTS = frozenset("said says say called calls wrote writes quote quoted quotes word term sagte sagt nannte schrieb zitat wort dit écrit appelé mot citation dijo dice llamó escribió palabra cita".split())
@@ -150,6 +150,8 @@ class Scorer:
                 self.clean.add(token)
         if len(self.clean) > SEEN_WORDS:
             self.clean = set()
+        if len(self.found) > SEEN_WORDS:
+            self.found = {t: m for t in distinct if (m := self.look(t))}
         if distinct.isdisjoint(self.found):
             return out
         lower = text.lower()
@@ -232,24 +234,25 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
     return lexicon, fit(np.array(got["x"].tolist()), got["y"].to_numpy(dtype=float))
 
 
-def score(docs: DataFrame, lexicon: list[tuple[str, bool]], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every column of docs with tox_score (0 to 1), from the whole text alone.
+def score(docs: DataFrame, lexicon: list[tuple[str, bool]], weights: np.ndarray, text_col: str = "text", score_col: str = "tox_score") -> DataFrame:
+    """Every column of docs with score_col (0 to 1), from the whole text alone.
 
-    A null or empty text has the score of a text without hits. Repeats score alike. Columns of docs named tox_score or
-    tox_text are replaced. An empty table gives no rows.
+    A null or empty text has the score of a text without hits; a text of any length is read whole; repeats score alike, and ids,
+    ties among them included, are not looked at. A column of docs named as score_col is replaced, any other stays. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    wide = docs.drop("tox_score").withColumn("tox_text", F.col(text_col).cast("string"))
-    schema = wide.drop("tox_text").withColumn("tox_score", F.lit(0.5)).schema
+    docs = docs.drop(score_col)
+    (held,) = free_names(docs, "tox_text")
+    wide = docs.withColumn(held, F.col(text_col).cast("string"))
+    schema = docs.withColumn(score_col, F.lit(0.5)).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("toxicity")
         scorer = Scorer(lexicon)
         for batch in batches:
-            k = batch.schema.get_field_index("tox_text")
+            k = batch.num_columns - 1
             p = [1 / (1 + math.exp(-max(-30.0, min(30.0, float(scorer.features(t) @ weights))))) for t in batch.column(k).to_pylist()]
-            names = [n for n in batch.schema.names if n != "tox_text"]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i, n in enumerate(batch.schema.names) if n != "tox_text"] + [pa.array(p, pa.float64())], [*names, "tox_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(p, pa.float64())], [*batch.schema.names[:k], score_col])
 
     return wide.mapInArrow(scored, schema)
 
@@ -259,5 +262,3 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon, weights = train(docs, table(spark, sf_dir, "labels"))
     got = score(docs, lexicon, weights)
     return got.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
-
-
