@@ -189,3 +189,39 @@ def test_packing_special_tokens(spark):
 def test_packing_query_has_the_default(spark, tmp_path):
     spark.createDataFrame([(1, "end <|endoftext|> next")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert packing.op8_pack(spark, str(tmp_path)).first()["doc_tokens"] == 4
+
+
+def test_warc_ids_with_several_payloads(spark):
+    a, b, c = "a" * 2000, "b" * 2000, "c" * 2000
+    rows = [(5, a), (5, b), (5, c), (9, a), (8, b)]
+    path = common.new_path(spark, "warc-several")
+    warc.write_warc(spark.createDataFrame([(i, "u", h, "s", "r") for i, h in rows], "page_id long, url string, html string, sha string, refers_to string"), path)
+    got = sorted((r["record_id"], r["type"], r["digest"], r["refers_to"]) for r in warc.read_warc(spark, path).collect())
+    sha = lambda h: hashlib.sha1(h.encode()).hexdigest()
+    name = lambda i: f"<urn:x-page:{i}>"
+    assert got == sorted([(name(5), "revisit", sha(a), name(9)), (name(5), "revisit", sha(b), name(8)), (name(5), "response", sha(c), None), (name(9), "response", sha(a), None), (name(8), "response", sha(b), None)], key=str)
+
+
+def test_mixing_at_high_rates(spark):
+    docs = spark.createDataFrame([(k, "a") for k in range(20)], "doc_id long, source string")
+    for rate in (31.0, 33.0, 1000.0, 20_000.0):
+        n = [r["n"] for r in docs.select(mixing.copies_of(docs["doc_id"].cast("string"), mixing.F.lit(rate), "s").alias("n")).collect()]
+        assert len(set(n)) > 5 and abs(np.mean(n) - rate) < 5 * (rate / 20) ** 0.5 and abs(np.std(n) / rate**0.5 - 1) < 0.6
+    assert {r["n"] for r in docs.select(mixing.copies_of(docs["doc_id"].cast("string"), mixing.F.lit(0.0), "s").alias("n")).collect()} == {0}
+
+
+def test_pipeline_odd_rows(spark):
+    """Null, empty, long and repeated rows, an empty table, and columns named as the stages name theirs."""
+    import corpus_pipeline as cp
+
+    names = ["tox_score", "tox_text", "gone_id", "gone_lines", "gone_key", "mix_n", "mix_rate", "mix_source", "mix_null", "mix_copy", "mix_key", "size", "part", "rank", "bucket", "win", "component"]
+    docs = common.table(spark, SF, "documents").limit(30)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900, "", "x", None, 0), (900, "", "x", None, 0), (901, "word " * 40_000, "x", "hot", 1), (901, "other text", "x", "hot", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(odd.select(*[odd[c].cast(t).alias(c) for c, t in docs.dtypes])).selectExpr("*", *(f"'{n}!' as {n}" for n in names))
+    for held in (docs, docs.limit(0)):
+        for name, stage in cp.STAGES:
+            n, columns = held.count(), held.columns
+            held = common.cut(stage(spark, held, SF), name)
+            if name != "packing":
+                assert held.columns == columns and held.where(" OR ".join(f"{n} <> '{n}!'" for n in names)).count() == 0
+            assert n == 0 or held.count() > 20

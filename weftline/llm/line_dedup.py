@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, cut, enter, join_sized, ship, shuffle_partitions, small_batches, table, worker_cache
+from .common import BROADCAST_ROWS, components, cut, enter, free_names, join_sized, ship, shuffle_partitions, small_batches, table, worker_cache
 from .edit_distance import within
 from .shingles import U, mix64
 
@@ -27,6 +27,8 @@ EDITS = 2
 EDIT_CHARS = 8
 #: Distinct lines that are keyed at once, by characters.
 BLOCK_CHARS = 1 << 20
+#: Lines that a task remembers having put out; beyond that it may put them out again.
+SEEN_LINES = 250_000
 #: Pairs of a key that are looked at in one go.
 PAIR_BLOCK = 1 << 20
 BASE = 0x2545F4914F6CDD1D | 1
@@ -129,7 +131,7 @@ def emit_keys(bits: int, edits: int):
                         if chars >= BLOCK_CHARS:
                             yield drain()
                             held, chars = {}, 0
-                            if len(seen) > 1_000_000:  # repeats only cost a second copy of their keys
+                            if len(seen) > SEEN_LINES:  # repeats only cost a second copy of their keys
                                 seen = set()
         if held:
             yield drain()
@@ -182,8 +184,13 @@ def match_bucket(edits: int):
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enter("lines")
     for batch in batches:
-        rows = [(doc, k, line_id(s)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, s in lines_of(text)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["doc_id", "line_no", "line"])
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            found = [lines_of(text) for text in part.column(2).to_pylist()]
+            of = np.repeat(np.arange(part.num_rows), [len(x) for x in found])
+            no = np.fromiter((k for x in found for k, _ in x), dtype=np.int64, count=len(of))
+            line = np.fromiter((line_id(s) for x in found for _, s in x), dtype=np.int64, count=len(of))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(no), pa.array(line)], ["doc_id", "text_key", "line_no", "line"])
 
 
 def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS) -> DataFrame:
@@ -209,7 +216,7 @@ def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS) -
             elif few is not None:
                 ids = ids[:0]
             seen.update(ids.tolist())
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN_LINES:
                 seen = set()
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([out[h] for h in ids.tolist()], pa.string())], ["line", "s"])
 
@@ -227,43 +234,52 @@ def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS) -
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """One row per line that is not blank: doc_id, line_no (from 0), class_doc_id, class_line_no, n_same, n_links, kept.
+    """One row per line that is not blank: doc_id, text_key (a hash of the row's text), line_no (from 0), class_doc_id, class_line_no, n_same, n_links, kept.
 
     Lines are what stands between line feeds, without white space at the ends. Equal lines of any length, and lines that steps of at
-    most `edits` edits join (one for EDIT_CHARS characters of the shorter line, so none for the shortest), are a class, named by its first line in order of doc_id and line_no; that
-    one is kept. n_same counts the line's equal occurrences, n_links the different lines so joined to it. Null and empty texts have no lines.
-    Rows that repeat an id and a text share one decision: both are kept, or neither is. A null id comes first. An empty table gives no rows; other columns
+    most `edits` edits join (one for EDIT_CHARS characters of the shorter line, so none for the shortest), are a class, named by its first line in order of doc_id, line_no and text_key; that
+    one is kept. n_same counts the line's equal occurrences, n_links the different lines so joined to it. Null and empty texts have no lines; a text of any length is read whole.
+    Rows that repeat an id and a text share one decision: both are kept, or neither is; rows that repeat an id alone are texts of their own. A null id comes first. An empty table gives no rows; other columns
     are not read. Lines are told apart by 64-bit digests.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    at = cut(rows.mapInArrow(occurrences, "doc_id long, line_no long, line long"), "line-occurrences")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    at = cut(rows.mapInArrow(occurrences, "doc_id long, text_key long, line_no long, line long"), "line-occurrences")
     links = similar_lines(docs, text_col, edits)
     of = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "line-classes").withColumnRenamed("id", "line")
     n_links = links.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n_links"))
     of = cut(of.join(n_links, "line"), "line-linked")
-    first = at.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n_same"))
+    place = F.struct("doc_id", "line_no", "text_key")
+    first = at.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n_same"))
     # only lines that repeat or have links need more than their own row says
     firsts = cut(join_sized(first, of, ["line"], "left").where("n_same > 1 OR component IS NOT NULL"), "line-firsts")
-    heads = firsts.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))
-    told = cut(firsts.join(heads, "component", "left").select("line", F.coalesce("head", "first").alias("head"), "n_same", F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-heads")
+    heads = cut(firsts.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head")), "line-class-heads")
+    told = join_sized(firsts, heads, ["component"], "left", BROADCAST_ROWS // 2)
+    told = cut(told.select("line", F.coalesce("head", "first").alias("head"), "n_same", F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-heads")
     out = join_sized(at, told, ["line"], "left", BROADCAST_ROWS // 4)
-    head = F.coalesce("head", F.struct("doc_id", "line_no"))
-    out = out.select("doc_id", "line_no", head["doc_id"].alias("class_doc_id"), head["line_no"].alias("class_line_no"), F.coalesce("n_same", F.lit(1)).cast("long").alias("n_same"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
+    head = F.coalesce("head", place)
+    return out.select(
+        "doc_id", "text_key", "line_no", head["doc_id"].alias("class_doc_id"), head["line_no"].alias("class_line_no"),
+        F.coalesce("n_same", F.lit(1)).cast("long").alias("n_same"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), place.eqNullSafe(head).alias("kept"),
+    )
 
 
 def drop_lines(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines that are not kept; a document that loses every line that has any words goes, as all it said is said before.
 
-    Documents without such lines stay as they are, empty ones too. Columns of docs named gone_id or gone_lines are dropped.
+    Documents without such lines stay as they are, null and empty ones too. Rows are found by id and text, so rows that repeat an id alone lose their own lines only.
+    All columns of docs stay, whatever their names. A text with any number of lines takes time in proportion to them.
     """
-    gone = classes.where("NOT kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("gone_lines"))
-    docs = docs.drop("gone_id", "gone_lines")
-    df = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")), "left")
-    left = F.filter(F.transform(F.split(text_col, "\n"), lambda s, k: F.when(~F.array_contains("gone_lines", k), s)), lambda s: s.isNotNull())
-    df = df.withColumn(text_col, F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
-    return df.where(F.col("gone_lines").isNull() | F.col(text_col).rlike(r"\S")).drop("gone_id", "gone_lines")
+    g_id, g_key, g_lines = free_names(docs, "gone_id", "gone_key", "gone_lines")
+    gone = classes.where("NOT kept").groupBy(F.col("doc_id").alias(g_id), F.col("text_key").alias(g_key)).agg(F.collect_set(F.col("line_no").cast("int")).alias(g_lines))
+    here = F.col(id_col).cast("long").eqNullSafe(F.col(g_id)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(g_key))
+    df = docs.join(gone, here, "left")
+    lines = F.split(text_col, "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), g_lines)
+    left = F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")
+    df = df.withColumn(text_col, F.when(F.col(g_lines).isNull(), F.col(text_col)).otherwise(left))
+    return df.where(F.col(g_lines).isNull() | F.col(text_col).rlike(r"\S")).select(*docs.columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
