@@ -184,7 +184,7 @@ def test_external(spark):
     class Flaky(external.DeterministicLLM):
         def complete(self, messages):
             if "fail" in messages[-1]["content"]:
-                raise RuntimeError("no")
+                raise external.CallFailed("no")
             return super().complete(messages)
 
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "fail", "c"]), (3, [])], "k int, p array<string>")
@@ -192,6 +192,13 @@ def test_external(spark):
     assert {r["k"]: r["answers"] for r in calls.collect()} == {1: ["A", "B"], 2: [], 3: []}
     assert external.complete(df.limit(0), Flaky(), "k", "p").count() == 0
     assert external.usage(calls, "large").first()["failed"] == 2
+
+    class Broken(external.DeterministicLLM):
+        def complete(self, messages):
+            raise KeyError("a mistake in the client")
+
+    with pytest.raises(Exception, match="a mistake in the client"):
+        external.complete(df, Broken(), "k", "p")
     e = external.embed(spark.createDataFrame([("x",), (None,)], "t string"), external.DeterministicEmbedder(8), "t").collect()
     assert len(e[0]["embedding"]) == 8 and e[1]["embedding"] is None
     assert external.run_sequence(external.DeterministicLLM(lambda m: m[-1]["content"] + "!"), ["a", lambda prev: prev + "b"])[0] == ["a!", "a!b!"]
@@ -311,8 +318,70 @@ def test_service(spark):
     assert s.tools()["rawData"]("b") == "raw two"
 
 
-def test_branches(spark):
-    """Both branches from end to end with scripted answers."""
+class Counted(external.DeterministicLLM):
+    """Writes a file a call, so that calls of all workers can be counted."""
+
+    def __init__(self, answer, folder):
+        super().__init__(answer)
+        self.folder = str(folder)
+
+    def complete(self, messages):
+        import hashlib
+        import tempfile
+
+        if "Sentiment" in messages[-1]["content"]:  # nodes that say the same ask the same
+            return super().complete(messages)
+        name = hashlib.md5(repr(messages).encode()).hexdigest()
+        with tempfile.NamedTemporaryFile(prefix=name, dir=self.folder, delete=False):
+            pass
+        return super().complete(messages)
+
+    def most(self):
+        import collections
+        import os
+
+        return max(collections.Counter(f[:32] for f in os.listdir(self.folder)).values())
+
+
+def test_backoff():
+    import threading
+    import time
+
+    calls, asked = [], external.Backoff(0.05)
+
+    def flaky(k):
+        calls.append(time.monotonic())
+        if len(calls) < 3:
+            raise external.RetryLater
+        return k
+
+    assert asked.call(flaky, 7) == 7 and calls[1] - calls[0] >= 0.045 and calls[2] - calls[1] >= 0.09
+    asked.slow()
+    began = time.monotonic()
+    others = [threading.Thread(target=asked.call, args=(int,)) for _ in range(3)]
+    for t in others:
+        t.start()
+    for t in others:
+        t.join()
+    assert time.monotonic() - began >= 0.04
+    with pytest.raises(external.RetryLater):
+        external.Backoff(0.0).call(lambda: (_ for _ in ()).throw(external.RetryLater()))
+    with pytest.raises(external.CallTimeout):
+        external.Backoff(0.0).call(time.sleep, 5, timeout=0.05)
+    slow = type("Slow", (), {"complete": lambda self, m: time.sleep(5)})()
+    assert external.run_sequence(slow, ["a"], timeout=0.05)[0] == []
+
+
+def test_ids_of_many_frames(spark):
+    frame = lambda ids, links: spark.createDataFrame([(i, [t], [(i, t)]) for i, t in zip(ids, links, strict=True)], "id string, edges array<string>, relationships array<struct<source: string, target: string>>")
+    got = entities.uniquify_ids([frame(["x"], ["x"]) for _ in range(12)] + [frame(["x", "x_2", "x_3"], ["x_3", "x", "gone"])]).collect()
+    assert len({r["id"] for r in got}) == 15
+    assert all(r["edges"] == [r["relationships"][0]["target"]] and r["relationships"][0]["source"] == r["id"] for r in got)
+    assert sum(r["edges"] == ["gone"] for r in got) == 1
+
+
+def test_branches(spark, tmp_path):
+    """Both branches from end to end with scripted answers; each prompt is sent once."""
     emb = external.DeterministicEmbedder(8)
     node = lambda i: '[{"id": "%s", "proposition": "alice did %s", "caused": [], "caused_by": []}]' % (i, i)  # noqa: E731, UP031
     said = {"split": '{"decision": "SPLIT", "sentiment": -0.5}', "meta": node("m x"), "context": node("c"), "attributes": node("a")}
@@ -331,7 +400,7 @@ def test_branches(spark):
             return '{"proposition": "alice did much"}'
         return next((said[k] for k in ("meta", "context", "attributes") if f"its {k}" in p), "talk")
 
-    llm = external.DeterministicLLM(answer)
+    llm = Counted(answer, tmp_path)
     messages = spark.createDataFrame([("c", "alice", "me", at(k), f"t{k}") for k in range(45)], "conversation string, `from` string, `to` string, datetime timestamp, content string")
     chunks = human.chunks_rechunked(human.chunks_sequential(messages, llm))
     rows = human.chunk_rows(chunks, "bob").drop("conversation")
@@ -347,14 +416,18 @@ def test_branches(spark):
     def answer2(messages):
         p = messages[-1]["content"]
         if "Summarise" in p:
-            return '[{"question": "q", "answer": "a"}]'
+            return '[{"question": "q2", "answer": "a"}]' if "q2" in p else '[{"question": "q", "answer": "a"}]'
         if "category" in p:
             return '{"category": "work", "is_personal": true}'
-        if "causal links" in p:
+        if p.startswith("List causal links"):
             return '[{"source": "one", "target": "two"}]'
-    XX
+        if p.startswith("List inferrables"):
+            assert "observables: [{" in p
+            return '[{"label": "two", "description": "likely two"}]'
+        label = "one" if p.startswith("List observables") else "three"
+        return '[{"label": "%s", "description": "about %s"}]' % (label, label)  # noqa: UP031
 
-    llm2 = external.DeterministicLLM(answer2)
+    llm2 = Counted(answer2, tmp_path)
     parsed = spark.createDataFrame([("k", "t", "2024-01-01", "10:00:00", "q", "a"), ("l", "t", "2024-01-02", "10:00:00", "q2", "")], "conversation_id string, title string, date string, time string, question string, answer string")
     assert assistant.transcripts(parsed.select("*"), keep_empty=True).count() == 2
     sk = assistant.skeletons_embedded(assistant.skeletons(assistant.transcripts(parsed), llm2), emb)
@@ -364,6 +437,16 @@ def test_branches(spark):
     assert claims.count() == 2 and {r["label"] for r in found.collect()} >= {"one", "one_2", "two", "two_2"}
     merged = assistant.deduplicated(found, external.DeterministicLLM(lambda m: '{"proposition": "both"}'), emb)
     assert merged.agg(F.sum("frequency")).first()[0] == 6
+    assert llm.most() == llm2.most() == 1
+    # a batch that fails leaves [] to the next, and its row goes
+    failing = external.DeterministicLLM(lambda m: "no JSON" if m[-1]["content"].startswith("List observables") and "ANSWER" not in m[-1]["content"] else answer3(m))
+    seen = []
+
+    def answer3(m):
+        seen.append(m)
+        return answer2(m) if "observables: []" not in m[-1]["content"] else '[{"label": "z", "description": "after a failure"}]'
+
+    assert assistant.claims(cat, failing).count() == 0
 
 
 def test_streams(spark, tmp_path):

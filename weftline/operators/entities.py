@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.text import clean_id
+from ..sources.tables import cut
 from .graph import components
 from .vector_search import similar_pairs
 
@@ -29,24 +30,36 @@ def uniquify_ids(frames: Sequence[DataFrame], id_col: str = "id", relations: str
     for k, df in enumerate(frames):
         part = df.withColumn("_frame", F.lit(k))
         every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    every = cut(every, "frames")
     names = every.select("_frame", F.col(id_col).alias("old")).distinct().withColumn("new", F.col("old")).withColumn("_try", F.lit(1))
-    for _ in range(50):
+    while True:
         w = W.partitionBy("new").orderBy((F.col("_try") > 1), "_frame", "old")
-        ranked = names.withColumn("_n", F.row_number().over(w))
-        if not ranked.where("_n > 1").limit(1).count():
+        ranked = cut(names.withColumn("_n", F.row_number().over(w)), "id-round")
+        if ranked.where("_n > 1").isEmpty():
             break
-        names = ranked.withColumn("_try", F.when(F.col("_n") > 1, F.greatest(F.col("_n"), F.col("_try") + 1)).otherwise(F.col("_try"))).withColumn("new", F.when(F.col("_n") > 1, F.concat("old", F.lit("_"), F.col("_try").cast("string"))).otherwise(F.col("new"))).drop("_n")
-    maps = names.groupBy("_frame").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_map")) if relations in every.columns or edges in every.columns else None
-    out = every.join(names.select("_frame", F.col("old").alias(id_col), "new"), ["_frame", id_col]).withColumn(id_col, F.col("new")).drop("new")
-    if maps is not None:
-        out = out.join(maps, "_frame")
-        at = lambda x: F.coalesce(F.try_element_at("_map", x), x)
-        if relations in every.columns:
-            out = out.withColumn(relations, F.transform(relations, lambda r: F.struct(at(r["source"]).alias("source"), at(r["target"]).alias("target"))))
-        if edges and edges in every.columns:
-            out = out.withColumn(edges, F.transform(edges, at))
-        out = out.drop("_map")
-    return out.drop("_frame")
+        again = F.greatest(F.col("_n"), F.col("_try") + 1)
+        names = ranked.select("_frame", "old", F.when(F.col("_n") > 1, F.concat("old", F.lit("_"), again.cast("string"))).otherwise(F.col("new")).alias("new"), F.when(F.col("_n") > 1, again).otherwise(F.col("_try")).alias("_try"))
+    names = ranked.select("_frame", F.col("old").alias(id_col), "new")
+    out = every.join(names, ["_frame", id_col]).withColumn(id_col, F.col("new")).drop("new")
+    if relations in every.columns:
+        out = _renamed(out, names, id_col, relations, ["source", "target"])
+    if edges and edges in every.columns:
+        out = _renamed(out, names, id_col, edges, None)
+    return cut(out.drop("_frame"), "unique-ids")
+
+
+def _renamed(df: DataFrame, names: DataFrame, id_col: str, column: str, fields: list[str] | None) -> DataFrame:
+    """df with the ids in a list column (in these fields of its structs, or its values) renamed by names of the row's own frame, by joins on the ids, in their order."""
+    each = df.select("_frame", F.col(id_col).alias("_owner"), F.posexplode(column).alias("_k", "_v"))
+    parts = fields or ["_v"]
+    flat = each.select("_frame", "_owner", "_k", *[(F.col("_v")[f] if fields else F.col("_v")).alias(f) for f in parts])
+    for f in parts:
+        at = names.select("_frame", F.col(id_col).alias(f), F.col("new").alias("_new"))
+        flat = flat.join(at, ["_frame", f], "left").withColumn(f, F.coalesce("_new", f)).drop("_new")
+    value = F.struct(*parts) if fields else F.col("_v")
+    lists_ = flat.groupBy(F.col("_owner").alias(id_col)).agg(lists.ordered(value, F.col("_k")).alias("_list"))
+    empty = F.when(F.col(column).isNotNull(), F.array().cast(dict(df.dtypes)[column]))
+    return df.join(lists_, id_col, "left").withColumn(column, F.coalesce(F.col("_list").cast(dict(df.dtypes)[column]), empty)).drop("_list")
 
 
 def sanitise_ids(nodes: DataFrame, row: str = "row", node_id: str = "id") -> DataFrame:
@@ -100,7 +113,8 @@ def merge_entities(df: DataFrame, label: str, vector: str, threshold: float, sin
 
     The columns edges and relationships are always there, empty for groups without links.
     """
-    mapping = groups(df, label, vector, threshold, k)
+    df = cut(df, "entity-rows")
+    mapping = cut(groups(df, label, vector, threshold, k), "entity-groups")
     rows = df.join(mapping.withColumnRenamed("label", label), label)
     merged = rows.groupBy(F.col("representative").alias(label)).agg(F.min_by(F.struct(*singles), F.col(order)).alias("_s"), *[lists.ordered(F.col(src), F.col(order)).alias(name) for name, src in collected], F.count("*").alias("frequency"))
     links = df.select(F.col(order).alias("_row"), F.posexplode(relations).alias("_k", "r")).select(F.col("r.source").alias("source"), F.col("r.target").alias("target"), F.struct("_row", "_k").alias("ord"))

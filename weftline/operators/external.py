@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as CallTimeout
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tolerant_json import parse
+from ..sources.tables import cut
 
 
 @dataclass
@@ -28,7 +31,77 @@ class Answer:
 
 
 class RetryLater(Exception):
-    """The service asks callers to slow down, or fails for the moment."""
+    """The service asks callers to slow down, or fails for the moment (429 and 5xx)."""
+
+
+class CallFailed(Exception):
+    """The service refuses this call for good."""
+
+
+#: What costs a call its answer; any other error is a mistake in the program and is raised.
+FAILURES = (RetryLater, CallFailed, CallTimeout, ConnectionError, TimeoutError)
+
+
+class Backoff:
+    """One pause for all callers of a process: whoever is told to slow down makes everyone wait, longer each time in a row."""
+
+    def __init__(self, pause: float = 1.0, growth: float = 2.0, most: float = 60.0) -> None:
+        self.pause, self.growth, self.most = pause, growth, most
+        self.lock, self.until, self.row = threading.Lock(), 0.0, 0
+
+    def __reduce__(self):
+        return Backoff, (self.pause, self.growth, self.most)
+
+    def wait(self) -> None:
+        while (left := self.until - time.monotonic()) > 0:
+            time.sleep(left)
+
+    def slow(self) -> None:
+        with self.lock:
+            if time.monotonic() >= self.until:  # calls that were under way fail together, and count once
+                self.until = time.monotonic() + min(self.most, self.pause * self.growth**self.row)
+                self.row += 1
+
+    def fine(self) -> None:
+        self.row = 0
+
+    def call(self, f: Callable, *args, tries: int = 3, timeout: float | None = None):
+        """f(*args), tried anew after RetryLater; raises what the last try raises, and CallTimeout for a call that takes too long."""
+        for left in range(tries - 1, -1, -1):
+            self.wait()
+            try:
+                got = within(f, args, timeout)
+            except RetryLater:
+                self.slow()
+                if not left:
+                    raise
+            else:
+                self.fine()
+                return got
+        raise CallFailed("no tries")
+
+
+def within(f: Callable, args: tuple, timeout: float | None):
+    """f(*args); CallTimeout after `timeout` seconds, and the call is left to itself."""
+    if timeout is None:
+        return f(*args)
+    box: list = []
+    done = threading.Event()
+
+    def run() -> None:
+        try:
+            box.append((f(*args), None))
+        except BaseException as e:  # noqa: BLE001  raised again in the caller's thread
+            box.append((None, e))
+        done.set()
+
+    threading.Thread(target=run, daemon=True).start()
+    if not done.wait(timeout):
+        raise CallTimeout(f"no answer in {timeout} s")
+    got, error = box[0]
+    if error is not None:
+        raise error
+    return got
 
 
 class DeterministicLLM:
@@ -56,21 +129,16 @@ class DeterministicEmbedder:
         return out
 
 
-def run_sequence(client, prompts: Sequence[str | Callable[[str], str]], tries: int = 3, pause: float = 0.0) -> tuple[list[str], int, int, float]:
+def run_sequence(client, prompts: Sequence[str | Callable[[str], str]], tries: int = 3, backoff: Backoff | None = None, timeout: float | None = None) -> tuple[list[str], int, int, float]:
     """Answers of a chain of prompts in one conversation ([] if any fails), tokens in and out, seconds. A callable prompt gets the answer before it."""
     messages, answers, used, began = [], [], [0, 0], time.monotonic()
+    backoff = backoff or Backoff(0.0)
     for prompt in prompts:
         messages.append({"role": "user", "content": prompt(answers[-1]) if callable(prompt) else prompt})
-        for left in range(tries - 1, -1, -1):
-            try:
-                got = client.complete(messages)
-                break
-            except RetryLater:
-                if not left:
-                    return [], used[0], used[1], time.monotonic() - began
-                time.sleep(pause)
-            except Exception:  # noqa: BLE001  a failed call costs its row, not the batch
-                return [], used[0], used[1], time.monotonic() - began
+        try:
+            got = backoff.call(client.complete, list(messages), tries=tries, timeout=timeout)
+        except FAILURES:  # a failed call costs its row, not the batch
+            return [], used[0], used[1], time.monotonic() - began
         messages.append({"role": "assistant", "content": got.text})
         answers.append(got.text)
         used[0] += got.tokens_in
@@ -78,18 +146,22 @@ def run_sequence(client, prompts: Sequence[str | Callable[[str], str]], tries: i
     return answers, used[0], used[1], time.monotonic() - began
 
 
-def complete(df: DataFrame, client, key: str, prompts: str, tries: int = 3, threads: int = 8) -> DataFrame:
-    """(key, answers, tokens_in, tokens_out, seconds) of df(key, prompts array<string>): all answers of a row's prompts, or none of them."""
+def complete(df: DataFrame, client, key: str, prompts: str, tries: int = 3, threads: int = 8, pause: float = 1.0, timeout: float | None = 300.0) -> DataFrame:
+    """(key, answers, tokens_in, tokens_out, seconds) of df(key, prompts array<string>), as a table: all answers of a row's prompts, or none of them.
+
+    The table is written here, so however often it is used, each prompt is sent once. Calls of a process share one back-off.
+    """
     kind = dict(df.dtypes)[key]
+    backoff = Backoff(pause)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
             for pdf in batches:
-                got = list(pool.map(lambda p: run_sequence(client, [] if p is None else list(p), tries), pdf["p"]))
+                got = list(pool.map(lambda p: run_sequence(client, [] if p is None else list(p), tries, backoff, timeout), pdf["p"]))
                 yield pd.DataFrame({"k": pdf["k"], "answers": [g[0] for g in got], "tokens_in": [g[1] for g in got], "tokens_out": [g[2] for g in got], "seconds": [g[3] for g in got]})
 
     out = df.select(F.col(key).alias("k"), F.col(prompts).alias("p")).mapInPandas(run, f"k {kind}, answers array<string>, tokens_in long, tokens_out long, seconds double")
-    return out.withColumnRenamed("k", key)
+    return cut(out.withColumnRenamed("k", key), "answers")
 
 
 def answer_column(df: DataFrame, client, key: str, prompt: Column, contract: str, name: str, which: int = -1) -> DataFrame:
@@ -101,26 +173,37 @@ def answer_column(df: DataFrame, client, key: str, prompt: Column, contract: str
     return df.join(parsed, key, "left")
 
 
-def embed(df: DataFrame, client, text: str, name: str = "embedding", batch: int = 64, tries: int = 3) -> DataFrame:
-    """df with an embedding of each text; null for null texts and for batches that fail every try."""
+def embed(df: DataFrame, client, text: str, name: str = "embedding", batch: int = 64, tries: int = 3, threads: int = 8, pause: float = 1.0, timeout: float | None = 300.0) -> DataFrame:
+    """df with an embedding of each text, as a table; null for null texts and for batches that fail every try.
+
+    The first batch goes alone, so that a service that starts on demand is awake before the others go at once.
+    """
     schema = df.withColumn(name, F.lit(None).cast("array<double>")).schema
+    backoff = Backoff(pause)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[list[float] | None] = [None] * len(pdf)
-            known = [k for k, t in enumerate(pdf[text]) if isinstance(t, str)]
-            for at in range(0, len(known), batch):
-                part = known[at : at + batch]
-                for _ in range(tries):
-                    try:
-                        for k, v in zip(part, client.embed([pdf[text].iloc[k] for k in part]), strict=True):
-                            out[k] = v
-                        break
-                    except Exception:  # noqa: BLE001
-                        continue
-            yield pdf.assign(**{name: out})
-
-    return df.mapInPandas(run, schema)
+        def one(texts: list[str]) -> list[list[float] | None]:
+            try:
+                return list(backoff.call(client.embed, texts, tries=tries, timeout=timeout))
+            except FAILURES:
+                return [None] * len(texts)
+
+        warm = False
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                known = [k for k, t in enumerate(pdf[text]) if isinstance(t, str)]
+                parts = [known[at : at + batch] for at in range(0, len(known), batch)]
+                texts = [[pdf[text].iloc[k] for k in part] for part in parts]
+                got = [] if warm or not parts else [one(texts[0])]
+                got += pool.map(one, texts[len(got) :])
+                warm = warm or bool(parts)
+                out: list[list[float] | None] = [None] * len(pdf)
+                for part, vectors in zip(parts, got, strict=True):
+                    for k, v in zip(part, vectors, strict=True):
+                        out[k] = v
+                yield pdf.assign(**{name: out})
+
+    return cut(df.mapInPandas(run, schema), "embedded")
 
 
 #: Model catalogue: dollars a million tokens in and out, calls at once, seconds to wait. The prices are fixed values.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,10 @@ def incident(edges: DataFrame, node_id: object) -> DataFrame:
     return out.unionByName(edges.where((F.col("dst") == F.lit(node_id)) & (F.col("src") != F.lit(node_id))).select("src", "dst", F.lit("in").alias("direction"))).distinct()
 
 
-def shortest_path(edges: DataFrame, source: object, target: object, most: int = 64) -> list | None:
-    """Nodes of a shortest directed path, the smallest in order of its nodes among equals; None without one.
+def shortest_path(edges: DataFrame, source: object, target: object, most: int | None = None) -> list | None:
+    """Nodes of a shortest directed path, the smallest in order of its nodes among equals; None without one (of `most` steps, where that is set).
 
-    Breadth first: each round keeps a node's smallest path. The frontier is a table every few rounds, so plans stay short.
+    Breadth first, until nothing new is reached: each round keeps a node's smallest path. The frontier and what was seen are tables, so plans stay short.
     """
     if not edges.where((F.col("src") == F.lit(source)) | (F.col("dst") == F.lit(source))).limit(1).count():
         return None
@@ -57,7 +59,7 @@ def shortest_path(edges: DataFrame, source: object, target: object, most: int =
     kind = dict(edges.dtypes)["src"]
     front = spark.createDataFrame([(source, [source])], f"id {kind}, path array<{kind}>")
     seen = front.select("id")
-    for k in range(most):
+    for k in itertools.count() if most is None else range(most):
         front = front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("path")).join(seen, "id", "left_anti")
         front = cut(front.withColumn("path", F.concat("path", F.array("id"))), f"bfs-{k}")
         if hit := front.where(F.col("id") == F.lit(target)).select("path").first():
@@ -65,6 +67,8 @@ def shortest_path(edges: DataFrame, source: object, target: object, most: int =
         if front.isEmpty():
             return None
         seen = seen.union(front.select("id"))
+        if k % 8 == 7:
+            seen = cut(seen, f"seen-{k}")
     return None
 
 
@@ -117,7 +121,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     e = cut(edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{name}-edges")
     label = cut(e.groupBy("src").agg(F.least(F.min("dst"), F.min("src")).alias("component")).withColumnRenamed("src", "id"), f"{name}-0")
-    for k in range(1, 200):
+    for k in itertools.count(1):
         near = e.join(label, e["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("low"))
         hooked = label.join(near, label["id"] == near["src"]).select("id", F.col("component").alias("was"), F.least("component", "low").alias("component"))
         up = label.select(F.col("id").alias("component"), F.col("component").alias("up"))
@@ -125,7 +129,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         label = new.select("id", "component")
         if new.where("was <> component").isEmpty():
             return label
-    return label
 
 
 def raw_chunk(nodes: DataFrame, chunks: DataFrame, node_id: object, pick: Column | None = None) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists, text
 from ..operators import entities, external, graph, relational, vector_search
+from ..sources.tables import cut
 
 KINDS = {"observables": "observable", "inferrables": "inferrable", "speculatives": "speculative"}
 
@@ -53,16 +54,16 @@ def categorized(df: DataFrame, client, sample: int = 20) -> DataFrame:
 
 
 def claims(df: DataFrame, client, personal_only: bool = True, limit: int | None = None) -> DataFrame:
-    """Observables, inferrables, speculatives and links of each conversation: a chain of calls, each shown the last answer; rows with a failed part go."""
-    from ..functions.tolerant_json import parse_column
-
+    """Observables, inferrables, speculatives and links of each conversation: four batches, each shown what the ones before found, [] where they failed; rows with a failed part go."""
     rows = df.where("is_personal") if personal_only else df
     rows = rows if limit is None else rows.orderBy("start_date", "conversation_id").limit(limit)
-    prompts = F.array(F.concat(F.lit("List observables.\n"), "skeleton_text"), F.lit("List inferrables."), F.lit("List speculatives."), F.lit("List causal links."))
-    asked = external.complete(rows.withColumn("_p", prompts).select("conversation_id", "_p"), client, "conversation_id", "_p")
-    names = [*KINDS, "causal_relationships"]
-    parts = [parse_column(F.try_element_at("answers", F.lit(k + 1)), "links" if n == "causal_relationships" else "described").alias(n) for k, n in enumerate(names)]
-    parsed = asked.select("conversation_id", *parts)
+    names = {**dict.fromkeys(KINDS, "described"), "causal_relationships": "links"}
+    asked, before = rows.select("conversation_id", "skeleton_text"), []
+    for name, contract in names.items():
+        shown = [part for n in before for part in (F.lit(f"\n{n}: "), F.coalesce(F.to_json(n), F.lit("[]")))]
+        asked = external.answer_column(asked, client, "conversation_id", F.concat(F.lit(f"List {name.replace('_relationships', ' links')}.\n"), "skeleton_text", *shown), contract, name)
+        before.append(name)
+    parsed = cut(asked.drop("skeleton_text"), "claims")
     bad = parsed.where(" OR ".join(f"{n} IS NULL" for n in names))
     return relational.drop_keys(rows.join(parsed, "conversation_id"), bad, ["conversation_id"])
 
@@ -74,7 +75,7 @@ def graph_nodes(df: DataFrame) -> DataFrame:
     named = entities.uniquify_labels(rows.withColumn("label", F.col("old")), "label", ["description", "conversation_id"], ["node_type"])
     mapping = named.groupBy("conversation_id", "old").agg(F.max_by("label", F.struct("node_type", "label")).alias("new"))
     linked = named.join(df.select("conversation_id", "causal_relationships"), "conversation_id")
-    return entities.relabel_relations(linked, mapping, "conversation_id", "label", "causal_relationships").drop("old")
+    return cut(entities.relabel_relations(linked, mapping, "conversation_id", "label", "causal_relationships").drop("old"), "claim-nodes")
 
 
 def deduplicated(nodes: DataFrame, client, embedder, threshold: float = 0.9, k: int | None = 20) -> DataFrame:

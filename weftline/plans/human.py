@@ -14,6 +14,7 @@ from ..functions import lists, text
 from ..functions import vectors as V
 from ..functions.tolerant_json import NODE_TYPE, parse
 from ..operators import entities, external, relational, sequences, vector_search
+from ..sources.tables import cut
 
 KINDS = ("meta", "context", "attributes")
 LINKS = "array<struct<id: string, caused_by: array<string>, caused: array<string>>>"
@@ -32,12 +33,13 @@ def chunks_sequential(messages: DataFrame, client, conversation: str = "conversa
         prompt = "Do these messages hold one conversation, or should they be split?\n" + "\n".join(f"{m['from']}: {m['content']}" for m in window)
         try:
             return parse(client.complete([{"role": "user", "content": prompt}]).text, "split") or {"decision": "NO_SPLIT"}
-        except Exception:  # noqa: BLE001  a failed call leaves the window to grow
+        except external.FAILURES:  # a failed call leaves the window to grow
             return {"decision": "NO_SPLIT"}
 
     cut_up = sequences.segment(decide)
     out = rows.groupBy(conversation).applyInPandas(lambda pdf: cut_up(pdf)[[f.name for f in schema]], schema)
-    return out.withColumn("sentiment", F.nanvl("sentiment", F.lit(None).cast("double")))
+    # the model is asked once, however often the chunks are used
+    return cut(out.withColumn("sentiment", F.nanvl("sentiment", F.lit(None).cast("double"))), "chunks")
 
 
 def chunks_rechunked(df: DataFrame, least: int = 7, conversation: str = "conversation") -> DataFrame:
@@ -72,7 +74,7 @@ def sanitized(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     tagged = lambda k: F.transform(F.coalesce(f"subgraph_{k}", F.array().cast(f"array<{NODE_TYPE}>")), lambda n: n.withField("subgraph_type", F.lit(k)))
     df = sequences.with_row_index(chunks.withColumn("subgraph_combined", F.concat(*[tagged(k) for k in reversed(KINDS)])), key, name="row").drop(*[f"subgraph_{k}" for k in KINDS])
     mapping = entities.sanitise_ids(df.select("row", F.explode("subgraph_combined").alias("n")).select("row", F.col("n.id").alias("id")))
-    return entities.remap_nodes(df, mapping, nodes="subgraph_combined").drop("row")
+    return cut(entities.remap_nodes(df, mapping, nodes="subgraph_combined").drop("row"), "subgraphs")
 
 
 def cross_chunk_links(chunks: DataFrame, client, key: str = "chunk_id", repeat_nodes: bool = False) -> DataFrame:
@@ -87,7 +89,7 @@ def cross_chunk_links(chunks: DataFrame, client, key: str = "chunk_id", repeat_n
     # several pairs may say something of one node, so their lists are joined before they are merged
     flat = links.select(key, F.posexplode("links").alias("k", "n")).groupBy(key, F.col("n.id").alias("id")).agg(F.flatten(lists.ordered(F.coalesce("n.caused_by", F.array().cast("array<string>")), F.col("k"))).alias("caused_by"), F.flatten(lists.ordered(F.coalesce("n.caused", F.array().cast("array<string>")), F.col("k"))).alias("caused"))
     joined = flat.groupBy(key).agg(F.collect_list(F.struct("id", "caused_by", "caused")).alias("links"))
-    return relational.merge_links(chunks, joined, key).join(links.withColumnRenamed("links", "new_causal_links"), key, "left")
+    return cut(relational.merge_links(chunks, joined, key).join(links.withColumnRenamed("links", "new_causal_links"), key, "left"), "linked-chunks")
 
 
 def node_embeddings(chunks: DataFrame, embedder, key: str = "chunk_id") -> DataFrame:
@@ -98,7 +100,7 @@ def node_embeddings(chunks: DataFrame, embedder, key: str = "chunk_id") -> DataF
 def nodes_deduplicated(nodes: DataFrame, first: str, second: str, client, embedder, threshold: float = 0.98) -> DataFrame:
     """Entities of each user, merged by similarity; ids unique over all; propositions of merged ones told anew and embedded again."""
     df = nodes.withColumn("user", text.subject(F.col("proposition"), first, second)).withColumn("relationships", lists.relationships(F.col("id"), F.col("caused"), F.col("caused_by")))
-    df = df.withColumn("_ord", F.struct("chunk_id", "id"))
+    df = cut(df.withColumn("_ord", F.struct("chunk_id", "id")), "user-nodes")
     frames = [
         entities.merge_entities(df.where(F.col("user") == u), "id", "embedding", threshold, ["user", "proposition", "embedding"], [("chunk_ids", "chunk_id"), ("datetimes", "datetime"), ("propositions_to_merge", "proposition"), ("subgraph_types", "subgraph_type")], "relationships", "_ord")
         for u in ("both", first, second)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import asdict
-from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_row_prefix
 from ..operators.external import TRACE_SCHEMA, Trace
 from ..operators.relational import connect
-from .tables import cut
 
 
 def write_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -20,15 +19,32 @@ def write_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def holds_table(spark: SparkSession, path: str) -> bool:
+    """Whether there is a finished table at path; an error of the file system is raised, not taken for a no."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.listStatus(at).__len__() > 0
+
+
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> None:
-    """Rows of the table at path replaced by those of new with their keys, others added; twice the same is once."""
+    """Rows of the table at path replaced by those of new with their keys, others added; twice the same is once. Of rows of new that share a key one counts.
+
+    The merged table is written beside the old one and then takes its name, so a failure on the way leaves one of them whole.
+    """
     new = new.dropDuplicates(list(keys))
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  there is no table yet
+    if not holds_table(spark, path):
         new.write.mode("overwrite").parquet(path)
         return
-    cut(old.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True), "upsert").write.mode("overwrite").parquet(path)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    at, fresh, old_at = path_of(path), path_of(f"{path}.new"), path_of(f"{path}.old")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = spark.read.parquet(path)
+    old.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(old_at, True)
+    if not (fs.rename(at, old_at) and fs.rename(fresh, at)):
+        raise OSError(f"{path}.new could not take the place of {path}")
+    fs.delete(old_at, True)
+    spark.catalog.refreshByPath(path)
 
 
 def save_graph(spark: SparkSession, root: str, nodes: DataFrame, chunks: DataFrame, users: DataFrame) -> None:
@@ -40,18 +56,33 @@ def save_graph(spark: SparkSession, root: str, nodes: DataFrame, chunks: DataFra
         upsert(spark, f"{root}/{name}", links, links.columns)
 
 
+def _xml(value: Column, quote: bool = False) -> Column:
+    text = F.replace(F.replace(F.replace(value.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit("&quot;")), F.lit('"')) if quote else text
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str = "id") -> None:
-    """One GraphML file, written row by row from an iterator, so the driver holds no more than a partition."""
+    """One GraphML file, on any file system that Spark reaches: tasks spell the lines, which then pass through the driver a partition at a time."""
     names = [c for c in nodes.columns if c != node_id]
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        f.writelines(f'<key id="{c}" for="node" attr.name="{c}" attr.type="string"/>\n' for c in names)
-        f.write('<graph edgedefault="directed">\n')
-        for r in nodes.toLocalIterator():
-            f.write(f"<node id={quoteattr(str(r[node_id]))}>" + "".join(f'<data key="{c}">{escape(str(r[c]))}</data>' for c in names if r[c] is not None) + "</node>\n")
-        for r in edges.toLocalIterator():
-            f.write(f"<edge source={quoteattr(str(r['src']))} target={quoteattr(str(r['dst']))}/>\n")
-        f.write("</graph>\n</graphml>\n")
+    said = lambda c: F.col(c) if dict(nodes.dtypes)[c] == "string" else F.to_json(F.col(c)) if dict(nodes.dtypes)[c].startswith(("array", "map", "struct")) else F.col(c).cast("string")
+    data = [F.coalesce(F.concat(F.lit(f'<data key="{c}">'), _xml(said(c)), F.lit("</data>")), F.lit("")) for c in names]
+    of_node = nodes.select(F.concat(F.lit("<node id="), _xml(F.col(node_id), True), F.lit(">"), *data, F.lit("</node>")).alias("line"))
+    of_edge = edges.select(F.concat(F.lit("<edge source="), _xml(F.col("src"), True), F.lit(" target="), _xml(F.col("dst"), True), F.lit("/>")).alias("line"))
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'<key id="{c}" for="node" attr.name="{c}" attr.type="string"/>' for c in names), '<graph edgedefault="directed">']
+    spark = nodes.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        held, size = head, 0
+        for r in itertools.chain(of_node.toLocalIterator(), of_edge.toLocalIterator()):
+            held.append(r["line"])
+            size += len(r["line"])
+            if size > 1 << 20:
+                out.write(bytearray(("\n".join(held) + "\n").encode()))
+                held, size = [], 0
+        out.write(bytearray("\n".join([*held, "</graph>", "</graphml>", ""]).encode()))
+    finally:
+        out.close()
 
 
 def save_traces(spark: SparkSession, traces: Sequence[Trace], path: str) -> None:
