@@ -25,8 +25,8 @@ SEQUENCE = 4096
 END_ID = 2
 #: Lengths count in units of so many tokens, so the linear program has at most SEQUENCE / UNIT rows.
 UNIT = 8
-#: Pieces of a length are ranked in parts of about so many, so that no task holds all pieces of a length.
-RANK_ROWS = 20_000
+#: Pieces are ranked in about so many parts inside their lengths, so that no task holds all pieces of a length and what is broadcast of the parts is bounded.
+RANK_PARTS = 1 << 18
 #: Beyond so many tokens between white space, or words, a Python worker forgets their ids.
 CACHE_TOKENS = 300_000
 #: The tokenizer file's own word pattern (a fixed value), for texts of Latin-1 characters; others go to the library whole.
@@ -194,8 +194,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     if not found:
         return pieces.selectExpr("*", "bigint(0) as sequence_id", "bigint(0) as offset")
     held = spark.createDataFrame(found, "size int, first long, items int, bins long, first_sequence long, first_slot int")
-    # one row for each length and part: sequence / UNIT rows, and one more for every RANK_ROWS pieces
-    parts = spark.createDataFrame([(size, -(-n // RANK_ROWS)) for size, n in histogram.items()], "size int, parts long")
+    # one row for each length and part: sequence / UNIT + RANK_PARTS rows at most
+    rows_each = max(256, -(-sum(histogram.values()) // RANK_PARTS))
+    parts = spark.createDataFrame([(size, -(-n // rows_each)) for size, n in histogram.items()], "size int, parts long")
     sized = sized.join(F.broadcast(parts), "size").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), "parts")).drop("parts")
     before = cut(sized.groupBy("size", "part").agg(F.count("*").alias("n")), "part-counts").selectExpr("size", "part", "sum(n) over (partition by size order by part) - n as before")
     ranked = sized.join(F.broadcast(before), ["size", "part"]).withColumn("rank", F.expr("before + row_number() over (partition by size, part order by doc_id, start) - 1"))
