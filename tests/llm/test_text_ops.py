@@ -114,20 +114,125 @@ def test_main_text():
     page = """<body><header class=x>SITE</header><div class="cookie-notice">c</div><nav>m</nav><main><article><header><h1>T &amp; U</h1></header><p>one <b>two</b>
     <p>three<br>four&nbsp; five<ul><li>a<li>b</ul><aside>x</aside><form>f<input></form><section id="comments"><article class=comment>c1</article></section><div style="display: none">h</div></article></main>
     <footer>f</footer><script>if(a<b) "</p>"</script>"""
-    assert main_text.main_text(page) == "T & U\none two\nthree four five\na\nb"
-    assert main_text.main_text("<div id=content><h1>A</h1>x<p>y</p> z</div><div class=sidebar>s</div>") == "A\nx\ny\nz"
+    assert main_text.main_text(page) == "T & U\n\none two\n\nthree four five\n\na\n\nb"
+    assert main_text.main_text("<div id=content><h1>A</h1>x<p>y</p> z</div><div class=sidebar>s</div>") == "A\n\nx\n\ny\n\nz"
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<script>x") == ""
     assert main_text.main_text("plain < text &lt; more") == "plain < text < more"
     assert main_text.main_text("<p>" + "word " * 100_000) == ("word " * 100_000).strip()
-
-
-def test_site_style_tree(spark):
-    rows = [(k, f"http://a.com/{k}", f"<body><div class='top'>Welcome to Site</div><div><h2>Title {k}</h2><p>text number {k}</p></div><div class='x9'>All rights<p>kept</p></div></body>") for k in range(20)]
-    rows += [(50, None, None), (51, "odd", ""), (52, "http://b.com/", "<body><div class='top'>Welcome</div></body>"), (0, "http://a.com/0", "<p>again</p>")]
-    pages = spark.createDataFrame([(*r, "m") for r in rows], "page_id long, url string, html string, main_text string")
-    got = {r["page_id"]: r["main_text"] for r in main_text.extract(pages).where("main_text <> 'again'").collect()}
-    assert got[3] == "Title 3\ntext number 3" and got[50] == got[51] == "" and got[52] == "Welcome"
-    assert main_text.extract(pages).count() == len(rows) and main_text.extract(pages.limit(0)).count() == 0
+    deep = "<div class=content>" * 20_000 + "deep"
+    assert main_text.main_text(deep) == main_text.main_text(deep, "h", np.array([1])) == "deep"
+    assert main_text.main_text('<p>a <a href="x>b</a> c</p><p>d') != ""
+
+
+def site_tree(pages):
+    """The tree of one host by merging whole pages, node by node from the root, and the composite importance of its nodes by recursion: {place: importance} for nodes of several pages."""
+    import math
+
+    parsed = []
+    for html in pages:
+        tree = main_text.parse(html)
+        main_text.styled(tree, "h")
+        parsed.append(tree)
+    out = {}
+
+    def kids_of(node):
+        runs = []
+        for k in node.kids:
+            if runs and runs[-1][-1].look == k.look and (k.tag in ("p", "li", "ul", "h1", "h2") or " " in k.look or k.look[-1] != "."):
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        return runs
+
+    def value(place, on):
+        """on: for each page with this node, its elements there."""
+        m = len(on)
+        styles, said, n_said = {}, {}, {}
+        for page in on:
+            for e in page:
+                name = tuple(r[0].look for r in kids_of(e))
+                styles.setdefault(name, []).append((page, e))
+            talking = [e.said for e in page if e.said]
+            for t in talking:
+                said[t] = said.get(t, 0) + 1 / len(talking)
+            for t in set(talking):
+                n_said[t] = n_said.get(t, 0) + 1
+        share = {name: sum(1 / len(page) for page, _ in es) / m for name, es in styles.items()}
+        presentation = 1.0 if m == 1 else -sum(p * math.log(p) / math.log(m) for p in share.values())
+        content = 1.0 if m == 1 or not said else 1 - sum(w * math.log(n_said[t]) / math.log(m) for t, w in said.items()) / sum(said.values())
+        kids = {}
+        for name, es in styles.items():
+            for k in range(len(name)):
+                by_page = {}
+                for page, e in es:
+                    by_page.setdefault(id(page), []).extend(kids_of(e)[k])
+                kids[name, k] = value((*place, name, k), list(by_page.values()))
+        total = 0.0
+        for page in on:
+            for name in {tuple(r[0].look for r in kids_of(e)) for e in page}:
+                mine = [e for e in page if tuple(r[0].look for r in kids_of(e)) == name]
+                # of a node's importance on a page, what its children have on that very page counts
+                parts = [kids[name, k][1][frozenset(id(x) for e in mine for x in kids_of(e)[k])] for k in range(len(name))] + [content] * any(e.said for e in mine)
+                weight = 0.9 ** len(styles) if name else 1.0
+                total += len(mine) / len(page) * ((1 - weight) * presentation + weight * sum(parts) / len(parts)) if parts else 1.0
+        each = {}
+        for page in on:
+            v = 0.0
+            for name in {tuple(r[0].look for r in kids_of(e)) for e in page}:
+                mine = [e for e in page if tuple(r[0].look for r in kids_of(e)) == name]
+                parts = [kids[name, k][1][frozenset(id(x) for e in mine for x in kids_of(e)[k])] for k in range(len(name))] + [content] * any(e.said for e in mine)
+                weight = 0.9 ** len(styles) if name else 1.0
+                v += len(mine) / len(page) * ((1 - weight) * presentation + weight * (sum(parts) / len(parts) if parts else 1.0))
+            each[frozenset(id(e) for e in page)] = v
+        if m > 1:
+            out[place] = sum(each.values()) / m, on[0][0].key
+        return out.get(place), each
+
+    value((), [[t] for t in parsed])
+    return {key: v for v, key in out.values()}
+
+
+def test_style_tree_against_merged_pages(spark):
+    rng = random.Random(11)
+    boiler = ["<div><p>Home of things</p><p>About us</p></div>", "<div><ul><li>One<li>Two<li>Three</ul></div>", "<p>All rights are kept</p>"]
+    rows = []
+    for k in range(30):
+        body = "".join(f"<p>sentence {rng.randrange(1000)} of page {k}</p>" for _ in range(rng.randint(1, 5)))
+        extra = f"<h2>part {k}</h2><div>note {rng.randrange(3)}</div>" if rng.random() < 0.4 else ""
+        list_ = "<ul>" + "".join(f"<li>{rng.choice(['a', 'b', f'c{k}'])}" + ("<p>x</p>" if rng.random() < 0.3 else "") + "</li>" for _ in range(rng.randint(1, 4))) + "</ul>"
+        rows.append((k, f"http://h.com/{k}", f"<body>{boiler[0]}{boiler[1]}<section id=s{k}><h1>Title {k}</h1>{body}{extra}{list_}</section>{boiler[2]}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["node"]: r["importance"] for r in main_text.importances(pages.selectExpr("'h' as host", "html")).collect()}
+    want = site_tree([r[2] for r in rows])
+    assert set(got) == set(want) and len(got) > 10
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+    # nothing here has a telling name: the tree alone takes the frame away
+    text = {r["page_id"]: r["main_text"] for r in main_text.extract(pages).collect()}
+    off = {r["page_id"]: r["main_text"] for r in main_text.extract(pages, importance=-1.0).collect()}
+    for k, _, _ in rows:
+        assert "Home of things" in off[k] and "Two" in off[k] and "All rights" in off[k]
+        assert "Home of things" not in text[k] and "Two" not in text[k] and "All rights" not in text[k]
+        assert f"Title {k}" in text[k] and f"of page {k}" in text[k]
+
+
+def test_small_hosts_and_articles(spark):
+    frame = "<body><div>Welcome to the site</div><div><h2>Title {0}</h2><p>text number {0}</p></div><div>All rights<p>kept</p></div></body>"
+    rows = [(k, f"http://a.com/{k}", frame.format(k)) for k in range(2)] + [(10, "http://b.com/", frame.format(10))]
+    rows += [(20 + k, f"http://c.com/{k}", f"<body><article><h1>T{k}</h1><p>Licensed to all</p><p>own {k}</p></article></body>") for k in range(5)]
+    rows += [(50, None, None), (51, "odd", "<div>x</div>"), (52, "odd", "<div>x</div>"), (0, "http://a.com/0", frame.format(0))]
+    pages = spark.createDataFrame([(*r, "m", "h", 1) for r in rows], "page_id long, url string, html string, main_text string, mt_host string, mt_low int")
+    out = main_text.extract(pages)
+    got = {r["page_id"]: r["main_text"] for r in out.collect()}
+    assert set(out.columns) == set(pages.columns) - {"html"} and {r["mt_host"] for r in out.collect()} == {"h"}
+    assert got[0] == "Title 0\n\ntext number 0" and got[1] == "Title 1\n\ntext number 1"
+    assert got[10] == "Welcome to the site\n\nTitle 10\n\ntext number 10\n\nAll rights\n\nkept"  # a host of one page has nothing to compare
+    assert got[22] == "T2\n\nLicensed to all\n\nown 2" and got[50] == "" and got[51] == got[52] == "x"
+    assert out.count() == len(rows) and main_text.extract(pages.limit(0)).count() == 0
+    # the way of many low nodes gives the same
+    rows_ = pages.selectExpr("'a.com' as host", "html").where("page_id < 2")
+    low = main_text.importances(rows_).where("importance < 0.3").select("node")
+    by = main_text.nodes_of_hosts(rows_, low).first()
+    assert by["host"] == "a.com" and main_text.main_text(frame.format(1), "a.com", np.sort(np.array(by["low"]))) == got[1]
 
 
 def test_misspelt_inside_an_open_prefix():
