@@ -74,6 +74,19 @@ def test_ann_edges(spark):
     assert len(ann.knn(df.where("vec_id IN (100, 200, 300)"), "id % 100 = 0").collect()) == 6
 
 
+def test_ann_repeats_lengths_and_large_numbers(spark):
+    rng = np.random.default_rng(4)
+    rows = [(100, [1.0, 0.0, 0.01 * k]) for k in range(200)] + [(k, [*map(float, rng.standard_normal(3))]) for k in range(1, 60)]
+    rows += [(200, [1.0, 2.0]), (201, [1.0, 2.5]), (300, [1e300, -1e300, 3.0, 1.0]), (301, [1e300, 1e300, 3.0, 1.0]), (302, [-1e300, 1e299, 3.0, 1.0])]
+    got = ann.knn(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 100 = 0").collect()
+    mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 100)
+    want = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(v, [1.0, 0.0, 0.0], strict=True)))), i) for i, v in rows if 0 < i < 60)[:10]
+    true = {i: d for d, i in want}
+    assert [n for n, _, _ in mine] == list(range(1, 11)) and len({i for _, i, _ in mine} & true.keys()) >= 8 and all(abs(d - true[i]) < 1e-12 for _, i, d in mine if i in true)
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 200] == [(201, 0.5)]
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 300] == [301, 302]
+
+
 def test_mixing(spark):
     docs = [(i, "big" if i % 3 else ("small" if i % 2 else None), "t") for i in range(3000)] + [(None, "big", None), (7, "big", ""), (7, "big", "")]
     df = spark.createDataFrame([(*d, 0.5, "z") for d in docs], "doc_id long, source string, text string, mix_rate double, mix_n string")

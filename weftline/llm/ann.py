@@ -2,7 +2,9 @@
 
 Trees are fitted on a bounded sample; every row of the table is put in a leaf of each. A query takes the most promising leaf
 of any tree from its queue until it has met its share of the rows. That share is the smallest
-at which the sample's own queries find RECALL of their true neighbours, measured against brute force in the sample.
+at which the sample's own queries find RECALL of their true neighbours, measured against brute force in the sample; as a table of N rows
+holds its k nearest where a sample of n has its k n / N nearest, that many count. Queries that so find fewer than they
+should go on with their queue, up to all rows.
 """
 
 from __future__ import annotations
@@ -65,6 +67,7 @@ class Tree:
             normal = x[a] - x[b]
             if not normal.any():
                 normal = rng.standard_normal(x.shape[1])
+            normal = normal / np.abs(normal).max()
             normal = normal / np.linalg.norm(normal)
             along = x @ normal
             offset = float(np.median(along))
@@ -103,7 +106,7 @@ def share_needed(forest: list[Tree], x: np.ndarray, k: int, recall: float) -> fl
     sizes = [np.bincount(h, minlength=t.leaves) for h, t in zip(homes, forest, strict=True)]
     needed = []
     for q in np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(int):
-        d = ((x - x[q]) ** 2).sum(axis=1)
+        d = distances(x, x[q])
         d[q] = np.inf
         true = np.argpartition(d, min(k, len(x) - 1) - 1)[:k] if len(x) > 1 else []
         met, first = 0, {}
@@ -115,39 +118,51 @@ def share_needed(forest: list[Tree], x: np.ndarray, k: int, recall: float) -> fl
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): vectors with an id, without null, non-finite or only zero components, of the table's most common length."""
-    v = F.col(vector_col).cast("array<double>")
+    """(id, v): vectors with an id, without null, non-finite or only zero components, in the precision that they came in."""
+    v = F.col(vector_col)
+    v = v if dict(vectors.dtypes)[vector_col] == "array<float>" else v.cast("array<double>")
     df = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    df = df.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
-    most = df.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return df.where(F.size("v") == (most[0]["d"] if most else 0))
+    return df.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64, copy=False)
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    d = x - q
+    most = np.abs(d).max(initial=0)
+    return np.sqrt((d * d).sum(axis=1)) if most < 1e150 else most * np.sqrt(((d / most) ** 2).sum(axis=1))
 
 
 def nearest(k: int):
     """For the rows and the queries that meet in a block of a leaf: each query's k nearest, by exact distances."""
 
     def search(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(rows) and len(queries):
-            x, ids, squares = np.array(rows["v"].tolist()), rows["id"].to_numpy(), None
-            squares = (x * x).sum(axis=1)
+            x, ids, asked = matrix(rows["v"]), rows["id"].to_numpy(), queries["id"].to_numpy()
+            most = np.abs(x).max()
+            scale = 1.0 if most < 1e100 else most
+            squares = ((x / scale) ** 2).sum(axis=1)
             repeated = len(np.unique(ids)) < len(ids)
             for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
-                q = np.array(part["v"].tolist())
-                rough = squares[None, :] - 2 * (q @ x.T)
-                for i, query in enumerate(part["id"].to_numpy()):
+                q = matrix(queries["v"].iloc[at : at + 256])
+                rough = squares[None, :] - 2 * (q / scale @ (x / scale).T)
+                slack = 1e-6 * (1 + squares.max())
+                for i, query in enumerate(asked[at : at + 256]):
                     d = rough[i]
-                    kept = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)] + 1e-6 * (1 + squares.max()))
+                    kept = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)] + slack)
                     kept = np.arange(len(ids)) if repeated else kept
                     kept = kept[ids[kept] != query]
-                    exact = np.sqrt(((x[kept] - q[i]) ** 2).sum(axis=1))
+                    exact = distances(x[kept], q[i])
                     best = np.lexsort((ids[kept], exact))
                     if repeated:  # an id counts once, at its smallest distance
                         best = best[np.sort(np.unique(ids[kept][best], return_index=True)[1])]
                     best = best[:k]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[kept][best], "score": exact[best]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                    found.append((np.full(len(best), query), ids[kept][best], exact[best]))
+        parts = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=t) for i, t in enumerate((np.int64, np.int64, np.float64))]
+        return pd.DataFrame({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]})
 
     return search
 
@@ -156,58 +171,84 @@ def knn(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id",
     """query_id, rank (from 1), vec_id, score: for each row that `is_query` (SQL over id) names, its k nearest other rows found, by Euclidean distance.
 
     Ties go to the smaller id; queries with fewer candidates get them all. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor do those of another length than most. Rows that repeat an id are one candidate, at its smallest distance.
+    non-finite components take no part. Vectors of different lengths have no distance, so each length is searched by itself. Rows that repeat an id are one candidate, at its smallest distance;
+    as a query such an id has the first of its vectors, in order of length and components.
     Of more than k + 1 equal vectors those with the smallest ids stand for all, which changes no result, as ties go
-    to smaller ids. Leaves of any size are cut into blocks. An empty table gives no rows.
+    to smaller ids. Leaves of any size are cut into blocks. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4000)
     df = cut(usable(vectors, id_col, vector_col), "vectors")
-    fitted = df.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not fitted:
-        return spark.createDataFrame([], schema)
-    x = np.array([r["v"] for r in fitted])
+    repeated = not df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    df = cut(df.distinct(), "distinct-vectors") if repeated else df
+    queries = df.where(is_query)
+    queries = cut(queries.groupBy("id").agg(F.min(F.struct(F.size("v").alias("d"), "v")).alias("q")).select("id", "q.v") if repeated else queries, "queries")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in df.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
+        of = lambda t, d=r["d"]: t.where(F.size("v") == d)
+        out = out.unionByName(search_length(of(df), of(queries), k, trees, sample, recall, seed))
+    return out
+
+
+def search_length(df: DataFrame, queries: DataFrame, k: int, trees: int, sample: int, recall: float, seed: int) -> DataFrame:
+    """knn for vectors of one length, distinct by id and vector."""
+    spark = df.sparkSession
+    n_ids = df.select("id").distinct().count()
+    x = np.array([r["v"] for r in df.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()], dtype=np.float64)
     rng = np.random.default_rng(seed)
     forest = [Tree(x, LEAF, rng) for _ in range(trees)]
-    share = share_needed(forest, x, k, recall)
+    share = share_needed(forest, x, max(1, -(-k * len(x) // max(n_ids, 1))), recall)
     held = spark.sparkContext.broadcast(forest)
     # of many equal vectors, the first k + 1
-    rows = df.withColumn("same", F.xxhash64("v")).withColumn("nth", F.expr("dense_rank() over (partition by same order by id)")).where(F.col("nth") <= k + 1).select("id", "v")
+    rows = df.withColumn("nth", F.expr("row_number() over (partition by v order by id)")).where(F.col("nth") <= k + 1).select("id", "v")
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                found = np.stack([t.leaf_of(np.array(pdf["v"].tolist())) for t in held.value], axis=1)
-                yield pdf.assign(leaf=[r.tolist() for r in found])
+                found = np.stack([t.leaf_of(matrix(pdf["v"])) for t in held.value], axis=1)
+                yield pdf.assign(leaf=list(found))
 
-    placed = cut(rows.mapInPandas(homes, "id long, v array<double>, leaf array<int>"), "placed")
+    kind = dict(df.dtypes)["v"]
+    placed = cut(rows.mapInPandas(homes, f"id long, v {kind}, leaf array<int>"), "placed")
     placed = placed.select("id", "v", F.posexplode("leaf").alias("tree", "leaf"))
     sizes = cut(placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")), "leaf-sizes")
     counts = {(r["tree"], r["leaf"]): r["n"] for r in sizes.collect()}  # at most trees * sample / LEAF * 2 leaves
     total = sum(counts.values()) / trees
     known = spark.sparkContext.broadcast(counts)
-
-    def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, v in zip(pdf["id"], pdf["v"], strict=True):
-                met = 0
-                for n, leaf in leaves_for(held.value, np.asarray(v)):
-                    size = known.value.get((n, leaf), 0)
-                    out += [(i, v, n, leaf, b) for b in range(-(-size // BLOCK))]
-                    met += size
-                    if met >= share * total and met > k:
-                        break
-            yield pd.DataFrame(out, columns=["id", "v", "tree", "leaf", "block"])
-
-    queries = df.where(is_query).dropDuplicates(["id"]).mapInPandas(asks, "id long, v array<double>, tree int, leaf int, block int")
     blocks = F.ceil(F.col("n") / float(BLOCK)).cast("int")
     stored = placed.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select("id", "v", "tree", "leaf", "block")
     group = ["tree", "leaf", "block"]
-    found = stored.groupBy(*group).cogroup(queries.groupBy(*group)).applyInPandas(nearest(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)"))
-    return best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    wanted, part, results = min(k, n_ids - 1), share, []
+    while True:
+
+        def asks(batches: Iterator[pd.DataFrame], part: float = part) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for i, v in zip(pdf["id"], pdf["v"], strict=True):
+                    met = 0
+                    for n, leaf in leaves_for(held.value, np.asarray(v, dtype=np.float64)):
+                        size = known.value.get((n, leaf), 0)
+                        out += [(i, v, n, leaf, b) for b in range(-(-size // BLOCK))]
+                        met += size
+                        if met >= part * total and met > k:
+                            break
+                yield pd.DataFrame(out, columns=["id", "v", "tree", "leaf", "block"])
+
+        asked = queries.mapInPandas(asks, f"id long, v {kind}, tree int, leaf int, block int")
+        found = stored.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(nearest(k), "query_id long, vec_id long, score double")
+        best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)"))
+        best = cut(best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "neighbours")
+        enough = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= wanted).select(F.col("query_id").alias("id"))
+        left = cut(queries.join(enough, "id", "left_anti"), "short-queries")
+        if part >= trees or left.isEmpty():
+            results.append(best)
+            break
+        results.append(best.join(left.select(F.col("id").alias("query_id")), "query_id", "left_anti"))
+        queries, part = left, max(part * 4, 1e-3)
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
