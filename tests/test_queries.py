@@ -40,6 +40,6 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["pca_norms", "ward_sizes", "compression_ratio", "change_point_sessions"])
+@pytest.mark.parametrize("name", ["ward_sizes", "compression_ratio", "change_point_sessions"])
 def test_rows_only(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 0

@@ -107,3 +107,8 @@ def wrapped(text: Column, width: int) -> Column:
 def apple_time(seconds: Column) -> Column:
     """Seconds since 2001-01-01 as a timestamp."""
     return F.timestamp_seconds(seconds + F.lit(978_307_200))
+
+
+def without_trailing(value: Column, sign: str = "s") -> Column:
+    """value without any number of this sign at its end."""
+    return F.rtrim(value, F.lit(sign))

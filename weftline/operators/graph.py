@@ -46,6 +46,16 @@ def incident(edges: DataFrame, node_id: object) -> DataFrame:
     return out.unionByName(edges.where((F.col("dst") == F.lit(node_id)) & (F.col("src") != F.lit(node_id))).select("src", "dst", F.lit("in").alias("direction"))).distinct()
 
 
+def neighbours(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(id, neighbours): for each node, or each of seeds(id), the sorted ids that edges link with it in either direction; empty for a seed without any."""
+    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).union(edges.select("dst", "src")).where("id <> to").distinct()
+    found = both.groupBy("id").agg(F.sort_array(F.collect_list("to")).alias("neighbours"))
+    if seeds is None:
+        return found
+    none = F.array().cast(dict(found.dtypes)["neighbours"])
+    return seeds.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("neighbours", none).alias("neighbours"))
+
+
 def shortest_path(edges: DataFrame, source: object, target: object, most: int | None = None) -> list | None:
     """Nodes of a shortest directed path, the smallest in order of its nodes among equals; None without one (of `most` steps, where that is set).
 

@@ -51,8 +51,9 @@ def connect(nodes: DataFrame, chunks: DataFrame, users: DataFrame) -> dict[str,
     """M:N link tables of nodes with chunks (by chunk_ids) and with users (by name; 'both' with all users)."""
     of_chunk = nodes.select(F.col("id").alias("node_id"), F.explode("chunk_ids").alias("chunk_id")).join(chunks.select("chunk_id").distinct(), "chunk_id").distinct()
     named = nodes.where("user <> 'both'").select(F.col("id").alias("node_id"), "user").join(users.select(F.col("name").alias("user"), F.col("id").alias("user_id")), "user")
-    # the users of one archive are two, so every node of 'both' has two links
-    both = nodes.where("user = 'both'").select(F.col("id").alias("node_id"), F.lit(1).alias("one")).join(users.select(F.col("id").alias("user_id"), F.lit(1).alias("one")), "one")
+    # the users of one archive are two, so every node of 'both' has two links; they are one short list, joined by broadcast
+    everyone = users.agg(F.collect_set("id").alias("_users"))
+    both = nodes.where("user = 'both'").select(F.col("id").alias("node_id")).crossJoin(F.broadcast(everyone)).select("node_id", F.explode("_users").alias("user_id"))
     return {"node_chunk": of_chunk.select("node_id", "chunk_id"), "node_user": named.select("node_id", "user_id").unionByName(both.select("node_id", "user_id")).distinct()}
 
 
@@ -99,4 +100,24 @@ def new_and_gone(now: DataFrame, state: DataFrame, keys: Sequence[str]) -> tuple
 def histogram(df: DataFrame, column: str, width: int = 40) -> DataFrame:
     """Counts by value with a bar, the longest of them `width` signs."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("bar", F.repeat(F.lit("#"), F.ceil(F.col("n") * F.lit(width) / F.max("n").over(W.partitionBy(F.lit(1)))).cast("int")))
+    most = counts.agg(F.max("n").alias("_most"))  # one row
+    return counts.crossJoin(F.broadcast(most)).withColumn("bar", F.repeat(F.lit("#"), F.ceil(F.col("n") * F.lit(width) / F.col("_most")).cast("int"))).drop("_most")
+
+
+def beside_group(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
+    """df with aggregates of each row's group beside it: groups are summed before anything is shuffled, so a group may hold any share of the rows. Null keys are a group."""
+    names = {k: f"_key_{k}" for k in keys}
+    found = df.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(*[v.alias(n) for n, v in values.items()])
+    on = [df[k].eqNullSafe(found[n]) for k, n in names.items()]
+    return df.join(found, on, "left").drop(*names.values())
+
+
+def split_by_chunks(nodes: DataFrame, chunks: str = "chunk_ids") -> tuple[DataFrame, DataFrame]:
+    """(nodes of one chunk, nodes of several)."""
+    return nodes.where(F.size(chunks) == 1), nodes.where(F.size(chunks) > 1)
+
+
+def ranked_with_total(df: DataFrame, value: str, *ties: str) -> DataFrame:
+    """Rows with the largest value first, nulls before all, and beside each the total of all rows."""
+    total = df.agg(F.sum(value).alias("total"))  # one row
+    return df.crossJoin(F.broadcast(total)).orderBy(F.col(value).desc_nulls_first(), *ties)

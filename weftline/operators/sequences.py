@@ -14,6 +14,10 @@ from ..functions import lists
 from ..functions.text import repeated_content
 
 
+#: Chunks that one task goes through in lookback.
+LOOK_BLOCK = 20_000
+
+
 def with_row_index(df: DataFrame, *order: str | Column, name: str = "index", partition: Sequence[str] = ()) -> DataFrame:
     """A 0-based index in the given order. Without a partition the rows are range-partitioned and counted, so none is ranked in one task."""
     if partition:
@@ -77,16 +81,51 @@ def gap_sessions(df: DataFrame, time: str, partition: Sequence[str], order: Sequ
 def lookback(chunks: DataFrame, chunk: str = "chunk_id", start: str = "start_dt", end: str = "end_dt", partition: Sequence[str] = (), most: int = 10, always: int = 1, within: str = "INTERVAL 7 DAYS") -> DataFrame:
     """(chunk, prev, rank): earlier chunks of each by how late they ended: the latest `always`, and up to `most` that ended `within` before it starts.
 
-    Only chunks that rank among `most` count, so a window of preceding rows holds them when ends grow with chunk ids;
-    otherwise each is ranked against all earlier ones of its partition.
+    Chunks are taken in blocks in their order. The `most` latest ends of each block are merged from block to block, so each block knows those of all before it, and
+    goes through its own rows with them: work grows with the chunks, not with their pairs, and no task holds more than a block or the blocks' short lists.
     """
-    a, b = chunks.alias("a"), chunks.select(*[F.col(p).alias(f"_{p}") for p in partition], F.col(chunk).alias("prev"), F.col(end).alias("prev_end")).alias("b")
-    on = F.col("prev") < F.col(f"a.{chunk}")
-    for p in partition:
-        on = on & F.col(f"a.{p}").eqNullSafe(F.col(f"b._{p}"))
-    pairs = a.join(b, on).select(*[F.col(f"a.{p}") for p in partition], F.col(f"a.{chunk}"), F.col(f"a.{start}").alias("_start"), "prev", "prev_end")
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*partition, chunk).orderBy(F.desc("prev_end"), "prev"))).where(F.col("rank") <= most)
-    return ranked.where((F.col("rank") <= always) | (F.col("_start") - F.col("prev_end") <= F.expr(within))).select(*partition, chunk, "prev", F.col("rank").cast("long").alias("rank"))
+    rows = with_row_index(chunks.select(*partition, F.col(chunk).alias("_c"), F.unix_micros(F.col(start).cast("timestamp")).alias("_s"), F.unix_micros(F.col(end).cast("timestamp")).alias("_e"), F.col(start).alias("_start"), F.col(end).alias("_end")), "_c", name="_i", partition=partition)
+    rows = rows.withColumn("_block", F.floor(F.col("_i") / LOOK_BLOCK).cast("long"))
+    kinds = dict(rows.dtypes)
+    keys = "".join(f"{p} {kinds[p]}, " for p in partition)
+
+    def latest(held: list, new: list) -> list:
+        return sorted([*held, *new], key=lambda x: (-x[0], x[1]))[:most]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, before = [], []
+        for es, cs in zip(pdf.sort_values("_block")["_es"], pdf.sort_values("_block")["_cs"], strict=True):
+            before.append(held)
+            held = latest(held, list(zip(es, cs, strict=True)))
+        out = pdf.sort_values("_block", ignore_index=True)[[*partition, "_block"]]
+        return out.assign(_bes=[[x[0] for x in b] for b in before], _bcs=[[x[1] for x in b] for b in before])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", ignore_index=True)
+        known = pdf["_bes"].iloc[0] is not None
+        held = list(zip(pdf["_bes"].iloc[0], pdf["_bcs"].iloc[0], strict=True)) if known else []
+        row, prev, rank = [], [], []
+        for k, (c, e) in enumerate(zip(pdf["_c"], pdf["_e"], strict=True)):
+            row += [k] * len(held)
+            prev += [x[1] for x in held]
+            rank += range(1, len(held) + 1)
+            if not pd.isna(e):
+                held = latest(held, [(int(e), c)])
+        at = pdf.iloc[row]
+        return pd.DataFrame({**{p: at[p].to_numpy() for p in partition}, "_c": at["_c"].to_numpy(), "prev": prev, "rank": rank})
+
+    ends = F.array_sort(F.collect_list(F.when(F.col("_e").isNotNull(), F.struct((-F.col("_e")).alias("e"), F.col("_c").alias("c")))))
+    tops = rows.groupBy(*partition, "_block").agg(F.slice(ends, 1, most).alias("_t")).select(*partition, "_block", F.transform("_t", lambda x: -x["e"]).alias("_es"), F.transform("_t", lambda x: x["c"]).alias("_cs"))
+    before = (tops.groupBy(*partition) if partition else tops.withColumn("_g", F.lit(0)).groupBy("_g")).applyInPandas(fold, f"{keys}_block long, _bes array<long>, _bcs array<{kinds['_c']}>")
+    on = [rows["_block"] == before["_block"], *[rows[p].eqNullSafe(before[p]) for p in partition]]
+    joined = rows.join(before, on, "left").select(*[rows[c] for c in rows.columns], "_bes", "_bcs")
+    found = joined.groupBy(*partition, "_block").applyInPandas(walk, f"{keys}_c {kinds['_c']}, prev {kinds['_c']}, rank long")
+    starts = chunks.select(*[F.col(p).alias(f"_p_{p}") for p in partition], F.col(chunk).alias("_c"), F.col(start).alias("_start"))
+    stops = chunks.select(*[F.col(p).alias(f"_q_{p}") for p in partition], F.col(chunk).alias("prev"), F.col(end).alias("_end"))
+    same = lambda left, right, mark, c: [left[c] == right[c], *[left[p].eqNullSafe(right[f"_{mark}_{p}"]) for p in partition]]
+    out = found.join(starts, same(found, starts, "p", "_c"))
+    out = out.join(stops, [found["prev"] == stops["prev"], *[found[p].eqNullSafe(stops[f"_q_{p}"]) for p in partition]])
+    return out.where((found["rank"] <= always) | (F.col("_start") - F.col("_end") <= F.expr(within))).select(*[found[p] for p in partition], found["_c"].alias(chunk), found["prev"].alias("prev"), found["rank"].alias("rank"))
 
 
 def lookback_sorted(chunks: DataFrame, chunk: str, start: str, end: str, partition: Sequence[str], most: int = 10, always: int = 1, within: str = "INTERVAL 7 DAYS") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.tables import cut
+from .sequences import with_row_index
 
 #: Rows of a block of the block-wise comparison of all rows.
 BLOCK = 2048
@@ -23,26 +23,30 @@ def unit_rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
 def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, k: int | None = None, strict: bool = False, normalise: bool = True) -> DataFrame:
     """(i, j, sim), i <> j: rows at least `threshold` alike, among the k nearest of i (itself counted) if k is given.
 
-    The table is cut into blocks and every pair of blocks is a task of matrix products in double precision, so no side is
-    broadcast and a task holds two blocks. Each block is replicated to as many tasks as there are blocks.
+    The table is cut into blocks and every two blocks are a task of one matrix product in double precision, which gives both directions, so no side is
+    broadcast and a task holds two blocks. With k, a task puts out no more than the k nearest of each row (and ties).
     """
     rows = unit_rows(df, id_col, vector) if normalise else df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = cut(rows, "unit")
     blocks = max(1, -(-rows.count() // BLOCK))
-    a = rows.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # the other side has names of its own: both sides come from one table
-    other = rows.select(F.col("id").alias("other"), F.col("v").alias("w"))
-    b = other.withColumn("d", F.pmod(F.xxhash64("other"), F.lit(blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = own.select("id", "v", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     kind = dict(rows.dtypes)["id"]
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"i": [], "j": [], "sim": []})
-        sim = np.array(left["v"].tolist()) @ np.array(right["w"].tolist()).T
-        x, y = np.nonzero(sim > threshold if strict else sim >= threshold)
-        return pd.DataFrame({"i": left["id"].to_numpy()[x], "j": right["other"].to_numpy()[y], "sim": sim[x, y]})
-
-    pairs = a.groupBy("a", "b").cogroup(b.groupBy("c", "d")).applyInPandas(compare, f"i {kind}, j {kind}, sim double")
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = (pdf[pdf["own"] == block] for block in key)
+        out = []
+        if len(one) and len(two):
+            sim = np.stack(one["v"].to_numpy()) @ np.stack(two["v"].to_numpy()).T
+            for left, right, s in ((one, two, sim), (two, one, sim.T))[: 1 + (key[0] != key[1])]:
+                near = s > threshold if strict else s >= threshold
+                if k is not None and k < s.shape[1]:
+                    near &= s >= np.partition(s, -k, axis=1)[:, -k, None]
+                x, y = np.nonzero(near)
+                out.append(pd.DataFrame({"i": left["id"].to_numpy()[x], "j": right["id"].to_numpy()[y], "sim": s[x, y]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"i": [], "j": [], "sim": []})
+
+    pairs = dealt.groupBy("a", "b").applyInPandas(compare, f"i {kind}, j {kind}, sim double")
     if k is not None:  # rows under the threshold rank behind, so they change no rank that counts
         pairs = pairs.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("sim"), (F.col("i") != F.col("j")), "j"))).where(F.col("r") <= k).drop("r")
     return pairs.where("i <> j")
@@ -59,7 +63,8 @@ def top_similar(df: DataFrame, query: list[float], id_col: str, vector: str, k:
 def prefix_neighbours(df: DataFrame, id_col: str, vector: str, order: list[str], k: int = 20, above: float = 0.7) -> DataFrame:
     """(id, prev, sim): for each row the earlier rows among its k nearest earlier ones that are more than `above` alike, and of the latest earlier ones so many as
     make k with those, at sim 0 where they were not there already."""
-    rows = cut(df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), *order).withColumn("ord", F.row_number().over(W.orderBy(*order, "id"))).select("id", "v", "ord"), "ordered")
+    named = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), *[F.col(c).alias(f"_o{n}") for n, c in enumerate(order)])
+    rows = cut(with_row_index(named, *[f"_o{n}" for n in range(len(order))], "id", name="ord").select("id", "v", (F.col("ord") + 1).alias("ord")), "ordered")
     kind = dict(rows.dtypes)["id"]
     blocks = max(1, -(-rows.count() // BLOCK))
     block = F.floor((F.col("ord") - 1) / BLOCK).cast("int")
@@ -86,12 +91,32 @@ def prefix_neighbours(df: DataFrame, id_col: str, vector: str, order: list[str],
     return near.select("id", "prev", "sim").unionByName(fill.select("id", "prev", F.lit(0.0).alias("sim")))
 
 
-def pooled_rank(df: DataFrame, queries: DataFrame, id_col: str, vector: str, group: str, query_vector: str, k: int = 30, floor: float = 0.0) -> DataFrame:
-    """(group, id, sim, rank): rows ranked for each group of query vectors by the largest product with any of them, at least `floor`."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(1).alias("one"))
-    q = queries.select(F.col(group), F.col(query_vector).cast("array<double>").alias("q"), F.lit(1).alias("one"))
-    scored = rows.join(q, "one").groupBy(group, "id").agg(F.greatest(F.max(V.dot(F.col("v"), F.col("q"))), F.lit(floor)).alias("sim"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("sim"), "id")).cast("long")).where(F.col("rank") <= k)
+def pooled_rank(df: DataFrame, queries: DataFrame, id_col: str, vector: str, group: str, query_vector: str, k: int | None = 30, floor: float = 0.0, least: float | None = None) -> DataFrame:
+    """(group, id, sim, rank): rows ranked for each group of query vectors by the largest product with any of them, at least `floor`; those at least `least` alike.
+
+    Blocks of rows meet blocks of queries, a matrix product a task. A task puts out the k best of each group that it saw, which hold the k best of all.
+    """
+    rows = cut(df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")), "pool-rows")
+    asked = cut(queries.select(F.col(group).alias("g"), F.col(query_vector).cast("array<double>").alias("q")), "pool-queries")
+    n, m = (max(1, -(-t.count() // BLOCK)) for t in (rows, asked))
+    a = rows.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    b = asked.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(m)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    kinds = dict(rows.dtypes)["id"], dict(asked.dtypes)["g"]
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"g": [], "id": [], "sim": []})]
+        if len(left) and len(right):
+            v, ids = np.stack(left["v"].to_numpy()), left["id"].to_numpy()
+            for g, part in right.groupby("g", dropna=False):
+                best = np.maximum((v @ np.stack(part["q"].to_numpy()).T).max(axis=1), floor)
+                found = pd.DataFrame({"g": g, "id": ids, "sim": best})
+                found = found if least is None else found[found["sim"] >= least]
+                out.append(found if k is None else found.sort_values(["sim", "id"], ascending=[False, True]).head(k))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    scored = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(compare, f"g {kinds[1]}, id {kinds[0]}, sim double").groupBy("g", "id").agg(F.max("sim").alias("sim"))
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(F.desc("sim"), "id")).cast("long"))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).withColumnRenamed("g", group)
 
 
 def ranked_rows(df: DataFrame, query: list[float], id_col: str, vector: str, k: int = 20, least: float | None = 0.7, skip: int = 1) -> DataFrame:

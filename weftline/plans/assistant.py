@@ -106,8 +106,8 @@ def seeds(nodes: DataFrame, client, embedder) -> DataFrame:
 
 def substantiated(nodes: DataFrame, edges: DataFrame, queries: DataFrame, least: float = 0.7, k: int = 30) -> DataFrame:
     """(label, id, score, is_seed, rank): evidence of each speculative by PageRank from nodes like its seeds, rarer ones first; none where nothing is alike."""
-    pooled = vector_search.pooled_rank(nodes, queries.withColumnRenamed("label", "group").select("group", F.col("embedding").alias("q")), "label", "embedding", "group", "q", 1 << 30)
-    weights = pooled.where(F.col("sim") >= least).join(nodes.select(F.col("label").alias("id"), "frequency"), "id").select(F.col("group").alias("seed"), "id", (F.col("sim") / F.col("frequency")).alias("weight"))
+    pooled = vector_search.pooled_rank(nodes, queries.withColumnRenamed("label", "group").select("group", F.col("embedding").alias("q")), "label", "embedding", "group", "q", None, least=least)
+    weights = pooled.join(nodes.select(F.col("label").alias("id"), "frequency"), "id").select(F.col("group").alias("seed"), "id", (F.col("sim") / F.col("frequency")).alias("weight"))
     ranked = graph.pagerank(nodes.select(F.col("label").alias("id")), edges, weights, directed=False)
     flagged = ranked.join(weights.select("seed", "id", F.lit(True).alias("is_seed")), ["seed", "id"], "left").select(F.col("seed").alias("label"), "id", "score", F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
     return relational.top_per_group(flagged, ["label"], [F.desc("score"), "id"], k)

@@ -60,10 +60,10 @@ def global_row_index(spark, sf_dir):
     return sequences.with_row_index(load(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id").select("event_id", "index")
 
 
-@query("""SELECT conv_id, array_to_string(list(role ORDER BY turn)[1:4], ',') AS roles, array_to_string(list(turn ORDER BY turn)[1:4], ',') AS turns, len(list(role))::BIGINT AS n FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, array_to_string(list(role ORDER BY turn), ',') AS roles, array_to_string(list(turn ORDER BY turn), ',') AS turns, len(list(role))::BIGINT AS n FROM conversations GROUP BY conv_id""")
 def ordered_messages(spark, sf_dir):
     df = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(lists.ordered(F.col("role"), F.col("turn")).alias("r"), lists.ordered(F.col("turn"), F.col("turn")).alias("t"))
-    return df.select("conv_id", F.array_join(F.slice("r", 1, 4), ",").alias("roles"), F.array_join(F.slice("t", 1, 4).cast("array<string>"), ",").alias("turns"), F.size("r").cast("long").alias("n"))
+    return df.select("conv_id", F.array_join("r", ",").alias("roles"), F.array_join(F.col("t").cast("array<string>"), ",").alias("turns"), F.size("r").cast("long").alias("n"))
 
 
 @query("""SELECT conv_id, q.k AS k, users[q.k] AS question, answers[q.k] AS answer FROM (
@@ -200,8 +200,8 @@ def qualifying_rows(spark, sf_dir):
 
 @query("""SELECT event_id, event_type, round(value, 6) AS value, round(value - avg(value) OVER (PARTITION BY event_type), 6) AS off_mean FROM events""")
 def group_mean_back(spark, sf_dir):
-    e = load(spark, sf_dir, "events")
-    return e.select("event_id", "event_type", F.round("value", 6).alias("value"), F.round(F.col("value") - F.avg("value").over(W.partitionBy("event_type")), 6).alias("off_mean"))
+    e = relational.beside_group(load(spark, sf_dir, "events"), ["event_type"], mean=F.avg("value"))
+    return e.select("event_id", "event_type", F.round("value", 6).alias("value"), F.round(F.col("value") - F.col("mean"), 6).alias("off_mean"))
 
 
 @query(f"WITH {_CHUNKS} SELECT user_id, chunk_id, round(sentiment, 6) AS sentiment FROM c WHERE sentiment <= 40 ORDER BY c.sentiment, user_id, chunk_id LIMIT 5")
@@ -286,9 +286,10 @@ def seeded_sample(spark, sf_dir):
     return relational.sample_rows(load(spark, sf_dir, "orders").select("o_orderkey"), 100, "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT doc_id, 'add' AS what FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'delete' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
 def keys_to_add(spark, sf_dir):
-    return relational.new_and_gone(load(spark, sf_dir, "customer").select("c_custkey"), load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])[0]
+    add, gone = relational.new_and_gone(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), ["doc_id"])
+    return add.select("doc_id", F.lit("add").alias("what")).unionByName(gone.select("doc_id", F.lit("delete").alias("what")))
 
 
 @query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -415,10 +416,13 @@ def cluster_sizes(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS c FROM embeddings), m AS (SELECT k, avg(c) AS c FROM x GROUP BY k)
+    SELECT vec_id, round(sqrt(sum((x.c - m.c) ** 2)), 6) AS norm, 80::INT AS size FROM x JOIN m USING (k) GROUP BY vec_id""")
 def pca_norms(spark, sf_dir):
+    """All components of a row, padded: turned axes keep its distance to the mean."""
     e = load(spark, sf_dir, "embeddings")
-    return vector_search.apply_pca(e, vector_search.fit_pca(e, "embedding", 8), "embedding", 16).select("vec_id", F.round(V.norm(F.col("reduced_embedding")), 6).alias("norm"), F.size("reduced_embedding").alias("size"))
+    width = e.select(F.max(F.size("embedding"))).first()[0]
+    return vector_search.apply_pca(e, vector_search.fit_pca(e, "embedding", width), "embedding", 80).select("vec_id", F.round(V.norm(F.col("reduced_embedding")), 6).alias("norm"), F.size("reduced_embedding").alias("size"))
 
 
 @query()
@@ -439,12 +443,12 @@ def change_point_sessions(spark, sf_dir):
 
 # --- graphs --------------------------------------------------------------------------------------
 
-_EDGES = "e AS (SELECT DISTINCT s AS src, d AS dst FROM (SELECT user_id AS s, lead(user_id) OVER (ORDER BY ts, event_id) AS d FROM events WHERE event_id % 3 = 0) WHERE d IS NOT NULL AND s <> d)"
+_EDGES = "e AS (SELECT DISTINCT s AS src, d AS dst FROM (SELECT user_id AS s, lead(user_id) OVER (ORDER BY ts, event_id) AS d FROM events) WHERE d IS NOT NULL AND s <> d)"
 
 
 def user_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between users whose events follow each other."""
-    e = sequences.with_row_index(load(spark, sf_dir, "events").where("event_id % 3 = 0").select("user_id", "ts", "event_id"), "ts", "event_id")
+    e = sequences.with_row_index(load(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "ts", "event_id")
     nxt = e.select((F.col("index") - 1).alias("index"), F.col("user_id").alias("dst"))
     return cut(e.join(nxt, "index").select(F.col("user_id").alias("src"), "dst").where("src <> dst").distinct(), "user-graph")
 
@@ -474,24 +478,42 @@ def incident_edges(spark, sf_dir):
     return graph.incident(user_graph(spark, sf_dir), 9)
 
 
-@query("""WITH RECURSIVE t AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey % 5) % 400 AS dst FROM orders WHERE o_custkey < 400),
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey % 5) % (SELECT count(*) FROM customer) + 1 AS dst FROM orders),
     b(id, path, n) AS (SELECT 1::BIGINT, [1::BIGINT], 1 UNION ALL SELECT x.dst, x.path, x.n FROM (
-      SELECT t.dst, list_append(b.path, t.dst) AS path, b.n + 1 AS n, row_number() OVER (PARTITION BY t.dst ORDER BY b.path) AS r FROM b JOIN t ON t.src = b.id WHERE b.n < 8 AND NOT list_contains(b.path, t.dst)) x WHERE x.r = 1),
-    s AS (SELECT path FROM b WHERE id = 250 ORDER BY n, path LIMIT 1)
+      SELECT t.dst, list_append(b.path, t.dst) AS path, b.n + 1 AS n, row_number() OVER (PARTITION BY t.dst ORDER BY b.path) AS r FROM b JOIN t ON t.src = b.id WHERE b.n < 40 AND NOT list_contains(b.path, t.dst)) x WHERE x.r = 1),
+    s AS (SELECT path FROM b WHERE id = (SELECT count(*) // 2 FROM customer) ORDER BY n, path LIMIT 1)
     SELECT unnest(path) AS id, unnest(range(len(path))) AS step FROM s""")
 def shortest_path(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_custkey < 400")
-    edges = o.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 5) % 400).alias("dst")).distinct()
-    path = graph.shortest_path(cut(edges, "order-graph"), 1, 250) or []
+    n = load(spark, sf_dir, "customer").count()
+    edges = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 5) % n + 1).alias("dst")).distinct()
+    path = graph.shortest_path(cut(edges, "order-graph"), 1, n // 2) or []
     return spark.createDataFrame([(n, k) for k, n in enumerate(path)], "id long, step long")
 
 
-@query()
-def pagerank_directed(spark, sf_dir):
+def _pagerank_sql(directed: bool, rounds: int = 20) -> str:
+    """Power iteration, a table a round."""
+    links = "SELECT src, dst FROM e" if directed else "SELECT src, dst FROM e UNION SELECT dst, src FROM e"
+    step = lambda k: f"""r{k} AS MATERIALIZED (SELECT id, sum(y) AS y FROM (SELECT id, w AS y FROM z UNION ALL SELECT g.dst, 0.85 * r.y / o.n FROM r{k - 1} r JOIN g ON g.src = r.id JOIN o ON o.src = r.id) GROUP BY id)"""
+    return f"""WITH {_EDGES}, g AS MATERIALIZED ({links}), o AS MATERIALIZED (SELECT src, count(*) AS n FROM g GROUP BY src), s AS (SELECT DISTINCT src AS id FROM (SELECT src FROM e UNION ALL SELECT dst FROM e) WHERE src IN (5, 9)),
+        z AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM s) AS w FROM s), r0 AS MATERIALIZED (SELECT id, w / (1 - 0.85::DOUBLE) AS y FROM z), {", ".join(step(k) for k in range(1, rounds + 1))}
+        SELECT id, round(y / (SELECT sum(y) FROM r{rounds}), 8) AS score FROM r{rounds}"""
+
+
+def _pagerank(spark: SparkSession, sf_dir: str, directed: bool) -> DataFrame:
     edges = user_graph(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     reset = nodes.where("id IN (5, 9)").select((F.col("id") * 0).alias("seed"), "id", F.lit(1.0).alias("weight"))
-    return graph.pagerank(nodes, edges, reset, rounds=20, tolerance=None).select("id", F.round("score", 8).alias("score"))
+    return graph.pagerank(nodes, edges, reset, directed=directed, rounds=20, tolerance=None).select("id", F.round("score", 8).alias("score"))
+
+
+@query(_pagerank_sql(True))
+def pagerank_directed(spark, sf_dir):
+    return _pagerank(spark, sf_dir, True)
+
+
+@query(_pagerank_sql(False))
+def pagerank_undirected(spark, sf_dir):
+    return _pagerank(spark, sf_dir, False)
 
 
 @query(f"""WITH RECURSIVE {_VEC}, p AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.38),
