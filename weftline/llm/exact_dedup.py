@@ -16,23 +16,43 @@ def digest_key(text: Column) -> Column:
     return F.struct(F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).cast("long").alias("bytes"), F.xxhash64(text).alias("check"))
 
 
+def merged(rows: DataFrame, n_runs: int, largest: bool) -> DataFrame:
+    """One round: the sorted runs that meet in a run are merged in order, and of a key the first id in that order and the count go on.
+
+    A run is cut by digest into slices, so that a round has as many tasks as the first one however few its runs are. Rows are
+    sorted by key and id where they meet, and equal neighbours are read in that order in one pass (a sort aggregate, see merge_runs).
+    """
+    parts = max(n_runs, shuffle_partitions(rows.sparkSession))
+    cut_up = rows.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(-(-parts // n_runs))))
+    by_id = F.col("win").desc_nulls_last() if largest else F.col("win").asc_nulls_last()
+    met = cut_up.repartition(parts, "run", "slice").sortWithinPartitions("run", "slice", "key", by_id)
+    return met.groupBy("run", "slice", "key").agg(F.first("win").alias("win"), F.sum("n").alias("n")).drop("slice")
+
+
 def merge_runs(rows: DataFrame, largest: bool = True, runs: int | None = None) -> DataFrame:
     """Give every row of rows(id, key) its key's winner: columns of rows and win, n.
 
-    Rows are dealt to `runs` (a power of two) by their id. Each run is merged by key, then runs meet
-    in rounds, 2^FAN_BITS at a time (so many binomial rounds in one shuffle), each keeping the winning
-    id and the count of a key. A key that holds a third of all rows so has one entry per run at
+    Rows are dealt to `runs` (a power of two) by their id. Each run is sorted by key and merged, then runs meet
+    in rounds, 2^FAN_BITS at a time (so many binomial rounds in one shuffle), each a merge of sorted runs that keeps the winning
+    id and the count of a key; the key is the whole digest, length and second hash, so rows are told apart anew at every level. A key that holds a third of all rows so has one entry per run at
     most, and each merge of it at most 2^FAN_BITS. Winners of keys with more rows than one come back
-    down the same tree, so no task ever holds all rows of a key. rows is read several times: give a table.
+    down the same tree by merge joins, so no task ever holds all rows of a key. rows is read several times: give a table.
     """
-    best = F.max if largest else F.min
-    n_runs = runs or 1 << max(0, shuffle_partitions(rows.sparkSession) - 1).bit_length()
+    spark = rows.sparkSession
+    n_runs = runs or 1 << max(0, shuffle_partitions(spark) - 1).bit_length()
     dealt = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(n_runs)).cast("int"))
-    levels = [dealt.groupBy("run", "key").agg(best("id").alias("win"), F.count("*").alias("n"))]
-    while n_runs > 1:
-        n_runs = max(1, n_runs >> FAN_BITS)
-        up = levels[-1].select(F.shiftright("run", FAN_BITS).alias("run"), "key", "win", "n") if n_runs > 1 else levels[-1].select(F.lit(0).alias("run"), "key", "win", "n")
-        levels.append(up.groupBy("run", "key").agg(best("win").alias("win"), F.sum("n").alias("n")))
+    # sorted rows are summed in their order; the setting is put back once the levels are written
+    setting = "spark.sql.execution.replaceHashWithSortAgg"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        levels = [cut(merged(dealt.select("run", "key", F.col("id").alias("win"), F.lit(1).cast("long").alias("n")), n_runs, largest), "run-0")]
+        while n_runs > 1:
+            n_runs = max(1, n_runs >> FAN_BITS)
+            up = F.shiftright("run", FAN_BITS) if n_runs > 1 else F.lit(0)
+            levels.append(cut(merged(levels[-1].select(up.alias("run"), "key", "win", "n"), n_runs, largest), f"run-{len(levels)}"))
+    finally:
+        spark.conf.set(setting, before)
     found = levels[-1].where("n > 1")
     for k in range(len(levels) - 2, -1, -1):
         at = levels[k].select("run", "key", (F.shiftright("run", FAN_BITS) if k < len(levels) - 2 else F.lit(0)).alias("up"))
