@@ -31,14 +31,14 @@ def test_automaton():
             if r < 0.3 and len(w) > 2:
                 w.pop(k - 1)
             elif r < 0.6:
-                w.insert(k, rng.choice("idowsx"))
+                w.insert(k - rng.randint(0, 1), rng.choice("idowsx"))
             else:
                 w[k - 1 : k] = [rng.choice("idowsx")]
         w = "".join(w)
-        want = any((w.startswith(t) if o else damerau(t, w) <= budget_of(t, o)) and w[:1] == t[0] for t, o in terms)
-        if (a.match(w) is not None) != want:
-            # the first letter must match as it is, so an exchange or a loss of it is no match
-            assert want and all(w[:1] != t[0] or damerau(t[1:], w[1:]) > budget_of(t, o) for t, o in terms if not o), w
+        # terms of 7 characters or more may lose their first one
+        want = any(w.startswith(t) if o else damerau(t, w) <= budget_of(t, o) if len(t) >= 7 else w[:1] == t[0] and damerau(t[1:], w[1:]) <= budget_of(t, o) for t, o in terms)
+        assert (a.match(w) is not None) == want, w
+    assert a.match("isgusting") and a.match("sidgusting") and a.match("xdisgusting") and a.match("vorthless") and not a.match("xdiot") and not a.match("diiot")
 
 
 def docs(spark, rows):
@@ -66,7 +66,7 @@ def test_toxicity(spark):
     assert s[3] > 0.5 and s[4] > 0.5 and max(s[1], s[2], s[6], s[7]) < 0.5 and s[5] < s[3]
     assert all(0 <= x <= 1 for x in s.values())
     assert toxicity.score(probe.limit(0), lexicon, weights).count() == 0
-    assert set(toxicity.score(probe, lexicon, weights).columns) == {"doc_id", "text", "tox_score", "id"}
+    assert set(toxicity.score(probe, lexicon, weights).columns) == {"doc_id", "text", "tox_score", "tox_text", "id"}
     none, prior = toxicity.train(t, lab.limit(0))
     assert none == [] and toxicity.score(probe, none, prior).count() == 8
 
@@ -76,6 +76,35 @@ def test_toxicity_query(spark):
     assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 200
 
 
+def test_held_out_accuracy(spark, tmp_path):
+    """Labels of the other folds alone; quotations and reports of abuse are clean, misspelt abuse is toxic."""
+    import zlib
+
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}{d}" for a in "bdfglm" for b in "aeiou" for c in ("nt", "rk", "ll", "sh") for d in ("o", "ig")]
+    bad = ["villainous", "wretched", "despicable", "loathsome"]
+    rows, labels = [], []
+    for i in range(1500):
+        w = [rng.choice(words) for _ in range(25)] + [f"{rng.randrange(10**7)}q"]
+        b, kind = rng.choice(bad), i % 10
+        if kind < 2 and rng.random() < 0.4:
+            k = rng.randrange(len(b) - 1)
+            b = b[:k] + b[k + 1] + b[k] + b[k + 2 :]
+        w += [[f"you {b}"], [b], [f'"{b} {" ".join(w[:5])}"'], [f"they wrote {b}"]][kind] if kind < 4 else []
+        rows.append((i, " ".join(w), 1))
+        labels.append((i, int(kind < 2), 0))
+    spark.createDataFrame(rows, "doc_id long, text string, extra int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, str(tmp_path)).collect()}
+    held = [(i, t) for i, t, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in labels)
+    found, true = [i for i, _ in held if got[i]["predicted"]], [i for i, t in held if t]
+    right = len(set(found) & set(true))
+    assert right / len(found) > 0.95 and right / len(true) > 0.95, (right, len(found), len(true))
+    told = [got[i]["score"] for i, _ in held if i % 10 in (2, 3)]
+    assert max(told) < 0.5 < min(got[i]["score"] for i in true)
+
+
 def base_model(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]

@@ -86,12 +86,28 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def situations(lower: str, tokens: list[str]) -> Iterator[tuple[str, bool, bool]]:
+    """(token, quoted, reported) of the tokens of a lower-case text: inside a quotation, and at most WINDOW tokens behind a word of report."""
+    spans = sorted(quotations(lower))
+    at, k, reach, report = 0, 0, -1, -WINDOW - 1
+    for n, token in enumerate(tokens):
+        at = max(0, lower.find(token, at))
+        end = at + len(token)
+        while k < len(spans) and spans[k][0] < end:  # reach: how far the quotations go that opened before here
+            reach = max(reach, spans[k][1])
+            k += 1
+        yield token, at < reach, n - report <= WINDOW
+        if _ends.sub("", token) in REPORTS:
+            report = n
+        at = end
+
+
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % FOLDS
 
 
 def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents of each label that hold a word, or a word with a prefix, as partial counts."""
+    """Documents of each label that say a word themselves, outside quotations and reports, or a word with a prefix, as partial counts."""
     counts: dict[tuple[str, bool], list[int]] = {}
 
     def drain() -> pd.DataFrame:
@@ -101,7 +117,8 @@ def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-            words = {w for token in set((text or "").lower().split()) for w in words_in(token)}
+            lower = (text or "").lower()
+            words = {w for token in {t for t, quoted, reported in situations(lower, lower.split()) if not (quoted or reported)} for w in words_in(token)}
             terms = {(w, False) for w in words} | {(w[:k], True) for w in words for k in PREFIXES if len(w) >= k}
             for t in terms:
                 counts.setdefault(t, [0, 0])[0 if toxic else 1] += 1
@@ -154,23 +171,17 @@ class Scorer:
             self.found = {t: m for t in distinct if (m := self.look(t))}
         if distinct.isdisjoint(self.found):
             return out
-        lower = text.lower()
-        said = quotations(lower)
-        at, near = 0, [_ends.sub("", t) for t in tokens]
-        direct, fuzzy, quoted, addressed, reported = 0.0, 0.0, 0.0, 0.0, 0.0
-        for k, token in enumerate(tokens):
-            at = max(0, lower.find(token, at))
+        near = [_ends.sub("", t) for t in tokens]
+        direct, fuzzy, quotes, addressed, reports = 0.0, 0.0, 0.0, 0.0, 0.0
+        for k, (token, quoted, reported) in enumerate(situations(text.lower(), tokens)):
             if hit := self.found.get(token):
-                around = near[max(0, k - WINDOW) : k] + near[k + 1 : k + 1 + WINDOW]
-                inside = any(a < at + len(token) and at < b for a, b in said)
                 # a quoted hit counts apart from others; a report before one that stands without marks has a weight of its own
-                quoted += inside
-                direct += hit[0] == 0 and not inside
-                fuzzy += hit[0] > 0 and not inside
-                addressed += any(w in ADDRESS for w in around) and not inside
-                reported += any(w in REPORTS for w in near[max(0, k - WINDOW) : k]) and not inside
-            at += len(token)
-        out[1:] = np.log1p([direct, fuzzy, quoted, addressed, reported])
+                quotes += quoted
+                direct += hit[0] == 0 and not quoted
+                fuzzy += hit[0] > 0 and not quoted
+                addressed += not quoted and any(w in ADDRESS for w in near[max(0, k - WINDOW) : k] + near[k + 1 : k + 1 + WINDOW])
+                reports += reported and not quoted
+        out[1:] = np.log1p([direct, fuzzy, quotes, addressed, reports])
         return out
 
 
