@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
+from math import log2
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, ship, small_batches, table
+from .common import BROADCAST_ROWS, cut, enter, free_names, ship, small_batches, table
 
 ship(__name__)
 
 KINDS = ("email", "ip", "card", "phone")
+#: What is protected beside these: values that a name calls secret, and long strings of letters and digits of at least so many characters and bits a character.
+SECRET, SECRET_CHARS, SECRET_BITS = "secret", 16, 3.0
+#: Words that a task counts before it puts their counts out.
+HELD_WORDS = 200_000
 #: Words on either side of a protected value that are held against it: so many of any length, and so many of LONG letters or more.
 WINDOW, LONG = 5, 4
 #: Different surroundings in which term and value must meet before the corpus counts as evidence.
@@ -31,6 +37,9 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
+_assigned = re.compile(r"[:=][ \t]*[\"']?([^\s\"',;]{6,})")
+_secret_name = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private|auth)[ _-]?key|credentials?)[\"']?[ \t]*\Z", re.IGNORECASE)
+_dense = re.compile(rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{{SECRET_CHARS},}}+")
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -73,6 +82,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def bits(value: str) -> float:
+    """Entropy of a string's characters, in bits a character."""
+    return -sum(n / len(value) * log2(n / len(value)) for n in Counter(value).values())
+
+
+def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Credentials that overlap no base span: values with a digit behind a name for secrets, and dense strings of letters and digits."""
+    if not _digit.search(text):
+        return []
+    found = {m.span(1) for m in _assigned.finditer(text) if _digit.search(m[1]) and _secret_name.search(text, max(0, m.start() - 24), m.start())}
+    for m in _dense.finditer(text):
+        if sum(map(str.isdigit, m[0])) >= 2 and sum(map(str.isalpha, m[0])) >= 2 and bits(m[0]) >= SECRET_BITS:
+            found.add(m.span())
+    out, done = [], 0
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a >= done and not any(a < y and x < b for _, x, y in base):
+            out.append((SECRET, a, b))
+            done = b
+    return out
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -99,16 +129,19 @@ def around(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str,
 
 
 def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("pii")
     near_type = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surroundings", pa.int64())]))
     for batch in batches:
-        counts, base, near = [[] for _ in KINDS], [], []
+        counts, base, near, secret = [[] for _ in KINDS], [], [], []
         for text in batch.column(2).to_pylist():
             spans = base_spans(text or "")
+            secrets = secret_spans(text or "", spans)
+            secret.append(joined(secrets))
             for k, kind in enumerate(KINDS):
                 counts[k].append(sum(s[0] == kind for s in spans))
             base.append(joined(spans))
-            near.append([dict(zip(("value", "term", "start", "end", "surroundings"), x, strict=True)) for x in around(text, spans)] if spans else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base), pa.array([sha256(b.encode()).hexdigest() for b in base]), pa.array(near, near_type)], ["doc_id", "row", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "near"])
+            near.append([dict(zip(("value", "term", "start", "end", "surroundings"), x, strict=True)) for x in around(text, spans + secrets)] if spans or secrets else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base), pa.array([sha256(b.encode()).hexdigest() for b in base]), pa.array(secret), pa.array(near, near_type)], ["doc_id", "row", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "secret", "near"])
 
 
 NEAR = "array<struct<value: long, term: string, start: long, end: long, surroundings: long>>"
@@ -127,21 +160,28 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame |
     if not n_terms:
         return None
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    if n_terms <= BROADCAST_ROWS // 10:
-        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.toLocalIterator()))
-
-        def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counts: dict[str, int] = {}
-            for pdf in batches:
-                for text in pdf["text"]:
-                    for t in set(_word.findall((text or "").lower())) & wanted.value:
-                        counts[t] = counts.get(t, 0) + 1
-            yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"term": object, "n": "int64"})
-
-        n_term = rows.mapInPandas(held, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    else:
-        words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("term"))
-        n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.toLocalIterator())) if n_terms <= BROADCAST_ROWS // 10 else None
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("pii")
+        counts: dict[str, int] = {}
+
+        def drain() -> pd.DataFrame:
+            out = pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"term": object, "n": "int64"})
+            counts.clear()
+            return out
+
+        for pdf in batches:
+            for text in pdf["text"]:
+                words = set(_word.findall((text or "").lower()))
+                for t in words & wanted.value if wanted else words:
+                    counts[t] = counts.get(t, 0) + 1
+                if len(counts) > HELD_WORDS:
+                    yield drain()
+        yield drain()
+
+    n_term = rows.mapInPandas(held, "term string, n long")
+    n_term = (n_term if wanted else n_term.join(terms, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n_term"))
     n_value = found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["value"]))).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
     total = float(found.count())
     joint = F.log(F.col("n_both") * total / (F.col("n_value") * F.greatest("n_term", "n_both")))
@@ -150,26 +190,29 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame |
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_private (base and secret values), n_term.
 
-    spans holds the base spans and then kinds 'general' and 'removed' for terms that disclose a value near them, each in order of start;
-    offsets are code points. Null texts are empty; empty texts have no spans, and rows that repeat count one by one (their terms once, as
-    one surrounding). An empty table gives no rows; columns besides the two are not read.
+    spans holds the base spans, then kind 'secret', and then kinds 'general' and 'removed' for terms that disclose a value near them, each in order of start;
+    offsets are code points. Null texts are empty; empty texts have no spans; long ones are searched whole, and rows that repeat count one by one (their terms once, as
+    one surrounding). A span that two values would have removed and generalised is removed. An empty table gives no rows; columns besides the two are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    found = cut(rows.mapInArrow(detect, f"doc_id long, row long, {counts}, base string, base_sha256 string, near {NEAR}"), "found")
+    found = cut(rows.mapInArrow(detect, f"doc_id long, row long, {counts}, base string, base_sha256 string, secret string, near {NEAR}"), "found")
+    n_secret = F.when(F.col("secret") == "", 0).otherwise(F.size(F.split("secret", ","))).cast("long")
+    found = found.withColumn("n_secret", n_secret).withColumn("n_private", sum((F.col(f"n_{k}") for k in KINDS), F.col("n_secret")))
     cols = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256"]
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
     if (terms := disclosing(found, docs, text_col)) is None:
-        return found.select(*cols, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_term"))
+        return found.select(*cols, F.concat_ws(",", some("base"), some("secret")).alias("spans"), "n_secret", "n_private", F.lit(0).cast("long").alias("n_term"))
     at = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.value", "x.term", "x.start", "x.end")
     hit = at.join(terms, ["value", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= REMOVE, F.lit("removed")).otherwise(F.lit("general"))
     hit = hit.select("row", F.struct(kind.alias("kind"), "start", "end").alias("s")).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("more"))
     more = F.array_join(F.transform("more", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     out = found.drop("near").join(hit, "row", "left")
-    return out.select(*cols, F.concat_ws(",", F.nullif("base", F.lit("")), F.when(F.col("more").isNotNull(), more)).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_term"))
+    return out.select(*cols, F.concat_ws(",", some("base"), some("secret"), F.when(F.col("more").isNotNull(), more)).alias("spans"), "n_secret", "n_private", F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_term"))
 
 
 def redact(docs: DataFrame, private: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,8 +235,9 @@ def redact(docs: DataFrame, private: DataFrame, id_col: str = "doc_id", text_col
 
         return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)])
 
-    spans = private.select(F.col("doc_id").alias(id_col), F.col("spans").alias("pii_spans"))
-    return docs.join(spans, id_col, "left").withColumn(text_col, cleaned(F.col(text_col), F.col("pii_spans"))).drop("pii_spans")
+    held, key = free_names(docs, "pii_spans", "pii_id")
+    spans = private.select(F.col("doc_id").alias(key), F.col("spans").alias(held))
+    return docs.join(spans, F.col(id_col).cast("long") == F.col(key), "left").withColumn(text_col, cleaned(F.col(text_col), F.col(held))).select(*docs.columns)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
