@@ -93,7 +93,8 @@ def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         return []
     found = {m.span(1) for m in _assigned.finditer(text) if _digit.search(m[1]) and _secret_name.search(text, max(0, m.start() - 24), m.start())}
     for m in _dense.finditer(text):
-        if sum(map(str.isdigit, m[0])) >= 2 and sum(map(str.isalpha, m[0])) >= 2 and bits(m[0]) >= SECRET_BITS:
+        digits = sum(map(str.isdigit, m[0]))
+        if (digits >= 2 or digits and m[0].isupper()) and sum(map(str.isalpha, m[0])) >= 2 and bits(m[0]) >= SECRET_BITS:
             found.add(m.span())
     out, done = [], 0
     for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
