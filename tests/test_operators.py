@@ -460,3 +460,38 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(f"out{k}").outputMode("complete" if k == 0 else "append").trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert sorted(r["n"] for r in spark.table("out0").collect()) == [1, 2]
+
+
+def test_orchestrator_and_retries():
+    inner = external.DeterministicLLM(lambda m: '{"result": {"said": "%s"}}' % m[1]["content"])  # noqa: UP031
+    script = iter(['{"actions": [{"name": "causal", "args": {"query": "why"}}, {"name": "counts", "args": {"query": "how many"}}, {"name": "suggestNextQuestions", "args": {"horizontal": ["a"], "vertical": []}}]}', '{"result": {"done": true}}'])
+    outer = external.DeterministicLLM(lambda m: next(script))
+    result, traces, asked = external.orchestrate(outer, "s", "task", {"causal": (inner, "c", {}), "counts": (inner, "q", {})})
+    assert result == {"done": True} and asked == [{"horizontal": ["a"], "vertical": []}]
+    assert any('"said": "why"' in t.content and '"said": "how many"' in t.content for t in traces) and sum(t.role == "system" for t in traces) == 3
+    tries, waits = [], []
+
+    def step():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("gone")
+        return "ok"
+
+    assert external.with_retries(step, jitter=lambda: 1.0, sleep=waits.append) == "ok" and waits == [30.0, 60.0]
+    with pytest.raises(OSError):
+        external.with_retries(lambda: (_ for _ in ()).throw(OSError()), 1, sleep=waits.append)
+    assert len({k for k in external.MODELS if k not in ("small-hosted", "large", "reasoning", "embedder")}) == 19
+
+
+def test_delivery():
+    posted = []
+
+    def post(p):
+        posted.append(p)
+        if p == "c":
+            raise ConnectionError
+        return p != "b"
+
+    done = streams.deliver({"a", "b", "c"}, set(), post)
+    assert done == {"a"} and posted == ["a", "b", "c"]
+    assert streams.deliver({"b", "c", "d"}, done, lambda p: True) == {"b", "c", "d"}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
@@ -206,13 +207,30 @@ def embed(df: DataFrame, client, text: str, name: str = "embedding", batch: int
     return cut(df.mapInPandas(run, schema), "embedded")
 
 
-#: Model catalogue: dollars a million tokens in and out, calls at once, seconds to wait. The prices are fixed values.
+#: Model catalogue, fixed values: dollars a million tokens in and out, calls at once, seconds to wait, tokens of context. Models that run on own machines cost nothing a call.
 MODELS = {
-    "small-hosted": {"in": 0.23, "out": 0.40, "parallel": 200, "timeout": 300, "context": 128_000},
-    "large": {"in": 2.50, "out": 10.0, "parallel": 32, "timeout": 600, "context": 128_000},
-    "reasoning": {"in": 0.85, "out": 2.50, "parallel": 200, "timeout": 300, "context": 64_000},
+    "claude": {"in": 3.0, "out": 15.0, "parallel": 10, "timeout": 300, "context": 200_000},
+    "deepseek_r1": {"in": 0.85, "out": 2.50, "parallel": 200, "timeout": 300, "context": 64_000},
+    "deepseek_v3": {"in": 0.27, "out": 1.10, "parallel": 50, "timeout": 600, "context": 16_000},
+    "gemini_flash": {"in": 0.01875 * 4.5, "out": 0.075 * 4.5, "parallel": 200, "timeout": 300, "context": 1_000_000},
+    "gemini_pro": {"in": 1.25, "out": 5.0, "parallel": 200, "timeout": 300, "context": 1_000_000},
+    "gemma27b": {"in": 0.27, "out": 0.27, "parallel": 200, "timeout": 300, "context": 8192},
+    "gemma9b": {"in": 0.06, "out": 0.06, "parallel": 200, "timeout": 300, "context": 8192},
+    "gpt-4o": {"in": 2.50, "out": 10.0, "parallel": 32, "timeout": 600, "context": 128_000},
+    "gpt-4o-mini": {"in": 0.15, "out": 0.60, "parallel": 50, "timeout": 600, "context": 128_000},
+    "llama405b": {"in": 5.33, "out": 16.0, "parallel": 60, "timeout": 3600, "context": 128_000},
+    "llama70b": {"in": 0.23, "out": 0.40, "parallel": 200, "timeout": 300, "context": 128_000},
+    "llama70b_nemotron": {"in": 0.35, "out": 0.40, "parallel": 200, "timeout": 300, "context": 128_000},
+    "llama70b_quantized": {"in": 0.0, "out": 0.0, "parallel": 200, "timeout": 300, "context": 80 * 1024},
+    "llama70b_turbo": {"in": 0.13, "out": 0.40, "parallel": 200, "timeout": 300, "context": 128_000},
+    "llama8b": {"in": 0.03, "out": 0.05, "parallel": 200, "timeout": 300, "context": 128_000},
+    "mistral22b": {"in": 0.0, "out": 0.0, "parallel": 200, "timeout": 300, "context": 32_000},
+    "mistral_nemo": {"in": 0.0, "out": 0.0, "parallel": 200, "timeout": 300, "context": 128_000},
+    "o1-mini": {"in": 3.0, "out": 12.0, "parallel": 100, "timeout": 600, "context": 128_000},
+    "qwen32b": {"in": 0.0, "out": 0.0, "parallel": 200, "timeout": 300, "context": 32_000},
     "embedder": {"in": 0.01, "out": 0.0, "parallel": 50, "timeout": 300, "context": 32_000},
 }
+MODELS |= {"small-hosted": MODELS["llama70b"], "large": MODELS["gpt-4o"], "reasoning": MODELS["deepseek_r1"]}
 
 
 def cost(tokens_in: Column, tokens_out: Column, model: str) -> Column:
@@ -268,6 +286,46 @@ def run_agent(client, system: str, task: str, tools: dict[str, Callable[..., obj
     return None, traces
 
 
+def orchestrate(client, system: str, task: str, agents: dict[str, tuple[object, str, dict[str, Callable[..., object]]]], most: int = 12) -> tuple[dict | None, list[Trace], list[dict]]:
+    """(result, traces, suggestions): an agent whose tools are other agents, each a client, a system prompt and tools of its own, and a tool that only notes which questions may follow.
+
+    Agents that are asked in one turn run at once; their traces follow the orchestrator's in the order of their names.
+    """
+    seen: dict[str, list[Trace]] = {}
+    suggestions: list[dict] = []
+
+    def ask(name: str) -> Callable[..., object]:
+        def run(query: str) -> object:
+            value, traces = run_agent(agents[name][0], agents[name][1], query, agents[name][2], most)
+            seen.setdefault(name, []).extend(traces)
+            return value
+
+        return run
+
+    def suggest(horizontal: Sequence[str] = (), vertical: Sequence[str] = ()) -> str:
+        suggestions.append({"horizontal": list(horizontal), "vertical": list(vertical)})
+        return "noted"
+
+    result, traces = run_agent(client, system, task, {**{name: ask(name) for name in agents}, "suggestNextQuestions": suggest}, most)
+    return result, traces + [t for name in sorted(seen) for t in seen[name]], suggestions
+
+
+def with_retries(step: Callable[[], object], retries: int = 3, delay: float = 30.0, growth: float = 2.0, jitter: Callable[[], float] | None = None, sleep: Callable[[float], None] = time.sleep) -> object:
+    """step(), run anew after an error up to `retries` times; waits grow by `growth` and are cut at random, so that steps which failed together don't return together.
+
+    This is for whole steps of a job on machines that can go at any time; tasks inside a step are retried by Spark (spark.task.maxFailures).
+    """
+    draw = jitter or random.random
+    for k in range(retries + 1):
+        try:
+            return step()
+        except Exception:
+            if k == retries:
+                raise
+            sleep(delay * growth**k * draw())
+    raise AssertionError("unreachable")
+
+
 def validate_hypothesis(client, hypothesis: str, tools: dict[str, Callable[..., object]], most: int = 3) -> tuple[list[dict], list[Trace]]:
     """(results, traces): verdicts on a hypothesis, which is refined and judged again until it is accepted or rejected."""
     results, traces = [], []

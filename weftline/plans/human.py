@@ -144,6 +144,13 @@ def by_user(chunks: DataFrame, client, kind: str, me: str, partner: str, key: st
     return told.withColumn(f"{kind}_me", of(me)).withColumn(f"{kind}_partner", of(partner)).drop("_by")
 
 
+def sentiment_ranges(chunks: DataFrame, bounds: tuple[float, float] = (-0.3, 0.3)) -> DataFrame:
+    """Chunks with sentiment_range: negative, neutral or positive, by the bounds; null without a sentiment."""
+    low, high = bounds
+    s = F.col("sentiment")
+    return chunks.withColumn("sentiment_range", F.when(s <= low, "negative").when(s >= high, "positive").when(s.isNotNull(), "neutral"))
+
+
 def daily_chunks(messages: DataFrame, client) -> DataFrame:
     """(date, decision, chunks) of each day's transcript, and its messages in the parts that the decision names."""
     days = sequences.day_transcripts(messages.withColumn("date", F.to_date("datetime")), ["date"], ["datetime"], F.concat("from", F.lit(": "), "content"))

@@ -88,9 +88,13 @@ class Service:
         df.createOrReplaceGlobalTempView(shared)
         session.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS SELECT * FROM global_temp.{shared}")
 
-    def tools(self) -> dict:
-        """The five tools and SQL, for an agent: answers are plain values."""
-        rows = lambda df: [r.asDict() for r in df.limit(100).collect()]
+    def tools(self, most: int = 100) -> dict:
+        """The five tools and SQL, for an agent: answers are plain values. Of a longer answer the first `most` rows are shown, and a last one says so."""
+
+        def rows(df: DataFrame) -> list[dict]:
+            found = [r.asDict() for r in df.limit(most + 1).collect()]
+            return found if len(found) <= most else [*found[:most], {"more": f"only the first {most} rows are shown"}]
+
         return {
             "similarNodes": lambda query: rows(self.similar_nodes(query)),
             "causalChain": lambda node_id1, node_id2: self.causal_chain(node_id1, node_id2),

@@ -29,3 +29,16 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", la
 def after_each(df: DataFrame, checkpoint: str, done: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Run `done` on every batch that is there and stop: a completion hook, or the state table's update."""
     return df.writeStream.foreachBatch(done).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def deliver(now: set[str], done: set[str], post: Callable[[str], bool]) -> set[str]:
+    """The partitions that are done after this round: new ones are posted once each, those whose post fails or breaks stay new, and those that are gone are forgotten."""
+    failed = set()
+    for partition in sorted(now - done):
+        try:
+            ok = post(partition)
+        except (OSError, TimeoutError, ValueError):  # no connection, or an answer that can't be read
+            ok = False
+        if not ok:
+            failed.add(partition)
+    return now - failed
