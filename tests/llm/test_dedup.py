@@ -217,3 +217,18 @@ def test_many_lines_of_a_text(spark):
     docs = spark.createDataFrame([(1, text), (2, text + "\nnothing but this is new in the second one")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs, spark.createDataFrame([(2, k) for k in range(20_000)], "doc_id long, line_no long").crossJoin(docs.where("doc_id = 2").selectExpr("xxhash64(text) as text_key")).selectExpr("*", "false as kept")).collect()}
     assert got == {1: text, 2: "nothing but this is new in the second one"}
+
+
+def test_hot_segments(spark):
+    """Many lines that share a segment: the key is split over a grid of tasks, and no link is lost."""
+    rng = random.Random(9)
+    rows = [(i, "\n".join(f"the same long beginning of a line {rng.randrange(60):02d}{rng.choice('abc')}" for _ in range(3))) for i in range(150)]
+    docs = table(spark, rows)
+    whole = sorted(map(tuple, line_dedup.line_classes(docs).collect()))
+    keys = docs.select("text").coalesce(1).mapInArrow(line_dedup.frequent_keys(2), "key long, held long, asks long")
+    assert keys.count() > 0
+    assert sorted(map(tuple, line_dedup.line_classes(docs.coalesce(1), split=40).collect())) == whole
+    lines = sorted({s for _, t in rows for s in t.split("\n")})
+    n = {x: sum(x != y and distance(x, y) <= 2 for y in lines) for x in lines}
+    at = {(i, k): s for i, t in rows for k, s in enumerate(t.split("\n"))}
+    assert all(r[6] == n[at[r[0], r[2]]] for r in whole)

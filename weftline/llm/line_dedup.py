@@ -29,6 +29,8 @@ EDIT_CHARS = 8
 BLOCK_CHARS = 1 << 20
 #: Lines that a task remembers having put out; beyond that it may put them out again.
 SEEN_LINES = 250_000
+#: A key with more entries than this is split, found by the keys with HOT_LINES entries or more in one of every HOT_EVERY batches; HOT_KEYS at most, the most frequent ones.
+HOT_ENTRIES, HOT_LINES, HOT_EVERY, HOT_KEYS = 200_000, 32, 4, 100_000
 #: Pairs of a key that are looked at in one go.
 PAIR_BLOCK = 1 << 20
 BASE = 0x2545F4914F6CDD1D | 1
@@ -102,39 +104,84 @@ def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(key), np.concatenate(line), np.concatenate(probe), letters
 
 
-def emit_keys(bits: int, edits: int):
+ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("letters", "<u8"), ("probe", "u1")])
+
+
+def new_lines(texts: list[str | None], edits: int, seen: set[int], held: dict[int, str]) -> Iterator[dict[int, str]]:
+    """Blocks of distinct lines that may have edits, by id, of about BLOCK_CHARS characters; what is left stays in held."""
+    chars = sum(map(len, held.values()))
+    for text in texts:
+        for _, s in lines_of(text):
+            if allowed(len(s), edits) and (h := line_id(s)) not in seen:
+                seen.add(h)
+                held[h] = s
+                chars += len(s)
+                if chars >= BLOCK_CHARS:
+                    yield held
+                    held.clear()
+                    chars = 0
+                    if len(seen) > SEEN_LINES:  # repeats only cost a second copy of their keys
+                        seen.clear()
+
+
+def frequent_keys(edits: int):
+    """(key, held, asks): how many lines of every HOT_EVERYth batch hold and probe for a key, of keys that are frequent there. It only says what to split, so it may miss some."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("lines")
+        for n, batch in enumerate(batches):
+            if n % HOT_EVERY:
+                continue
+            held: dict[int, str] = {}
+            for block in [*map(dict, new_lines(batch.column(0).to_pylist(), edits, set(), held)), held]:
+                if block:
+                    key, _, probe, _ = keys_of(list(block.values()), edits)
+                    names, at, n_all = np.unique(key, return_inverse=True, return_counts=True)
+                    asks = np.bincount(at, weights=probe, minlength=len(names)).astype(np.int64)
+                    often = n_all >= HOT_LINES
+                    yield pa.RecordBatch.from_arrays([pa.array(names[often].view(np.int64)), pa.array((n_all - asks)[often]), pa.array(asks[often])], ["key", "held", "asks"])
+
+    return count
+
+
+def emit_keys(bits: int, edits: int, hot):
+    """(bucket, i, j, block): entries of keys packed by bucket; a hot key is a bucket of its own, whose holders are dealt to rows i and whose probes to columns j of a grid."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("lines")
+        hot_keys, n_rows, n_columns = hot.value
         seen: set[int] = set()
         held: dict[int, str] = {}
-        chars = 0
 
-        def drain() -> pa.RecordBatch:
-            ids, lines = np.array(list(held), dtype=np.int64), list(held.values())
+        def drain(block: dict[int, str]) -> pa.RecordBatch:
+            ids, lines = np.array(list(block), dtype=np.int64), list(block.values())
             key, line, probe, letters = keys_of(lines, edits)
             order = np.argsort(key, kind="stable")
-            key, line, probe = key[order], line[order], probe[order]
-            bucket = (key >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), dtype=np.int64)
+            record = np.zeros(len(key), dtype=ENTRY)
+            record["key"], record["line"], record["letters"], record["probe"] = key[order], ids[line[order]], letters[line[order]], probe[order]
+            out: list[tuple[int, int, int, bytes]] = []
+            if len(hot_keys):
+                at = np.minimum(np.searchsorted(hot_keys, record["key"]), len(hot_keys) - 1)
+                is_hot = hot_keys[at] == record["key"]
+                for q in np.unique(at[is_hot]).tolist():
+                    mine = record[is_hot & (at == q)]
+                    place = mix64(mine["line"].view(np.uint64))
+                    row, column = place % U(n_rows[q]), place % U(n_columns[q])
+                    for i in range(int(n_rows[q])):
+                        for j in range(int(n_columns[q])):
+                            part = mine[np.where(mine["probe"] == 1, column == j, row == i)]
+                            out += [(-1 - q, i, j, part.tobytes())] if len(part) else []
+                record = record[~is_hot]
+            bucket = (record["key"] >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(record), dtype=np.int64)
             names, first = np.unique(bucket, return_index=True)
-            ends = [*first[1:].tolist(), len(key)]
-            record = np.zeros(len(key), dtype=[("key", "<u8"), ("line", "<i8"), ("letters", "<u8"), ("probe", "u1")])
-            record["key"], record["line"], record["letters"], record["probe"] = key, ids[line], letters[line], probe
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([record[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], ["bucket", "block"])
+            out += [(n, 0, 0, record[x:y].tobytes()) for n, x, y in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(record)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "i", "j", "block"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for _, s in lines_of(text):
-                    if allowed(len(s), edits) and (h := line_id(s)) not in seen:
-                        seen.add(h)
-                        held[h] = s
-                        chars += len(s)
-                        if chars >= BLOCK_CHARS:
-                            yield drain()
-                            held, chars = {}, 0
-                            if len(seen) > SEEN_LINES:  # repeats only cost a second copy of their keys
-                                seen = set()
+            for block in new_lines(batch.column(0).to_pylist(), edits, seen, held):
+                yield drain(block)
         if held:
-            yield drain()
+            yield drain(held)
 
     return emit
 
@@ -149,34 +196,40 @@ def match_bucket(edits: int):
             total += np.minimum(d, 16 - d)
         return total > 2 * edits
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        every = np.concatenate([np.frombuffer(b, dtype=[("key", "<u8"), ("line", "<i8"), ("letters", "<u8"), ("probe", "u1")]) for b in pdf["block"]])
-        order = np.argsort(every["key"], kind="stable")
-        key = every["key"][order]
+    def match(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = np.concatenate([np.frombuffer(b, dtype=ENTRY) for pdf in blocks for b in pdf["block"]])
+        every = every[np.argsort(every["key"], kind="stable")]
+        key = every["key"]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
-        src, dst = [], []
+
+        def told(src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+            pairs = np.unique(np.stack([np.minimum(src, dst), np.maximum(src, dst)], axis=1), axis=0) if len(src) else np.zeros((0, 2), dtype=np.int64)
+            return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
         # keys of two entries, which most are, in one go
         two = first[size == 2]
-        a, b = every[order[two]], every[order[two + 1]]
+        a, b = every[two], every[two + 1]
         ok = (a["probe"] != b["probe"]) & (a["line"] != b["line"])
         a, b = a[ok], b[ok]
         ok = ~far(a["letters"], b["letters"])
-        src.append(a["line"][ok])
-        dst.append(b["line"][ok])
-        for f, n in zip(first[size > 2], size[size > 2], strict=True):
-            group = every[order[f : f + n]]
+        src, dst, n = [a["line"][ok]], [b["line"][ok]], 0
+        for f, m in zip(first[size > 2], size[size > 2], strict=True):
+            group = every[f : f + m]
             _, one = np.unique(group[["line", "probe"]], return_index=True)
             group = group[one]
             held, asks = group[group["probe"] == 0], group[group["probe"] == 1]
-            for k in range(0, len(held), max(1, PAIR_BLOCK // max(1, len(asks)))):
-                part = held[k : k + max(1, PAIR_BLOCK // max(1, len(asks)))]
+            step = max(1, PAIR_BLOCK // max(1, len(asks)))
+            for k in range(0, len(held), step):
+                part = held[k : k + step]
                 i, j = np.nonzero(~far(part["letters"][:, None], asks["letters"][None, :]) & (part["line"][:, None] != asks["line"][None, :]))
                 src.append(part["line"][i])
                 dst.append(asks["line"][j])
-        src, dst = np.concatenate(src), np.concatenate(dst)
-        pairs = np.unique(np.stack([np.minimum(src, dst), np.maximum(src, dst)], axis=1), axis=0) if len(src) else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                n += len(i)
+                if n > PAIR_BLOCK:  # pairs go out as they come, so a task holds no more than these
+                    yield told(np.concatenate(src), np.concatenate(dst))
+                    src, dst, n = [], [], 0
+        yield told(np.concatenate(src or [np.zeros(0, dtype=np.int64)]), np.concatenate(dst or [np.zeros(0, dtype=np.int64)]))
 
     return match
 
@@ -193,12 +246,23 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(no), pa.array(line)], ["doc_id", "text_key", "line_no", "line"])
 
 
-def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """(a, b): ids of every two different lines within the edits that the shorter one's length allows, `edits` at most, a < b, as a table."""
-    bits = (4 * shuffle_partitions(docs.sparkSession) - 1).bit_length()
+def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, split: int = HOT_ENTRIES) -> DataFrame:
+    """(a, b): ids of every two different lines within the edits that the shorter one's length allows, `edits` at most, a < b, as a table.
+
+    A key that more than about `split` lines hold or probe for is cut into a grid of tasks, each with a part of its holders and a part of its probes.
+    """
+    spark = docs.sparkSession
+    bits = (4 * shuffle_partitions(spark) - 1).bit_length()
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    blocks = texts.mapInArrow(emit_keys(bits, edits), "bucket long, block binary")
-    pairs = cut(blocks.groupBy("bucket").applyInPandas(match_bucket(edits), "a long, b long").distinct(), "line-pairs")
+    counts = texts.mapInArrow(frequent_keys(edits), "key long, held long, asks long").groupBy("key").agg(F.sum("held").alias("held"), F.sum("asks").alias("asks"))
+    often = counts.where((F.col("held") > 0) & (F.col("asks") > 0) & ((F.col("held") + F.col("asks")) * HOT_EVERY > split))
+    found = often.orderBy(F.desc(F.col("held") + F.col("asks")), "key").limit(HOT_KEYS).toPandas()
+    keys = found["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    parts = lambda c: np.maximum(1, -(-found[c].to_numpy(dtype=np.int64) * HOT_EVERY // split))[order]
+    hot = spark.sparkContext.broadcast((keys[order], parts("held"), parts("asks")))
+    blocks = texts.mapInArrow(emit_keys(bits, edits, hot), "bucket long, i int, j int, block binary")
+    pairs = cut(blocks.groupBy("bucket", "i", "j").applyInPandas(match_bucket(edits), "a long, b long").distinct(), "line-pairs")
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "line-wanted")
     n = wanted.count()
     few = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], dtype=np.int64))) if n <= BROADCAST_ROWS else None
@@ -233,7 +297,7 @@ def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS) -
     return cut(both.select("a", "b", "s_a", "s_b").mapInArrow(near, "a long, b long"), "line-links")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, split: int = HOT_ENTRIES) -> DataFrame:
     """One row per line that is not blank: doc_id, text_key (a hash of the row's text), line_no (from 0), class_doc_id, class_line_no, n_same, n_links, kept.
 
     Lines are what stands between line feeds, without white space at the ends. Equal lines of any length, and lines that steps of at
@@ -246,7 +310,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     at = cut(rows.mapInArrow(occurrences, "doc_id long, text_key long, line_no long, line long"), "line-occurrences")
-    links = similar_lines(docs, text_col, edits)
+    links = similar_lines(docs, text_col, edits, split)
     of = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "line-classes").withColumnRenamed("id", "line")
     n_links = links.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n_links"))
     of = cut(of.join(n_links, "line"), "line-linked")
