@@ -25,8 +25,8 @@ ship(__name__)
 PERMUTATIONS = 64
 BAND_FUNCTIONS = 2  # each gives two values
 PERCENT = 75
-#: Members of a bucket that one task compares; larger buckets are cut into blocks, and every pair of blocks is a task.
-BLOCK = 2048
+#: Members of a block of a bucket; a task compares two blocks.
+BLOCK = 1024
 _rng = np.random.default_rng(11)
 _mul = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
 _add = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -106,9 +106,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id comes back as its own null component. An empty table gives no rows; other columns are not read.
 
     1. Documents with equal sets are one class (merged by a tree, so a class of any size is cheap).
-    2. In each bucket every class is compared with the bucket's smallest one. 3. Buckets that still hold several
-    components are compared whole, pairs between components only, inside tasks that
+    2. In each bucket every class is compared with the bucket's smallest one. 3. In buckets that still hold several
+    components what is outside the largest one is compared with all, inside tasks of two blocks that
     put out at most a link for each join. So near copies by the thousand never become pairs, and no candidate is left out.
+    Long texts are hashed whole; ties don't arise, as every document has its own least id.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -131,13 +132,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = components(first, "star")
 
     at = cut(members.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
-    left = at.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("a < b")
-    left = cut(left.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "open-buckets")
+    sized = at.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+    left = sized.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("n"), F.sum("who").alias("who")).where("parts > 1")
+    left = cut(left.groupBy("n", "who").agg(F.min(F.struct("bucket", "big")).alias("b")).select("b.bucket", F.col("b.big.component").alias("big"), F.col("b.big.n").alias("n_big"), (F.col("n") - F.col("b.big.n")).alias("n_rest")), "open-buckets")
     links = first
     if left.limit(1).count():
-        blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
-        rest = join_sized(at, left, ["bucket"], "inner").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "id", "component")
+        # blocks of the members outside the bucket's largest component meet each other and its blocks; those never meet each other
+        few, many = (F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int") for c in ("n_rest", "n_big"))
+        rest = join_sized(at, left, ["bucket"], "inner").withColumn("few", few).withColumn("many", many).withColumn("inside", F.col("component") == F.col("big"))
+        rest = rest.withColumn("own", F.when(F.col("inside"), F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("many")))))
+        rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component")
         more = rest.join(sets.hint("merge"), "id").groupBy("bucket", "i", "j").applyInPandas(linked_in_block(percent), "src long, dst long")
         links = cut(first.unionByName(more), "links")
         found = components(links, "all")
