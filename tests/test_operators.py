@@ -495,3 +495,79 @@ def test_delivery():
     done = streams.deliver({"a", "b", "c"}, set(), post)
     assert done == {"a"} and posted == ["a", "b", "c"]
     assert streams.deliver({"b", "c", "d"}, done, lambda p: True) == {"b", "c", "d"}
+
+
+def test_more_sources(spark, tmp_path):
+    import sqlite3
+
+    db = sqlite3.connect(tmp_path / "chat.sqlite")
+    db.executescript("""CREATE TABLE ZWACHATSESSION (Z_PK, ZCONTACTJID, ZPARTNERNAME); CREATE TABLE ZWAGROUPMEMBER (Z_PK, ZMEMBERJID, ZCONTACTNAME);
+        CREATE TABLE ZWAMESSAGE (ZCHATSESSION, ZGROUPMEMBER, ZISFROMME, ZMESSAGEDATE, ZTEXT, ZMESSAGETYPE);
+        INSERT INTO ZWACHATSESSION VALUES (1, '49123@s.net', 'Ann'), (2, 'x@status', 'S'), (3, 'y@g.us', 'G');
+        INSERT INTO ZWAMESSAGE VALUES (1, NULL, 1, 0, 'hi', 0), (1, NULL, 0, 60.0, 'ho', 0), (2, NULL, 0, 1, 'no', 0), (3, NULL, 0, 1, 'no', 0);""")
+    db.commit()
+    db.close()
+    got = sorted((r["datetime"], r["from"], r["to"], r["from_phone_number"], r["content"]) for r in readers.read_chat_store(spark, f"file://{tmp_path}/chat.sqlite").collect())
+    assert got == [("2001-01-01 00:00:00", "me", "Ann", "me", "hi"), ("2001-01-01 00:01:00", "Ann", "me", "49123", "ho")]
+
+    (tmp_path / "t.csv").write_text('a,b\n1,""\n2,"x, ""y"""\n')
+    assert [(r["a"], r["b"]) for r in readers.read_csv_strings(spark, f"file://{tmp_path}/t.csv").collect()] == [("1", None), ("2", 'x, "y"')]
+    messages = spark.createDataFrame([("c", "t", 0, "user", 1e9, "q"), ("c", "t", 1, "assistant", 1e9, ""), ("c", "t", 2, "user", 1e9, "r")], readers.ARCHIVE_MESSAGES)
+    assert {r["answer"] for r in readers.parsed_conversations(messages).collect()} == {""}
+    assert {r["answer"] for r in readers.parsed_conversations(messages, keep_empty=False).collect()} == {None}
+    users, phones = spark.createDataFrame([(1, "A"), (2, "B")], "id int, name string"), spark.createDataFrame([("11", 1), ("22", 2)], "phone string, user_id int")
+    assert [tuple(r) for r in readers.partners(users, phones, ["22", "33"]).collect()] == [("22", "B")]
+    assert readers.lookup(users, F.col("name") == "B")["id"] == 2 and readers.lookup(users, F.col("name") == "C") is None
+    assert [r["id"] for r in readers.limited(users, 1, "id").collect()] == [1] and readers.limited(users, None).count() == 2
+    users.write.parquet(f"file://{tmp_path}/store/a/b")
+    assert readers.under_prefix(spark, f"file://{tmp_path}/store/", "/a/b/").count() == 2
+
+
+def test_more_sinks(spark, tmp_path):
+    root = f"file://{tmp_path}/graph"
+    nodes = spark.createDataFrame([("row1_a", ["row2_b"], [1], "ann"), ("row2_b", [], [1, 2], "both")], "id string, edges array<string>, chunk_ids array<int>, user string")
+    chunks, users = spark.createDataFrame([(1, "x"), (2, "y")], "chunk_id int, messages_str string"), spark.createDataFrame([(7, "ann"), (8, "bob")], "id int, name string")
+    for _ in range(2):  # twice is once
+        sinks.save_graph(spark, root, nodes, chunks, users)
+    read = lambda name: sorted(map(tuple, spark.read.parquet(f"{root}/{name}").collect()))
+    assert read("node_chunk") == [("a", 1), ("b", 1), ("b", 2)] and read("node_user") == [("a", 7), ("b", 7), ("b", 8)]
+    assert [r[0] for r in read("nodes")] == ["a", "b"] and spark.read.parquet(f"{root}/nodes").where("id = 'a'").first()["edges"] == ["b"]
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception, match="(?i)parquet"):  # a table that can't be read is not taken for none
+        sinks.upsert(spark, f"file://{tmp_path}/broken", users, ["id"])
+    assert (tmp_path / "broken" / "part-0.parquet").read_text() == "not a table"
+    sinks.write_json(users, f"file://{tmp_path}/json")
+    assert spark.read.json(f"file://{tmp_path}/json").count() == 2
+    e = spark.createDataFrame([([float(k), float(k % 3), 1.0],) for k in range(9)], "embedding array<double>")
+    models = vector_search.fit_pca(e, "embedding", 2)
+    sinks.save_models(models, f"file://{tmp_path}/models")
+    kept = vector_search.apply_pca(e, sinks.load_models(f"file://{tmp_path}/models"), "embedding", 4).collect()
+    assert [r["reduced_embedding"] for r in kept] == [r["reduced_embedding"] for r in vector_search.apply_pca(e, models, "embedding", 4).collect()]
+    odd = spark.createDataFrame([('a"<&', "x > y"), ("b", None)], "id string, said string")
+    sinks.write_graphml(odd, spark.createDataFrame([('a"<&', "b")], "src string, dst string"), f"file://{tmp_path}/odd.graphml")
+    n, g = readers.read_graphml(spark, f"file://{tmp_path}/odd.graphml")
+    assert {r["id"]: r["attributes"].get("said") for r in n.collect()} == {'a"<&': "x > y", "b": None} and g.first()["src"] == 'a"<&'
+
+
+def test_long_paths_and_chains(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(80)], "src int, dst int")
+    assert graph.shortest_path(edges, 0, 80) == list(range(81)) and graph.shortest_path(edges, 0, 80, most=10) is None
+    found = graph.components(edges)
+    assert found.count() == 81 and found.select("component").distinct().count() == 1
+
+
+def test_lookback_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, k, at(s := rng.randrange(5000)), at(s + rng.randrange(3000)) if rng.random() < 0.95 else None) for g in ("a", None) for k in rng.sample(range(500), 60)]
+    chunks = spark.createDataFrame(rows, "g string, chunk_id int, start_dt timestamp, end_dt timestamp")
+    want = set()
+    for g, k, start, _ in rows:
+        before = sorted((r for r in rows if r[0] == g and r[1] < k and r[3] is not None), key=lambda r: (-r[3].timestamp(), r[1]))[:4]
+        want |= {(g, k, r[1], n) for n, r in enumerate(before, 1) if n <= 2 or (start - r[3]).total_seconds() <= 3600}
+    for block in (20_000, 7):
+        monkeypatch.setattr(sequences, "LOOK_BLOCK", block)
+        got = sequences.lookback(chunks, partition=["g"], most=4, always=2, within="INTERVAL 1 HOUR").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)

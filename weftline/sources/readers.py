@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import sqlite3
 import zipfile
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
@@ -11,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import apple_time
 
@@ -91,6 +93,36 @@ def read_sql(spark: SparkSession, url: str, query: str, **options: str) -> DataF
     return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
 
 
+def read_sqlite(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+    """A query's rows from every SQLite file under path, a file a task; files come through Spark, so they may be in any store. schema: the query's columns in their order."""
+    names = [f.name for f in StructType.fromDDL(schema)]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                db = sqlite3.connect(":memory:")
+                try:
+                    db.deserialize(bytes(content))
+                    yield pd.DataFrame(db.execute(query).fetchall(), columns=names, dtype=object)
+                finally:
+                    db.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, schema)
+
+
+#: Tables of a phone's chat store, as chat_export wants them. The names of its tables and columns are fixed values.
+CHAT_STORE = {
+    "messages": ("SELECT ZCHATSESSION, ZGROUPMEMBER, ZISFROMME, ZMESSAGEDATE, ZTEXT, ZMESSAGETYPE, NULL FROM ZWAMESSAGE", "session long, member long, from_me int, date double, text string, type int, title string"),
+    "sessions": ("SELECT Z_PK, ZCONTACTJID, ZPARTNERNAME FROM ZWACHATSESSION", "id long, jid string, name string"),
+    "members": ("SELECT Z_PK, ZMEMBERJID, ZCONTACTNAME FROM ZWAGROUPMEMBER", "id long, jid string, name string"),
+}
+
+
+def read_chat_store(spark: SparkSession, path: str) -> DataFrame:
+    """Raw messages of the chat stores under path."""
+    return chat_export(*(read_sqlite(spark, path, query, schema) for query, schema in CHAT_STORE.values()))
+
+
 def chat_export(messages: DataFrame, sessions: DataFrame, members: DataFrame) -> DataFrame:
     """Raw messages of a phone's chat store: messages(session, member, from_me, date, text, type, title) with sessions(id, jid, name) and, for groups, members(id, jid, name).
 
