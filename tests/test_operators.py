@@ -571,3 +571,39 @@ def test_lookback_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(sequences, "LOOK_BLOCK", block)
         got = sequences.lookback(chunks, partition=["g"], most=4, always=2, within="INTERVAL 1 HOUR").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_ward_against_plain_merging():
+    rng = np.random.default_rng(5)
+    for n, clusters in ((25, 4), (40, 7), (3, 5)):
+        x = rng.standard_normal((n, 3))
+        held = [[k] for k in range(n)]
+        grow = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+        while len(held) > clusters:
+            _, i, j = min((grow(held[i], held[j]), i, j) for i in range(len(held)) for j in range(i))
+            held[j] += held.pop(i)
+        got = vector_search.ward(x, clusters)
+        assert {frozenset(np.flatnonzero(got == c)) for c in set(got)} == {frozenset(h) for h in held}
+
+
+def test_change_points_against_all_partitions():
+    rng = np.random.default_rng(6)
+    for n in (7, 12, 16):
+        x = np.concatenate([rng.normal(0, 0.2, n // 2), rng.normal(4, 0.2, n - n // 2)])
+        d = (x[:, None] - x[None]) ** 2
+        k = np.exp(-np.clip(d / np.median(d[np.triu_indices(n, 1)]), 1e-2, 1e2))
+        cost = lambda a, b: np.trace(k[a:b, a:b]) - k[a:b, a:b].sum() / (b - a)
+
+        def best(b, cost=cost, n=n):
+            options = [(cost(a, b) + (np.log(n) if a else 0) + rest, [*ends, b]) for a in [0, *range(3, b - 2)] if b - a >= 3 for rest, ends in [best(a) if a else (0.0, [])]]
+            return min(options, key=lambda o: o[0])
+
+        assert sequences.change_points(x, 3) == best(n)[1]
+
+
+def test_compression_ratio(spark):
+    import gzip
+
+    texts = ["", "a", "abc" * 500, "ünï " * 40, None]
+    got = [r["r"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", vector_search.compression_ratio(F.col("t")).alias("r")).orderBy("k").collect()]
+    assert got == [None if not t else len(t.encode()) / len(gzip.compress(t.encode(), mtime=0)) for t in texts]
