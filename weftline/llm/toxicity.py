@@ -215,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
     """(lexicon, weights) from labelled documents whose fold is not 0; of near copies in the sample one counts.
 
     The sample is bounded by train_docs, so what the driver collects of it (ids and 8 band hashes a document, then terms that pass
-    a first test, then five numbers a document) is bounded too. Without usable labels the lexicon is empty.
+    a first test, then six numbers a document) is bounded too. Labels without an id or a value are left out; of several labels of an id the largest counts, and of documents that repeat an id each
+    is looked at until a near copy of it was. Null and empty texts count as clean or toxic documents without words; long ones are read whole. Ties of the sample's order go by id. Without usable labels the lexicon is empty.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("id")) != 0)
     chosen = cut(known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(train_docs), "train-ids")
