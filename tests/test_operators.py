@@ -607,3 +607,19 @@ def test_compression_ratio(spark):
     texts = ["", "a", "abc" * 500, "ünï " * 40, None]
     got = [r["r"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", vector_search.compression_ratio(F.col("t")).alias("r")).orderBy("k").collect()]
     assert got == [None if not t else len(t.encode()) / len(gzip.compress(t.encode(), mtime=0)) for t in texts]
+
+
+def test_stream_of_messages_in_segments(spark, tmp_path):
+    """Windows that stay open from batch to batch give the same chunks as one batch."""
+    decide = lambda rows: {"decision": "SPLIT" if rows[-1]["index"] % 5 == 4 else "NO_SPLIT", "sentiment": rows[0]["index"] / 10}
+    src = f"file://{tmp_path}/in"
+    for k in range(3):
+        spark.createDataFrame([(c, i, f"m{i}") for c in ("a", "b") for i in range(k * 13, (k + 1) * 13)], "conversation string, index long, content string").coalesce(1).write.mode("append").parquet(src)
+    read = spark.readStream.schema("conversation string, index long, content string").option("maxFilesPerTrigger", 1).parquet(src)
+    out = streams.segmented(read, "conversation", decide, first=4, step=3, force=10)
+    q = out.writeStream.format("memory").queryName("segments").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(120)
+    got = {(r["conversation"], r["index"]): (r["chunk_id"], r["sentiment"]) for r in spark.table("segments").collect()}
+    whole = sequences.segment(decide, first=4, step=3, force=10)(pd.DataFrame({"index": range(39), "content": [f"m{i}" for i in range(39)]}))
+    closed = whole[whole["chunk_id"] < whole["chunk_id"].max()]
+    assert got == {(c, i): (k, s) for c in ("a", "b") for i, k, s in zip(closed["index"], closed["chunk_id"], closed["sentiment"], strict=True)} and len(got) > 40
