@@ -571,6 +571,8 @@ def test_lookback_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(sequences, "LOOK_BLOCK", block)
         got = sequences.lookback(chunks, partition=["g"], most=4, always=2, within="INTERVAL 1 HOUR").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+        alone = sequences.lookback(chunks.where("g = 'a'").drop("g"), most=4, always=2, within="INTERVAL 1 HOUR").collect()
+        assert {("a", *r) for r in alone} == {w for w in want if w[0] == "a"}
 
 
 def test_ward_against_plain_merging():

@@ -24,12 +24,12 @@ def with_row_index(df: DataFrame, *order: str | Column, name: str = "index", par
         return df.withColumn(name, (F.row_number().over(W.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
     from ..sources.tables import cut
 
-    placed = cut(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "row-index")
-    part = F.shiftright("_place", 33).cast("int")
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    starts = counts.selectExpr("_part", "sum(_n) over (order by _part) - _n as _start")
+    placed = cut(df.orderBy(*order).withColumn("_index_place", F.monotonically_increasing_id()), "row-index")
+    part = F.shiftright("_index_place", 33).cast("int")
+    counts = placed.groupBy(part.alias("_index_part")).agg(F.count("*").alias("_n"))
+    starts = counts.selectExpr("_index_part", "sum(_n) over (order by _index_part) - _n as _index_start")
     # one row a partition, so broadcasting them is bounded by the number of tasks
-    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place", "_part", "_start")
+    return placed.withColumn("_index_part", part).join(F.broadcast(starts), "_index_part").withColumn(name, F.col("_index_start") + F.col("_index_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_index_place", "_index_part", "_index_start")
 
 
 def run_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], partition: Sequence[str] = (), name: str = "run") -> DataFrame:
@@ -84,7 +84,7 @@ def lookback(chunks: DataFrame, chunk: str = "chunk_id", start: str = "start_dt"
     Chunks are taken in blocks in their order. The `most` latest ends of each block are merged from block to block, so each block knows those of all before it, and
     goes through its own rows with them: work grows with the chunks, not with their pairs, and no task holds more than a block or the blocks' short lists.
     """
-    rows = with_row_index(chunks.select(*partition, F.col(chunk).alias("_c"), F.unix_micros(F.col(start).cast("timestamp")).alias("_s"), F.unix_micros(F.col(end).cast("timestamp")).alias("_e"), F.col(start).alias("_start"), F.col(end).alias("_end")), "_c", name="_i", partition=partition)
+    rows = with_row_index(chunks.select(*partition, F.col(chunk).alias("_c"), F.unix_micros(F.col(start).cast("timestamp")).alias("_s"), F.unix_micros(F.col(end).cast("timestamp")).alias("_e")), "_c", name="_i", partition=partition)
     rows = rows.withColumn("_block", F.floor(F.col("_i") / LOOK_BLOCK).cast("long"))
     kinds = dict(rows.dtypes)
     keys = "".join(f"{p} {kinds[p]}, " for p in partition)
