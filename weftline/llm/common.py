@@ -33,14 +33,13 @@ def worker_cache() -> dict:
 
 
 def enter(kernel: str) -> None:
-    """Called by a task at its start: what other kernels keep in this Python worker goes, back to the system too, so stages of one job don't add up."""
+    """Called by a task at its start: what other kernels keep in this Python worker goes, so stages of one job don't add up, and memory that no one holds goes back to the system."""
     kept = worker_cache()
-    if kept.get("kernel") == kernel:
-        return
-    for name in [k for k in kept if not k.startswith("__")]:
-        del kept[name]
-    kept["kernel"] = kernel
-    gc.collect()
+    if kept.get("kernel") != kernel:
+        for name in [k for k in kept if not k.startswith("__")]:
+            del kept[name]
+        kept["kernel"] = kernel
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

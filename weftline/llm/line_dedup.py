@@ -26,7 +26,7 @@ EDITS = 2
 #: A line has one edit for so many characters, up to EDITS; shorter lines have none and are joined where they are equal.
 EDIT_CHARS = 8
 #: Distinct lines that are keyed at once, by characters.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: Lines that a task remembers having put out; beyond that it may put them out again.
 SEEN_LINES = 250_000
 #: A key with more entries than this is split, found by the keys with HOT_LINES entries or more in one of every HOT_EVERY batches; HOT_KEYS at most, the most frequent ones.

@@ -28,7 +28,7 @@ UNIT = 8
 #: Pieces are ranked in about so many parts inside their lengths, so that no task holds all pieces of a length and what is broadcast of the parts is bounded.
 RANK_PARTS = 1 << 18
 #: Beyond so many tokens between white space, or words, a Python worker forgets their ids.
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 250_000
 #: The tokenizer file's own word pattern (a fixed value), for texts of Latin-1 characters; others go to the library whole.
 _kind = {k: "".join(re.escape(chr(i)) for i in range(256) if unicodedata.category(chr(i))[0] == k) for k in "LN"}
 _words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_kind['L']}]+|[{_kind['N']}]|[^\s{_kind['L']}{_kind['N']}]+")

@@ -12,7 +12,7 @@ from .common import ship, worker_cache
 ship(__name__)
 
 WORDS = 5
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 U = np.uint64
 _rng = np.random.default_rng(7)
 _space = np.zeros(256, dtype=bool)

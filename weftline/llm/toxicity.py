@@ -26,7 +26,8 @@ FOLDS = 5
 MIN_RATIO, MIN_PURE = 27.0, 0.9
 PREFIXES = range(4, 8)
 WINDOW = 6
-SEEN_WORDS = 150_000
+#: Words and terms that a task holds at once.
+SEEN_WORDS, HELD_TERMS = 100_000, 50_000
 #: Signs written for letters, and words that stand near reports and near addresses.
 LEET = str.maketrans("01345789@$!|", "oieastbgasii")
 REPORTS = frozenset("said says say called calls wrote writes quote quoted quotes word term sagte sagt nannte schrieb zitat wort dit écrit appelé mot citation dijo dice llamó escribió palabra cita".split())
@@ -108,6 +109,7 @@ def fold(doc_id: Column) -> Column:
 
 def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents of each label that say a word themselves, outside quotations and reports, or a word with a prefix, as partial counts."""
+    enter("toxicity")
     counts: dict[tuple[str, bool], list[int]] = {}
 
     def drain() -> pd.DataFrame:
@@ -122,7 +124,7 @@ def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             terms = {(w, False) for w in words} | {(w[:k], True) for w in words for k in PREFIXES if len(w) >= k}
             for t in terms:
                 counts.setdefault(t, [0, 0])[0 if toxic else 1] += 1
-            if len(counts) > 300_000:
+            if len(counts) > HELD_TERMS:
                 yield drain()
     yield drain()
 
@@ -206,6 +208,7 @@ def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("shingles")
     for batch in batches:
         rows = [bands_of(s)[:8] if len(s) else np.zeros(0, dtype=np.int64) for s in shingle_sets(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], ["id", "toxic", "text", "bands"])
@@ -238,6 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
     lexicon = choose(terms.where(f"toxic >= 3 AND toxic >= {MIN_PURE} * (toxic + clean)").toPandas(), *n)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("toxicity")
         scorer = Scorer(lexicon)
         for pdf in batches:
             yield pd.DataFrame({"x": [scorer.features(t).tolist() for t in pdf["text"]], "y": pdf["toxic"]})
