@@ -19,13 +19,13 @@ def digest_key(text: Column) -> Column:
 def merged(rows: DataFrame, n_runs: int, largest: bool) -> DataFrame:
     """One round: the sorted runs that meet in a run are merged in order, and of a key the first id in that order and the count go on.
 
-    A run is cut by digest into slices, so that a round has as many tasks as the first one however few its runs are. Rows are
+    A run is cut by digest into slices, so that a round can have as many tasks as the first one however few its runs are. Rows are
     sorted by key and id where they meet, and equal neighbours are read in that order in one pass (a sort aggregate, see merge_runs).
     """
     parts = max(n_runs, shuffle_partitions(rows.sparkSession))
     cut_up = rows.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(-(-parts // n_runs))))
     by_id = F.col("win").desc_nulls_last() if largest else F.col("win").asc_nulls_last()
-    met = cut_up.repartition(parts, "run", "slice").sortWithinPartitions("run", "slice", "key", by_id)
+    met = cut_up.repartition("run", "slice").sortWithinPartitions("run", "slice", "key", by_id)
     return met.groupBy("run", "slice", "key").agg(F.first("win").alias("win"), F.sum("n").alias("n")).drop("slice")
 
 
