@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, line_dedup, main_text, minhash, mixing, packing, pii, toxicity, warc
+from . import ann, exact_dedup, line_dedup, main_text, minhash, mixing, packing, pii, toxicity, warc, whitening
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_pack": packing.op8_pack,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_whitening": whitening.op11_whitening,
 }
 ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL, **warc.SQL}
