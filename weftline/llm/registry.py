@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, line_dedup, main_text, minhash, mixing, packing, partenum, pii, toxicity, warc, whitening
+from . import ann, collocations, exact_dedup, line_dedup, main_text, minhash, mixing, packing, partenum, pii, toxicity, warc, whitening
 
 QUERIES = {
     "op1_warc_roundtrip": warc.op1_warc_roundtrip,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_whitening": whitening.op11_whitening,
     "op12_ngram_join": partenum.op12_ngram_join,
+    "op13_collocations": collocations.op13_collocations,
 }
-ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL, **warc.SQL}
+ORACLE_SQL = {**collocations.SQL, **exact_dedup.SQL, **mixing.SQL, **warc.SQL}

@@ -44,10 +44,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept["shingle_up"], kept["shingle_down"]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a chunk of bytes, and where each starts; starts: where texts begin, which ends a word as a space does."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, space: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a chunk of bytes, and where each starts; starts: where texts begin, which ends a word as a space does; space: of each byte, whether it ends words."""
     n = len(data)
-    word = ~_space[data]
+    word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     begin = starts[starts < n]
