@@ -57,20 +57,26 @@ def test_alike_sets_share_a_signature(percent):
             b = np.concatenate([a[gone:], new])
             if not len(b) or 100 * (size - gone) < percent * (size + len(new)) or (not gone and not len(new)):
                 continue
-            x, y = (partenum.signatures_of(np.unique(s), percent) for s in (a, b))
-            assert np.intersect1d(x, y).size, (size, gone, len(new))
+            (x, p), (y, q) = (partenum.signatures_of(np.unique(s), percent) for s in (a, b))
+            met = np.intersect1d(x, y).size
+            assert met, (size, gone, len(new))
+            most_apart = (100 - percent) * (len(a) + len(b)) // (100 + percent)
+            if min(p[1], p[2], q[1], q[2]) > 0:  # what the condition on pairs rests on
+                cells = p[1] + p[2] - 2 * most_apart if p[0] == q[0] else max(p, q)[1] - most_apart
+                assert met >= cells - min(p[3], q[3])
 
 
 def test_strangers_share_few():
     rng = np.random.default_rng(1)
-    signs = [partenum.signatures_of(np.unique(rng.integers(0, 1 << 64, rng.integers(20, 200), dtype=np.uint64))) for _ in range(2000)]
+    signs = [partenum.signatures_of(np.unique(rng.integers(0, 1 << 64, rng.integers(20, 200), dtype=np.uint64)))[0] for _ in range(2000)]
     flat = np.concatenate([np.unique(s) for s in signs])
     assert len(flat) - len(np.unique(flat)) <= 20
 
 
-@pytest.mark.parametrize(("block", "features"), [(1024, 1 << 19), (20, 1 << 19), (1024, 500)])
+@pytest.mark.parametrize(("block", "features"), [(1024, 1 << 19), (20, 500)])
 def test_join(spark, monkeypatch, block, features):
     monkeypatch.setattr(set_links, "BLOCK", block)
+    monkeypatch.setattr(set_links, "FEW", 16 if block == 1024 else 3)
     monkeypatch.setattr(set_links, "BLOCK_FEATURES", features)
     rng = random.Random(4)
     rows = [(1, None), (2, ""), (3, " \n"), (4, "x" * 300_000), (5, "x" * 300_000), (6, "a b"), (9, "A  b"), (10, "a b c d e"), (11, "A B C D E"), (12, "a b c d f"), (13, "long " * 50_000)]

@@ -5,6 +5,8 @@ band such sets differ in at most k features. The feature domain is cut into cell
 agree whole, with k + 3 at least three. Signatures are projections on enumerated subsets of cells, so sets alike enough share one.
 A cell that agrees may be empty in both; if all that agree are, then the sets share t + 1 empty cells, so they share EMPTY of their first
 ones (all but the last t + 1 - EMPTY in the order of cells), and subsets of those are enumerated too.
+As a pair of sizes a and b differs in at most h = (1 - j) / (1 + j) (a + b) features, all cells but h agree: a pair that shares
+fewer signatures, empty cells allowed for, is dropped unseen.
 """
 
 from __future__ import annotations
@@ -54,14 +56,14 @@ def layout(band: int, percent: int):
     return edges, salt, subsets, slack
 
 
-def signatures_of(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a sorted set of hashes. Cells are intervals of hashes, so each is a slice of the set."""
+def signatures_of(found: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
+    """Signatures of a sorted set of hashes (cells are intervals of hashes, so each is a slice of the set); and its band, the cells of this band and the next (0 where subsets are enumerated) and its empty ones."""
     kept = worker_cache().setdefault(f"partenum_{percent}", {})
     if not kept:
         kept["starts"] = np.array(band_starts(percent))
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(found + U(STEP)))])
     own = int(np.searchsorted(kept["starts"], len(found), side="right")) - 1
-    out = []
+    out, shape = [], [own, 0, 0, 0]
     for band in (own, own + 1):
         if band not in kept:
             kept[band] = layout(band, percent)
@@ -74,27 +76,40 @@ def signatures_of(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             out.append(mix64(held[subsets].sum(axis=1) ^ mix64(salt[subsets].sum(axis=1))))
             continue
         empty = at[1:] == at[:-1]
+        shape[1 + band - own] = len(empty)
+        shape[3] += int(empty.sum())
         out.append(mix64(held[~empty] ^ salt[~empty]))
         if empty.sum() > slack:
             first = np.flatnonzero(empty)[: int(empty.sum()) - slack - 1 + EMPTY]
             some = np.array(list(combinations(first, EMPTY)))
             out.append(mix64(~salt[some].sum(axis=1)))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64), shape
+
+
+#: What pairs alike enough share at least: in one band two layouts, in neighbours one; nothing is known where subsets are enumerated.
+ENOUGH = """CASE WHEN least(own_a, next_a, own_b, next_b) = 0 THEN true
+    WHEN band_a = band_b THEN met >= own_a + next_a - 2 * floor({0} * (size_a + size_b) / {1}) - least(empty_a, empty_b)
+    ELSE met >= if(band_a < band_b, own_b, own_a) - floor({0} * (size_a + size_b) / {1}) - least(empty_a, empty_b) END"""
+
+
+SHAPE = ["band", "own", "next", "empty"]
 
 
 def signed_rows(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("shingles")
         for batch in batches:
-            size, key, signs, ends = [], [], [], [0]
+            size, key, signs, shapes, ends = [], [], [np.zeros(0, dtype=np.int64)], [], [0]
             for found in shingle_sets(batch.column(1), words):
                 size.append(len(found))
                 key.append(blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                signs.append(signatures_of(found, percent) if len(found) else np.zeros(0, dtype=np.int64))
-                ends.append(ends[-1] + len(signs[-1]))
-            flat = np.concatenate(signs) if signs else np.zeros(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), lists], ["id", "size", "key", "signs"])
+                mine, shape = signatures_of(found, percent) if len(found) else (signs[0], [0, 0, 0, 0])
+                signs.append(mine)
+                shapes.append(shape)
+                ends.append(ends[-1] + len(mine))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(signs)))
+            shaped = [pa.array(c, pa.int32()) for c in np.array(shapes, dtype=np.int32).reshape(-1, 4).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), lists, *shaped], ["id", "size", "key", "signs", *SHAPE])
 
     return run
 
@@ -114,12 +129,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"percent is {LEAST_PERCENT} to 100")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(rows.mapInArrow(signed_rows(words, percent), "id long, size long, key binary, signs array<long>"), "signed")
+    signed = cut(rows.mapInArrow(signed_rows(words, percent), "id long, size long, key binary, signs array<long>, band int, own int, next int, empty int"), "signed")
     known = F.col("key").isNotNull() & F.col("id").isNotNull()
-    classes = cut(merge_runs(signed.where(known).select("id", "size", "key"), largest=False).drop("n"), "classes")
+    classes = cut(merge_runs(signed.where(known).select("id", "size", "key", *SHAPE), largest=False).drop("n"), "classes")
     others = classes.where("id <> win").select("id", "key").distinct()
     named = join_sized(signed.where(known), cut(others, "others"), ["id", "key"], "left_anti").select("id", F.explode("signs").alias("bucket"))
-    found = component_ids(rows, named, classes.where("id = win").select("id", "size").distinct(), percent, words)
+    sizes = cut(classes.where("id = win").select("id", "size", *SHAPE).distinct(), "sizes")
+    found = component_ids(rows, named, sizes, percent, words, ENOUGH.format(100 - percent, 100 + percent))
     out = join_sized(classes.select("id", "size", "win"), found.select(F.col("id").alias("win"), "component"), ["win"], "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "win").alias("component_id"))
     alone = signed.where(~known).select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("id").alias("component_id"))

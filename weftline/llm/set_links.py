@@ -1,6 +1,6 @@
 """Links between sets that share a signature, confirmed on the full sets, and the components they make.
 
-Whatever names the buckets (min-max bands, partitions of the feature domain), the rest is the same: pairs and stars first, then blocks of
+Whatever names the buckets (min-max bands, partitions of the feature domain), the rest is the same: stars, then pairs, then blocks of
 what a bucket still holds apart. A task holds two blocks, whose size is bounded by members and by features.
 """
 
@@ -21,6 +21,8 @@ ship(__name__)
 
 #: Members and features of a block of a bucket; a task compares two blocks.
 BLOCK, BLOCK_FEATURES = 1024, 1 << 19
+#: Members outside a bucket's largest component that meet the bucket's others as pairs.
+FEW = 16
 
 
 def full_sets(words: int):
@@ -64,48 +66,71 @@ def linked_in_block(percent: int):
     return link
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) the links (src, dst) whose full sets are alike enough."""
-    own = pairs.join(sets.select(F.col("id").alias("a"), "members").hint("merge"), "a")
+def sets_of(rows: DataFrame, ids: DataFrame, words: int, name: str) -> DataFrame:
+    """(id, members) of the documents among ids(id), as a table."""
+    wanted = cut(ids.distinct(), f"{name}-wanted")
+    return cut(join_sized(rows.where("text IS NOT NULL"), wanted, ["id"], "left_semi").mapInArrow(full_sets(words), "id long, members array<long>"), f"{name}-sets")
+
+
+def confirmed(rows: DataFrame, pairs: DataFrame, percent: int, words: int, name: str) -> DataFrame:
+    """Of pairs(a, b), a table, the links (src, dst) whose full sets are alike enough, as a table."""
+    sets = sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")), words, name)
+    own = join_sized(sets.select(F.col("id").alias("a"), "members"), pairs, ["a"], "inner")
     both = own.join(sets.select(F.col("id").alias("b"), F.col("members").alias("others")).hint("merge"), "b")
     shared = both.withColumn("both", F.size(F.array_intersect("members", "others"))).withColumn("either", F.size("members") + F.size("others") - F.col("both"))
-    return shared.where(f"100 * both >= {percent} * either").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return cut(shared.where(f"100 * both >= {percent} * either").select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
+
+
+def sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) whose sizes allow a link, with the columns of sizes for each end."""
+    for end in "ab":
+        pairs = join_sized(pairs, sizes.select(*[F.col(c).alias(end if c == "id" else f"{c}_{end}") for c in sizes.columns]), [end], "inner")
+    return pairs.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
 
 
-def component_ids(rows: DataFrame, named: DataFrame, sizes: DataFrame, percent: int, words: int) -> DataFrame:
-    """(id, component) of those that links touch, for rows(id, text) in buckets named(bucket, id) and their sizes(id, size), all of them tables.
+def component_ids(rows: DataFrame, named: DataFrame, sizes: DataFrame, percent: int, words: int, enough: str | None = None) -> DataFrame:
+    """(id, component) of those that links touch, for rows(id, text) in buckets named(bucket, id) and their sizes(id, size, ..), all of them tables.
 
-    A bucket of two is a pair; a larger one is a star around its smallest id. Pairs are told apart by size, then on full sets. In buckets that
-    then still hold several components, what is outside the largest one meets all, inside tasks of two blocks that put out at most a link for
-    each join. So near copies by the thousand never become pairs, and no candidate is left out.
+    1. Buckets of more than FEW members are stars around their smallest id. 2. In buckets that hold several components what is outside the
+    largest one (at most FEW members) meets all, a pair once however many buckets it shares. `enough` is a condition that a
+    pair alike enough meets, on the number `met` of buckets that it shares and the columns of sizes with _a and _b behind them. 3. Where more is outside,
+    tasks of two blocks compare sets and put out at most a link for each join; a pair that such a bucket
+    holds needs no other. So near copies by the thousand never become pairs, and no candidate is left out.
     """
     full = cut(named.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
-    members = cut(join_sized(named, full.where("n > 2").select("bucket", "lo"), ["bucket"], "inner").distinct(), "members")
-    met = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(full.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct()
-    for end in "ab":
-        met = join_sized(met, sizes.select(F.col("id").alias(end), F.col("size").alias(f"size_{end}")), [end], "inner")
-    pairs = cut(met.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select("a", "b").distinct(), "pairs")
-    wanted = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct(), "wanted")
-    sets = cut(join_sized(rows.where("text IS NOT NULL"), wanted, ["id"], "left_semi").mapInArrow(full_sets(words), "id long, members array<long>"), "sets")
-    first = cut(confirmed(pairs, sets, percent), "star-links")
+    members = cut(join_sized(named, full.where("n > 2").select("bucket", "lo", "n"), ["bucket"], "inner").distinct(), "members")
+    stars = members.where(f"n > {FEW} AND id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    stars = cut(sized(stars, sizes, percent).select("a", "b").distinct(), "stars")
+    first = confirmed(rows, stars, percent, words, "star")
     found = components(first, "star")
 
-    weighed = join_sized(members.select("bucket", "id"), sizes.groupBy("id").agg(F.max("size").alias("size")), ["id"], "inner")
-    at = cut(weighed.join(found, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component")), "placed")
+    plain = sizes.groupBy("id").agg(F.max("size").alias("size"))
+    at = join_sized(join_sized(members.select("bucket", "id"), plain, ["id"], "inner"), found, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
+    at = cut(at, "placed")
     parts = at.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
     left = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "size")).alias("big"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("who").alias("who")).where("parts > 1")
+    # buckets with the same members count once, as often as there are
+    left = left.groupBy("n", "who").agg(F.min(F.struct("bucket", "big", "size")).alias("b"), F.count("*").alias("times"))
     blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(float(BLOCK))), F.ceil(size / F.lit(float(BLOCK_FEATURES)))).cast("int")
-    b = F.col("b")
-    left = left.groupBy("n", "who").agg(F.min(F.struct("bucket", "big", "size")).alias("b")).select(
-        b["bucket"].alias("bucket"), b["big"]["component"].alias("big"), blocks(F.col("n") - b["big"]["n"], b["size"] - b["big"]["size"]).alias("few"), blocks(b["big"]["n"], b["big"]["size"]).alias("many")
-    )
+    b, outside = F.col("b"), F.col("n") - F.col("b.big.n")
+    left = left.select(b["bucket"].alias("bucket"), b["big"]["component"].alias("big"), outside.alias("outside"), "times", blocks(outside, b["size"] - b["big"]["size"]).alias("few"), blocks(b["big"]["n"], b["big"]["size"]).alias("many"))
     left = cut(left, "open-buckets")
-    if not left.limit(1).count():
-        return found
+
+    here = join_sized(at, left.where(f"outside <= {FEW}").select("bucket", "big", "times"), ["bucket"], "inner")
+    out = here.where("component <> big").select("bucket", F.col("id").alias("other"), F.col("component").alias("apart"))
+    out = here.join(out, "bucket").where("component <> apart AND (component = big OR id < other)")
+    pairs = out.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "times").unionByName(full.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(1).cast("long").alias("times")))
+    pairs = sized(pairs.groupBy("a", "b").agg(F.sum("times").alias("met")), sizes, percent)
+    pairs = (pairs.where(enough) if enough else pairs).select("a", "b").distinct()
+    pairs = cut(join_sized(pairs, stars, ["a", "b"], "left_anti"), "pairs")
+    links = first.unionByName(confirmed(rows, pairs, percent, words, "pair"))
+
+    rest = join_sized(at, left.where(f"outside > {FEW}"), ["bucket"], "inner").withColumn("inside", F.col("component") == F.col("big"))
     # blocks of the members outside the bucket's largest component meet each other and its blocks; those never meet each other
-    rest = join_sized(at, left, ["bucket"], "inner").withColumn("inside", F.col("component") == F.col("big"))
     rest = rest.withColumn("own", F.when(F.col("inside"), F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("many")))))
-    rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component")
-    more = rest.join(sets.hint("merge"), "id").groupBy("bucket", "i", "j").applyInPandas(linked_in_block(percent), "src long, dst long")
-    return components(cut(first.unionByName(more), "links"), "all")
+    rest = cut(rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component"), "blocks")
+    if rest.limit(1).count():
+        sets = sets_of(rows, rest.select("id"), words, "block")
+        links = links.unionByName(rest.join(sets.hint("merge"), "id").groupBy("bucket", "i", "j").applyInPandas(linked_in_block(percent), "src long, dst long"))
+    return components(cut(links, "links"), "all")
