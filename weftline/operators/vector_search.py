@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..sources.tables import cut
 from .sequences import with_row_index
+from .similarity_join import threshold_pairs
 
 #: Rows of a block of the block-wise comparison of all rows.
 BLOCK = 2048
@@ -23,30 +24,10 @@ def unit_rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
 def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, k: int | None = None, strict: bool = False, normalise: bool = True) -> DataFrame:
     """(i, j, sim), i <> j: rows at least `threshold` alike, among the k nearest of i (itself counted) if k is given.
 
-    The table is cut into blocks and every two blocks are a task of one matrix product in double precision, which gives both directions, so no side is
-    broadcast and a task holds two blocks. With k, a task puts out no more than the k nearest of each row (and ties).
+    Rows meet only those in cells within reach of the threshold (see similarity_join), which gives both directions. With k, a task puts out no more than the k nearest of each row (and ties).
     """
     rows = unit_rows(df, id_col, vector) if normalise else df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = cut(rows, "unit")
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = own.select("id", "v", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    kind = dict(rows.dtypes)["id"]
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = (pdf[pdf["own"] == block] for block in key)
-        out = []
-        if len(one) and len(two):
-            sim = np.stack(one["v"].to_numpy()) @ np.stack(two["v"].to_numpy()).T
-            for left, right, s in ((one, two, sim), (two, one, sim.T))[: 1 + (key[0] != key[1])]:
-                near = s > threshold if strict else s >= threshold
-                if k is not None and k < s.shape[1]:
-                    near &= s >= np.partition(s, -k, axis=1)[:, -k, None]
-                x, y = np.nonzero(near)
-                out.append(pd.DataFrame({"i": left["id"].to_numpy()[x], "j": right["id"].to_numpy()[y], "sim": s[x, y]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"i": [], "j": [], "sim": []})
-
-    pairs = dealt.groupBy("a", "b").applyInPandas(compare, f"i {kind}, j {kind}, sim double")
+    pairs = threshold_pairs(cut(rows.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c))), "unit"), threshold, k, strict)
     if k is not None:  # rows under the threshold rank behind, so they change no rank that counts
         pairs = pairs.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("sim"), (F.col("i") != F.col("j")), "j"))).where(F.col("r") <= k).drop("r")
     return pairs.where("i <> j")
