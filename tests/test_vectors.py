@@ -54,3 +54,62 @@ def test_compared_pairs_fall_with_the_threshold(spark):
         compared.append(w / (4000 * 3999 / 2))
     print("share of pairs compared", compared)
     assert compared == sorted(compared, reverse=True) and compared[2] < 0.3 and compared[-1] < 0.06
+
+
+def test_proximity_graph(spark):
+    """Recall against brute force at three sizes, and rows met that hardly grow with them."""
+    from weftline.operators.proximity_graph import build_index, search_index
+
+    share = []
+    for n in (2000, 8000, 32_000):
+        x = clustered(n, 24, 80, 0.3, n)
+        asked = x[:: n // 50] + 0.05 * np.random.default_rng(2).normal(size=x[:: n // 50].shape)
+        index = build_index(frame(spark, x), "id", "v", shard_rows=20_000)
+        got = search_index(index, frame(spark, asked).toDF("query_id", "q")).collect()
+        found = {}
+        for r in got:
+            found.setdefault(r.query_id, []).append(r)
+        hits = 0
+        for q, rows in found.items():
+            d = np.sqrt(((x - asked[q]) ** 2).sum(1))
+            hits += len({r.id for r in rows} & set(np.argsort(d, kind="stable")[:10].tolist()))
+            assert [r.rank for r in sorted(rows, key=lambda r: (r.distance, r.id))] == list(range(1, 11)) and all(abs(r.distance - d[r.id]) < 1e-9 for r in rows)
+        met = np.mean([rows[0].met for rows in found.values()])
+        share.append(met / n)
+        print(n, "rows: recall", hits / (10 * len(asked)), "met", met)
+        assert len(found) == len(asked) and hits >= 0.95 * 10 * len(asked)
+    assert share[1] < share[0] / 2 and share[2] < share[1]
+
+
+def test_index_odd_rows(spark, tmp_path):
+    """Null vectors are not indexed; equal rows, a single row and an empty table are answered; an index can be kept."""
+    from weftline.operators.proximity_graph import build_index, search_index
+
+    asked = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "query_id int, q array<double>")
+    rows = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(30)] + [(90, None), (91, [0.5, 0.0])], "id long, v array<double>")
+    kept = build_index(rows, "id", "v", path=f"file://{tmp_path}/index")
+    assert [(r.query_id, r.id) for r in search_index(kept, asked, 3).orderBy("rank").collect()] == [(1, 91), (1, 0), (1, 1)]
+    assert [r.id for r in search_index(build_index(rows.where("id = 5"), "id", "v"), asked, 3).collect()] == [5]
+    assert search_index(build_index(rows.limit(0), "id", "v"), asked, 3).count() == 0
+
+
+def test_sql_uses_the_index(spark):
+    from weftline.operators.proximity_graph import build_index
+    from weftline.plans.serve import Service
+
+    x = clustered(3000, 12, 30, 0.3, 4)
+    nodes = frame(spark, x).select(F.col("id").cast("string").alias("id"), F.col("v").alias("embedding"), F.array().cast("array<string>").alias("edges"), F.lit("p").alias("proposition"))
+
+    class Embedder:
+        def embed(self, texts):
+            return [[float(c) for c in x[int(t)] + 0.01] for t in texts]
+
+    chunks = spark.createDataFrame([], "chunk_id int, messages_str string, embedding array<double>")
+    plain, indexed = (Service(nodes, chunks, Embedder(), index=i) for i in (None, build_index(nodes, "id", "embedding")))
+    for sql in (
+        "SELECT n.id FROM CausalGraphNode n, QueryEmbedding q WHERE q.id = 2 ORDER BY n.embedding <-> q.embedding LIMIT 7",
+        'SELECT n."id" FROM "CausalGraphNode" AS n, "QueryEmbedding" AS q WHERE q."id" = 1 ORDER BY n."embedding" <-> q."embedding" LIMIT 5;',
+    ):
+        a, b = (s.sql_query(sql, to_embed_nodes=["17", "1500"]) for s in (plain, indexed))
+        assert a.collect() == b.collect() and len(b.collect()) in (5, 7)
+    assert indexed.sql_query("SELECT count(*) AS n FROM CausalGraphNode", to_embed_nodes=["1"]).first()["n"] == 3000

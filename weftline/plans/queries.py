@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists, text
 from ..functions import vectors as V
-from ..operators import entities, external, graph, relational, sequences, vector_search
+from ..operators import entities, external, graph, proximity_graph, relational, sequences, vector_search
 from ..sources.tables import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -398,6 +398,16 @@ def skip_best_match(spark, sf_dir):
     return vector_search.ranked_rows(e, e.where("vec_id = 3").first()["embedding"], "vec_id", "embedding", 20, 0.1).select("vec_id", F.round("sim", 6).alias("sim"))
 
 
+@query(f"""WITH {_VEC} SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_distance(a.e, b.e), 6) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS rank
+    FROM v a, v b WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10""")
+def index_search(spark, sf_dir):
+    """Nearest rows to every hundredth one through a proximity graph over all rows."""
+    e = load(spark, sf_dir, "embeddings")
+    index = proximity_graph.build_index(e, "vec_id", "embedding")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return proximity_graph.search_index(index, asked, 10, 256).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(f"WITH {_VEC} SELECT a.vec_id, a.label::BIGINT AS label, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM v a, v b WHERE b.vec_id = 11 ORDER BY 1 - list_cosine_similarity(a.e, b.e), a.vec_id LIMIT 15")
 def sql_vector_query(spark, sf_dir):
     """SQL with a vector operator over the service's tables and a query embedding."""

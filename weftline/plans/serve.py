@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.text import node_datetime
 from ..operators import graph
+from ..operators.proximity_graph import BEAM, search_index
 from ..operators.relational import without_embeddings
 from ..operators.vector_search import top_similar
 
 #: Statements that may be asked for.
 READS = re.compile(r"^\s*(?:SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
+#: Ends of statements that an index answers, and words of statements that look at more than the nearest nodes.
+NEAREST = re.compile(r"ORDER\s+BY\s+[\w.\"]*embedding\"?\s*<->\s*[\w.\"]*embedding\"?\s*(?:ASC\s+)?LIMIT\s+(\d+)\s*;?\s*$", re.IGNORECASE)
+WIDER = re.compile(r"\b(?:JOIN|GROUP|HAVING|UNION|INTERSECT|EXCEPT|DISTINCT|OVER|WITH|RawDataChunk|count|sum|avg|min|max)\b", re.IGNORECASE)
 _distance = {"<=>": ("", "cosine_distance"), "<->": ("", "l2_distance"), "<#>": ("-", "inner_product")}
 _operand = r"(?:\((?:[^()]|\([^()]*\))*\)|[`\w.]+(?:\((?:[^()]|\([^()]*\))*\))?)"
 
@@ -34,7 +38,9 @@ def translate(sql: str) -> str:
 class Service:
     """Answers over nodes(id, proposition, datetimes, frequency, chunk_ids, edges, embedding) and chunks(chunk_id, messages_str, embedding)."""
 
-    def __init__(self, nodes: DataFrame, chunks: DataFrame, embedder, reducer=None, size: int | None = None, tables: dict[str, DataFrame] | None = None) -> None:
+    def __init__(self, nodes: DataFrame, chunks: DataFrame, embedder, reducer=None, size: int | None = None, tables: dict[str, DataFrame] | None = None, index: DataFrame | None = None) -> None:
+        """index: a proximity graph of the nodes' embeddings (build_index); nearest-node statements then read only what a search of it finds."""
+        self.index = index
         self.spark: SparkSession = nodes.sparkSession
         self.nodes, self.chunks, self.embedder, self.reducer, self.size, self.tables = nodes, chunks, embedder, reducer, size, tables or {}
         self.all_nodes, self.edges = graph.build(nodes)
@@ -70,7 +76,8 @@ class Service:
     def sql_query(self, query: str, to_embed_nodes: Sequence[str] = (), to_embed_raw_data: Sequence[str] = ()) -> DataFrame:
         """Rows of a reading statement over the tables and QueryEmbedding(id, type, embedding), without embedding columns.
 
-        Ids of query embeddings count from 1 inside each type, node and raw_data. Every call has a session of its own, so its views go with it.
+        Ids of query embeddings count from 1 inside each type, node and raw_data. Every call has a session of its own, so its views go with it. With an index a statement
+        on nodes alone that ends in ORDER BY embedding <-> embedding LIMIT n reads the nodes that a search finds for each query embedding; its conditions choose among those.
         """
         if not READS.match(query) or ";" in query.rstrip().rstrip(";"):
             raise ValueError("only one reading statement is answered")
@@ -78,7 +85,12 @@ class Service:
         session.conf.set("spark.sql.session.timeZone", "UTC")
         V.register_sql(session)
         rows = [(k, kind, self.vector(t)) for kind, texts in (("node", to_embed_nodes), ("raw_data", to_embed_raw_data)) for k, t in enumerate(texts, 1)]
-        for name, df in {"CausalGraphNode": self.nodes, "RawDataChunk": self.chunks, **self.tables}.items():
+        nodes = self.nodes
+        if self.index is not None and rows and (nearest := NEAREST.search(query)) and not WIDER.search(query):
+            asked = self.spark.createDataFrame([(k, v) for k, (_, _, v) in enumerate(rows)], "query_id int, q array<double>")
+            near = search_index(self.index, asked, max(int(nearest[1]), BEAM))
+            nodes = nodes.join(near.select("id").distinct(), "id", "left_semi")
+        for name, df in {"CausalGraphNode": nodes, "RawDataChunk": self.chunks, **self.tables}.items():
             self.view(session, df, name)
         session.createDataFrame(rows, "id int, type string, embedding array<double>").createOrReplaceTempView("QueryEmbedding")
         return without_embeddings(session.sql(translate(query.rstrip().rstrip(";"))))
