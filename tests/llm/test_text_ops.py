@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from weftline.llm import main_text, pii, toxicity
 from weftline.llm.lexicon_automaton import Automaton, budget_of
@@ -208,6 +209,25 @@ def test_main_text():
     assert main_text.main_text('<p>a <a href="x>b</a> c</p><p>d') != ""
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="entry-content has-sidebar"><p>Hello world.</p></div>', "Hello world."),
+        ('<article class="post comment-open"><p>Hello</p></article>', "Hello"),
+        ('<div id="page" class="site no-sidebar"><article><p>Hello</p></article></div>', "Hello"),
+        ('<main class="login-page"><p>Hello</p></main>', "Hello"),
+        ('<div class="promo"><p>Hello there, this is all that the page says</p></div><div class="menu">a b</div>', "Hello there, this is all that the page says"),
+        ('<article><p>One two</p><p class="notice-board">Kept</p><p class="advert">gone</p><div class="ad-box">gone</div></article>', "One two\n\nKept"),
+        ('<article><h1>T</h1><p>body text which is long enough</p></article><section id="comments"><article class="comment"><p>reader says hi</p></article></section>', "T\n\nbody text which is long enough"),
+        ('<div class="site-header">Head</div><div class="content"><p>long main text goes on for a while</p></div><div class="cookie-notice">accept</div>', "long main text goes on for a while"),
+        ('<div class="comments">only what readers say</div>', "only what readers say"),
+    ],
+)
+def test_names_are_evidence(page, text):
+    """A name never takes the element that holds the main text, nor leaves a page empty."""
+    assert main_text.main_text(page) == text
+
+
 def site_tree(pages):
     """The tree of one host by merging whole pages, node by node from the root, and the composite importance of its nodes by recursion: {place: importance} for nodes of several pages."""
     import math

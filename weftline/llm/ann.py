@@ -59,6 +59,13 @@ class Tree:
         self.normals, self.offsets = np.array(normals).reshape(len(normals), x.shape[1]), np.array(offsets)
         self.left, self.right = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
+    @classmethod
+    def known(cls, parts: dict) -> Tree:
+        """A tree of the arrays of another one (vars of it), which travel to tasks that have no copy of this module."""
+        tree = cls.__new__(cls)
+        tree.__dict__.update(parts)
+        return tree
+
     @staticmethod
     def split(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray] | None:
         """A random direction, between two of the points if they differ, cut at the median; None if the points can't be told apart."""
@@ -198,14 +205,15 @@ def search_length(df: DataFrame, queries: DataFrame, k: int, trees: int, sample:
     rng = np.random.default_rng(seed)
     forest = [Tree(x, LEAF, rng) for _ in range(trees)]
     share = share_needed(forest, x, max(1, -(-k * len(x) // max(n_ids, 1))), recall)
-    held = spark.sparkContext.broadcast(forest)
+    held = spark.sparkContext.broadcast([vars(t) for t in forest])
     # of many equal vectors, the first k + 1
     rows = df.withColumn("nth", F.expr("row_number() over (partition by v order by id)")).where(F.col("nth") <= k + 1).select("id", "v")
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = [Tree.known(t) for t in held.value]
         for pdf in batches:
             if len(pdf):
-                found = np.stack([t.leaf_of(matrix(pdf["v"])) for t in held.value], axis=1)
+                found = np.stack([t.leaf_of(matrix(pdf["v"])) for t in forest], axis=1)
                 yield pdf.assign(leaf=list(found))
 
     kind = dict(df.dtypes)["v"]
@@ -222,11 +230,12 @@ def search_length(df: DataFrame, queries: DataFrame, k: int, trees: int, sample:
     while True:
 
         def asks(batches: Iterator[pd.DataFrame], part: float = part) -> Iterator[pd.DataFrame]:
+            forest = [Tree.known(t) for t in held.value]
             for pdf in batches:
                 out = []
                 for i, v in zip(pdf["id"], pdf["v"], strict=True):
                     met = 0
-                    for n, leaf in leaves_for(held.value, np.asarray(v, dtype=np.float64)):
+                    for n, leaf in leaves_for(forest, np.asarray(v, dtype=np.float64)):
                         size = known.value.get((n, leaf), 0)
                         out += [(i, v, n, leaf, b) for b in range(-(-size // BLOCK))]
                         met += size

@@ -3,8 +3,8 @@
 Pages of a host are merged into one tree. A node is an element at a place: the children of an element, runs of alike ones taken together, are one of
 its styles, and each of them is a node below that style. Presentation importance is the entropy of an element's styles over the host's
 pages, content importance 1 less the entropy of what it says; both join into a composite importance from the leaves up. Branches of low
-importance are removed from each page, as are those that their tag, role or class calls a menu, header, footer,
-sidebar, notice, advert, form or comments, which is taken as an importance of 0.
+importance are removed from each page, as are those that their tag calls a menu, footer, form and the like. A role or class that does so is
+evidence only: it is taken as an importance of 0 for a branch that neither holds the main text nor half of what the page says.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd figure f
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select", "datalist"), "tbody": ("table",), "tfoot": ("table",)}
+WHOLE = frozenset("main body html".split())
+#: Names that say how something is laid out, or that it is there, not what it is.
+_state = re.compile(r"^(?:has|no|with|without|is|not|js|can|show|hide)[-_]|[-_](?:open|opened|closed|enabled|disabled|on|off|page|left|right)$", re.IGNORECASE)
 _token = re.compile(r"<!--(?:[^-]|-(?!->))*+(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
 _attr = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _space = re.compile(r"\s+")
@@ -54,17 +57,20 @@ _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("children", "key", "kids", "look", "low", "marks", "noise", "parent", "said", "style", "tag")
+    __slots__ = ("children", "key", "kids", "look", "low", "marks", "named", "noise", "parent", "said", "style", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = "") -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.noise, self.marks, style = tag in NEVER, frozenset(), ""
+        self.noise, self.named, self.marks, style = tag in NEVER, False, frozenset(), ""
         if attrs and attrs.strip(" /"):
             known = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _attr.finditer(attrs)}
             style = " ".join(filter(None, (known.get("class"), known.get("id"), known.get("role"))))
-            self.marks = frozenset(w.lower() for w in _part.findall(style))
+            words = [w for w in style.split() if not _state.search(w)]
+            self.marks = frozenset(part.lower() for w in words for part in _part.findall(w))
             shown = known.get("style", "").replace(" ", "").lower()
-            self.noise |= bool(self.marks & NOISE) and tag not in ("body", "html") or "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in shown or "visibility:hidden" in shown
+            # a paragraph or item is noise if a whole name says so; main and body are what they are, as is an article that is named as one
+            self.named = tag not in WHOLE and not (tag == "article" and self.marks & MAIN) and not NOISE.isdisjoint(map(str.lower, words) if tag in PROSE else self.marks)
+            self.noise |= "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in shown or "visibility:hidden" in shown
         # numbers in names are those of one page
         self.look, self.low = f"{tag}.{_digits.sub('0', style)}", False
 
@@ -127,6 +133,23 @@ def noisy(node: Node) -> bool:
     return node.noise
 
 
+def name_noise(tree: Node) -> None:
+    """Make noise of the branches that are named so, but for those that hold an article or main element, or at least half of the page's text."""
+    order, size, holds, todo = [], {}, {}, [tree]
+    while todo:
+        node = todo.pop()
+        if node.tag in RAW:
+            continue
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(order):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        size[id(node)] = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(size.get(id(c), 0) for c in inner)
+        holds[id(node)] = node.tag in ("article", "main") and not node.named or any(holds.get(id(c)) for c in inner)
+    for node in order:
+        node.noise |= node.named and not holds[id(node)] and 2 * size[id(node)] < size[id(tree)]
+
+
 def roots(tree: Node) -> list[Node]:
     """The elements that hold the main text: articles, else main elements, else elements named so, else all; of nested ones the outermost."""
     found: dict[int, list[Node]] = {0: [], 1: [], 2: []}
@@ -345,7 +368,7 @@ def prunable(node: Node, in_article: bool) -> bool:
 
 
 def main_text(page: str | None, host: str = "", low: np.ndarray | None = None) -> str:
-    """The page's text; low: sorted keys of nodes of low importance. A page that these would leave empty is left as it is."""
+    """The page's text; low: sorted keys of nodes of low importance. A page that these would leave empty is read without them, and one that names would leave empty without names."""
     tree = parse(page or "")
     if low is not None and len(low):
         nodes = styled(tree, host)
@@ -356,9 +379,11 @@ def main_text(page: str | None, host: str = "", low: np.ndarray | None = None) -
             here = inside[id(node)] or node.tag == "article"
             node.low = bool(hit) and prunable(node, here)
             inside.update((id(k), here) for k in node.kids)
+    plain = [t for r in roots(tree) for t in blocks(r, prune=False)]
+    name_noise(tree)
     top = roots(tree)
     found = [t for r in top for t in blocks(r)]
-    return "\n\n".join(found or [t for r in top for t in blocks(r, prune=False)])
+    return "\n\n".join(found or [t for r in top for t in blocks(r, prune=False)] or plain)
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", importance: float = IMPORTANCE, text_col: str = "main_text") -> DataFrame:
