@@ -229,8 +229,8 @@ def test_vectors(spark):
     f = lambda c: one(spark.range(1).select(c))
     a, z = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(0.0), F.lit(0.0))
     assert f(V.norm(a)) == 5 and f(V.cosine(a, z)) is None and f(V.padded(a, 3)) == [3.0, 4.0, 0.0] and f(V.padded(a, 1)) == [3.0]
-    labels = vector_search.ward(np.array([[0.0], [0.1], [5.0], [5.1], [9.0]]), 3)
-    assert labels.tolist() == [0, 0, 1, 1, 2]
+    w = spark.createDataFrame([(k, [x]) for k, x in enumerate([0.0, 0.1, 5.0, 5.1, 9.0])], "id int, e array<double>")
+    assert [r["cluster_label"] for r in vector_search.cluster(w, "id", "e", 3).orderBy("id").collect()] == [0, 0, 1, 1, 2]
     df = spark.createDataFrame([(k, [float(k), float(2 * k), 1.0]) for k in range(10)], "id int, embedding array<double>")
     out, models = human.reduced(df, 5, 1)
     assert all(len(r["reduced_embedding"]) == 5 for r in out.collect())
@@ -575,19 +575,6 @@ def test_lookback_in_blocks(spark, monkeypatch):
         assert {("a", *r) for r in alone} == {w for w in want if w[0] == "a"}
 
 
-def test_ward_against_plain_merging():
-    rng = np.random.default_rng(5)
-    for n, clusters in ((25, 4), (40, 7), (3, 5)):
-        x = rng.standard_normal((n, 3))
-        held = [[k] for k in range(n)]
-        grow = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
-        while len(held) > clusters:
-            _, i, j = min((grow(held[i], held[j]), i, j) for i in range(len(held)) for j in range(i))
-            held[j] += held.pop(i)
-        got = vector_search.ward(x, clusters)
-        assert {frozenset(np.flatnonzero(got == c)) for c in set(got)} == {frozenset(h) for h in held}
-
-
 def test_change_points_against_all_partitions():
     rng = np.random.default_rng(6)
     for n in (7, 12, 16):

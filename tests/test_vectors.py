@@ -113,3 +113,52 @@ def test_sql_uses_the_index(spark):
         a, b = (s.sql_query(sql, to_embed_nodes=["17", "1500"]) for s in (plain, indexed))
         assert a.collect() == b.collect() and len(b.collect()) in (5, 7)
     assert indexed.sql_query("SELECT count(*) AS n FROM CausalGraphNode", to_embed_nodes=["1"]).first()["n"] == 3000
+
+
+def groups_of(labels):
+    out = {}
+    for k, c in labels.items():
+        out.setdefault(c, set()).add(k)
+    return {frozenset(g) for g in out.values()}
+
+
+@pytest.mark.parametrize(("n", "clusters"), [(45, 7), (3, 5), (1, 2)])
+def test_ward_against_plain_merging(spark, monkeypatch, n, clusters):
+    """The single closest pair merged again and again, beside rounds of mutual neighbours in small blocks."""
+    from weftline.operators import ward
+
+    monkeypatch.setattr(ward, "LAST", 3)
+    monkeypatch.setattr(ward, "BLOCK", 10)
+    x = np.random.default_rng(5).standard_normal((n, 3))
+    held = [[k] for k in range(n)]
+    grow = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+    while len(held) > clusters:
+        _, i, j = min((grow(held[i], held[j]), i, j) for i in range(len(held)) for j in range(i))
+        held[j] += held.pop(i)
+    got = {r.id: r.cluster_label for r in ward.ward_clusters(frame(spark, x), clusters).collect()}
+    assert groups_of(got) == {frozenset(h) for h in held}
+    first = sorted({c: min(k for k in got if got[k] == c) for c in got.values()}.items())
+    assert [c for c, _ in first] == list(range(len(first))) and [k for _, k in first] == sorted(k for _, k in first)
+
+
+def test_ward_rounds_equal_one_block(spark, monkeypatch):
+    from weftline.operators import ward
+
+    x = clustered(1500, 6, 25, 0.4, 9)
+    rows = frame(spark, x).cache()
+    one = groups_of({r.id: r.cluster_label for r in ward.ward_clusters(rows, 25).collect()})
+    monkeypatch.setattr(ward, "LAST", 300)
+    monkeypatch.setattr(ward, "BLOCK", 400)
+    many = groups_of({r.id: r.cluster_label for r in ward.ward_clusters(rows, 25).collect()})
+    assert one == many and len(one) == 25
+
+
+def test_ward_ties(spark, monkeypatch):
+    """Equal rows and equal distances: any order of merging will do, and rounds come to an end."""
+    from weftline.operators import ward
+
+    monkeypatch.setattr(ward, "LAST", 4)
+    rows = frame(spark, np.array([[float(k % 4), float(k // 4 % 4)] for k in range(64)]))
+    got = groups_of({r.id: r.cluster_label for r in ward.ward_clusters(rows, 16).collect()})
+    assert got == {frozenset(k for k in range(64) if k % 16 == g) for g in range(16)}
+    assert ward.ward_clusters(rows.limit(0), 3).count() == 0

@@ -12,6 +12,7 @@ from ..functions import vectors as V
 from ..sources.tables import cut
 from .sequences import with_row_index
 from .similarity_join import threshold_pairs
+from .ward import ward_clusters
 
 #: Rows of a block of the block-wise comparison of all rows.
 BLOCK = 2048
@@ -127,57 +128,9 @@ def apply_pca(df: DataFrame, models, vector: str, size: int, name: str = "reduce
     return out.withColumn(name, V.padded(vector_to_array("reduced"), size)).drop("raw", "centred", "reduced")
 
 
-def ward(x: np.ndarray, clusters: int) -> np.ndarray:
-    """Labels of Ward's agglomeration (nearest-neighbour chain), numbered by first appearance."""
-    n = len(x)
-    if n <= clusters:
-        return np.arange(n)
-    centre, size, alive = x.astype(float).copy(), np.ones(n), np.ones(n, dtype=bool)
-    merges, chain = [], []
-    for step in range(n - 1):
-        if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
-        while True:
-            a = chain[-1]
-            d = ((centre - centre[a]) ** 2).sum(1) * size * size[a] / (size + size[a])
-            d[~alive] = np.inf
-            d[a] = np.inf
-            b = int(d.argmin())
-            if len(chain) > 1 and d[chain[-2]] <= d[b]:
-                b = chain[-2]
-                break
-            chain.append(b)
-        chain = chain[:-2]
-        merges.append((float(d[b]), step, a, b))
-        lo, hi = min(a, b), max(a, b)
-        centre[lo] = (centre[lo] * size[lo] + centre[hi] * size[hi]) / (size[lo] + size[hi])
-        size[lo] += size[hi]
-        alive[hi] = False
-    root = np.arange(n)
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for _, _, a, b in sorted(merges)[: n - clusters]:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    _, first, label = np.unique([find(k) for k in range(n)], return_index=True, return_inverse=True)
-    return np.argsort(np.argsort(first))[label]
-
-
-def cluster(df: DataFrame, id_col: str, vector: str, clusters: int = 20, most: int = 20_000) -> DataFrame:
-    """(id, cluster_label) by Ward's method. It needs all rows of the table at once and time that grows with their square, so larger tables than `most` are refused."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows; Ward's method is quadratic")
-    kind = dict(df.dtypes)[id_col]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        return pd.DataFrame({"id": pdf["id"], "cluster_label": ward(np.array(pdf["v"].tolist()), clusters)})
-
-    return df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit("all").alias("g")).groupBy("g").applyInPandas(run, f"id {kind}, cluster_label long")
+def cluster(df: DataFrame, id_col: str, vector: str, clusters: int = 20) -> DataFrame:
+    """(id, cluster_label) by Ward's method. Work grows with the square of the rows, memory of a task does not."""
+    return ward_clusters(df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")), clusters)
 
 
 def compression_ratio(text: Column) -> Column:
