@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import edit_distance, exact_dedup, line_dedup, minhash
+from weftline.llm import edit_distance, exact_dedup, line_dedup, minhash, set_links
 
 DOCS = "doc_id long, text string, `key` string, `run` int, `bucket` string, `win` int"
 
@@ -71,9 +71,10 @@ def model_near(rows):
     return {(i, len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [2048, 30])
-def test_near(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize(("few", "block", "features"), [(16, 1024, 1 << 19), (2, 30, 600)])
+def test_near(spark, monkeypatch, few, block, features):
+    for name, value in (("FEW", few), ("BLOCK", block), ("BLOCK_FEATURES", features)):
+        monkeypatch.setattr(set_links, name, value)
     rng = random.Random(1)
     rows = [r for r in EDGES if r[0] not in (None, 6)]
     base = [f"w{k}" for k in range(60)]

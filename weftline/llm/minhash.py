@@ -11,22 +11,20 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, enter, join_sized, ship, small_batches, table
+from .common import cut, enter, join_sized, ship, small_batches, table
 from .exact_dedup import merge_runs
-from .shingles import STEP, U, mix64, shingle_sets
+from .set_links import component_ids
+from .shingles import STEP, U, WORDS, mix64, shingle_sets
 
 ship(__name__)
 
 PERMUTATIONS = 64
 BAND_FUNCTIONS = 2  # each gives two values
 PERCENT = 75
-#: Members of a block of a bucket; a task compares two blocks.
-BLOCK = 1024
 _rng = np.random.default_rng(11)
 _mul = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
 _add = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -60,42 +58,6 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["id", "size", "key", "bands"])
 
 
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    enter("shingles")
-    for batch in batches:
-        found = list(shingle_sets(batch.column(1)))
-        flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
-        sizes = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["id", "members"])
-
-
-def linked_in_block(percent: int):
-    """For the members of a bucket (or of two blocks of it): links that join different components, until no more can be joined."""
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sets = pdf["id"].to_numpy(), [np.asarray(x) for x in pdf["members"]]
-        size = np.array([len(x) for x in sets])
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        names, code = np.unique(np.concatenate(sets), return_inverse=True)
-        _, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
-        comp = comp.copy()
-        largest = np.bincount(comp).argmax()
-        mark, src, dst = np.zeros(len(names), dtype=np.int64), [], []
-        for p in np.flatnonzero(comp != largest):
-            own = code[starts[p] : starts[p] + size[p]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[code], starts)
-            mark[own] = 0
-            for q in np.flatnonzero((100 * both >= percent * (size + size[p] - both)) & (comp != comp[p])):
-                if comp[q] != comp[p]:
-                    comp[comp == comp[q]] = comp[p]
-                    src.append(ids[p])
-                    dst.append(ids[q])
-        return pd.DataFrame({"src": np.array(src, dtype=np.int64), "dst": np.array(dst, dtype=np.int64)})
-
-    return link
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -105,10 +67,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id is the smallest doc_id that links reach. Rows that repeat an id are one vertex with all their links;
     a null id comes back as its own null component. An empty table gives no rows; other columns are not read.
 
-    1. Documents with equal sets are one class (merged by a tree, so a class of any size is cheap).
-    2. In each bucket every class is compared with the bucket's smallest one. 3. In buckets that still hold several
-    components what is outside the largest one is compared with all, inside tasks of two blocks that
-    put out at most a link for each join. So near copies by the thousand never become pairs, and no candidate is left out.
+    Documents with equal sets are one class (merged by a tree, so a class of any size is cheap); what the buckets hold is linked
+    as set_links says, so near copies by the thousand never become pairs, and no candidate is left out.
     Long texts are hashed whole; ties don't arise, as every document has its own least id.
     """
     spark = docs.sparkSession
@@ -116,36 +76,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(rows.mapInArrow(signatures, "id long, size long, key binary, bands array<long>"), "signatures")
     classes = cut(merge_runs(signed.where("key IS NOT NULL AND id IS NOT NULL"), largest=False).drop("key", "n"), "classes")
-    reps = classes.where("id = win").select("id", "size", F.explode("bands").alias("bucket")).distinct()
-    full = cut(reps.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = cut(join_sized(reps, full.select("bucket", "centre"), ["bucket"], "inner"), "members")
-    wanted = cut(members.select("id").distinct(), "wanted")
-    sets = cut(join_sized(rows.where("text IS NOT NULL"), wanted, ["id"], "left_semi").mapInArrow(full_sets, "id long, members array<long>"), "sets")
-
-    sizes = members.select("id", "size").distinct()
-    pairs = members.where("id <> centre").select("centre", "id", "size").distinct()
-    pairs = pairs.join(sizes.select(F.col("id").alias("centre"), F.col("size").alias("centre_size")), "centre").where(f"100 * least(size, centre_size) >= {percent} * greatest(size, centre_size)").select("centre", "id")
-    own = pairs.join(sets.hint("merge"), "id")
-    both = own.join(sets.select(F.col("id").alias("centre"), F.col("members").alias("others")).hint("merge"), "centre")
-    shared = both.withColumn("both", F.size(F.array_intersect("members", "others"))).withColumn("either", F.size("members") + F.size("others") - F.col("both"))
-    first = cut(shared.where(f"100 * both >= {percent} * either").select(F.col("id").alias("src"), F.col("centre").alias("dst")), "star-links")
-    found = components(first, "star")
-
-    at = cut(members.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
-    sized = at.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-    left = sized.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("n"), F.sum("who").alias("who")).where("parts > 1")
-    left = cut(left.groupBy("n", "who").agg(F.min(F.struct("bucket", "big")).alias("b")).select("b.bucket", F.col("b.big.component").alias("big"), F.col("b.big.n").alias("n_big"), (F.col("n") - F.col("b.big.n")).alias("n_rest")), "open-buckets")
-    links = first
-    if left.limit(1).count():
-        # blocks of the members outside the bucket's largest component meet each other and its blocks; those never meet each other
-        few, many = (F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int") for c in ("n_rest", "n_big"))
-        rest = join_sized(at, left, ["bucket"], "inner").withColumn("few", few).withColumn("many", many).withColumn("inside", F.col("component") == F.col("big"))
-        rest = rest.withColumn("own", F.when(F.col("inside"), F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("many")))))
-        rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component")
-        more = rest.join(sets.hint("merge"), "id").groupBy("bucket", "i", "j").applyInPandas(linked_in_block(percent), "src long, dst long")
-        links = cut(first.unionByName(more), "links")
-        found = components(links, "all")
+    reps = classes.where("id = win")
+    found = component_ids(rows, reps.select("id", F.explode("bands").alias("bucket")), reps.select("id", "size").distinct(), percent, WORDS)
     out = join_sized(classes.select("id", "size", "win"), found.select(F.col("id").alias("win"), "component"), ["win"], "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "win").alias("component_id"))
     alone = signed.where("key IS NULL OR id IS NULL").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("id").alias("component_id"))
