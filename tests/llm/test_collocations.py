@@ -87,6 +87,7 @@ def test_counts_pass_64_bits(spark):
 
 def test_serialised_paths():
     rng = np.random.default_rng(1)
-    paths, counts = rng.integers(0, 1 << 63, (5, 300), dtype=np.uint64), rng.integers(1, 1 << 40, 300)
-    p, c = collocations.parsed(collocations.serialised(list(paths), counts))
-    assert (p == paths).all() and (c == counts).all()
+    kinds, names = rng.integers(0, 1 << 63, 3, dtype=np.uint64), rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    ids, counts = np.concatenate([rng.integers(0, 3, (1, 300)), rng.integers(0, 50, (4, 300))]), rng.integers(1, 1 << 40, 300)
+    p, c = collocations.parsed(collocations.serialised(kinds, names, ids, counts))
+    assert (p[0] == kinds[ids[0]]).all() and (p[1:] == names[ids[1:]]).all() and (c == counts).all()

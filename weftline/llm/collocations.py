@@ -1,17 +1,18 @@
 """Phrase collocations: count tries of a shard's n-grams, serialised in the order of their paths, merged range by range.
 
-A shard's trie has depth 4. Its first level goes out as rows with the words; the other levels as two kinds of sorted
-paths (two words; three words with the fourth or its absence) in blobs, one for each range of prefixes. Ranges
-cut the hashes of a path's prefix of up to three words, so no frequent word or pair gathers in one of them. Merging a
-range gives the counts of pairs, of quadruples, and of triples as sums over their children; what is
-rarer than the least count goes there, as every part of a phrase is at least as frequent as the phrase. In the merged trie a
-node's parent gives its left parts and its suffix link its right parts.
+Tries have depth 4 and are counted in two passes, as every part of a phrase is at least as frequent as the phrase: first words and pairs, then
+paths of three words, with the fourth or its absence, all of whose pairs are frequent enough. What pairs are is told to tasks by a bitmap of bounded size, which
+may let others through and so only saves work. A shard's trie goes out in blobs, one for each range of prefixes. A path's prefix is its language
+and up to three words; ranges cut the hashes of prefixes, so no frequent word or pair gathers in one of them, and paths are sorted by hash. Merging a
+range gives the counts of words with their spellings, of pairs, of quadruples, and of triples as sums over their children; what is
+rarer than the least count goes there. In the merged trie a node's parent gives its left parts and its suffix link its right parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ ship(__name__)
 DEPTH = 4
 LEAST, SCALE, INSIDE, TOP = 30, 2_000_000, 80, 2000
 #: Words of a shard's trie, and bytes of text whose paths make one range.
-SHARD_WORDS, RANGE_BYTES = 1 << 20, 8 << 20
+SHARD_WORDS, RANGE_BYTES = 1 << 20, 4 << 20
 #: Paths that a merge holds before it adds up equal ones.
 MERGE_PATHS = 1 << 20
+#: Bits of the bitmap of frequent pairs for each of them, and at most.
+PAIR_BITS, MOST_BITS = 16, 1 << 27
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ends_word = np.zeros(256, dtype=bool)
 _ends_piece = np.zeros(256, dtype=bool)
@@ -51,7 +54,7 @@ class Shard:
     """The words of some texts: hashes, where each word's text and piece change, and one spelling of each."""
 
     def __init__(self) -> None:
-        self.words, self.langs, self.firsts, self.spelt, self.n = [], [], [], {}, 0
+        self.words, self.langs, self.firsts, self.places, self.data, self.n = [], [], [], [], [], 0
         self.breaks, self.last = 0, -1
 
     def add(self, langs: list, column: pa.Array) -> None:
@@ -79,93 +82,141 @@ class Shard:
         self.langs.append(ids[row_of])
         self.firsts.append(breaks != np.concatenate([[self.last], breaks[:-1]]))
         self.last, self.n = int(breaks[-1]), self.n + len(found)
-        names, where = np.unique(found, return_index=True)
-        stop = np.union1d(np.flatnonzero(_ends_word[data]), starts)
-        for h, a in zip(names.tolist(), at[where].tolist(), strict=True):
-            if h not in self.spelt:
-                z = np.searchsorted(stop, a, side="right")
-                self.spelt[h] = data[a : stop[z] if z < len(stop) else len(data)].tobytes().decode()
-
-    def trie(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-        """(language and word of level one, counts, the five columns of the deeper paths, counts), all sorted; a path of two words has zeros behind them, of three one zero."""
+        self.places.append(at + sum(map(len, self.data)))
+        self.data.append(data)
+
+    def spellings(self, rows: np.ndarray) -> list[bytes]:
+        """What stands at these words."""
+        data, at = np.concatenate(self.data), np.concatenate(self.places)[rows]
+        starts = np.concatenate(self.places)
+        ends = np.flatnonzero(_ends_word[data])
+        stop = np.append(ends, len(data))[np.searchsorted(ends, at)]
+        after = np.append(starts, len(data))[np.searchsorted(starts, at, side="right")]  # a text can end without a separator
+        raw = data.tobytes()
+        return [raw[a:z] for a, z in zip(at.tolist(), np.minimum(stop, after).tolist(), strict=True)]
+
+    def trie(self, frequent: np.ndarray | None) -> Trie:
+        """Words and pairs, or with the bitmap of frequent pairs the paths of three words and more that hold no others."""
         word, lang, first = np.concatenate(self.words), np.concatenate(self.langs), np.concatenate(self.firsts)
         names, w = np.unique(word, return_inverse=True)
         kinds, g = np.unique(lang, return_inverse=True)
-        w = w.astype(np.uint64) + U(1)
-        piece = np.cumsum(first)
-        n = len(w)
-        after = [w]
-        for k in range(1, DEPTH):
-            x = np.zeros(n, dtype=np.uint64)
-            x[: n - k] = np.where(piece[k:] == piece[: n - k], w[k:], U(0))
-            after.append(x)
-        ones, one_counts = np.unique((g.astype(np.uint64) << U(32)) | w, return_counts=True)
-        level_one = np.stack([kinds[(ones >> U(32)).astype(np.int64)], names[(ones & U(0xFFFFFFFF)).astype(np.int64) - 1]])
-        pair, triple = after[1] > 0, after[2] > 0
-        zeros = np.zeros(pair.sum(), dtype=np.uint64)
-        keys = [(g.astype(np.uint64) << U(32)) | after[0], after[1], after[2], after[3]]
-        keys = [np.concatenate([k[pair] if c < 2 else zeros, k[triple]]) for c, k in enumerate(keys)]
-        keys = [keys[0], (keys[1] << U(32)) | keys[2], keys[3]]
-        order = np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-        at = np.flatnonzero(new)
-        counts = np.diff(np.append(at, len(order)))
-        (one, two, w4), mask = (k[at] for k in keys), U(0xFFFFFFFF)
-        spelt = np.concatenate([np.zeros(1, dtype=np.uint64), names])
-        columns = [kinds[(one >> U(32)).astype(np.int64)], *(spelt[x.astype(np.int64)] for x in (one & mask, two >> U(32), two & mask, w4))]
-        return level_one, one_counts, columns, counts
-
-
-def prefix_ranges(columns: list[np.ndarray], ranges: int) -> np.ndarray:
-    """The range of each path by the hash of its language and first three words."""
-    h = np.zeros(len(columns[0]), dtype=np.uint64)
-    for c in columns[:4]:
-        h = mix64(h * U(STEP) + c)
-    return ((h >> U(32)) * U(ranges)) >> U(32)
+        names, w, n = np.concatenate([np.zeros(1, dtype=np.uint64), names]), w + 1, len(w)
+        ahead = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, n), dtype=x.dtype)])[:n]
+        linked = ~ahead(first, 1)
+        linked[-1:] = False
+        one = mix64(kinds[g] * U(STEP) + word)
+        two = mix64(one * U(STEP) + names[ahead(w, 1)])
+        if frequent is None:
+            row = np.flatnonzero(linked)
+            prefix = mix64(two[row] * U(STEP))
+            path, fourth = mix64(prefix * U(STEP)), None
+        else:
+            linked &= in_bitmap(two, frequent)
+            row = np.flatnonzero(linked & ahead(linked, 1))
+            prefix = mix64(two[row] * U(STEP) + names[ahead(w, 2)[row]])
+            fourth = np.where(ahead(linked, 2)[row], ahead(w, 3)[row], 0)
+            path = mix64(prefix * U(STEP) + names[fourth])
+        at, counts = counted(path)
+        row, none = row[at], np.zeros(len(at), dtype=w.dtype)
+        ids = np.stack([g[row], w[row], ahead(w, 1)[row], none if frequent is None else ahead(w, 2)[row], none if fourth is None else fourth[at]])
+        top, top_counts = counted(one if frequent is None else one[:0])
+        return Trie(kinds, names, self.spellings(top) if len(top) else [], one[top], g[top], w[top], top_counts, prefix[at], ids, counts)
+
+
+class Trie(NamedTuple):
+    """Labels (languages, words); level one (spelling, prefix hash, language, word, count); deeper paths (prefix hash, five labels, count), sorted by hash."""
+
+    kinds: np.ndarray
+    names: np.ndarray
+    spelt: list[bytes]
+    top: np.ndarray
+    top_kind: np.ndarray
+    top_name: np.ndarray
+    top_counts: np.ndarray
+    prefix: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+
+
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """Places in the order of keys. Sorting high bits with places in the low ones is several times as fast as argsort; it is used unless two keys share their high bits."""
+    bits = U(max(1, len(keys) - 1).bit_length())
+    low = U((1 << int(bits)) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    held = keys[order]
+    clash = (held[1:] & ~low == held[:-1] & ~low) & (held[1:] != held[:-1])
+    return np.argsort(keys) if clash.any() else order
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the order of keys, and how often it is there."""
+    order = ordered(keys)
+    held = keys[order]
+    new = np.ones(len(held), dtype=bool)
+    new[1:] = held[1:] != held[:-1]
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(held)))
+
+
+def in_bitmap(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set; bits: 64 to a number, a power of two of them in all."""
+    at = keys & U(64 * len(bits) - 1)
+    return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) > 0
+
+
+def range_of(prefix: np.ndarray, ranges: int) -> np.ndarray:
+    return (((prefix >> U(32)) * U(ranges)) >> U(32)).astype(np.int64)
+
 
+def in_ranges(prefix: np.ndarray, ranges: int) -> dict[int, np.ndarray]:
+    """Places of each range, in their order."""
+    at = range_of(prefix, ranges)
+    order = np.argsort(at, kind="stable")
+    here, first = np.unique(at[order], return_index=True)
+    return dict(zip(here.tolist(), np.split(order, first[1:]), strict=True)) if len(here) else {}
 
-def serialised(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Paths as indexes into the sorted distinct labels, column by column, compressed."""
-    flat = np.concatenate(columns)
-    names, at = np.unique(flat, return_inverse=True)
-    body = b"".join([np.array([len(names), len(counts)], dtype=np.uint32).tobytes(), names.tobytes(), at.astype(np.uint32).tobytes(), counts.astype(np.int64).tobytes()])
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers one after the other, compressed."""
+    body = b"".join(len(a).to_bytes(4, "little") + a.dtype.char.encode() + a.tobytes() for a in arrays)
     return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
-def parsed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(paths as five rows, counts) of a blob."""
-    body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
-    labels, n = np.frombuffer(body, dtype=np.uint32, count=2).tolist()
-    names = np.frombuffer(body, dtype=np.uint64, count=labels, offset=8)
-    at = np.frombuffer(body, dtype=np.uint32, count=5 * n, offset=8 + 8 * labels)
-    return names[at].reshape(5, n), np.frombuffer(body, dtype=np.int64, count=n, offset=8 + 8 * labels + 20 * n)
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    body, at, out = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True), 0, []
+    while at < len(body):
+        n, kind = int.from_bytes(body[at : at + 4], "little"), np.dtype(chr(body[at + 4]))
+        out.append(np.frombuffer(body, dtype=kind, count=n, offset=at + 5))
+        at += 5 + n * kind.itemsize
+    return out
+
 
+def serialised(kinds: np.ndarray, names: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Paths as indexes into the words that they hold, column by column."""
+    used = np.zeros(len(names), dtype=bool)
+    used[ids[1:]] = True
+    place = np.cumsum(used) - 1
+    return packed(kinds, names[used], ids[0].astype(np.uint32), *(place[c].astype(np.uint32) for c in ids[1:]), counts.astype(np.uint64))
 
-SHARD_ROWS = "kind int, range int, lang string, word string, lang_id long, w1 long, n long, paths binary"
+
+def parsed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(paths as five rows of labels, counts) of a blob."""
+    kinds, names, lang, *words, counts = unpacked(blob)
+    return np.stack([kinds[lang], *(names[c] for c in words)]), counts.astype(np.int64)
 
 
-def shards(ranges: int):
-    """Level one as rows (kind 1), deeper paths as a blob for each range (kind 2)."""
+def shards(ranges: int, frequent=None):
+    """The tries of a task's rows, a row for each range that they reach; frequent: a broadcast bitmap of pairs, for the second pass."""
 
     def rows_of(shard: Shard, names: dict) -> Iterator[pa.RecordBatch]:
-        level_one, one_counts, columns, counts = shard.trie()
-        k = len(one_counts)
-        spelt = [shard.spelt[h] for h in level_one[1].tolist()]
-        none = lambda n, kind: pa.nulls(n, kind)
-        one = [pa.array(np.ones(k, dtype=np.int32)), none(k, pa.int32()), pa.array([names[h] for h in level_one[0].tolist()], pa.string()), pa.array(spelt, pa.string())]
-        one += [pa.array(level_one[0].view(np.int64)), pa.array(level_one[1].view(np.int64)), pa.array(one_counts.astype(np.int64)), none(k, pa.binary())]
-        named = ["kind", "range", "lang", "word", "lang_id", "w1", "n", "paths"]
-        for a in range(0, k, 10_000):
-            yield pa.RecordBatch.from_arrays([c.slice(a, 10_000) for c in one], named)
-        at = prefix_ranges(columns, ranges)
-        order = np.argsort(at, kind="stable")
-        here, first = np.unique(at[order], return_index=True)
-        for r, part in zip(here.tolist(), np.split(order, first[1:]) if len(here) else [], strict=True):
-            blob = serialised([c[part] for c in columns], counts[part])
-            row = [pa.array([2], pa.int32()), pa.array([r], pa.int32()), none(1, pa.string()), none(1, pa.string()), none(1, pa.int64()), none(1, pa.int64()), none(1, pa.int64()), pa.array([blob], pa.binary())]
-            yield pa.RecordBatch.from_arrays(row, named)
+        t = shard.trie(frequent.value if frequent else None)
+        tops, deeper = in_ranges(t.top, ranges), in_ranges(t.prefix, ranges)
+        for r in sorted({*tops, *deeper}):
+            top, deep = tops.get(r, np.zeros(0, dtype=np.int64)), deeper.get(r, np.zeros(0, dtype=np.int64))
+            said = b"\t".join([t.spelt[k] for k in top.tolist()])
+            words = packed(t.top_kind[top].astype(np.uint32), t.names[t.top_name[top]], t.top_counts[top].astype(np.uint64), np.frombuffer(said, dtype=np.uint8))
+            paths = serialised(t.kinds, t.names, t.ids[:, deep], t.counts[deep])
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([[names[int(h)] for h in t.kinds.tolist()]], pa.list_(pa.string())), pa.array([words], pa.binary()), pa.array([paths], pa.binary())], ["range", "langs", "words", "paths"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("tries")
@@ -196,63 +247,118 @@ def slices(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
         yield a, len(column)
 
 
-def added_up(paths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs of paths as one: equal paths once, with the sum of their counts."""
-    order = np.lexsort(paths[::-1])
-    paths, counts = paths[:, order], counts[order]
-    new = np.ones(paths.shape[1], dtype=bool)
-    new[1:] = (paths[:, 1:] != paths[:, :-1]).any(axis=0)
+def prefixes(paths: np.ndarray) -> np.ndarray:
+    """Hashes of languages and first three words, as a shard makes them."""
+    h = mix64(paths[0] * U(STEP) + paths[1])
+    for c in paths[2:4]:
+        h = mix64(h * U(STEP) + c)
+    return h
+
+
+def added_up(paths: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of paths as one, sorted by keys: those of one key once, with the sum of their counts."""
+    order = ordered(keys)
+    held = keys[order]
+    new = np.ones(len(held), dtype=bool)
+    new[1:] = held[1:] != held[:-1]
     at = np.flatnonzero(new)
-    return paths[:, at], np.add.reduceat(counts, at) if len(at) else counts
+    return paths[:, order[at]], np.add.reduceat(counts[order], at) if len(at) else counts
 
 
-def merged_ranges(least: int):
-    """Nodes (path, f) with f >= least of the blobs of each range; a partition holds whole ranges, sorted by them."""
+class Range:
+    """The blobs of one range as they come: words with their spellings, and runs of paths, which are merged whenever enough have come."""
 
-    def nodes(runs: list) -> Iterator[pa.RecordBatch]:
-        paths, counts = added_up(np.concatenate([p for p, _ in runs], axis=1), np.concatenate([c for _, c in runs]))
+    def __init__(self) -> None:
+        self.words, self.runs, self.held = {}, [], 0
+
+    def add(self, langs: list[str], words: bytes, paths: bytes) -> None:
+        kind, name, n, said = unpacked(words)
+        for k, h, c, word in zip(kind.tolist(), name.view(np.int64).tolist(), n.tolist(), said.tobytes().decode().split("\t") if len(kind) else [], strict=True):
+            known = self.words.get((langs[k], h))
+            self.words[langs[k], h] = (c + known[0], known[1]) if known else (c, word)
+        self.runs.append(parsed(paths))
+        self.held += len(self.runs[-1][1])
+        if self.held > MERGE_PATHS and self.held > 2 * len(self.runs[0][1]):
+            self.runs = [self.merged()]
+            self.held = len(self.runs[0][1])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        paths, counts = np.concatenate([p for p, _ in self.runs], axis=1), np.concatenate([c for _, c in self.runs])
+        return added_up(paths, counts, mix64(prefixes(paths) * U(STEP) + paths[4]))
+
+    def rows(self, least: int) -> Iterator[pa.RecordBatch]:
+        """Words, all of them, and nodes of two words and more with at least `least`."""
+        said = list(self.words.items())
+        for a in range(0, len(said), 10_000):
+            part = said[a : a + 10_000]
+            langs = [k[0] for k, _ in part]
+            ids = {g: int(np.int64(hash_of(g).view(np.int64))) for g in set(langs)}
+            zero = pa.array(np.zeros(len(part), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([v[1] for _, v in part], pa.string()), pa.array([ids[g] for g in langs], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()), *[zero] * 3, pa.array([v[0] for _, v in part], pa.int64())], ["lang", "word", *PATH, "f"])
+        paths, counts = self.merged()
         deep = paths[3] > 0
         above = paths[:, deep].copy()
         above[4] = 0
-        trios, sums = added_up(above, counts[deep])  # a triple is the sum of its children, the absent fourth word among them
+        trios, sums = added_up(above, counts[deep], prefixes(above))  # a triple is the sum of its children, the absent fourth word among them
         whole = ~deep | (paths[4] > 0)
         paths, counts = np.concatenate([paths[:, whole], trios], axis=1), np.concatenate([counts[whole], sums])
-        kept = counts >= least
-        if kept.any():
-            yield pa.RecordBatch.from_arrays([pa.array(p[kept].view(np.int64)) for p in paths] + [pa.array(counts[kept])], [*PATH, "f"])
+        kept = np.flatnonzero(counts >= least)
+        none = pa.nulls(len(kept), pa.string())
+        yield pa.RecordBatch.from_arrays([none, none, *(pa.array(p[kept].view(np.int64)) for p in paths), pa.array(counts[kept])], ["lang", "word", *PATH, "f"])
+
+
+def merged_ranges(least: int):
+    """Words and nodes of each range; a partition holds whole ranges, sorted by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("tries")
-        at, runs, held = None, [], 0
+        at, held = None, Range()
         for batch in batches:
-            for r, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if r != at and runs:
-                    yield from nodes(runs)
-                    runs, held = [], 0
+            for r, langs, words, paths in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if r != at and at is not None:
+                    yield from held.rows(least)
+                    held = Range()
                 at = r
-                runs.append(parsed(blob.as_py()))
-                held += len(runs[-1][1])
-                if held > MERGE_PATHS and len(runs) > 1 and held > 2 * len(runs[0][1]):
-                    runs = [added_up(np.concatenate([p for p, _ in runs], axis=1), np.concatenate([c for _, c in runs]))]
-                    held = len(runs[0][1])
-        if runs:
-            yield from nodes(runs)
+                held.add(langs, words.as_py(), paths.as_py())
+        if at is not None:
+            yield from held.rows(least)
 
     return run
 
 
 def count_tries(docs: DataFrame, lang_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(words(lang, lang_id, w1, word, f) with all words, nodes(lang_id, w1..w4, f) of two words and more with f >= least), both tables."""
+    """(words(lang, lang_id, w1, word, f) with all words, nodes(lang_id, w1..w4, f) of two words and more with f >= least), from one table."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
-    parts = cut(rows.mapInArrow(shards(ranges), SHARD_ROWS), "tries")
-    words = parts.where("kind = 1").groupBy("lang_id", "w1").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("f"))
-    met = parts.where("kind = 2").select("range", "paths").repartition(ranges, "range").sortWithinPartitions("range")
-    nodes = met.mapInArrow(merged_ranges(least), ", ".join(f"{c} long" for c in [*PATH, "f"]))
-    return cut(words, "words"), cut(nodes, "nodes")
+    nodes = "lang string, word string, " + ", ".join(f"{c} long" for c in [*PATH, "f"])
+
+    def counts(name: str, frequent=None) -> DataFrame:
+        tries = rows.mapInArrow(shards(ranges, frequent), "range int, langs array<string>, words binary, paths binary")
+        return cut(tries.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(merged_ranges(least), nodes), name)
+
+    short = counts("words-and-pairs")
+    pairs = short.where("lang IS NULL").select(*PATH, "f")
+    long_ = counts("triples", spark.sparkContext.broadcast(bitmap(pairs)))
+    return short.where("lang IS NOT NULL").select("lang", "lang_id", "w1", "word", "f"), pairs.unionByName(long_.select(*PATH, "f"))
+
+
+def bitmap(pairs: DataFrame) -> np.ndarray:
+    """Bits set for the pairs; at most MOST_BITS, however many pairs there are."""
+    n = 1 << max(6, min(MOST_BITS, PAIR_BITS * pairs.count()).bit_length() - 1)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, one, two = (np.asarray(c).view(np.uint64) for c in batch.columns)
+            at = mix64(mix64(lang * U(STEP) + one) * U(STEP) + two) & U(n - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], ["at", "bits"])
+
+    found = pairs.select("lang_id", "w1", "w2").mapInArrow(words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(n // 64, dtype=np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def parts_of(nodes: dict[int, DataFrame], m: int) -> DataFrame:
