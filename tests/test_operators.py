@@ -14,6 +14,7 @@ from weftline.operators import entities, external, graph, relational, sequences,
 from weftline.plans import assistant, human
 from weftline.plans.serve import Service, translate
 from weftline.sources import readers, sinks
+from weftline.sources.snapshots import Conflict, Store
 from weftline.streaming import events as streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -254,6 +255,76 @@ def test_grid_fill_and_rows(spark):
     assert sequences.with_row_index(df.limit(0), "k").count() == 0
 
 
+def test_one_transaction(spark, tmp_path, monkeypatch):
+    """A writer that dies between tables, or comes second, changes nothing; readers keep what they opened."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    table = lambda *rows: spark.createDataFrame(list(rows), "k int, v string")
+    state = lambda tables: {n: sorted(map(tuple, t.collect())) for n, t in tables.items()}
+    assert store.tables() == {}
+    assert store.upsert({"a": (table((1, "x"), (1, "y")), ["k"]), "b": (table((1, "x")), ["k"])}) == 1
+    pinned, first = store.tables(), {"a": [(1, "y")], "b": [(1, "x")]}
+    assert state(pinned) == first
+
+    class Broken:
+        columns = ["k", "v"]
+
+        def withColumn(self, *_):  # noqa: N802
+            raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        store.upsert({"a": (table((1, "new"), (2, "new")), ["k"]), "b": (Broken(), ["k"])})
+    assert state(store.tables()) == first
+    base, folders = store.manifest()
+    assert store.upsert({"b": (table((2, "z")), ["k"])}) == 2
+    with pytest.raises(Conflict):
+        store.commit(base, folders)
+    assert state(store.tables()) == {"a": [(1, "y")], "b": [(1, "x"), (2, "z")]} and state(pinned) == first == state(store.tables(1))
+    store.vacuum()
+    assert store.versions() == [2] and state(store.tables()) == {"a": [(1, "y")], "b": [(1, "x"), (2, "z")]} and len(list((tmp_path / "store" / "b").iterdir())) == 1
+
+
+def test_many_chains(spark):
+    """Pairs at once, from both ends, against breadth-first search one by one; half of them have no path."""
+    rng = np.random.default_rng(8)
+    n = 60
+    links = {(int(a), int(b)) for a, b in rng.integers(0, n // 2, (70, 2))} | {(int(a) + n // 2, int(b) + n // 2) for a, b in rng.integers(0, n // 2, (60, 2))}
+    edges = spark.createDataFrame(sorted(links), "src int, dst int")
+    pairs = [(k, int(a), int(b)) for k, (a, b) in enumerate(rng.integers(0, n + 3, (300, 2)))]
+    follow = {}
+    for a, b in sorted(links):
+        if a != b:
+            follow.setdefault(a, []).append(b)
+    ends = {x for a, b in links if a != b for x in (a, b)}
+
+    def plain(a, b):
+        front = {a: [a]}
+        seen = {a}
+        while front and b not in front:
+            new = {}
+            for path in sorted(front.values()):
+                for d in follow.get(path[-1], []):
+                    if d not in seen:
+                        new[d] = min(new.get(d, [*path, d]), [*path, d])
+            seen |= set(new)
+            front = new
+        return front.get(b)
+
+    table = spark.createDataFrame(pairs, "pair int, a int, b int").coalesce(1)
+    got = {r["pair"]: list(r["path"]) for r in graph.shortest_paths(edges, table).collect()}
+    want = {k: p for k, a, b in pairs if a in ends and b in ends and (p := plain(a, b))}
+    assert got == want and 30 < len(want) < 270
+    nodes = spark.createDataFrame([(k, 1 + k % 3) for k in range(n)], "id int, frequency int")
+    few = table.where("pair < 12")
+    chains = {}
+    for r in graph.causal_chains(nodes, edges, few).orderBy("pair", "place").collect():
+        chains.setdefault(r["pair"], []).append((r["id"], r["linked"]))
+    for k, a, b in pairs[:12]:
+        one = graph.causal_chain(nodes, edges, a, b) if k == 0 else None
+        mine = [x for x, _ in chains.get(k, [])]
+        assert one is None or a == b or mine == one
+        assert (k in chains) == (a < n and b < n) and all(linked == (k in want or a == b) for _, linked in chains.get(k, []))
+
+
 def test_relational(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     b = spark.createDataFrame([(1, None), (2, "n")], "k int, v string")
@@ -529,9 +600,10 @@ def test_more_sinks(spark, tmp_path):
     chunks, users = spark.createDataFrame([(1, "x"), (2, "y")], "chunk_id int, messages_str string"), spark.createDataFrame([(7, "ann"), (8, "bob")], "id int, name string")
     for _ in range(2):  # twice is once
         sinks.save_graph(spark, root, nodes, chunks, users)
-    read = lambda name: sorted(map(tuple, spark.read.parquet(f"{root}/{name}").collect()))
+    held = Store(spark, root)
+    read = lambda name: sorted(map(tuple, held.tables()[name].collect()))
     assert read("node_chunk") == [("a", 1), ("b", 1), ("b", 2)] and read("node_user") == [("a", 7), ("b", 7), ("b", 8)]
-    assert [r[0] for r in read("nodes")] == ["a", "b"] and spark.read.parquet(f"{root}/nodes").where("id = 'a'").first()["edges"] == ["b"]
+    assert [r[0] for r in read("nodes")] == ["a", "b"] and held.tables()["nodes"].where("id = 'a'").first()["edges"] == ["b"]
     (tmp_path / "broken").mkdir()
     (tmp_path / "broken" / "part-0.parquet").write_text("not a table")
     with pytest.raises(Exception, match="(?i)parquet"):  # a table that can't be read is not taken for none

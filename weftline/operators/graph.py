@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import warnings
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
@@ -87,8 +89,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, reset: DataFrame, alpha: float
 
     Weights are normalised a seed; seeds whose weights are all zero give no rows. Dangling mass goes back to the reset, so scores are in proportion to
     y = reset + alpha * (y along the edges), which is iterated without that mass and normalised at the end: a round is one join and one sum, and the plan grows
-    by one of each. Every few rounds y is a table; rounds end when the largest seed's L1 change since the last table is below tolerance times the nodes, or
-    after `rounds`. nodes: id.
+    by one of each. Every few rounds y is a table; rounds end when the largest seed's L1 change since the last table is below tolerance times the nodes, or,
+    with a warning, after `rounds`. nodes: id.
     """
     e = edges.select("src", "dst")
     if not directed:
@@ -108,6 +110,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, reset: DataFrame, alpha: float
                 change = moved.agg(F.max("d")).first()[0]
                 if change is None or (1 - alpha) * change < tolerance * n:
                     break
+                if k == rounds:
+                    warnings.warn(f"PageRank ends after {rounds} rounds with a change of {(1 - alpha) * change}", stacklevel=2)
             table = rank
     return rank.join(rank.groupBy("seed").agg(F.sum("y").alias("all")), "seed").select("seed", "id", (F.col("y") / F.col("all")).alias("score"))
 
@@ -123,6 +127,61 @@ def causal_chain(nodes: DataFrame, edges: DataFrame, source: object, target: obj
     return [r["id"] for r in pagerank(nodes.select("id"), edges, reset).orderBy(F.desc("score"), "id").limit(k).collect()]
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, name: str = "paths") -> DataFrame:
+    """(pair, path) for pairs(pair, a, b), a table: a shortest directed path from a to b, the smallest in order of its nodes among equals; pairs without one are missing.
+
+    All pairs at once, from both ends: a step of the smaller of the two frontiers, keyed by pair, then the test whether they meet. A node keeps a pair's smallest
+    path. Pairs that met, or an end of which has nothing new to reach, take no further part.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct(), f"{name}-edges")
+    kind = dict(edges.dtypes)["src"]
+    known = cut(e.select("src").union(e.select("dst")).distinct().withColumnRenamed("src", "id"), f"{name}-known")
+    live = pairs.select("pair", F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).join(known.withColumnRenamed("id", "a"), "a").join(known.withColumnRenamed("id", "b"), "b")
+    live = cut(live.select("pair", "a", "b"), f"{name}-pairs")
+    done = live.where("a = b").select("pair", F.array("a").alias("path"))
+    sides = {}
+    for end, step in (("a", e), ("b", e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))):
+        first = live.where("a <> b").select("pair", F.col(end).alias("id"), F.array(end).alias("path"))
+        sides[end] = {"step": step, "front": first, "seen": first.select("pair", "id", "path"), "n": 0}
+    for k in itertools.count(1):
+        counts = {end: s["front"].count() for end, s in sides.items()}
+        if not all(counts.values()):
+            return done
+        end = min(sides, key=lambda x: counts[x])
+        side, other = sides[end], sides["b" if end == "a" else "a"]
+        grown = F.concat("path", F.array("dst")) if end == "a" else F.concat(F.array("dst"), F.col("path"))
+        reached = side["front"].join(side["step"], F.col("id") == F.col("src")).select("pair", F.col("dst").alias("id"), grown.alias("path")).groupBy("pair", "id").agg(F.min("path").alias("path"))
+        front = cut(reached.join(side["seen"].select("pair", "id"), ["pair", "id"], "left_anti"), f"{name}-{k}")
+        ours, theirs = front.select("pair", "id", F.col("path").alias("p")), other["front"].select("pair", "id", F.col("path").alias("q"))
+        whole = F.concat("p", F.slice("q", F.lit(2), F.size("q"))) if end == "a" else F.concat("q", F.slice("p", F.lit(2), F.size("p")))
+        met = cut(ours.join(theirs, ["pair", "id"]).select("pair", whole.alias("path")).groupBy("pair").agg(F.min("path").alias("path")), f"{name}-met-{k}")
+        done = done.unionByName(met)
+        # of a pair both frontiers have to go on
+        going = front.select("pair").distinct().join(other["front"].select("pair").distinct(), "pair", "left_semi").join(met.select("pair"), "pair", "left_anti")
+        going = cut(going, f"{name}-going-{k}")
+        side["seen"] = cut(side["seen"].unionByName(front).join(going, "pair", "left_semi"), f"{name}-seen-{k}")
+        side["front"] = front.join(going, "pair", "left_semi")
+        other["front"] = cut(other["front"].join(going, "pair", "left_semi"), f"{name}-other-{k}")
+
+
+def causal_chains(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, frequency: str = "frequency", k: int = 10) -> DataFrame:
+    """(pair, place, id, linked) for pairs(pair, a, b): the nodes of a shortest path (linked), else the k best nodes by PageRank that starts at both ends, rarer ends first.
+
+    A pair with an end that is no node has no rows. One PageRank serves all pairs without a path.
+    """
+    asked = cut(pairs.select("pair", "a", "b"), "chain-pairs")
+    told = cut(shortest_paths(edges, asked), "chain-paths")
+    ends = asked.join(told.select("pair"), "pair", "left_anti").select("pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("id")).join(nodes.select("id", F.col(frequency).alias("_n")), "id")
+    full = asked.select("pair", F.size(F.array_distinct(F.array("a", "b"))).alias("ends"))
+    both = ends.groupBy("pair").agg(F.count("*").alias("n")).join(full, "pair").where("n = ends").select("pair")
+    alone = both.join(asked.where("a = b"), "pair", "left_semi")  # a node without edges is its own path
+    reset = ends.join(both, "pair", "left_semi").join(alone, "pair", "left_anti").select(F.col("pair").alias("seed"), "id", (1 / F.greatest(F.col("_n"), F.lit(1))).alias("weight"))
+    ranked = pagerank(nodes.select("id"), edges, cut(reset, "chain-reset")).withColumn("place", (F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "id")) - 1).cast("long"))
+    paths = told.unionByName(asked.join(alone, "pair", "left_semi").select("pair", F.array("a").alias("path")))
+    linked = paths.select("pair", F.posexplode("path").alias("place", "id")).select("pair", F.col("place").cast("long").alias("place"), "id", F.lit(True).alias("linked"))
+    return linked.unionByName(ranked.where(F.col("place") < k).select(F.col("seed").alias("pair"), "place", "id", F.lit(False).alias("linked")))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of the nodes that edges(src, dst) touch: the smallest id reachable, in any direction.
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 
+#: Keys over which rows that meet all of a short list are spread.
+SPREAD = 64
+
 
 def refresh(old: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
     """old with the columns that new has too taken from new where it has a value."""
@@ -51,9 +54,9 @@ def connect(nodes: DataFrame, chunks: DataFrame, users: DataFrame) -> dict[str,
     """M:N link tables of nodes with chunks (by chunk_ids) and with users (by name; 'both' with all users)."""
     of_chunk = nodes.select(F.col("id").alias("node_id"), F.explode("chunk_ids").alias("chunk_id")).join(chunks.select("chunk_id").distinct(), "chunk_id").distinct()
     named = nodes.where("user <> 'both'").select(F.col("id").alias("node_id"), "user").join(users.select(F.col("name").alias("user"), F.col("id").alias("user_id")), "user")
-    # the users of one archive are two, so every node of 'both' has two links; they are one short list, joined by broadcast
-    everyone = users.agg(F.collect_set("id").alias("_users"))
-    both = nodes.where("user = 'both'").select(F.col("id").alias("node_id")).crossJoin(F.broadcast(everyone)).select("node_id", F.explode("_users").alias("user_id"))
+    # 'both' stands for every user: nodes are dealt to SPREAD keys, and users go to all of them, so neither side meets in one task
+    every = users.select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_at"))
+    both = nodes.where("user = 'both'").select(F.col("id").alias("node_id"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int").alias("_at")).join(every, "_at")
     return {"node_chunk": of_chunk.select("node_id", "chunk_id"), "node_user": named.select("node_id", "user_id").unionByName(both.select("node_id", "user_id")).distinct()}
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_row_prefix
 from ..operators.external import TRACE_SCHEMA, Trace
 from ..operators.relational import connect
+from .snapshots import Store
 
 
 def write_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -47,13 +48,11 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str])
     spark.catalog.refreshByPath(path)
 
 
-def save_graph(spark: SparkSession, root: str, nodes: DataFrame, chunks: DataFrame, users: DataFrame) -> None:
-    """Nodes, chunks and their link tables, upserted; ids and edges without the prefixes of their rows."""
+def save_graph(spark: SparkSession, root: str, nodes: DataFrame, chunks: DataFrame, users: DataFrame) -> int:
+    """Nodes, chunks and their link tables, upserted in one transaction (see snapshots), whose version comes back; ids and edges without the prefixes of their rows."""
     clean = nodes.withColumn("id", strip_row_prefix(F.col("id"))).withColumn("edges", F.transform("edges", strip_row_prefix))
-    upsert(spark, f"{root}/chunks", chunks, ["chunk_id"])
-    upsert(spark, f"{root}/nodes", clean, ["id"])
-    for name, links in connect(clean, chunks, users).items():
-        upsert(spark, f"{root}/{name}", links, links.columns)
+    links = {name: (links, links.columns) for name, links in connect(clean, chunks, users).items()}
+    return Store(spark, root).upsert({"chunks": (chunks, ["chunk_id"]), "nodes": (clean, ["id"]), "users": (users, ["id"]), **links})
 
 
 def _xml(value: Column, quote: bool = False) -> Column:
