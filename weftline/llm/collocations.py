@@ -1,7 +1,7 @@
 """Phrase collocations: count tries of a shard's n-grams, serialised in the order of their paths, merged range by range.
 
-Tries have depth 4 and are counted in two passes, as every part of a phrase is at least as frequent as the phrase: first words and pairs, then
-paths of three words, with the fourth or its absence, all of whose pairs are frequent enough. What pairs are is told to tasks by a bitmap of bounded size, which
+Tries have depth 4 and are counted in three passes, as every part of a phrase is at least as frequent as the phrase: words, then pairs of words that are
+frequent enough, then paths of three words, with the fourth or its absence, all of whose pairs are. Which are is told to tasks by a bitmap of bounded size, which
 may let others through and so only saves work. A shard's trie goes out in blobs, one for each range of prefixes. A path's prefix is its language
 and up to three words; ranges cut the hashes of prefixes, so no frequent word or pair gathers in one of them, and paths are sorted by hash. Merging a
 range gives the counts of words with their spellings, of pairs, of quadruples, and of triples as sums over their children; what is
@@ -10,6 +10,7 @@ rarer than the least count goes there. In the merged trie a node's parent gives
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -31,8 +32,8 @@ LEAST, SCALE, INSIDE, TOP = 30, 2_000_000, 80, 2000
 SHARD_WORDS, RANGE_BYTES = 1 << 20, 4 << 20
 #: Paths that a merge holds before it adds up equal ones.
 MERGE_PATHS = 1 << 20
-#: Bits of the bitmap of frequent pairs for each of them, and at most.
-PAIR_BITS, MOST_BITS = 16, 1 << 27
+#: Bits of a bitmap of frequent words or pairs for each of them, and at most.
+BITS, MOST_BITS = 16, 1 << 27
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ends_word = np.zeros(256, dtype=bool)
 _ends_piece = np.zeros(256, dtype=bool)
@@ -95,32 +96,34 @@ class Shard:
         raw = data.tobytes()
         return [raw[a:z] for a, z in zip(at.tolist(), np.minimum(stop, after).tolist(), strict=True)]
 
-    def trie(self, frequent: np.ndarray | None) -> Trie:
-        """Words and pairs, or with the bitmap of frequent pairs the paths of three words and more that hold no others."""
+    def trie(self, level: int, frequent: np.ndarray | None) -> Trie:
+        """Level 1: words. 2: pairs of words in the bitmap. 3: paths of three words and more whose pairs are in the bitmap."""
         word, lang, first = np.concatenate(self.words), np.concatenate(self.langs), np.concatenate(self.firsts)
         names, w = np.unique(word, return_inverse=True)
         kinds, g = np.unique(lang, return_inverse=True)
         names, w, n = np.concatenate([np.zeros(1, dtype=np.uint64), names]), w + 1, len(w)
+        one = mix64(kinds[g] * U(STEP) + word)
+        if level == 1:
+            top, top_counts = counted(one)
+            return Trie(kinds, names, self.spellings(top), one[top], g[top], w[top], top_counts, one[:0], np.zeros((5, 0), dtype=w.dtype), top_counts[:0])
         ahead = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, n), dtype=x.dtype)])[:n]
         linked = ~ahead(first, 1)
         linked[-1:] = False
-        one = mix64(kinds[g] * U(STEP) + word)
         two = mix64(one * U(STEP) + names[ahead(w, 1)])
-        if frequent is None:
-            row = np.flatnonzero(linked)
-            prefix = mix64(two[row] * U(STEP))
-            path, fourth = mix64(prefix * U(STEP)), None
+        if level == 2:
+            known = in_bitmap(one, frequent)
+            row = np.flatnonzero(linked & known & ahead(known, 1))
+            prefix, fourth = mix64(two[row] * U(STEP)), np.zeros(len(row), dtype=w.dtype)
         else:
             linked &= in_bitmap(two, frequent)
             row = np.flatnonzero(linked & ahead(linked, 1))
             prefix = mix64(two[row] * U(STEP) + names[ahead(w, 2)[row]])
             fourth = np.where(ahead(linked, 2)[row], ahead(w, 3)[row], 0)
-            path = mix64(prefix * U(STEP) + names[fourth])
-        at, counts = counted(path)
-        row, none = row[at], np.zeros(len(at), dtype=w.dtype)
-        ids = np.stack([g[row], w[row], ahead(w, 1)[row], none if frequent is None else ahead(w, 2)[row], none if fourth is None else fourth[at]])
-        top, top_counts = counted(one if frequent is None else one[:0])
-        return Trie(kinds, names, self.spellings(top) if len(top) else [], one[top], g[top], w[top], top_counts, prefix[at], ids, counts)
+        at, counts = counted(mix64(prefix * U(STEP) + names[fourth]))
+        row = row[at]
+        ids = np.stack([g[row], w[row], ahead(w, 1)[row], ahead(w, 2)[row] if level > 2 else fourth[at], fourth[at]])
+        none = np.zeros(0, dtype=np.int64)
+        return Trie(kinds, names, [], one[:0], none, none, none, prefix[at], ids, counts)
 
 
 class Trie(NamedTuple):
@@ -205,11 +208,11 @@ def parsed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([kinds[lang], *(names[c] for c in words)]), counts.astype(np.int64)
 
 
-def shards(ranges: int, frequent=None):
-    """The tries of a task's rows, a row for each range that they reach; frequent: a broadcast bitmap of pairs, for the second pass."""
+def shards(ranges: int, level: int, frequent=None):
+    """The tries of a task's rows, a row for each range that they reach; frequent: a broadcast bitmap of the level before."""
 
     def rows_of(shard: Shard, names: dict) -> Iterator[pa.RecordBatch]:
-        t = shard.trie(frequent.value if frequent else None)
+        t = shard.trie(level, frequent.value if frequent else None)
         tops, deeper = in_ranges(t.top, ranges), in_ranges(t.prefix, ranges)
         for r in sorted({*tops, *deeper}):
             top, deep = tops.get(r, np.zeros(0, dtype=np.int64)), deeper.get(r, np.zeros(0, dtype=np.int64))
@@ -287,8 +290,11 @@ class Range:
         return added_up(paths, counts, mix64(prefixes(paths) * U(STEP) + paths[4]))
 
     def rows(self, least: int) -> Iterator[pa.RecordBatch]:
-        """Words, all of them, and nodes of two words and more with at least `least`."""
-        said = list(self.words.items())
+        """Words and longer nodes with at least `least`, and of each language one row for all occurrences of rarer words, without a word."""
+        rare = Counter()
+        for (lang, _), (n, _) in self.words.items():
+            rare[lang] += n if n < least else 0
+        said = [w for w in self.words.items() if w[1][0] >= least] + [((lang, 0), (n, None)) for lang, n in rare.items() if n]
         for a in range(0, len(said), 10_000):
             part = said[a : a + 10_000]
             langs = [k[0] for k, _ in part]
@@ -327,7 +333,7 @@ def merged_ranges(least: int):
 
 
 def count_tries(docs: DataFrame, lang_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(words(lang, lang_id, w1, word, f) with all words, nodes(lang_id, w1..w4, f) of two words and more with f >= least), from one table."""
+    """(words(lang, lang_id, w1, word, f) with f >= least, and rows of w1 = 0 for all rarer ones; nodes(lang_id, w1..w4, f) of two words and more with f >= least)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -335,27 +341,29 @@ def count_tries(docs: DataFrame, lang_col: str, text_col: str, least: int) -> tu
     ranges = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
     nodes = "lang string, word string, " + ", ".join(f"{c} long" for c in [*PATH, "f"])
 
-    def counts(name: str, frequent=None) -> DataFrame:
-        tries = rows.mapInArrow(shards(ranges, frequent), "range int, langs array<string>, words binary, paths binary")
-        return cut(tries.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(merged_ranges(least), nodes), name)
+    def counts(level: int, frequent: np.ndarray | None = None) -> DataFrame:
+        tries = rows.mapInArrow(shards(ranges, level, None if frequent is None else spark.sparkContext.broadcast(frequent)), "range int, langs array<string>, words binary, paths binary")
+        return cut(tries.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(merged_ranges(least), nodes), f"level-{level}")
 
-    short = counts("words-and-pairs")
-    pairs = short.where("lang IS NULL").select(*PATH, "f")
-    long_ = counts("triples", spark.sparkContext.broadcast(bitmap(pairs)))
-    return short.where("lang IS NOT NULL").select("lang", "lang_id", "w1", "word", "f"), pairs.unionByName(long_.select(*PATH, "f"))
+    words = counts(1)
+    pairs = counts(2, bitmap(words.where("w1 <> 0").select("lang_id", "w1")))
+    longer = counts(3, bitmap(pairs.select("lang_id", "w1", "w2")))
+    return words.select("lang", "lang_id", "w1", "word", "f"), pairs.unionByName(longer).select(*PATH, "f")
 
 
-def bitmap(pairs: DataFrame) -> np.ndarray:
-    """Bits set for the pairs; at most MOST_BITS, however many pairs there are."""
-    n = 1 << max(6, min(MOST_BITS, PAIR_BITS * pairs.count()).bit_length() - 1)
+def bitmap(nodes: DataFrame) -> np.ndarray:
+    """Bits set for nodes (their language and words); at most MOST_BITS, however many there are."""
+    n = 1 << max(6, min(MOST_BITS, BITS * nodes.count()).bit_length() - 1)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, one, two = (np.asarray(c).view(np.uint64) for c in batch.columns)
-            at = mix64(mix64(lang * U(STEP) + one) * U(STEP) + two) & U(n - 1)
+            at, *labels = (np.asarray(c).view(np.uint64) for c in batch.columns)
+            for label in labels:
+                at = mix64(at * U(STEP) + label)
+            at = at & U(n - 1)
             yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], ["at", "bits"])
 
-    found = pairs.select("lang_id", "w1", "w2").mapInArrow(words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = nodes.mapInArrow(words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(n // 64, dtype=np.uint64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
@@ -385,11 +393,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     Ties go by a, falling, then by phrase in byte order. Long texts are read whole; repeated rows count each; an empty table gives no rows; other columns are not read.
     """
     words, deep = count_tries(docs, lang_col, text_col, least)
-    nodes = {1: words.where(F.col("f") >= least).select("lang_id", "w1", "f")}
+    nodes = {1: words.where("w1 <> 0").select("lang_id", "w1", "f")}
     level = {2: "w3 = 0", 3: "w3 <> 0 AND w4 = 0", 4: "w4 <> 0"}
     for m, which in level.items():
         nodes[m] = deep.where(which).select("lang_id", *[f"w{k}" for k in range(1, m + 1)], "f")
-        nodes[m] = cut(parts_of(nodes, m), f"level-{m}")
+        nodes[m] = cut(parts_of(nodes, m), f"parts-{m}")
     key = lambda at: F.struct("lang_id", *[F.col(f"w{k}") if k else F.lit(0).cast("long") for k in [*at, 0, 0, 0, 0][:4]])
     spans = {3: ((1, 2), (2, 3)), 4: ((1, 2, 3), (2, 3, 4), (1, 2), (2, 3), (3, 4))}
     covered = reduce(DataFrame.unionByName, [nodes[m].select(F.explode(F.array(*[named(key(s)) for s in spans[m]])).alias("path"), "f") for m in spans])
@@ -397,7 +405,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     found = reduce(DataFrame.unionByName, [nodes[m].select(named(key(range(1, m + 1))).alias("path"), F.col("f").alias("a"), lowest_cut(m, scale).alias("cut")) for m in level])
     kept = found.join(covered, "path", "left").where(F.col("longer").isNull() | (F.lit(100).cast("decimal(5,0)") * F.col("longer") < F.lit(inside).cast("decimal(5,0)") * F.col("a")))
     kept = kept.select(*[F.col("path")[c].alias(c) for c in PATH], "a", "cut")
-    spelt = cut(words.where(F.col("f") >= least).select("lang_id", "w1", "lang", "word"), "spelt")
+    spelt = words.where("w1 <> 0").select("lang_id", "w1", "lang", "word")
     for k in range(1, DEPTH + 1):
         name = spelt.select("lang_id", F.col("w1").alias(f"w{k}"), F.col("word").alias(f"word{k}"), *(["lang"] if k == 1 else []))
         kept = join_sized(kept, name, ["lang_id", f"w{k}"], "inner" if k < 3 else "left")
@@ -425,7 +433,7 @@ SQL = {
     "op13_collocations": f"""
         WITH pieces AS (
           SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
-        lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), x -> x <> '') AS w FROM pieces),
+        lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
         starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
         grams AS (SELECT lang, w[i : i + m - 1] AS g FROM starts, range(1, 5) AS sizes(m) WHERE i + m - 1 <= len(w)),
         f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL),
