@@ -255,6 +255,19 @@ def test_grid_fill_and_rows(spark):
     assert sequences.with_row_index(df.limit(0), "k").count() == 0
 
 
+def test_change_points_of_long_series():
+    """The median of all pairs without listing them, and a series whose kernel would not fit."""
+    rng = np.random.default_rng(12)
+    for n in (2, 3, 10, 201):
+        x = np.round(rng.normal(size=n), 1)
+        d = (x[:, None] - x[None]) ** 2
+        assert abs(sequences.median_gap(x) - np.median(d[np.triu_indices(n, 1)])) < 1e-12
+    levels = rng.permutation(np.arange(60) * 3.0)
+    x = np.concatenate([rng.normal(v, 0.3, 1000) for v in levels])
+    ends = sequences.change_points(x)
+    assert len(ends) >= 50 and ends[-1] == len(x) and all(min(e % 1000, -e % 1000) <= 3 for e in ends)
+
+
 def test_one_transaction(spark, tmp_path, monkeypatch):
     """A writer that dies between tables, or comes second, changes nothing; readers keep what they opened."""
     store = Store(spark, f"file://{tmp_path}/store")

@@ -195,28 +195,56 @@ def segment(decide: Callable[[list[dict]], dict], first: int = 20, step: int = 1
     return run
 
 
+def median_gap(x: np.ndarray) -> float:
+    """Median of the squared differences of all pairs of numbers, in memory linear in them: their order is counted, not listed."""
+    v = np.sort(np.asarray(x, dtype=float).ravel())
+    v = v - v[0]
+    pairs = len(v) * (len(v) - 1) // 2
+
+    def kth(k: int) -> float:
+        """The k-th smallest difference (from 1): the least number that at least k differences don't pass, by halving the range of doubles."""
+        lo, hi = 0, int(np.float64(v[-1]).view(np.int64))
+        while lo < hi:
+            mid = (lo + hi) // 2
+            reach = np.int64(mid).view(np.float64)
+            within = np.searchsorted(v, v + reach, side="right") - np.arange(len(v)) - 1
+            lo, hi = (lo, mid) if int(within.sum()) >= k else (mid + 1, hi)
+        return float(np.int64(lo).view(np.float64))
+
+    return (kth((pairs + 1) // 2) ** 2 + kth(pairs // 2 + 1) ** 2) / 2
+
+
 def change_points(values: np.ndarray, least: int = 3, penalty: float | None = None) -> list[int]:
-    """Ends of segments by exact pruned search (PELT) with a radial kernel; the kernel's width is the median distance."""
-    x = np.asarray(values, dtype=float).reshape(len(values), -1)
+    """Ends of segments by exact pruned search (PELT) with a radial kernel; the kernel's width is the median distance.
+
+    Kernel sums are kept for the segments that can still begin one, and grow by a row of the kernel with each number, so memory is linear, and time is the numbers times the
+    span back to the oldest start that is not ruled out.
+    """
+    x = np.asarray(values, dtype=float).ravel()
     n = len(x)
     if n < 2 * least:
         return [n]
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
-    some = d[np.triu_indices(n, 1)]
-    gamma = 1 / m if (m := float(np.median(some))) > 0 else 1.0
-    k = np.exp(-np.clip(d * gamma, 1e-2, 1e2))
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = k.cumsum(0).cumsum(1)
-    diagonal = np.concatenate([[0], np.cumsum(np.diag(k))])
-    cost = lambda a, b: diagonal[b] - diagonal[a] - (total[b, b] - total[a, b] - total[b, a] + total[a, a]) / (b - a)
+    gamma = 1 / m if (m := median_gap(x)) > 0 else 1.0
+    own = np.exp(-1e-2)  # the kernel of a number with itself, as its argument is held to 0.01 to 100
     beta = np.log(n) if penalty is None else penalty
-    best, last, alive = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), [0]
+    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
     best[0] = -beta
-    for b in range(least, n + 1):
-        ok = [a for a in alive if b - a >= least]
-        found = [(best[a] + cost(a, b) + beta, a) for a in ok]
-        best[b], last[b] = min(found)
-        alive = [a for a in alive if b - a < least or best[a] + cost(a, b) <= best[b]] + ([b - least + 1] if b - least + 1 >= least else [])
+    starts, sums = np.array([0]), np.array([0.0])
+    for b in range(1, n + 1):
+        lo = starts[0]
+        row = np.exp(-np.clip((x[lo:b] - x[b - 1]) ** 2 * gamma, 1e-2, 1e2))
+        sums = sums + 2 * np.cumsum(row[::-1])[::-1][starts - lo] - own
+        if b >= least:
+            long = b - starts >= least
+            a = starts[long]
+            total = best[a] + (b - a) * own - sums[long] / (b - a)
+            found = int(total.argmin())
+            best[b], last[b] = total[found] + beta, a[found]
+            kept = ~long
+            kept[long] = total <= best[b]
+            starts, sums = starts[kept], sums[kept]
+        if b >= least:
+            starts, sums = np.append(starts, b), np.append(sums, 0.0)
     ends, b = [], n
     while b > 0:
         ends.append(b)
@@ -225,7 +253,7 @@ def change_points(values: np.ndarray, least: int = 3, penalty: float | None = No
 
 
 def change_point_sessions(df: DataFrame, partition: Sequence[str], order: str, time: str, least: int = 3) -> DataFrame:
-    """Sessions between change points of the time of rows, for one conversation a task (the kernel is quadratic in its rows)."""
+    """Sessions between change points of the time of rows, for one conversation a task, in memory linear in its rows."""
     schema = df.withColumn("session", F.lit(0).cast("long")).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
