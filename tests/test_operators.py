@@ -268,6 +268,30 @@ def test_change_points_of_long_series():
     assert len(ends) >= 50 and ends[-1] == len(x) and all(min(e % 1000, -e % 1000) <= 3 for e in ends)
 
 
+def test_rechunk_in_blocks(spark, monkeypatch):
+    """Blocks of any length against one pass, with partitions of many lengths, empty chunks and chunks beyond the least size."""
+    rng = np.random.default_rng(13)
+    rows = [(g, k, int(rng.choice([0, 1, 1, 2, 3, 9])), int(k)) for g, n in (("a", 97), (None, 40), ("b", 1), ("c", 12)) for k in range(n)]
+
+    def plain(g, least):
+        out, acc, held = {}, 0, []
+        mine = [r for r in rows if r[0] == g]
+        for _, k, n, _ in mine:
+            acc, held = acc + n, [*held, k]
+            if acc >= least or k == mine[-1][1]:
+                out |= {(g, c): k for c in held}
+                acc, held = 0, []
+        return out
+
+    df = spark.createDataFrame(rows, "g string, chunk_id long, n int, earliest int")
+    for least, block in ((7, 5), (20, 4), (1, 3), (300, 10)):
+        monkeypatch.setattr(sequences, "RECHUNK_BLOCK", block)
+        got = {(r["g"], r["chunk_id"]): r["new_chunk"] for r in sequences.rechunk(df, least, partition=["g"]).collect()}
+        assert got == {k: v for g in ("a", None, "b", "c") for k, v in plain(g, least).items()}
+    alone = {("a", r["chunk_id"]): r["new_chunk"] for r in sequences.rechunk(df.where("g = 'a'").drop("g"), 300).collect()}
+    assert alone == plain("a", 300)
+
+
 def test_one_transaction(spark, tmp_path, monkeypatch):
     """A writer that dies between tables, or comes second, changes nothing; readers keep what they opened."""
     store = Store(spark, f"file://{tmp_path}/store")

@@ -16,6 +16,8 @@ from ..functions.text import repeated_content
 
 #: Chunks that one task goes through in lookback.
 LOOK_BLOCK = 20_000
+#: Chunks that one task cuts in rechunk.
+RECHUNK_BLOCK = 20_000
 
 
 def with_row_index(df: DataFrame, *order: str | Column, name: str = "index", partition: Sequence[str] = ()) -> DataFrame:
@@ -138,7 +140,67 @@ def lookback_sorted(chunks: DataFrame, chunk: str, start: str, end: str, partiti
 
 
 def rechunk(chunks: DataFrame, least: int, chunk: str = "chunk_id", size: str = "n", order: str = "earliest", partition: Sequence[str] = ()) -> DataFrame:
-    """(chunk, new_chunk): chunks below `least` flow into the next one until it is large enough; the last one stays."""
+    """(chunk, new_chunk): chunks below `least` flow into the next one until it is large enough; the last one stays.
+
+    Chunks are taken in blocks in their order. What a block leaves open depends on what comes in alone, and only through where its first cut then falls, so a
+    block is summed up as that function; the functions are applied one after the other, and every block is cut on its own with what comes in. No task holds more than a
+    block, or the blocks' functions (at most as many steps each as chunks make up `least`). Where no partition is longer than a block, one fold does.
+    """
+    counts = (chunks.groupBy(*partition) if partition else chunks.groupBy()).agg(F.count("*").alias("n"))
+    if counts.where(F.col("n") > RECHUNK_BLOCK).isEmpty():
+        return rechunk_folded(chunks, least, chunk, size, order, partition)
+    rows = chunks.select(*partition, F.col(chunk).alias("_c"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_n"), F.col(order).alias("_o"))
+    rows = with_row_index(rows, "_o", "_c", name="_i", partition=partition).withColumn("_block", F.floor(F.col("_i") / RECHUNK_BLOCK).cast("long"))
+    kinds = dict(rows.dtypes)
+    keys, kind = "".join(f"{p} {kinds[p]}, " for p in partition), kinds["_c"]
+
+    def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", ignore_index=True)
+        total = np.cumsum(pdf["_n"].to_numpy(np.int64))
+        before = np.append(0, total)
+        ends = np.searchsorted(total, before[:-1] + least)  # where a run that starts at each chunk is cut
+        left = np.append(before[-1] - before, 0)
+        for k in range(len(pdf) - 1, -1, -1):
+            if (cut_at := max(ends[k], k)) < len(pdf):
+                left[k] = left[cut_at + 1]
+        steps = min(int(np.searchsorted(total, least)) + 1, len(pdf))
+        out = pdf[[*partition, "_block"]].iloc[:1].copy()
+        return out.assign(_sums=[total[:steps]], _left=[left[1 : steps + 1]], _cuts=[pdf["_c"].to_numpy()[:steps]], _all=int(total[-1]), _last=pdf["_c"].iloc[-1])
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, carry, come, first = pdf.sort_values("_block", ignore_index=True), 0, [], []
+        for sums, left, cuts, whole in zip(pdf["_sums"], pdf["_left"], pdf["_cuts"], pdf["_all"], strict=True):
+            come.append(carry)
+            at = int(np.searchsorted(sums, least - carry))
+            first.append(cuts[at] if at < len(sums) else None)
+            carry = int(left[at]) if at < len(sums) else carry + int(whole)
+        close, end = [], pdf["_last"].iloc[-1]
+        for own in reversed(first):
+            close.append(end)
+            end = end if own is None else own
+        return pdf[[*partition, "_block"]].assign(_come=come, _close=close[::-1])
+
+    def divide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", ignore_index=True)
+        acc, start, ids = int(pdf["_come"].iloc[0]), 0, pdf["_c"].to_numpy()
+        new = np.full(len(pdf), pdf["_close"].iloc[0], dtype=ids.dtype)
+        for k, n in enumerate(pdf["_n"].tolist()):
+            acc += n
+            if acc >= least:
+                new[start : k + 1] = ids[k]
+                acc, start = 0, k + 1
+        return pdf[[*partition, "_c"]].assign(new_chunk=new)
+
+    summed = rows.groupBy(*partition, "_block").applyInPandas(sum_up, f"{keys}_block long, _sums array<long>, _left array<long>, _cuts array<{kind}>, _all long, _last {kind}")
+    known = (summed.groupBy(*partition) if partition else summed.withColumn("_g", F.lit(0)).groupBy("_g")).applyInPandas(follow, f"{keys}_block long, _come long, _close {kind}")
+    on = [rows["_block"] == known["_block"], *[rows[p].eqNullSafe(known[p]) for p in partition]]
+    joined = rows.join(known, on).select(*[rows[c] for c in rows.columns], "_come", "_close")
+    out = joined.groupBy(*partition, "_block").applyInPandas(divide, f"{keys}_c {kind}, new_chunk {kind}")
+    return out.withColumnRenamed("_c", chunk)
+
+
+def rechunk_folded(chunks: DataFrame, least: int, chunk: str, size: str, order: str, partition: Sequence[str]) -> DataFrame:
+    """rechunk with all chunks of a partition in one array."""
     c = F.struct(F.col(order).alias("o"), F.col(chunk).alias("c"), F.col(size).cast("long").alias("n"))
     kind = dict(chunks.dtypes)[chunk]
     state = f"struct(bigint(0) as acc, cast(array() as array<{kind}>) as open, cast(array() as array<struct<old: {kind}, new: {kind}>>) as done)"
