@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import warnings
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -182,13 +184,38 @@ def causal_chains(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, frequenc
     return linked.unionByName(ranked.where(F.col("place") < k).select(F.col("seed").alias("pair"), "place", "id", F.lit(False).alias("linked")))
 
 
+def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the edges of a task a star for each component that they make: every node with the smallest one."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            if (x := find(a)) != (y := find(b)):
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    for at in range(0, len(nodes), 10_000):
+        part = [(n, find(n)) for n in nodes[at : at + 10_000]]
+        yield pd.DataFrame([p for p in part if p[0] != p[1]], columns=["src", "dst"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of the nodes that edges(src, dst) touch: the smallest id reachable, in any direction.
 
-    Rounds of hooking: every node takes the smallest label among its neighbours, then labels take their own label's label, so
+    Edges of a task first become stars. Then rounds of hooking: every node takes the smallest label among its neighbours, then labels take their own label's label, so
     chains halve each round. Labels are a table every round.
     """
-    e = cut(edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{name}-edges")
+    kind = dict(edges.dtypes)["src"]
+    stars = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().mapInPandas(forest, f"src {kind}, dst {kind}")
+    stars = cut(stars, f"{name}-stars")
+    e = cut(stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{name}-edges")
     label = cut(e.groupBy("src").agg(F.least(F.min("dst"), F.min("src")).alias("component")).withColumnRenamed("src", "id"), f"{name}-0")
     for k in itertools.count(1):
         near = e.join(label, e["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("low"))
