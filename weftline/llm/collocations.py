@@ -1,8 +1,8 @@
 """Phrase collocations: count tries of a shard's n-grams, serialised in the order of their paths, merged range by range.
 
-Tries have depth 4 and are counted in three passes, as every part of a phrase is at least as frequent as the phrase: words, then pairs of words that are
-frequent enough, then paths of three words, with the fourth or its absence, all of whose pairs are. Which are is told to tasks by a bitmap of bounded size, which
-may let others through and so only saves work. A shard's trie goes out in blobs, one for each range of prefixes. A path's prefix is its language
+Tries have depth 4 and are counted in three passes, as every part of a phrase is at least as frequent as the phrase: words; then, to know what can be frequent, pairs of
+frequent words by 40 bits of their hashes; then all paths of two words and more along such pairs. What is frequent is told to tasks by a bitmap of bounded size, which like
+the short hashes may let others through and so only saves work. A shard's trie goes out in blobs, one for each range of prefixes. A path's prefix is its language
 and up to three words; ranges cut the hashes of prefixes, so no frequent word or pair gathers in one of them, and paths are sorted by hash. Merging a
 range gives the counts of words with their spellings, of pairs, of quadruples, and of triples as sums over their children; what is
 rarer than the least count goes there. In the merged trie a node's parent gives its left parts and its suffix link its right parts.
@@ -29,7 +29,7 @@ ship(__name__)
 DEPTH = 4
 LEAST, SCALE, INSIDE, TOP = 30, 2_000_000, 80, 2000
 #: Words of a shard's trie, and bytes of text whose paths make one range.
-SHARD_WORDS, RANGE_BYTES = 1 << 20, 4 << 20
+SHARD_WORDS, RANGE_BYTES = 1 << 20, 8 << 20
 #: Paths that a merge holds before it adds up equal ones.
 MERGE_PATHS = 1 << 20
 #: Bits of a bitmap of frequent words or pairs for each of them, and at most.
@@ -96,34 +96,49 @@ class Shard:
         raw = data.tobytes()
         return [raw[a:z] for a, z in zip(at.tolist(), np.minimum(stop, after).tolist(), strict=True)]
 
-    def trie(self, level: int, frequent: np.ndarray | None) -> Trie:
-        """Level 1: words. 2: pairs of words in the bitmap. 3: paths of three words and more whose pairs are in the bitmap."""
+    def trie(self, frequent: np.ndarray | None) -> Trie:
+        """Words alone, or with a bitmap of pairs the paths of two words and more along them."""
+        names, w, kinds, g, one, two, linked = self.hashed()
+        if frequent is None:
+            top, counts = counted(one)
+            return Trie(kinds, names, self.spellings(top), one[top], g[top], w[top], counts, one[:0], np.zeros((5, 0), dtype=w.dtype), counts[:0])
+        linked &= in_bitmap(pair_keys(two), frequent)
+        pair, triple = np.flatnonzero(linked), np.flatnonzero(linked & ahead(linked, 1))
+        third = np.concatenate([np.zeros(len(pair), dtype=w.dtype), ahead(w, 2)[triple]])
+        fourth = np.concatenate([np.zeros(len(pair), dtype=w.dtype), np.where(ahead(linked, 2)[triple], ahead(w, 3)[triple], 0)])
+        row = np.concatenate([pair, triple])
+        prefix = mix64(two[row] * U(STEP) + names[third])
+        at, counts = counted(mix64(prefix * U(STEP) + names[fourth]))
+        row, none = row[at], np.zeros(0, dtype=np.int64)
+        return Trie(kinds, names, [], one[:0], none, none, none, prefix[at], np.stack([g[row], w[row], ahead(w, 1)[row], third[at], fourth[at]]), counts)
+
+    def hashed(self) -> tuple[np.ndarray, ...]:
+        """Words (0: none) and the number of each place's, languages alike, hashes of words and of pairs in their language, and whether a pair stands in one piece."""
         word, lang, first = np.concatenate(self.words), np.concatenate(self.langs), np.concatenate(self.firsts)
         names, w = np.unique(word, return_inverse=True)
         kinds, g = np.unique(lang, return_inverse=True)
-        names, w, n = np.concatenate([np.zeros(1, dtype=np.uint64), names]), w + 1, len(w)
+        names, w = np.concatenate([np.zeros(1, dtype=np.uint64), names]), w + 1
         one = mix64(kinds[g] * U(STEP) + word)
-        if level == 1:
-            top, top_counts = counted(one)
-            return Trie(kinds, names, self.spellings(top), one[top], g[top], w[top], top_counts, one[:0], np.zeros((5, 0), dtype=w.dtype), top_counts[:0])
-        ahead = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, n), dtype=x.dtype)])[:n]
         linked = ~ahead(first, 1)
         linked[-1:] = False
-        two = mix64(one * U(STEP) + names[ahead(w, 1)])
-        if level == 2:
-            known = in_bitmap(one, frequent)
-            row = np.flatnonzero(linked & known & ahead(known, 1))
-            prefix, fourth = mix64(two[row] * U(STEP)), np.zeros(len(row), dtype=w.dtype)
-        else:
-            linked &= in_bitmap(two, frequent)
-            row = np.flatnonzero(linked & ahead(linked, 1))
-            prefix = mix64(two[row] * U(STEP) + names[ahead(w, 2)[row]])
-            fourth = np.where(ahead(linked, 2)[row], ahead(w, 3)[row], 0)
-        at, counts = counted(mix64(prefix * U(STEP) + names[fourth]))
-        row = row[at]
-        ids = np.stack([g[row], w[row], ahead(w, 1)[row], ahead(w, 2)[row] if level > 2 else fourth[at], fourth[at]])
-        none = np.zeros(0, dtype=np.int64)
-        return Trie(kinds, names, [], one[:0], none, none, none, prefix[at], ids, counts)
+        return names, w, kinds, g, one, mix64(one * U(STEP) + names[ahead(w, 1)]), linked
+
+    def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of pairs of words in the bitmap, sorted, and their counts."""
+        *_, one, two, linked = self.hashed()
+        known = in_bitmap(one, frequent)
+        keys = pair_keys(two[linked & known & ahead(known, 1)])
+        at, counts = counted(keys)
+        return keys[at], counts
+
+
+def ahead(x: np.ndarray, k: int) -> np.ndarray:
+    """What stands k places on, 0 beyond the end."""
+    return np.concatenate([x[k:], np.zeros(min(k, len(x)), dtype=x.dtype)])
+
+
+def pair_keys(two: np.ndarray) -> np.ndarray:
+    return mix64(two * U(STEP)) >> U(24)
 
 
 class Trie(NamedTuple):
@@ -194,6 +209,15 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def thin(x: np.ndarray) -> np.ndarray:
+    """Bytes of numbers of 64 bits, those of one weight together, which compress better."""
+    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def thick(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def serialised(kinds: np.ndarray, names: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
     """Paths as indexes into the words that they hold, column by column."""
     used = np.zeros(len(names), dtype=bool)
@@ -208,11 +232,19 @@ def parsed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([kinds[lang], *(names[c] for c in words)]), counts.astype(np.int64)
 
 
-def shards(ranges: int, level: int, frequent=None):
-    """The tries of a task's rows, a row for each range that they reach; frequent: a broadcast bitmap of the level before."""
+def shards(ranges: int, pairs: bool = False, frequent=None):
+    """The tries of a task's rows, or keys of their pairs, a row for each range that they reach; frequent: a broadcast bitmap."""
 
     def rows_of(shard: Shard, names: dict) -> Iterator[pa.RecordBatch]:
-        t = shard.trie(level, frequent.value if frequent else None)
+        if pairs:
+            keys, counts = shard.pairs(frequent.value)
+            ends = np.searchsorted(keys, [(r << 40) // ranges for r in range(1, ranges)])
+            for r, (k, n) in enumerate(zip(np.split(keys, ends), np.split(counts, ends), strict=True)):
+                if len(k):
+                    blob = packed(thin(np.diff(k, prepend=U(0))), thin(n))
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([[]], pa.list_(pa.string())), pa.array([b""], pa.binary()), pa.array([blob], pa.binary())], ["range", "langs", "words", "paths"])
+            return
+        t = shard.trie(frequent.value if frequent else None)
         tops, deeper = in_ranges(t.top, ranges), in_ranges(t.prefix, ranges)
         for r in sorted({*tops, *deeper}):
             top, deep = tops.get(r, np.zeros(0, dtype=np.int64)), deeper.get(r, np.zeros(0, dtype=np.int64))
@@ -313,6 +345,31 @@ class Range:
         yield pa.RecordBatch.from_arrays([none, none, *(pa.array(p[kept].view(np.int64)) for p in paths), pa.array(counts[kept])], ["lang", "word", *PATH, "f"])
 
 
+def merged_pairs(least: int):
+    """Keys of pairs that occur `least` times, where keys are equal together."""
+
+    def frequent(runs: list) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.concatenate([k for k, _ in runs]), np.concatenate([n for _, n in runs])
+        found, sums = added_up(keys[None], counts.astype(np.int64), keys)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0][sums >= least].view(np.int64))], ["key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tries")
+        at, runs = None, []
+        for batch in batches:
+            for r, blob in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                if r != at and runs:
+                    yield from frequent(runs)
+                    runs = []
+                at = r
+                keys, counts = (thick(x) for x in unpacked(blob.as_py()))
+                runs.append((np.cumsum(keys, dtype=np.uint64), counts))
+        if runs:
+            yield from frequent(runs)
+
+    return run
+
+
 def merged_ranges(least: int):
     """Words and nodes of each range; a partition holds whole ranges, sorted by them."""
 
@@ -341,18 +398,18 @@ def count_tries(docs: DataFrame, lang_col: str, text_col: str, least: int) -> tu
     ranges = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
     nodes = "lang string, word string, " + ", ".join(f"{c} long" for c in [*PATH, "f"])
 
-    def counts(level: int, frequent: np.ndarray | None = None) -> DataFrame:
-        tries = rows.mapInArrow(shards(ranges, level, None if frequent is None else spark.sparkContext.broadcast(frequent)), "range int, langs array<string>, words binary, paths binary")
-        return cut(tries.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(merged_ranges(least), nodes), f"level-{level}")
+    def met(merge, schema: str, name: str, pairs: bool = False, frequent: np.ndarray | None = None) -> DataFrame:
+        tries = rows.mapInArrow(shards(ranges, pairs, None if frequent is None else spark.sparkContext.broadcast(frequent)), "range int, langs array<string>, words binary, paths binary")
+        return cut(tries.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(merge, schema), name)
 
-    words = counts(1)
-    pairs = counts(2, bitmap(words.where("w1 <> 0").select("lang_id", "w1")))
-    longer = counts(3, bitmap(pairs.select("lang_id", "w1", "w2")))
-    return words.select("lang", "lang_id", "w1", "word", "f"), pairs.unionByName(longer).select(*PATH, "f")
+    words = met(merged_ranges(least), nodes, "words")
+    pairs = met(merged_pairs(least), "key long", "pairs", True, bitmap(words.where("w1 <> 0").select("lang_id", "w1")))
+    deep = met(merged_ranges(least), nodes, "nodes", False, bitmap(pairs))
+    return words.select("lang", "lang_id", "w1", "word", "f"), deep.select(*PATH, "f")
 
 
 def bitmap(nodes: DataFrame) -> np.ndarray:
-    """Bits set for nodes (their language and words); at most MOST_BITS, however many there are."""
+    """Bits set for words (their language and hash) or pairs (their keys); at most MOST_BITS, however many there are."""
     n = 1 << max(6, min(MOST_BITS, BITS * nodes.count()).bit_length() - 1)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
