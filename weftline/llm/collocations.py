@@ -209,13 +209,13 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def thin(x: np.ndarray) -> np.ndarray:
-    """Bytes of numbers of 64 bits, those of one weight together, which compress better."""
-    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).ravel()
+def thin(x: np.ndarray, kind: type = np.uint64) -> np.ndarray:
+    """Bytes of whole numbers, those of one weight together, which compress better."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).ravel()
 
 
-def thick(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.reshape(8, -1).T).view(np.uint64).ravel()
+def thick(x: np.ndarray, kind: type = np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def serialised(kinds: np.ndarray, names: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -223,13 +223,13 @@ def serialised(kinds: np.ndarray, names: np.ndarray, ids: np.ndarray, counts: np
     used = np.zeros(len(names), dtype=bool)
     used[ids[1:]] = True
     place = np.cumsum(used) - 1
-    return packed(kinds, names[used], ids[0].astype(np.uint32), *(place[c].astype(np.uint32) for c in ids[1:]), counts.astype(np.uint64))
+    return packed(kinds, names[used], *(thin(c, np.uint32) for c in (ids[0], *place[ids[1:]])), thin(counts))
 
 
 def parsed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(paths as five rows of labels, counts) of a blob."""
     kinds, names, lang, *words, counts = unpacked(blob)
-    return np.stack([kinds[lang], *(names[c] for c in words)]), counts.astype(np.int64)
+    return np.stack([kinds[thick(lang, np.uint32)], *(names[thick(c, np.uint32)] for c in words)]), thick(counts).astype(np.int64)
 
 
 def shards(ranges: int, pairs: bool = False, frequent=None):
