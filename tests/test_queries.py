@@ -43,3 +43,16 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["ward_sizes", "compression_ratio", "change_point_sessions"])
 def test_rows_only(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 0
+
+
+def test_upsert_with_part_numbers_of_suppliers(spark, tmp_path):
+    """Part numbers beyond a million are not those of suppliers."""
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(7, "small", 3), (1_000_007, "small", 3), (1_000_008, "large", 30)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(7, "s7"), (8, "s8")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, entry.queries()["upsert_transaction"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    for t in ("part", "supplier"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(c.execute(entry.oracle_sql()["upsert_transaction"]).fetchall()) and len(got) == 7

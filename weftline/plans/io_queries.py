@@ -58,13 +58,15 @@ def partition_overwrite(spark, sf_dir):
 
 @query("""SELECT 'part' AS tbl, p_partkey AS id, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', 1000000 + s_suppkey, s_name FROM supplier""")
 def upsert_transaction(spark, sf_dir):
-    """Two tables in a store: rows replaced and added in a second transaction."""
+    """Two tables in a store: rows replaced and added in a second transaction. Parts of suppliers have an origin of their own in their key, so none takes the place of a part with its number."""
     p, s = load(spark, sf_dir, "part"), load(spark, sf_dir, "supplier")
     store = Store(spark, folder(spark, "store"))
     suppliers = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    store.upsert({"part": (p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), ["id"]), "supplier": (suppliers, ["id"])})
+    parts = lambda rows, origin: rows.withColumn("origin", F.lit(origin))
+    store.upsert({"part": (parts(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "part"), ["id", "origin"]), "supplier": (suppliers, ["id"])})
     large = p.where("p_size > 25").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name"))
-    store.upsert({"part": (large.unionByName(suppliers.withColumn("id", F.col("id") + 1_000_000)), ["id"])})
+    added = suppliers.withColumn("id", F.col("id") + 1_000_000)
+    store.upsert({"part": (parts(large, "part").unionByName(parts(added, "supplier")), ["id", "origin"])})
     tables = store.tables()
     return tables["part"].select(F.lit("part").alias("tbl"), "id", "name").unionByName(tables["supplier"].select(F.lit("supplier").alias("tbl"), "id", "name"))
 
