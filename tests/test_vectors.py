@@ -81,6 +81,26 @@ def test_proximity_graph(spark):
     assert share[1] < share[0] / 2 and share[2] < share[1]
 
 
+@pytest.mark.parametrize("shard_rows", [500, 50_000])
+def test_confirmed_neighbours(spark, monkeypatch, shard_rows):
+    """A narrow beam misses rows of unstructured vectors; the check finds them all, in any number of blocks."""
+    from weftline.operators import proximity_graph
+
+    monkeypatch.setattr(proximity_graph, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(proximity_graph, "QUERIES", 20)
+    x = np.random.default_rng(3).normal(size=(3000, 48))
+    x[1::100] = x[::100]
+    index = proximity_graph.build_index(frame(spark, x), "id", "v")
+    asked = frame(spark, x[::100]).toDF("query_id", "q")
+    found = proximity_graph.search_index(index, asked, 10, 10).cache()
+    got = {(r.query_id, r.rank): r.id for r in proximity_graph.confirm_nearest(index, asked, found, 10).collect()}
+    d = np.sqrt(((x[None] - x[::100][:, None]) ** 2).sum(2))
+    want = {(q, n): i for q in range(30) for n, i in enumerate(np.argsort(d[q], kind="stable")[:10].tolist(), 1)}
+    assert got == want and {(r.query_id, r.rank): r.id for r in found.collect()} != want
+    few = proximity_graph.build_index(frame(spark, x[:4]), "id", "v")
+    assert proximity_graph.confirm_nearest(few, asked, proximity_graph.search_index(few, asked, 10), 10).count() == 120
+
+
 def test_index_odd_rows(spark, tmp_path):
     """Null vectors are not indexed; equal rows, a single row and an empty table are answered; an index can be kept."""
     from weftline.operators.proximity_graph import build_index, search_index

@@ -25,6 +25,8 @@ SHARD_ROWS, LINKS, BEAM = 50_000, 16, 64
 ALL_PAIRS, TREES, LEAF = 2048, 8, 200
 #: Queries that one task of a shard answers.
 QUERIES = 4096
+#: Queries of a task that are held against its rows at once.
+TILE = 64
 
 
 def leaves(x: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
@@ -174,3 +176,43 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, beam: int =
     each = W.partitionBy("query_id")
     ranked = found.withColumn("met", F.sum("met").over(each)).withColumn("rank", F.row_number().over(each.orderBy("distance", "id")).cast("long"))
     return ranked.where(F.col("rank") <= k).select("query_id", "id", "distance", "rank", "met")
+
+
+def confirm_nearest(index: DataFrame, queries: DataFrame, found: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, id, distance, rank): the k rows of the index nearest to each of queries(query_id, q), none missed, ties to the smaller id.
+
+    found is what search_index says of them. No row beyond the k-th that was found can count, so every row is held against that distance alone: blocks of rows meet
+    blocks of queries, a matrix product a task, and only what is within reach is measured and ranked.
+    """
+    kinds = dict(queries.dtypes)["query_id"], dict(index.dtypes)["id"]
+    reach = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("reach"))
+    asked = queries.where("q IS NOT NULL").select("query_id", F.col("q").cast("array<double>").alias("q"))
+    asked = cut(asked.join(reach, "query_id", "left"), "queries-in-reach")
+    rows = index.select("id", "v")
+    parts, blocks = max(1, -(-asked.count() // QUERIES)), max(1, -(-rows.count() // SHARD_ROWS))
+    told = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "id": [], "distance": []})]
+        if len(left) and len(right):
+            x, ids = matrix(left["v"]), left["id"].to_numpy()
+            longest = (x * x).sum(1).max()
+            for at in range(0, len(right), TILE):
+                some = right.iloc[at : at + TILE]
+                q, names, most = matrix(some["q"]), some["query_id"].to_numpy(), some["reach"].to_numpy(float)
+                most = np.where(np.isnan(most), np.inf, most)
+                # what rounding can add to squares of distances
+                slack = 1e-12 * ((q * q).sum(1) + longest + 1)
+                d = squared(q, x)
+                if k < len(x):  # nor can a row count that k of this block are nearer than
+                    most = np.minimum(most, np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1] + slack))
+                a, b = np.nonzero(d <= (most * most + slack)[:, None])
+                for piece in range(0, len(a), 1 << 17):
+                    r, c = a[piece : piece + (1 << 17)], b[piece : piece + (1 << 17)]
+                    out.append(pd.DataFrame({"query_id": names[r], "id": ids[c], "distance": np.sqrt(((x[c] - q[r]) ** 2).sum(1))}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    near = held.groupBy("block", "part").cogroup(told.groupBy("block", "part")).applyInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id")).cast("long"))
+    return ranked.where(F.col("rank") <= k)
