@@ -721,3 +721,28 @@ def test_stream_of_messages_in_segments(spark, tmp_path):
     whole = sequences.segment(decide, first=4, step=3, force=10)(pd.DataFrame({"index": range(39), "content": [f"m{i}" for i in range(39)]}))
     closed = whole[whole["chunk_id"] < whole["chunk_id"].max()]
     assert got == {(c, i): (k, s) for c in ("a", "b") for i, k, s in zip(closed["index"], closed["chunk_id"], closed["sentiment"], strict=True)} and len(got) > 40
+
+
+def test_graphml_in_many_blocks(spark, tmp_path, monkeypatch):
+    """One file read by many tasks gives what a parser gives, wherever its blocks end; what tags alone don't tell is parsed whole."""
+    body = "".join(f"<node id='n{k}'>\n <data key=\"d0\">a &lt;b&gt; &#38; {k} > {k}\n</data><data key='d1'/></node>\n<edge source=\"n{k}\" target='n{k + 1}'><data key='d2'>e</data></edge>" for k in range(40))
+    keys = '<key id="d0" for="node" attr.name="said"/><key id="d2" for="edge" attr.name="w"/>'
+    file = f"<?xml version='1.0'?>\n<g:graphml xmlns:g='x' xmlns='x'>{keys}<graph id='G'>{body}<node id='last'/></graph></g:graphml>"
+    (tmp_path / "plain.graphml").write_text(file)
+    (tmp_path / "odd.graphml").write_text(file.replace("<graph id='G'>", "<graph id='G'><!-- <node id='no'/> -->"))
+    want_nodes = sorted([(f"n{k}", ("d1", ""), ("said", f"a <b> & {k} > {k}\n")) for k in range(40)] + [("last",)])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for name, bound in (("plain", 97), ("plain", 1000), ("odd", 333)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", bound)
+            with monkeypatch.context() as m:
+                if name == "plain":  # no task may have the whole file
+                    m.setattr(readers, "whole_graphml", None)
+                nodes, edges = readers.read_graphml(spark, f"file://{tmp_path}/{name}.graphml")
+            assert sorted((r["id"], *sorted(r["attributes"].items())) for r in nodes.collect()) == want_nodes
+            assert sorted(map(tuple, edges.collect())) == sorted((f"n{k}", f"n{k + 1}") for k in range(40))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    (tmp_path / "cut.graphml").write_text(file[: len(file) // 2])
+    with pytest.raises(Exception, match="ParseError|no element found"):
+        readers.read_graphml(spark, f"file://{tmp_path}/cut.graphml")[0].collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import sqlite3
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import apple_time
+from .tables import cut
 
 RAW_MESSAGES = "datetime string, content string, `from` string, from_phone_number string, `to` string, to_phone_number string, message_type int, media_title string"
 MESSAGES = "`from` string, from_phone_number string, `to` string, to_phone_number string, datetime timestamp, content string, count int"
@@ -161,19 +163,122 @@ def under_prefix(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{prefix.strip('/')}")
 
 
+GRAPHML_ROWS = "kind string, file string, block long, at long, a string, b string, attributes map<string, string>"
+_TAG = re.compile(r"""(/?[^\s/>]+)((?:[^>"']|"[^"]*"|'[^']*')*)>(.*)""", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s=]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_REFERENCE = re.compile(r"&(?:#x([0-9a-fA-F]+)|#([0-9]+)|(lt|gt|amp|quot|apos));")
+_NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+
+
+def _plain(text: str) -> str:
+    return _REFERENCE.sub(lambda m: chr(int(m[1], 16)) if m[1] else chr(int(m[2])) if m[2] else _NAMED[m[3]], text) if "&" in text else text
+
+
+def graphml_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of what follows each '<' of a file, in order. A node that a block of the file leaves open, and data that a block begins with, are parts, to be joined across blocks.
+
+    'odd' rows name files with what this can't tell from tags (comments, CDATA, document types, nodes in nodes), 'end' rows those that end as they should.
+    """
+    where, node, edge, at = None, None, False, 0
+    for pdf in batches:
+        out = []
+        for said, file, block in zip(pdf["value"], pdf["file"], pdf["block"], strict=True):
+            if where != (file, block):
+                if node is not None:
+                    out.append(("part", *where, at, node[0], None, node[1]))
+                where, node, edge, at = (file, block), None, False, 0
+            if not said or said.isspace() or said == "\ufeff":
+                continue
+            at += 1
+            if not (tag := _TAG.match(said)):
+                out.append(("odd", file, block, at, None, None, {}))
+                continue
+            shut, name = tag[1].startswith("/"), tag[1].lstrip("/").rpartition(":")[2]
+            if not shut and name in ("data", "node", "edge", "key"):
+                given = {k: _plain(re.sub(r"\r\n|[\r\n\t]", " ", x or y)) for k, x, y in _ATTRIBUTE.findall(tag[2])}
+                closed = tag[2].endswith("/")
+                if name == "data":
+                    if not edge:
+                        pair = {given.get("key"): "" if closed else _plain(tag[3].replace("\r\n", "\n").replace("\r", "\n"))}
+                        if node is None:
+                            out.append(("part", file, block, at, None, None, pair))
+                        else:
+                            node[1].update(pair)
+                elif name == "key":
+                    out.append(("key", file, block, at, given.get("id"), given.get("attr.name"), {}))
+                elif name == "edge":
+                    out.append(("edge", file, block, at, given.get("source"), given.get("target"), {}))
+                    edge = not closed
+                elif node is not None:
+                    out.append(("odd", file, block, at, None, None, {}))
+                elif closed:
+                    out.append(("node", file, block, at, given.get("id"), None, {}))
+                else:
+                    node = (given.get("id"), {})
+            elif shut:
+                if name == "node":
+                    out.append(("close", file, block, at, None, None, {}) if node is None else ("node", file, block, at, node[0], None, node[1]))
+                    node = None
+                elif name == "edge":
+                    edge = False
+                elif name == "graphml":
+                    out.append(("end", file, block, at, None, None, {}))
+            elif name == "graph":
+                out.append(("graph", file, block, at, None, None, {}))
+            elif name.startswith("!") or "\0" in said or name == "?xml" and "encoding" in tag[2] and not re.search("(?i)utf-8|ascii", tag[2]):
+                out.append(("odd", file, block, at, None, None, {}))
+        yield pd.DataFrame(out, columns=["kind", "file", "block", "at", "a", "b", "attributes"])
+    if node is not None:
+        yield pd.DataFrame([("part", *where, at, node[0], None, node[1])], columns=["kind", "file", "block", "at", "a", "b", "attributes"])
+
+
+def joined_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of a file that reach over blocks: at most the open end and the begin of each block."""
+    done, node = [], None
+    for kind, a, pairs in pdf.sort_values(["block", "at"])[["kind", "a", "attributes"]].itertuples(index=False):
+        if kind == "part" and a is not None:
+            node = (a, dict(pairs))
+        elif kind == "part" and node is not None:
+            node[1].update(pairs)
+        elif kind == "close" and node is not None:
+            done.append((pdf["file"].iloc[0], *node))
+            node = None
+    return pd.DataFrame(done, columns=["file", "a", "attributes"])
+
+
+def whole_graphml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for content in pdf["content"]:
+            root = ElementTree.fromstring(bytes(content))
+            ns = root.tag.partition("}")[0] + "}" if "}" in root.tag else ""
+            names = {k.get("id"): k.get("attr.name") for k in root.iter(f"{ns}key")}
+            rows += [("node", n.get("id"), None, {names.get(d.get("key"), d.get("key")): d.text or "" for d in n.iter(f"{ns}data")}) for n in root.iter(f"{ns}node")]
+            rows += [("edge", e.get("source"), e.get("target"), {}) for e in root.iter(f"{ns}edge")]
+        yield pd.DataFrame(rows, columns=["kind", "a", "b", "attributes"])
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of GraphML files, one task a file: nodes(id, attributes map), edges(src, dst)."""
+    """(nodes, edges) of GraphML files: nodes(id, attributes map), edges(src, dst).
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for content in pdf["content"]:
-                root = ElementTree.fromstring(bytes(content))
-                ns = root.tag.partition("}")[0] + "}" if "}" in root.tag else ""
-                names = {k.get("id"): k.get("attr.name") for k in root.iter(f"{ns}key")}
-                rows += [("node", n.get("id"), None, {names.get(d.get("key"), d.get("key")): d.text or "" for d in n.iter(f"{ns}data")}) for n in root.iter(f"{ns}node")]
-                rows += [("edge", e.get("source"), e.get("target"), {}) for e in root.iter(f"{ns}edge")]
-            yield pd.DataFrame(rows, columns=["kind", "a", "b", "attributes"])
-
-    every = spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "kind string, a string, b string, attributes map<string, string>")
-    return every.where("kind = 'node'").select(F.col("a").alias("id"), "attributes"), every.where("kind = 'edge'").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    A file is cut at every '<' by Spark's text reader, so any number of tasks read it; what reaches over their blocks is joined after. Files whose tags alone don't tell
+    (see graphml_rows) are parsed whole, one task a file, as are those without an end, whose errors are raised there.
+    """
+    said = spark.read.option("lineSep", "<").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = cut(said.mapInPandas(graphml_rows, GRAPHML_ROWS), "graphml")
+    seen = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    fine = {r["file"] for r in rows.groupBy("file").agg(count("end").alias("e"), count("odd").alias("o"), count("graph").alias("g")).where("e = 1 AND o = 0 AND g <= 1").collect()}
+    odd = [r["file"] for r in seen.collect() if r["file"] not in fine]
+    if odd:
+        rows = rows.where(~F.col("file").isin(odd))
+    parts = rows.where("kind IN ('part', 'close')").select("file", "block", "at", "kind", "a", "attributes").groupBy("file").applyInPandas(joined_parts, "file string, a string, attributes map<string, string>")
+    names = rows.where("kind = 'key'").groupBy("file").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("a", "b")))).alias("names"))  # one row a file
+    held = rows.where("kind = 'node'").select("file", "a", "attributes").unionByName(parts).join(F.broadcast(names), "file", "left")
+    nodes = held.select(F.col("a").alias("id"), F.transform_keys("attributes", lambda k, _: F.coalesce(F.try_element_at("names", k), k)).alias("attributes"))
+    edges = rows.where("kind = 'edge'").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    if odd:
+        whole = spark.read.format("binaryFile").load(path).where(F.col("_metadata.file_path").isin(odd)).select("content").mapInPandas(whole_graphml, "kind string, a string, b string, attributes map<string, string>")
+        nodes = nodes.unionByName(whole.where("kind = 'node'").select(F.col("a").alias("id"), "attributes"))
+        edges = edges.unionByName(whole.where("kind = 'edge'").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return nodes, edges

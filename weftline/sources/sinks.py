@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict
 
@@ -13,6 +13,7 @@ from ..functions.text import strip_row_prefix
 from ..operators.external import TRACE_SCHEMA, Trace
 from ..operators.relational import connect
 from .snapshots import Store
+from .tables import shared_dir
 
 
 def write_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -61,7 +62,7 @@ def _xml(value: Column, quote: bool = False) -> Column:
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str = "id") -> None:
-    """One GraphML file, on any file system that Spark reaches: tasks spell the lines, which then pass through the driver a partition at a time."""
+    """One GraphML file, on any file system that Spark reaches: tasks spell and write the lines, whose files are then strung together as bytes, a MB at a time."""
     names = [c for c in nodes.columns if c != node_id]
     said = lambda c: F.col(c) if dict(nodes.dtypes)[c] == "string" else F.to_json(F.col(c)) if dict(nodes.dtypes)[c].startswith(("array", "map", "struct")) else F.col(c).cast("string")
     data = [F.coalesce(F.concat(F.lit(f'<data key="{c}">'), _xml(said(c)), F.lit("</data>")), F.lit("")) for c in names]
@@ -69,19 +70,24 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str =
     of_edge = edges.select(F.concat(F.lit("<edge source="), _xml(F.col("src"), True), F.lit(" target="), _xml(F.col("dst"), True), F.lit("/>")).alias("line"))
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'<key id="{c}" for="node" attr.name="{c}" attr.type="string"/>' for c in names), '<graph edgedefault="directed">']
     spark = nodes.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    parts = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
+    at, drafts = path_of(path), path_of(parts)
+    source = drafts.getFileSystem(conf)
+    source.deleteOnExit(drafts)
+    out = at.getFileSystem(conf).create(at, True)
     try:
-        held, size = head, 0
-        for r in itertools.chain(of_node.toLocalIterator(), of_edge.toLocalIterator()):
-            held.append(r["line"])
-            size += len(r["line"])
-            if size > 1 << 20:
-                out.write(bytearray(("\n".join(held) + "\n").encode()))
-                held, size = [], 0
-        out.write(bytearray("\n".join([*held, "</graph>", "</graphml>", ""]).encode()))
+        out.write(bytearray(("\n".join(head) + "\n").encode()))
+        for name, lines in (("nodes", of_node), ("edges", of_edge)):
+            lines.write.text(f"{parts}/{name}")
+            for part in sorted(f.getPath().toString() for f in source.listStatus(path_of(f"{parts}/{name}")) if f.getPath().getName().startswith("part-")):
+                held = source.open(path_of(part))
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 20, False)
+                held.close()
+        out.write(bytearray(b"</graph>\n</graphml>\n"))
     finally:
         out.close()
+    source.delete(drafts, True)
 
 
 def save_traces(spark: SparkSession, traces: Sequence[Trace], path: str) -> None:
