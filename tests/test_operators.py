@@ -746,3 +746,19 @@ def test_graphml_in_many_blocks(spark, tmp_path, monkeypatch):
     (tmp_path / "cut.graphml").write_text(file[: len(file) // 2])
     with pytest.raises(Exception, match="ParseError|no element found"):
         readers.read_graphml(spark, f"file://{tmp_path}/cut.graphml")[0].collect()
+
+def test_contain_compares_what_it_finds(spark):
+    """Slots and equality find what comparing all does, with ranges of no length, backward ones, nulls and ends that touch."""
+    from weftline.operators import relational
+
+    rng = np.random.default_rng(4)
+    p = [(k, int(rng.integers(0, 2)), at(0, seconds=int(rng.integers(0, 5000)))) for k in range(300)] + [(900, None, at(1)), (901, 0, None)]
+    r = [(k, int(rng.integers(0, 2)), at(0, seconds=(s := int(rng.integers(0, 5000)))), at(0, seconds=s + int(rng.choice([0, 0, 40, 3000, -5])))) for k in range(200)] + [(990, 0, None, at(9)), (991, None, at(0), at(99))]
+    want = {(a, b) for a, d, t in p for b, e, s, u in r if None not in (d, e, t, s, u) and d == e and s <= t <= u}
+    points, ranges = spark.createDataFrame(p, "p long, day int, t timestamp"), spark.createDataFrame(r, "r long, day int, s timestamp, e timestamp")
+    out = relational.contain(points, ranges, "day", "t", "s", "e")
+    got = out.select("p", "r").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and sorted(out.columns) == ["day", "e", "p", "r", "s", "t"]
+    assert "_slot" in out._jdf.queryExecution().optimizedPlan().toString()
+    still = relational.contain(points, ranges.where("s = e"), "day", "t", "s", "e").select("p", "r").collect()
+    assert sorted(map(tuple, still)) == sorted((a, b) for a, b in want if r[b][2] == r[b][3])
