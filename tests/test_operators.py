@@ -762,3 +762,9 @@ def test_contain_compares_what_it_finds(spark):
     assert "_slot" in out._jdf.queryExecution().optimizedPlan().toString()
     still = relational.contain(points, ranges.where("s = e"), "day", "t", "s", "e").select("p", "r").collect()
     assert sorted(map(tuple, still)) == sorted((a, b) for a, b in want if r[b][2] == r[b][3])
+
+
+def test_lookback_forms_no_group_a_user(spark):
+    chunks = spark.createDataFrame([(u, k, at(k), at(k)) for u in range(5) for k in range(4)], "u long, chunk_id int, start_dt timestamp, end_dt timestamp")
+    out = sequences.lookback(chunks, partition=["u"])
+    assert out.count() == 30 and "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()

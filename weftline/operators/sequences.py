@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import bisect
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -86,8 +87,13 @@ def lookback(chunks: DataFrame, chunk: str = "chunk_id", start: str = "start_dt"
     Chunks are taken in blocks in their order. The `most` latest ends of each block are merged from block to block, so each block knows those of all before it, and
     goes through its own rows with them: work grows with the chunks, not with their pairs, and no task holds more than a block or the blocks' short lists.
     """
-    rows = with_row_index(chunks.select(*partition, F.col(chunk).alias("_c"), F.unix_micros(F.col(start).cast("timestamp")).alias("_s"), F.unix_micros(F.col(end).cast("timestamp")).alias("_e")), "_c", name="_i", partition=partition)
-    rows = rows.withColumn("_block", F.floor(F.col("_i") / LOOK_BLOCK).cast("long"))
+    from ..sources.tables import cut
+
+    types, epoch = dict(chunks.dtypes), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    micros = lambda c: F.timestamp_diff("MICROSECOND", epoch, F.col(c)) if types[c] == "timestamp_ntz" else F.unix_micros(F.col(c).cast("timestamp"))
+    size = LOOK_BLOCK
+    rows = with_row_index(chunks.select(*partition, F.col(chunk).alias("_c"), micros(start).alias("_s"), micros(end).alias("_e")), "_c", name="_i", partition=partition)
+    rows = cut(rows.withColumn("_block", F.floor(F.col("_i") / size).cast("long")), "lookback-rows")
     kinds = dict(rows.dtypes)
     keys = "".join(f"{p} {kinds[p]}, " for p in partition)
 
@@ -102,32 +108,37 @@ def lookback(chunks: DataFrame, chunk: str = "chunk_id", start: str = "start_dt"
         out = pdf.sort_values("_block", ignore_index=True)[[*partition, "_block"]]
         return out.assign(_bes=[[x[0] for x in b] for b in before], _bcs=[[x[1] for x in b] for b in before])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i", ignore_index=True)
-        known = pdf["_bes"].iloc[0] is not None
-        held = list(zip(pdf["_bes"].iloc[0], pdf["_bcs"].iloc[0], strict=True)) if known else []
-        row, prev, rank = [], [], []
-        for k, (c, e) in enumerate(zip(pdf["_c"], pdf["_e"], strict=True)):
-            row += [k] * len(held)
-            prev += [x[1] for x in held]
-            rank += range(1, len(held) + 1)
-            if not pd.isna(e):
-                held = latest(held, [(int(e), c)])
-        at = pdf.iloc[row]
-        return pd.DataFrame({**{p: at[p].to_numpy() for p in partition}, "_c": at["_c"].to_numpy(), "prev": prev, "rank": rank})
-
-    ends = F.array_sort(F.collect_list(F.when(F.col("_e").isNotNull(), F.struct((-F.col("_e")).alias("e"), F.col("_c").alias("c")))))
-    tops = rows.groupBy(*partition, "_block").agg(F.slice(ends, 1, most).alias("_t")).select(*partition, "_block", F.transform("_t", lambda x: -x["e"]).alias("_es"), F.transform("_t", lambda x: x["c"]).alias("_cs"))
-    before = (tops.groupBy(*partition) if partition else tops.withColumn("_g", F.lit(0)).groupBy("_g")).applyInPandas(fold, f"{keys}_block long, _bes array<long>, _bcs array<{kinds['_c']}>")
-    on = [rows["_block"] == before["_block"], *[rows[p].eqNullSafe(before[p]) for p in partition]]
-    joined = rows.join(before, on, "left").select(*[rows[c] for c in rows.columns], "_bes", "_bcs")
-    found = joined.groupBy(*partition, "_block").applyInPandas(walk, f"{keys}_c {kinds['_c']}, prev {kinds['_c']}, rank long")
-    starts = chunks.select(*[F.col(p).alias(f"_p_{p}") for p in partition], F.col(chunk).alias("_c"), F.col(start).alias("_start"))
-    stops = chunks.select(*[F.col(p).alias(f"_q_{p}") for p in partition], F.col(chunk).alias("prev"), F.col(end).alias("_end"))
-    same = lambda left, right, mark, c: [left[c] == right[c], *[left[p].eqNullSafe(right[f"_{mark}_{p}"]) for p in partition]]
-    out = found.join(starts, same(found, starts, "p", "_c"))
-    out = out.join(stops, [found["prev"] == stops["prev"], *[found[p].eqNullSafe(stops[f"_q_{p}"]) for p in partition]])
-    return out.where((found["rank"] <= always) | (F.col("_start") - F.col("_end") <= F.expr(within))).select(*[found[p] for p in partition], found["_c"].alias(chunk), found["prev"].alias("prev"), found["rank"].alias("rank"))
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for pdf in batches:
+            n, prev, ends = np.zeros(len(pdf), dtype=np.int64), [], []
+            for k, (i, c, e, es, cs) in enumerate(zip(pdf["_i"].tolist(), pdf["_c"].tolist(), pdf["_e"].tolist(), pdf["_bes"], pdf["_bcs"], strict=True)):
+                if i % size == 0:  # a block begins
+                    held = [] if es is None else [(-int(x), y) for x, y in zip(es, cs, strict=True)]
+                n[k] = len(held)
+                prev += [x[1] for x in held]
+                ends += [-x[0] for x in held]
+                if e is not None and e == e:
+                    bisect.insort(held, (-int(e), c))
+                    del held[most:]
+            at = pdf[[*partition, "_c", "_s"]].iloc[np.repeat(np.arange(len(pdf)), n)].reset_index(drop=True)
+            rank = np.arange(len(prev)) - np.repeat(np.cumsum(n) - n, n) + 1
+            yield at.assign(prev=pd.Series(prev, dtype=None if prev else object), rank=rank, _pe=pd.Series(ends, dtype="int64"))
+
+    joined = rows.withColumn("_bes", F.lit(None).cast("array<long>")).withColumn("_bcs", F.lit(None).cast(f"array<{kinds['_c']}>"))
+    longer = rows.where(F.col("_i") == size).select(*partition, F.lit(True).alias("_longer"))
+    if not longer.isEmpty():  # only what is longer than a block has anything to hand on
+        same = lambda right: [rows[p].eqNullSafe(right[p]) for p in partition] or F.lit(True)
+        ends = F.array_sort(F.collect_list(F.when(F.col("_e").isNotNull(), F.struct((-F.col("_e")).alias("e"), F.col("_c").alias("c")))))
+        long = rows.join(longer, same(longer), "left_semi")
+        tops = long.groupBy(*partition, "_block").agg(F.slice(ends, 1, most).alias("_t")).select(*partition, "_block", F.transform("_t", lambda x: -x["e"]).alias("_es"), F.transform("_t", lambda x: x["c"]).alias("_cs"))
+        before = (tops.groupBy(*partition) if partition else tops.withColumn("_g", F.lit(0)).groupBy("_g")).applyInPandas(fold, f"{keys}_block long, _bes array<long>, _bcs array<{kinds['_c']}>")
+        on = [rows["_block"] == before["_block"], *[rows[p].eqNullSafe(before[p]) for p in partition]]
+        joined = rows.join(before, on, "left").select(*[rows[c] for c in rows.columns], "_bes", "_bcs")
+    placed = joined.repartition(*partition, "_block").sortWithinPartitions(*partition, "_block", "_i")
+    found = placed.mapInPandas(walk, f"{keys}_c {kinds['_c']}, _s long, prev {kinds['_c']}, rank long, _pe long")
+    near = F.timestamp_micros("_s") - F.timestamp_micros("_pe") <= F.expr(within)
+    return found.where((F.col("rank") <= always) | near).select(*partition, F.col("_c").alias(chunk), "prev", "rank")
 
 
 def lookback_sorted(chunks: DataFrame, chunk: str, start: str, end: str, partition: Sequence[str], most: int = 10, always: int = 1, within: str = "INTERVAL 7 DAYS") -> DataFrame:
