@@ -764,6 +764,31 @@ def test_contain_compares_what_it_finds(spark):
     assert sorted(map(tuple, still)) == sorted((a, b) for a, b in want if r[b][2] == r[b][3])
 
 
+def test_short_change_points_are_the_same():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 6, 40, 99):
+        x = np.sort(rng.choice([rng.random(n) * 700, rng.integers(0, 9, n) * 50.0], (20, 1))[:, 0] if n > 1 else rng.random((20, 1)), axis=1)
+        x[3] = 7.0
+        assert sequences.short_change_points(x) == [sequences.change_points(row) for row in x]
+
+
+def test_change_point_sessions_many_users(spark, monkeypatch):
+    """Users come in batches of any size, null is one of them, and long ones are searched alone: no group is formed for each."""
+    rng = np.random.default_rng(8)
+    rows = [(None if u == 3 else u, k, at(0, seconds=int(t))) for u in range(30) for k, t in enumerate(np.sort(rng.integers(0, 10**6, rng.integers(1, 60))))]
+    df = spark.createDataFrame(rows, "u long, k long, ts timestamp")
+    monkeypatch.setattr(sequences, "TOGETHER", 100)
+    monkeypatch.setattr(sequences, "SHORT", 40)
+    out = sequences.change_point_sessions(df, ["u"], "k", "ts")
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["k"]):
+        got.setdefault(r["u"], []).append(r["session"])
+    for u in range(30):
+        x = np.array([r[2].timestamp() / 3600 for r in rows if r[0] == (None if u == 3 else u)])
+        assert got[None if u == 3 else u] == np.searchsorted(sequences.change_points(x), np.arange(len(x)), side="right").tolist()
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lookback_forms_no_group_a_user(spark):
     chunks = spark.createDataFrame([(u, k, at(k), at(k)) for u in range(5) for k in range(4)], "u long, chunk_id int, start_dt timestamp, end_dt timestamp")
     out = sequences.lookback(chunks, partition=["u"])

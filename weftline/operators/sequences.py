@@ -19,6 +19,8 @@ from ..functions.text import repeated_content
 LOOK_BLOCK = 20_000
 #: Chunks that one task cuts in rechunk.
 RECHUNK_BLOCK = 20_000
+#: Conversations of at most so many rows are searched for change points together, of one length at a time, in arrays of at most so many numbers; so many rows are taken at once.
+SHORT, SHORT_CELLS, TOGETHER = 512, 1 << 21, 100_000
 
 
 def with_row_index(df: DataFrame, *order: str | Column, name: str = "index", partition: Sequence[str] = ()) -> DataFrame:
@@ -325,13 +327,77 @@ def change_points(values: np.ndarray, least: int = 3, penalty: float | None = No
     return ends[::-1]
 
 
+def short_change_points(x: np.ndarray, least: int = 3) -> list[list[int]]:
+    """change_points of each row of x, all at once: the same search, with the starts that are ruled out as a mask."""
+    count, n = x.shape
+    if n < 2 * least:
+        return [[n]] * count
+    v = np.sort(x, axis=1)
+    v = v - v[:, :1]
+    i, j = np.triu_indices(n, 1)
+    gaps_, pairs = v[:, j] - v[:, i], n * (n - 1) // 2
+    mid = [(pairs + 1) // 2 - 1, pairs // 2]
+    m = (np.partition(gaps_, mid, axis=1)[:, mid] ** 2).sum(1) / 2
+    gamma, own, beta = np.where(m > 0, 1 / np.where(m > 0, m, 1), 1.0)[:, None], np.exp(-1e-2), np.log(n)
+    best, last, sums, alive = np.full((count, n + 1), np.inf), np.zeros((count, n + 1), dtype=int), np.zeros((count, n + 1)), np.zeros((count, n + 1), dtype=bool)
+    best[:, 0], alive[:, 0] = -beta, True
+    for b in range(1, n + 1):
+        row = np.exp(-np.clip((x[:, :b] - x[:, b - 1 : b]) ** 2 * gamma, 1e-2, 1e2))
+        sums[:, :b] += 2 * np.cumsum(row[:, ::-1], axis=1)[:, ::-1] - own
+        if b >= least:
+            a = np.arange(b - least + 1)
+            total = np.where(alive[:, : len(a)], best[:, : len(a)] + (b - a) * own - sums[:, : len(a)] / (b - a), np.inf)
+            last[:, b] = total.argmin(1)
+            best[:, b] = total[np.arange(count), last[:, b]] + beta
+            alive[:, : len(a)] &= total <= best[:, b, None]
+            alive[:, b] = True
+    out = []
+    for row in last.tolist():
+        ends, b = [], n
+        while b > 0:
+            ends.append(b)
+            b = row[b]
+        out.append(ends[::-1])
+    return out
+
+
 def change_point_sessions(df: DataFrame, partition: Sequence[str], order: str, time: str, least: int = 3) -> DataFrame:
-    """Sessions between change points of the time of rows, for one conversation a task, in memory linear in its rows."""
+    """Sessions between change points of the time of rows, in memory linear in a conversation's rows. Short conversations of one length are searched together."""
     schema = df.withColumn("session", F.lit(0).cast("long")).schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        ends = change_points(pdf[time].astype("int64").to_numpy() / 1e9 / 3600, least)
-        return pdf.assign(session=np.searchsorted(ends, np.arange(len(pdf)), side="right"))
-
-    return df.groupBy(*partition).applyInPandas(run, schema)
+    def told(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        x, sizes = pdf[time].astype("int64").to_numpy() / 1e9 / 3600, np.diff(np.append(starts, len(pdf)))
+        session = np.zeros(len(pdf), dtype=np.int64)
+        for n in np.unique(sizes):
+            at = starts[sizes == n]
+            step = max(1, SHORT_CELLS // int(n * n)) if n <= SHORT else 1
+            for k in range(0, len(at), step):
+                rows = at[k : k + step, None] + np.arange(n)
+                for places, ends in zip(rows, short_change_points(x[rows], least) if n <= SHORT else [change_points(x[rows[0]], least)], strict=True):
+                    session[places] = np.searchsorted(ends, np.arange(n), side="right")
+        return pdf.assign(session=session)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size < TOGETHER:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            starts = begins(rows)
+            if starts[-1]:  # the last conversation may go on
+                yield told(rows.iloc[: starts[-1]], starts[:-1])
+            held, size = [rows.iloc[starts[-1] :]], 0
+        if held and len(rows := pd.concat(held, ignore_index=True)):
+            yield told(rows, begins(rows))
+
+    def begins(rows: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(rows), dtype=bool)
+        new[0] = True
+        for c in partition:
+            now, was = rows[c], rows[c].shift()
+            new |= ((now != was) & ~(now.isna() & was.isna())).to_numpy()
+        return np.flatnonzero(new)
+
+    return df.repartition(*partition).sortWithinPartitions(*partition, order).mapInPandas(run, schema)
