@@ -747,6 +747,7 @@ def test_graphml_in_many_blocks(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="ParseError|no element found"):
         readers.read_graphml(spark, f"file://{tmp_path}/cut.graphml")[0].collect()
 
+
 def test_contain_compares_what_it_finds(spark):
     """Slots and equality find what comparing all does, with ranges of no length, backward ones, nulls and ends that touch."""
     from weftline.operators import relational
@@ -793,3 +794,8 @@ def test_lookback_forms_no_group_a_user(spark):
     chunks = spark.createDataFrame([(u, k, at(k), at(k)) for u in range(5) for k in range(4)], "u long, chunk_id int, start_dt timestamp, end_dt timestamp")
     out = sequences.lookback(chunks, partition=["u"])
     assert out.count() == 30 and "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compression_ratio_takes_few_texts_at_once(spark):
+    out = spark.range(1).select(vector_search.compression_ratio(F.lit("a" * 100)).alias("r"))
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString() and one(out) > 1

@@ -136,11 +136,12 @@ def cluster(df: DataFrame, id_col: str, vector: str, clusters: int = 20) -> Data
 def compression_ratio(text: Column) -> Column:
     """Bytes of a text over those of its gzip form."""
 
-    @F.pandas_udf("double")
-    def ratio(texts: pd.Series) -> pd.Series:
+    @F.udf("double", useArrow=False)  # a hundred texts at a time, where an Arrow batch would be of thousands, of any length
+    def ratio(said: str | None) -> float | None:
         import gzip
 
-        return texts.map(lambda t: len(t.encode()) / len(gzip.compress(t.encode(), mtime=0)) if t else None)
+        data = said.encode() if said else b""
+        return len(data) / len(gzip.compress(data, mtime=0)) if data else None
 
     return ratio(text)
 
