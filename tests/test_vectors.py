@@ -45,6 +45,28 @@ def test_longer_vectors_and_odd_rows(spark):
     assert similar_pairs(rows.limit(0), "id", "v", 0.5).count() == 0
 
 
+@pytest.mark.parametrize("k", [None, 3])
+def test_rows_travel_a_bounded_number_of_times(spark, monkeypatch, k):
+    """What is dealt grows with the rows, not with the cells they visit; cells larger than a block are cut."""
+    monkeypatch.setattr(similarity_join, "TILE", 40)
+    monkeypatch.setattr(similarity_join, "GRID", 4)
+    monkeypatch.setattr(similarity_join, "BLOCK", 150)
+    x = np.random.default_rng(2).normal(size=(600, 8))
+    x[:200] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = similarity_join.threshold_pairs(frame(spark, x).cache(), 0.3, k=k, pivots=60)
+    sim = np.array([(x * row).sum(1) for row in x])
+    got = out.collect()
+    pairs = {(r.i, r.j) for r in got}
+    assert len(got) == len(pairs)
+    if k is None:
+        assert pairs == set(zip(*(t.tolist() for t in np.nonzero(sim >= 0.3)), strict=True))
+    else:
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        assert all((i, int(j)) in pairs for i in range(600) for j in best[i] if sim[i, j] >= 0.3)
+    assert similarity_join.block_rows(600) == 150 and similarity_join.block_rows(10**6) == 150
+
+
 def test_compared_pairs_fall_with_the_threshold(spark):
     x = clustered(4000, 16, 60)
     rows = frame(spark, x / np.linalg.norm(x, axis=1, keepdims=True)).cache()

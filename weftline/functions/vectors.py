@@ -15,9 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """a at length 1; a zero vector stays as it is."""
+    """a at length 1; a zero vector stays as it is. The length is taken once a row, not for each component."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(a.cast("array<double>"))
+    return F.when(n > 0, F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, m: x.cast("double") / m)).otherwise(a.cast("array<double>"))
 
 
 def cosine(a: Column, b: Column) -> Column:
