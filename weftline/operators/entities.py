@@ -88,11 +88,12 @@ def relabel_relations(df: DataFrame, mapping: DataFrame, key: str, label: str, r
 
 def groups(df: DataFrame, label: str, vector: str, threshold: float, k: int | None = 30) -> DataFrame:
     """(label, representative): labels that chains of similar rows join, by their smallest label. Equal labels are one to begin with."""
-    rows = df.select(F.col(label).alias("label"), F.col(vector).alias("v")).withColumn("_row", F.monotonically_increasing_id())
-    named = rows.select(F.struct("label", "_row").alias("id"), "v")
-    links = similar_pairs(named, "id", "v", threshold, k).select(F.col("i.label").alias("src"), F.col("j.label").alias("dst")).distinct()
-    found = components(links, "entities").select(F.col("id").alias("label"), F.col("component").alias("representative"))
-    return df.select(F.col(label).alias("label")).distinct().join(found, "label", "left").select("label", F.coalesce("representative", "label").alias("representative"))
+    rows = cut(df.select(F.col(label).alias("label"), F.col(vector).alias("v")).withColumn("id", F.monotonically_increasing_id()), "entity-vectors")
+    links = similar_pairs(rows.select("id", "v"), "id", "v", threshold, k).where("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    same = rows.groupBy("label").agg(F.min("id").alias("src")).join(rows.select("label", F.col("id").alias("dst")), "label").where("src <> dst").select("src", "dst")
+    found = rows.select("label", "id").join(components(links.unionByName(same), "entities"), "id", "left").select("label", F.coalesce("component", "id").alias("component"))
+    least = found.groupBy("component").agg(F.min("label").alias("representative"))
+    return found.select("label", "component").distinct().join(least, "component").select("label", "representative")
 
 
 def rewrite_edges(relations: DataFrame, mapping: DataFrame) -> DataFrame:
