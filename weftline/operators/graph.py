@@ -209,11 +209,11 @@ def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of the nodes that edges(src, dst) touch: the smallest id reachable, in any direction.
 
-    Edges of a task first become stars. Then rounds of hooking: every node takes the smallest label among its neighbours, then labels take their own label's label, so
+    Edges of a task first become stars, before anything is shuffled, so repeats do no harm. Then rounds of hooking: every node takes the smallest label among its neighbours, then labels take their own label's label, so
     chains halve each round. Labels are a table every round.
     """
     kind = dict(edges.dtypes)["src"]
-    stars = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().mapInPandas(forest, f"src {kind}, dst {kind}")
+    stars = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).mapInPandas(forest, f"src {kind}, dst {kind}")
     stars = cut(stars, f"{name}-stars")
     e = cut(stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{name}-edges")
     label = cut(e.groupBy("src").agg(F.least(F.min("dst"), F.min("src")).alias("component")).withColumnRenamed("src", "id"), f"{name}-0")
