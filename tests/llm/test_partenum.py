@@ -106,3 +106,25 @@ def test_repeated_and_null_ids(spark):
     got = partenum.ngram_join(table(spark, rows)).collect()
     assert sorted([(r["doc_id"], r["component_id"]) for r in got], key=str) == [(7, 7), (7, 7), (7, 7), (8, 7), (None, None)]
     assert partenum.ngram_join(table(spark, rows).limit(0)).count() == 0
+
+
+def test_signatures_are_shuffled_once(spark, monkeypatch):
+    """Only buckets of more than FEW members are looked up among all signatures again; no link is lost in those, in small ones and where an id repeats."""
+    near = lambda k, i: " ".join(f"g{k}x{j}" for j in range(60)) + f" t{k}x{i}"
+    rows = [(1000 * k + i, near(k, i)) for k, n in enumerate([1, 2, 3, 5, set_links.FEW, set_links.FEW + 1, 40]) for i in range(n)]
+    rows += [(2002, near(2, 7)), (5001, near(5, 1)), (4000, near(3, 9))]
+    looked_up, join_sized = [], set_links.join_sized
+
+    def seen(left, right, on, how, **more):
+        if on == ["bucket"] and sorted(left.columns) == ["bucket", "id"] and "id" not in right.columns:
+            looked_up.append((left, right))
+        return join_sized(left, right, on, how, **more)
+
+    monkeypatch.setattr(set_links, "join_sized", seen)
+    got = {(r.doc_id, r.component_id) for r in partenum.ngram_join(table(spark, rows)).collect()}
+    (left, right), *_ = [x for x in looked_up if "lo" in x[1].columns]
+    held = {r.bucket: r.n for r in left.join(right.select("bucket"), "bucket").groupBy("bucket").agg({"*": "count"}).toDF("bucket", "n").collect()}
+    assert held and min(held.values()) > set_links.FEW
+    plan = set_links.first_members(left)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange hashpartitioning") == 1  # one of the limits is before the shuffle
+    assert got == {(i, 3000 if i // 1000 == 4 else i // 1000 * 1000) for i, _ in rows}  # id 4000 has texts of two groups

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, cut, enter, join_sized, ship
@@ -88,17 +89,30 @@ def sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
 
 
+def first_members(named: DataFrame) -> DataFrame:
+    """(bucket, id, lo, hi, n) of the first FEW + 1 members, by id, of each bucket of named(bucket, id) that can hold two: all of them where n, at most FEW + 1, is no more than FEW.
+
+    The limit holds in each task before the shuffle too, so a bucket of any size puts no more than that in from a task, and what has a bucket for itself is shuffled once.
+    """
+    by = W.partitionBy("bucket")
+    few = named.select("bucket", "id").withColumn("r", F.row_number().over(by.orderBy("id"))).where(F.col("r") <= FEW + 1)
+    few = few.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).withColumn("n", F.count("*").over(by))
+    return few.where(f"lo < hi OR n > {FEW}").select("bucket", "id", "lo", "hi", "n").distinct()
+
+
 def component_ids(rows: DataFrame, named: DataFrame, sizes: DataFrame, percent: int, words: int, enough: str | None = None) -> DataFrame:
     """(id, component) of those that links touch, for rows(id, text) in buckets named(bucket, id) and their sizes(id, size, ..), all of them tables.
 
-    1. Buckets of more than FEW members are stars around their smallest id. 2. In buckets that hold several components what is outside the
+    0. Buckets are grouped once, in one shuffle of `named`; only those of more than FEW members are looked up in it again. 1. Those are stars around their smallest id. 2. In buckets that hold several components what is outside the
     largest one (at most FEW members) meets all, a pair once however many buckets it shares. `enough` is a condition that a
     pair alike enough meets, on the number `met` of buckets that it shares and the columns of sizes with _a and _b behind them. 3. Where more is outside,
     tasks of two blocks compare sets and put out at most a link for each join; a pair that such a bucket
     holds needs no other. So near copies by the thousand never become pairs, and no candidate is left out.
     """
-    full = cut(named.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
-    members = cut(join_sized(named, full.where("n > 2").select("bucket", "lo", "n"), ["bucket"], "inner").distinct(), "members")
+    met = cut(first_members(named), "met")
+    hot = cut(met.where(f"n > {FEW}").select("bucket", "lo", "n").distinct(), "hot-buckets")
+    few = met.where(f"n BETWEEN 3 AND {FEW}").select("bucket", "id", "lo", "n")
+    members = cut(few.unionByName(join_sized(named, hot, ["bucket"], "inner").select("bucket", "id", "lo", "n").distinct()), "members")
     stars = members.where(f"n > {FEW} AND id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     stars = cut(sized(stars, sizes, percent).select("a", "b").distinct(), "stars")
     first = confirmed(rows, stars, percent, words, "star")
@@ -119,7 +133,7 @@ def component_ids(rows: DataFrame, named: DataFrame, sizes: DataFrame, percent:
     here = join_sized(at, left.where(f"outside <= {FEW}").select("bucket", "big", "times"), ["bucket"], "inner")
     out = here.where("component <> big").select("bucket", F.col("id").alias("other"), F.col("component").alias("apart"))
     out = here.join(out, "bucket").where("component <> apart AND (component = big OR id < other)")
-    pairs = out.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "times").unionByName(full.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(1).cast("long").alias("times")))
+    pairs = out.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "times").unionByName(met.where("n = 2 AND id = lo").select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(1).cast("long").alias("times")))
     pairs = sized(pairs.groupBy("a", "b").agg(F.sum("times").alias("met")), sizes, percent)
     pairs = (pairs.where(enough) if enough else pairs).select("a", "b").distinct()
     pairs = cut(join_sized(pairs, stars, ["a", "b"], "left_anti"), "pairs")
