@@ -226,6 +226,26 @@ def test_prefix_neighbours(spark):
     assert vector_search.prefix_neighbours(df, "id", "e", ["o"], 20, 0.7).where("id = 0").count() == 0
 
 
+@pytest.mark.parametrize(("kind", "above"), [("float", 0.3), ("double", -0.5)])
+def test_prefix_neighbours_by_blocks(spark, monkeypatch, kind, above):
+    """Many blocks find what comparing all with all earlier ones does, in order of ties, with copies, nulls and vectors that are not finite; a row travels no more than once to each block, and once to each stretch."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(-3, 4, (300, 8)).astype(float)
+    x[40:90], x[120], x[130], x[140, 3] = x[7], 0, np.inf, np.nan
+    rows = [(500 - k, k, None if k == 150 else x[k].tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, f"id long, o int, e array<{kind}>")
+    ordered = df.select("id", F.col("e").alias("v"), (F.col("o") + 1).cast("long").alias("ord"))
+    got = vector_search.nearest_earlier(ordered, 5, above, 16).collect()
+    want = set()
+    for a in range(300):
+        if a not in (130, 140, 150):
+            seen = sorted((-float(x[a] @ x[b]), b) for b in range(a) if b not in (130, 140, 150))[:5]
+            want |= {(500 - a, a + 1, 500 - b, b + 1, -s) for s, b in seen if -s > above}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    monkeypatch.setattr(vector_search, "block_rows", lambda n: 32)
+    assert {(r.id, r.prev, r.sim) for r in vector_search.prefix_neighbours(df, "id", "e", ["o"], 5, above).where("sim <> 0").collect()} == {(w[0], w[2], w[4]) for w in want if w[4]}
+
+
 def test_vectors(spark):
     f = lambda c: one(spark.range(1).select(c))
     a, z = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(0.0), F.lit(0.0))
