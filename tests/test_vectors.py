@@ -204,3 +204,40 @@ def test_ward_ties(spark, monkeypatch):
     got = groups_of({r.id: r.cluster_label for r in ward.ward_clusters(rows, 16).collect()})
     assert got == {frozenset(k for k in range(64) if k % 16 == g) for g in range(16)}
     assert ward.ward_clusters(rows.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("far", [0.0, 1000.0])
+def test_ward_close_pairs(far):
+    """Single precision leaves few pairs to measure, the nearest among them; sizes differ, and a cluster is not its own neighbour."""
+    from weftline.operators import ward
+
+    rng = np.random.default_rng(3)
+    y, ny = rng.standard_normal((400, 16)) + far, np.sort(rng.integers(1, 9, 400)).astype(float)
+    y[7], y[300] = y[6], y[20]
+    same = np.arange(100, 400, 5)
+    same[:3] = -1
+    x, nx = y[100:400:5], ny[100:400:5]
+    d = ward.rise(x[:, None], nx[:, None], y[None], ny[None])
+    d[np.arange(60)[3:], same[3:]] = np.inf
+    middle = y.mean(0)
+    for kind in (np.float32, np.float64):
+        r, k = ward.close_pairs(x - middle, nx, y - middle, ny, same, kind)
+        assert len(r) < 80 and {(a, b) for a, b in zip(*np.nonzero(d == d.min(1)[:, None]))} <= set(zip(r, k))
+    assert ward.block_size(100_000) > 8192 and -(-600_000 // ward.block_size(600_000)) < 20  # a cluster travels to few
+
+
+def test_ward_ends_in_a_task(spark, monkeypatch):
+    """Some thousand clusters need no rounds, of which each would merge a few in a hundred; chains by products merge what plain differences do."""
+    from weftline.operators import ward
+
+    x = np.random.default_rng(2).standard_normal((2500, 8))
+    n = np.random.default_rng(4).integers(1, 5, 120).astype(float)
+    held, want = {k: (x[k], n[k]) for k in range(120)}, set()
+    while len(held) > 1:
+        d, a, b = min((float(ward.rise(*held[a], *held[b])), a, b) for a in held for b in held if a < b)
+        want.add((round(d, 9), a, b))
+        (c, i), (e, j) = held[a], held.pop(b)
+        held[a] = ((c * i + e * j) / (i + j), i + j)
+    assert {(round(d, 9), a, b) for d, a, b in ward.merge_all(x[:120], n)} == want
+    monkeypatch.setattr(ward, "nearest", lambda *a: pytest.fail("a round"))
+    assert len(set(r.cluster_label for r in ward.ward_clusters(frame(spark, x), 25).collect())) == 25

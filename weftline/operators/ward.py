@@ -18,14 +18,10 @@ from ..sources.tables import cut
 from .graph import components
 from .similarity_join import matrix
 
-#: Clusters of a block of the search for neighbours, those of it that are compared at once, and clusters that one task merges to the end.
-BLOCK, TILE, LAST = 8192, 512, 2048
-
-
-def distances(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """The rise of the sum of squares where clusters of centres x, y and sizes nx, ny are merged."""
-    d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-    return d * (nx[:, None] * ny[None] / (nx[:, None] + ny[None]))
+#: Most clusters of a block of the search for neighbours, blocks of a table where they hold so few, the least of these, clusters that are compared at once, and clusters that one task merges to the end.
+BLOCK, GRID, SMALL, TILE, LAST = 32_768, 4, 4096, 512, 16_384
+#: Pairs that are measured at once.
+PAIRS = 1 << 16
 
 
 def rise(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -33,54 +29,100 @@ def rise(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.nda
 
 
 def merge_all(centres: np.ndarray, sizes: np.ndarray) -> list[tuple[float, int, int]]:
-    """(height, a, b) of all merges of clusters, by chains of nearest neighbours; of a merge the smaller number stays."""
-    centre, size, alive = centres.astype(float).copy(), sizes.astype(float).copy(), np.ones(len(sizes), dtype=bool)
+    """(height, a, b) of all merges of clusters, by chains of nearest neighbours; of a merge the smaller number stays.
+
+    One product a step finds what is near, the differences decide; whenever half of the clusters are gone, the rest move together.
+    """
+    centre, size = centres.astype(float) - centres.mean(0), sizes.astype(float).copy()
+    square, alive, name = (centre * centre).sum(1), np.ones(len(sizes), dtype=bool), np.arange(len(sizes))
     merges, chain = [], []
-    for _ in range(len(sizes) - 1):
+    for left in range(len(sizes), 1, -1):
+        if 2 * left <= len(alive) and len(alive) > 64:
+            kept = np.flatnonzero(alive)
+            chain = np.searchsorted(kept, chain).tolist()
+            centre, size, square, alive, name = centre[kept], size[kept], square[kept], alive[kept], name[kept]
         if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
+            chain = [int(alive.argmax())]
         while True:
             a = chain[-1]
-            d = rise(centre, size, centre[a], size[a])
+            d = np.maximum(square + square[a] - 2 * (centre @ centre[a]), 0) * (size * size[a] / (size + size[a]))
             d[~alive] = np.inf
             d[a] = np.inf
-            b = int(d.argmin())
-            if len(chain) > 1 and d[chain[-2]] <= d[b]:
-                b = chain[-2]
+            near = np.flatnonzero(d <= d.min() + 1e-9 * (1 + d.min()))
+            exact = rise(centre[near], size[near], centre[a], size[a])
+            b, height = int(near[exact.argmin()]), float(exact.min())
+            if len(chain) > 1 and (back := float(rise(centre[chain[-2]], size[chain[-2]], centre[a], size[a]))) <= height:
+                b, height = chain[-2], back
                 break
             chain.append(b)
         chain = chain[:-2]
-        merges.append((float(d[b]), min(a, b), max(a, b)))
         lo, hi = min(a, b), max(a, b)
+        merges.append((height, int(name[lo]), int(name[hi])))
         centre[lo] = (centre[lo] * size[lo] + centre[hi] * size[hi]) / (size[lo] + size[hi])
+        square[lo] = (centre[lo] ** 2).sum()
         size[lo] += size[hi]
         alive[hi] = False
     return merges
 
 
+def block_size(n: int) -> int:
+    """Clusters of a block of n: a GRID-th of them, so a cluster travels GRID times whatever n is, until blocks would outgrow a task."""
+    return min(BLOCK, max(SMALL, -(-n // GRID)))
+
+
+def close_pairs(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, same: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y) that can be nearest, as far as products in numbers of this kind can tell: all nearest ones are among them. y is sorted by ny; same: a row's own place in y, or -1.
+
+    Where sizes ny are equal the distance grows with |y|^2 - 2xy, so a product with one more column is all that large arrays need.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(ny) != 0]))
+    ends, xx, yy = [*starts[1:], len(ny)], (x * x).sum(1), (y * y).sum(1)
+    slack = 4 * (x.shape[1] + 8) * np.finfo(kind).eps * (np.sqrt(xx) + np.sqrt(yy.max())) ** 2
+    g = np.hstack([x, np.ones((len(x), 1))]).astype(kind) @ np.hstack([-2 * y, yy[:, None]]).astype(kind).T
+    own = np.flatnonzero(same >= 0)
+    g[own, same[own]] = np.inf
+    weight = nx[:, None] * ny[starts][None] / (nx[:, None] + ny[starts][None])
+    least = np.stack([g[:, s:e].min(1) for s, e in zip(starts, ends, strict=True)], axis=1).astype(float)
+    best = (weight * np.maximum(xx[:, None] + least + slack[:, None], 0)).min(1)[:, None]
+    bound = (best + 1e-9 * (1 + best)) / weight - xx[:, None] + slack[:, None]
+    bound[least > bound] = -np.inf
+    rows, places = [], []
+    for c, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        if np.isfinite(bound[:, c]).any():
+            # a bound is rounded up to this kind
+            r, k = np.divmod(np.flatnonzero(g[:, s:e] <= np.nextafter(bound[:, c].astype(kind), kind(np.inf))[:, None]), e - s)
+            rows.append(r)
+            places.append(k + s)
+    r, k = (np.concatenate(t) if t else np.zeros(0, dtype=np.int64) for t in (rows, places))
+    other = same[r] != k
+    return r[other], k[other]
+
+
 def nearest(asking: DataFrame, clusters: DataFrame, kind: str) -> DataFrame:
     """(id, to, d): the nearest other cluster of each of asking(id, n, c), of equals the pair with the smaller ids."""
-    many, all_ = (max(1, -(-t.count() // BLOCK)) for t in (asking, clusters))
-    a = asking.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(all_ - 1))))
-    b = clusters.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(all_)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    counts = asking.count(), clusters.count()
+    many, all_ = (max(1, -(-n // block_size(n))) for n in counts)
+    tasks = min(2 * many * all_, 4096)
+    a = asking.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(all_ - 1)))).repartition(tasks, "a", "b")
+    b = clusters.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(all_)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).repartition(tasks, "a", "b")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"id": [], "to": [], "d": []})]
         if len(left) and len(right):
-            right = right.sort_values("id", ignore_index=True)
+            right = right.sort_values(["n", "id"], ignore_index=True)
             y, ny, to = matrix(right["c"]), right["n"].to_numpy(float), right["id"].to_numpy()
+            middle, by_id = y.mean(0), np.argsort(to, kind="stable")
+            far = y - middle
             for at in range(0, len(left), TILE):
                 part = left.iloc[at : at + TILE]
                 x, nx, ids = matrix(part["c"]), part["n"].to_numpy(float), part["id"].to_numpy()
-                d = distances(x, nx, y, ny)
-                same = np.searchsorted(to, ids)
-                inside = (same < len(to)) & (to[np.minimum(same, len(to) - 1)] == ids)
-                d[np.flatnonzero(inside), same[inside]] = np.inf
+                place = by_id[np.minimum(np.searchsorted(to, ids, sorter=by_id), len(to) - 1)]
+                same = np.where(to[place] == ids, place, -1)
+                r, k = close_pairs(x - middle, nx, far, ny, same, np.float32)
+                if len(r) > 16 * len(ids):
+                    r, k = close_pairs(x - middle, nx, far, ny, same, np.float64)
                 # what rounding can't tell apart is measured again, from the differences
-                close = d <= d.min(1)[:, None] + 1e-9 * (1 + d.min(1)[:, None])
-                close &= np.isfinite(d)
-                r, k = np.nonzero(close)
-                exact = rise(x[r], nx[r], y[k], ny[k])
+                exact = np.concatenate([np.zeros(0), *[rise(x[r[s : s + PAIRS]], nx[r[s : s + PAIRS]], y[k[s : s + PAIRS]], ny[k[s : s + PAIRS]]) for s in range(0, len(r), PAIRS)]])
                 found = pd.DataFrame({"id": ids[r], "to": to[k], "d": exact}).assign(lo=lambda f: f[["id", "to"]].min(axis=1), hi=lambda f: f[["id", "to"]].max(axis=1))
                 out.append(found.sort_values(["d", "lo", "hi"]).drop_duplicates("id")[["id", "to", "d"]])
         return pd.concat(out[1:] or out, ignore_index=True)
