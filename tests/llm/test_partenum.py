@@ -128,3 +128,32 @@ def test_signatures_are_shuffled_once(spark, monkeypatch):
     plan = set_links.first_members(left)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange hashpartitioning") == 1  # one of the limits is before the shuffle
     assert got == {(i, 3000 if i // 1000 == 4 else i // 1000 * 1000) for i, _ in rows}  # id 4000 has texts of two groups
+
+
+@pytest.mark.parametrize("block", [1024, 25])
+def test_sets_travel_once_for_buckets_of_the_same_copies(spark, monkeypatch, block):
+    """Copies too far apart to link share many buckets, each with other members; what is compared is as few rows as there are copies, and the links among them are found."""
+    monkeypatch.setattr(set_links, "BLOCK", block)
+    rng, rows = random.Random(3), []
+    for k in range(80):
+        w = [f"w{j}" for j in range(120)]
+        for at in rng.sample(range(120), 5):
+            w[at] = f"x{k}y{at}"
+        rows.append((k + 1, " ".join(w)))
+        if k % 10 == 0:
+            rows.append((k + 1001, " ".join([*w[:-1], "end"])))
+    held, cut = {}, set_links.cut
+    monkeypatch.setattr(set_links, "cut", lambda df, name: held.setdefault(name, cut(df, name)))
+    got = {tuple(r) for r in partenum.ngram_join(table(spark, rows)).collect()}
+    assert got == model(rows) and len({r[2] for r in got}) > 60
+    compared = held["blocks"]
+    per_id = compared.groupBy("id").count().agg({"count": "avg"}).first()[0]
+    assert compared.count() and per_id <= (4 if block == 1024 else 16)
+
+
+def test_buckets_are_merged_where_that_compares_no_more(spark):
+    same = [(b, i, 5, 1 if i < 4 else i, 1) for b in (10, 11) for i in range(30) if i != 10 + b]  # nearly the same members
+    other = [(b, 1000 * b + i, 5, 2 if i < 4 else 1000 * b + i, 2) for b in (20, 21) for i in range(30)]  # none in common
+    rest = spark.createDataFrame(same + other, "bucket long, id long, size long, component long, big long")
+    got = {(r.merged, r.bucket, r.id) for r in set_links.merged_buckets(rest).collect()}
+    assert got == {(True, 1, i) for i in range(30)} | {(False, b, i) for b, i, *_ in other}

@@ -100,12 +100,39 @@ def first_members(named: DataFrame) -> DataFrame:
     return few.where(f"lo < hi OR n > {FEW}").select("bucket", "id", "lo", "hi", "n").distinct()
 
 
+def merged_buckets(rest: DataFrame) -> DataFrame:
+    """rest(bucket, id, size, component, big), a table, with `merged`: buckets around one largest component `big` are one (named big, each member once) where that compares no more pairs than they do apart.
+
+    Near copies share most of their buckets but seldom all members of one, so their sets would travel once for each bucket.
+    """
+    pairs = (F.count("*") * F.count_if(F.col("component") != F.col("big")).cast("double")).alias("pairs")
+    once = cut(rest.drop("bucket").distinct(), "members-once")
+    apart = rest.groupBy("big", "bucket").agg(pairs).groupBy("big").agg(F.sum("pairs").alias("apart"))
+    chosen = cut(once.groupBy("big").agg(pairs).join(apart, "big").where("pairs <= apart").select("big"), "merged")
+    met = join_sized(once, chosen, ["big"], "inner").select(F.col("big").alias("bucket"), "id", "size", "component", "big", F.lit(True).alias("merged"))
+    return met.unionByName(join_sized(rest, chosen, ["big"], "left_anti").withColumn("merged", F.lit(False)))
+
+
+def in_blocks(rest: DataFrame) -> DataFrame:
+    """(bucket, merged, i, j, id, component): members of rest, as merged_buckets gives it, in each pair of blocks of their bucket that a task compares.
+
+    Blocks of the members outside the bucket's largest component meet each other and its blocks; those never meet each other, and as there is one at least, no block need be alone.
+    """
+    rest = cut(rest.withColumn("inside", F.col("component") == F.col("big")), "members-placed")
+    blocks = lambda part: F.greatest(F.ceil(F.count_if(part) / F.lit(float(BLOCK))), F.ceil(F.sum(F.when(part, F.col("size"))) / F.lit(float(BLOCK_FEATURES)))).cast("int")
+    counts = cut(rest.groupBy("bucket", "merged").agg(blocks(~F.col("inside")).alias("few"), blocks(F.col("inside")).alias("many")), "block-counts")
+    rest = join_sized(rest, counts, ["bucket", "merged"], "inner")
+    rest = rest.withColumn("own", F.when(F.col("inside"), F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("many"))))).where("own <> other")
+    return rest.select("bucket", "merged", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component")
+
+
 def component_ids(rows: DataFrame, named: DataFrame, sizes: DataFrame, percent: int, words: int, enough: str | None = None) -> DataFrame:
     """(id, component) of those that links touch, for rows(id, text) in buckets named(bucket, id) and their sizes(id, size, ..), all of them tables.
 
     0. Buckets are grouped once, in one shuffle of `named`; only those of more than FEW members are looked up in it again. 1. Those are stars around their smallest id. 2. In buckets that hold several components what is outside the
     largest one (at most FEW members) meets all, a pair once however many buckets it shares. `enough` is a condition that a
-    pair alike enough meets, on the number `met` of buckets that it shares and the columns of sizes with _a and _b behind them. 3. Where more is outside,
+    pair alike enough meets, on the number `met` of buckets that it shares and the columns of sizes with _a and _b behind them. 3. Where more is outside, buckets with much in common are one, and
     tasks of two blocks compare sets and put out at most a link for each join; a pair that such a bucket
     holds needs no other. So near copies by the thousand never become pairs, and no candidate is left out.
     """
@@ -121,14 +148,11 @@ def component_ids(rows: DataFrame, named: DataFrame, sizes: DataFrame, percent:
     plain = sizes.groupBy("id").agg(F.max("size").alias("size"))
     at = join_sized(join_sized(members.select("bucket", "id"), plain, ["id"], "inner"), found, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     at = cut(at, "placed")
-    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-    left = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "size")).alias("big"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("who").alias("who")).where("parts > 1")
+    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+    left = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("n"), F.sum("who").alias("who")).where("parts > 1")
     # buckets with the same members count once, as often as there are
-    left = left.groupBy("n", "who").agg(F.min(F.struct("bucket", "big", "size")).alias("b"), F.count("*").alias("times"))
-    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(float(BLOCK))), F.ceil(size / F.lit(float(BLOCK_FEATURES)))).cast("int")
-    b, outside = F.col("b"), F.col("n") - F.col("b.big.n")
-    left = left.select(b["bucket"].alias("bucket"), b["big"]["component"].alias("big"), outside.alias("outside"), "times", blocks(outside, b["size"] - b["big"]["size"]).alias("few"), blocks(b["big"]["n"], b["big"]["size"]).alias("many"))
-    left = cut(left, "open-buckets")
+    left = left.groupBy("n", "who").agg(F.min(F.struct("bucket", "big")).alias("b"), F.count("*").alias("times"))
+    left = cut(left.select("b.bucket", F.col("b.big.component").alias("big"), (F.col("n") - F.col("b.big.n")).alias("outside"), "times"), "open-buckets")
 
     here = join_sized(at, left.where(f"outside <= {FEW}").select("bucket", "big", "times"), ["bucket"], "inner")
     out = here.where("component <> big").select("bucket", F.col("id").alias("other"), F.col("component").alias("apart"))
@@ -139,12 +163,9 @@ def component_ids(rows: DataFrame, named: DataFrame, sizes: DataFrame, percent:
     pairs = cut(join_sized(pairs, stars, ["a", "b"], "left_anti"), "pairs")
     links = first.unionByName(confirmed(rows, pairs, percent, words, "pair"))
 
-    rest = join_sized(at, left.where(f"outside > {FEW}"), ["bucket"], "inner").withColumn("inside", F.col("component") == F.col("big"))
-    # blocks of the members outside the bucket's largest component meet each other and its blocks; those never meet each other
-    rest = rest.withColumn("own", F.when(F.col("inside"), F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("many")))))
-    rest = cut(rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component"), "blocks")
+    rest = cut(join_sized(at, left.where(f"outside > {FEW}").select("bucket", "big"), ["bucket"], "inner"), "open-members")
     if rest.limit(1).count():
+        rest = cut(in_blocks(merged_buckets(rest)), "blocks")
         sets = sets_of(rows, rest.select("id"), words, "block")
-        links = links.unionByName(rest.join(sets.hint("merge"), "id").groupBy("bucket", "i", "j").applyInPandas(linked_in_block(percent), "src long, dst long"))
+        links = links.unionByName(rest.join(sets.hint("merge"), "id").groupBy("bucket", "merged", "i", "j").applyInPandas(linked_in_block(percent), "src long, dst long"))
     return components(cut(links, "links"), "all")
