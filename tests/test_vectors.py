@@ -241,3 +241,21 @@ def test_ward_ends_in_a_task(spark, monkeypatch):
     assert {(round(d, 9), a, b) for d, a, b in ward.merge_all(x[:120], n)} == want
     monkeypatch.setattr(ward, "nearest", lambda *a: pytest.fail("a round"))
     assert len(set(r.cluster_label for r in ward.ward_clusters(frame(spark, x), 25).collect())) == 25
+
+
+def test_ward_merges_on_what_is_known(spark, monkeypatch):
+    """Lists and bounds let most pairs merge without a search, and give the tree of one task; equal rows need no search at all."""
+    from weftline.operators import ward
+
+    x = np.random.default_rng(8).standard_normal((900, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).round(6)
+    x[600:, :] = x[7]
+    calls, search = [], ward.nearest
+    monkeypatch.setattr(ward, "LAST", 330)
+    monkeypatch.setattr(ward, "BLOCK", 300)
+    monkeypatch.setattr(ward, "nearest", lambda *a: calls.append(1) or (search(*a) if len(calls) < 4 else pytest.fail("too many rounds")))
+    got = ward.ward_merges(frame(spark, x)).collect()
+    held = [*range(600)]
+    want = ward.merge_all(x[:600], np.array([1.0 + 300 * (k == 7) for k in held]))
+    assert len(got) == 899 and sum(r.d == 0 for r in got) == 300
+    assert {(round(r.d, 6), r.a, r.b) for r in got if r.d > 0} == {(round(d, 6), a, b) for d, a, b in want}
