@@ -785,6 +785,21 @@ def test_contain_compares_what_it_finds(spark):
     assert sorted(map(tuple, still)) == sorted((a, b) for a, b in want if r[b][2] == r[b][3])
 
 
+def test_contain_copies_ranges_as_input_allows(spark):
+    """Many long ranges and few points: copies of ranges are bounded by rows of input, and all that is found stays."""
+    from weftline.operators import relational
+
+    points = spark.range(50).select(F.col("id").alias("p"), F.lit(0).alias("day"), (F.col("id") * 97).alias("t"))
+    ranges = spark.range(400).select(F.col("id").alias("r"), F.lit(0).alias("day"), (F.col("id") * 10).alias("s"), (F.col("id") * 10 + F.when(F.col("id") % 4 == 0, 0).otherwise(900)).alias("e"))
+    out = relational.contain(points, ranges, "day", "t", "s", "e")
+    got = sorted(map(tuple, out.select("p", "r").collect()))
+    assert got == sorted((p, r) for p in range(50) for r in range(400) if 0 <= 97 * p - 10 * r <= (900 if r % 4 else 0))
+    plan = out._jdf.queryExecution().optimizedPlan()
+    made = [(plan.p(k).nodeName(), k) for k in range(100) if plan.p(k) is not None]
+    spread = next(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.p(k)) for name, k in made if name == "Generate")
+    assert 300 < spread.count() <= 450 + 2 * 300
+
+
 def test_short_change_points_are_the_same():
     rng = np.random.default_rng(6)
     for n in (1, 5, 6, 40, 99):
